@@ -60,5 +60,27 @@ def rm(c: Column | str) -> Column:
     return F.round(col(c), 4)
 
 
-def r6(c: Column | str) -> Column:
-    return F.round(col(c), 6)
+# Ratios can land exactly on a rounding tie (a 1e-4-grid sum over an integer
+# count); the tiny relative nudge moves exact ties off the boundary so Spark and
+# the SQL oracle (same nudge) round them the same way.
+RATIO_NUDGE = 1e-12
+
+
+def r6(c: Column | str, digits: int = 6) -> Column:
+    return F.round(col(c) * F.lit(1.0 + RATIO_NUDGE), digits)
+
+
+def rounded(df, money=(), ratio=()):
+    """Round the named money columns to 4 and ratio columns to 6 decimals,
+    keeping column order (output convention shared with the oracle SQL)."""
+    money, ratio = set(money), set(ratio)
+    cols = []
+    for c in df.columns:
+        q = F.col(f"`{c}`")
+        if c in money:
+            cols.append(F.round(q, 4).alias(c))
+        elif c in ratio:
+            cols.append(r6(q).alias(c))
+        else:
+            cols.append(q)
+    return df.select(*cols)

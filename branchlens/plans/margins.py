@@ -9,6 +9,7 @@ from ..functions.exprs import flag, guarded_ratio, r6, rm
 from ..operators.margin import aggregate_margin, branch_department_features
 from ..sources.tables import items, with_items
 from .registry import register
+from .sqlparts import R6
 
 HEATMAP_MIN_SALES = 100000.0
 
@@ -22,7 +23,7 @@ def _margin_sql(keys: str) -> str:
     return with_items(f"""
 SELECT {keys}, ROUND(SUM(price), 4) AS Sales, ROUND(SUM(cost), 4) AS COGS, ROUND(SUM(profit), 4) AS GM,
        ROUND(SUM(qty), 4) AS Qty,
-       ROUND(CASE WHEN SUM(price) <> 0 THEN SUM(profit) / SUM(price) END, 6) AS GM_pct
+       {R6("CASE WHEN SUM(price) <> 0 THEN SUM(profit) / SUM(price) END")} AS GM_pct
 FROM items GROUP BY {keys}""")
 
 
@@ -45,12 +46,12 @@ def q_margin_branch_department(spark: SparkSession, sf_dir: str) -> DataFrame:
               CASE WHEN SUM(price) <> 0 THEN SUM(profit) / SUM(price) END AS GM_pct
         FROM items GROUP BY branch, category)
 SELECT branch,
-       ROUND(MAX(GM_pct) FILTER (WHERE category = 'ECONOMY'), 6) AS "ECONOMY",
-       ROUND(MAX(GM_pct) FILTER (WHERE category = 'LARGE'), 6) AS "LARGE",
-       ROUND(MAX(GM_pct) FILTER (WHERE category = 'MEDIUM'), 6) AS "MEDIUM",
-       ROUND(MAX(GM_pct) FILTER (WHERE category = 'PROMO'), 6) AS "PROMO",
-       ROUND(MAX(GM_pct) FILTER (WHERE category = 'SMALL'), 6) AS "SMALL",
-       ROUND(MAX(GM_pct) FILTER (WHERE category = 'STANDARD'), 6) AS "STANDARD"
+       {R6("MAX(GM_pct) FILTER (WHERE category = 'ECONOMY')")} AS "ECONOMY",
+       {R6("MAX(GM_pct) FILTER (WHERE category = 'LARGE')")} AS "LARGE",
+       {R6("MAX(GM_pct) FILTER (WHERE category = 'MEDIUM')")} AS "MEDIUM",
+       {R6("MAX(GM_pct) FILTER (WHERE category = 'PROMO')")} AS "PROMO",
+       {R6("MAX(GM_pct) FILTER (WHERE category = 'SMALL')")} AS "SMALL",
+       {R6("MAX(GM_pct) FILTER (WHERE category = 'STANDARD')")} AS "STANDARD"
 FROM g WHERE Sales > {HEATMAP_MIN_SALES} GROUP BY branch"""))
 def q_margin_heatmap(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Branch x category GM% matrix over cells with Sales > 100,000 (D11f, J1).
@@ -100,8 +101,8 @@ def _feat_sql_cols() -> str:
             f'ROUND(SUM(cost) FILTER (WHERE {cond}), 4) AS "Cost_{d}"',
             f'ROUND(SUM(profit) FILTER (WHERE {cond}), 4) AS "Profit_{d}"',
             f'ROUND(SUM(qty) FILTER (WHERE {cond}), 4) AS "Qty_{d}"',
-            f'ROUND(CASE WHEN SUM(price) FILTER (WHERE {cond}) <> 0 THEN SUM(profit) FILTER (WHERE {cond}) '
-            f'/ SUM(price) FILTER (WHERE {cond}) END, 6) AS "GM_pct_{d}"',
+            R6(f'CASE WHEN SUM(price) FILTER (WHERE {cond}) <> 0 THEN SUM(profit) FILTER (WHERE {cond}) '
+               f'/ SUM(price) FILTER (WHERE {cond}) END') + f' AS "GM_pct_{d}"',
         ]
     return ",\n       ".join(parts)
 
@@ -120,7 +121,7 @@ def q_branch_department_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return feat.select("branch", *out)
 
 
-@register("q_rollout_features", with_items("""
+@register("q_rollout_features", with_items(f"""
 , f AS (
   SELECT branch,
          SUM(price) FILTER (WHERE department = 'TABLE') AS s_tb,
@@ -131,10 +132,10 @@ def q_branch_department_features(spark: SparkSession, sf_dir: str) -> DataFrame:
   FROM items GROUP BY branch)
 SELECT branch,
        ROUND(COALESCE(s_tb, 0) + COALESCE(s_ta, 0), 4) AS Total_Sales,
-       ROUND(CASE WHEN COALESCE(s_tb, 0) + COALESCE(s_ta, 0) > 0 THEN s_ta / (COALESCE(s_tb, 0) + COALESCE(s_ta, 0)) ELSE 0 END, 6) AS TA_Share,
-       ROUND(CASE WHEN COALESCE(s_tb, 0) + COALESCE(s_ta, 0) > 0 THEN s_tb / (COALESCE(s_tb, 0) + COALESCE(s_ta, 0)) ELSE 0 END, 6) AS Table_Share,
-       ROUND(CASE WHEN q_ta > 0 THEN s_ta / q_ta ELSE 0 END, 6) AS TA_OrderValue,
-       ROUND(CASE WHEN q_tb > 0 THEN s_tb / q_tb ELSE 0 END, 6) AS Table_OrderValue,
+       {R6("CASE WHEN COALESCE(s_tb, 0) + COALESCE(s_ta, 0) > 0 THEN s_ta / (COALESCE(s_tb, 0) + COALESCE(s_ta, 0)) ELSE 0 END")} AS TA_Share,
+       {R6("CASE WHEN COALESCE(s_tb, 0) + COALESCE(s_ta, 0) > 0 THEN s_tb / (COALESCE(s_tb, 0) + COALESCE(s_ta, 0)) ELSE 0 END")} AS Table_Share,
+       {R6("CASE WHEN q_ta > 0 THEN s_ta / q_ta ELSE 0 END")} AS TA_OrderValue,
+       {R6("CASE WHEN q_tb > 0 THEN s_tb / q_tb ELSE 0 END")} AS Table_OrderValue,
        COALESCE(s_to, 0) > 0 AS has_toters
 FROM f"""))
 def q_rollout_features(spark: SparkSession, sf_dir: str) -> DataFrame:
