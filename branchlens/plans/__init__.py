@@ -1,4 +1,4 @@
 """Named query plans (one per inventory item) with their oracle SQL."""
 
-from . import margins, products  # noqa: F401
+from . import margins, products, timeseries  # noqa: F401
 from .registry import ORACLES, QUERIES  # noqa: F401
