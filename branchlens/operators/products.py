@@ -23,6 +23,14 @@ BRANCH_FEATURES = ["log_Sales", "MarginPct", "log_AvgPrice", "SalesShareInBranch
                    "ProfitShareInBranch", "TakeAwayShare", "TableShare", "TotersShare"]
 
 
+def _as_product(items: DataFrame, product: str) -> DataFrame:
+    """Expose the chosen product grain as ``Product`` (column names are
+    case-insensitive, so another ``product`` column is dropped first)."""
+    if product.lower() != "product":
+        items = items.drop("product")
+    return items.withColumnRenamed(product, "Product")
+
+
 def _rollup(items: DataFrame, keys: Sequence[str], product: str, extra=()) -> DataFrame:
     chan = [F.coalesce(F.sum(F.when(F.col("department") == d, F.col("price"))), F.lit(0.0)).alias(d)
             for d in DEPARTMENTS]
@@ -49,7 +57,7 @@ def product_table(items: DataFrame, product: str = "product") -> DataFrame:
 
     ``BranchPenetration`` = distinct branches of the product / distinct
     branches overall; the denominator is a scalar subquery (no cross join)."""
-    it = items.withColumnRenamed(product, "Product") if product != "Product" else items
+    it = _as_product(items, product)
     n_branches = it.select(F.count_distinct("branch")).scalar()
     t = _rollup(it, ["Product"], product, extra=[F.count_distinct("branch").alias("Branches")])
     t = _ratios(t).withColumn("BranchPenetration", F.col("Branches") / n_branches)
@@ -59,7 +67,7 @@ def product_table(items: DataFrame, product: str = "product") -> DataFrame:
 
 def branch_product_table(items: DataFrame, product: str = "product") -> DataFrame:
     """One row per (branch, product) with in-branch shares."""
-    it = items.withColumnRenamed(product, "Product") if product != "Product" else items
+    it = _as_product(items, product)
     t = _ratios(_rollup(it, ["branch", "Product"], product))
     totals = t.groupBy("branch").agg(
         F.sum("Sales").alias("BranchSales"),
