@@ -1,4 +1,4 @@
 """Named query plans (one per inventory item) with their oracle SQL."""
 
-from . import clustering, margins, models, products, timeseries  # noqa: F401
+from . import clustering, margins, models, nmf, products, timeseries  # noqa: F401
 from .registry import ORACLES, QUERIES  # noqa: F401
