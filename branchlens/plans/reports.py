@@ -7,10 +7,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.exprs import rm
+from ..functions.exprs import r6, rm
 from ..sources import reports as rp
-from ..sources.tables import items, with_items
+from ..sources.tables import BASE_YEAR, items, with_items
 from .registry import register
+from .sqlparts import R6
 
 
 def parsed_item_report(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -80,3 +81,109 @@ def q_hierarchy_explicit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return (it.groupBy("Branch", "Division", "Group")
             .agg(F.count(F.lit(1)).alias("n_items"), rm(F.sum(rp.to_num(F.col("qty")))).alias("Qty"),
                  rm(F.sum(rp.to_num(F.col("amount")))).alias("TotalAmount")))
+
+
+def _report_monthly(spark: SparkSession, sf_dir: str) -> DataFrame:
+    it = items(spark, sf_dir).filter(F.col("year").isin(BASE_YEAR, BASE_YEAR + 1))
+    return it.groupBy("branch", "year", "month").agg(F.sum("price").alias("sales"))
+
+
+@register("q_paged_report_long", with_items(f"""
+, m AS (SELECT branch, year, month, ROUND(SUM(price), 4) AS s FROM items
+        WHERE year IN ({BASE_YEAR}, {BASE_YEAR + 1}) GROUP BY ALL)
+, g AS (SELECT b.branch, y.year, CAST(mm.month AS INTEGER) AS month
+        FROM (SELECT DISTINCT branch, year FROM m) b JOIN (SELECT DISTINCT year FROM m) y ON b.year = y.year,
+             range(1, 13) mm(month))
+SELECT g.branch, g.year, g.month, COALESCE(m.s, 0) AS sales
+FROM g LEFT JOIN m ON g.branch = m.branch AND g.year = m.year AND g.month = m.month"""))
+def q_paged_report_long(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Write the paged monthly report (two column blocks per year, shifted
+    header, year on the first row of a page, Total rows) and parse it back to
+    long (branch, year, month, sales) (A10, A4-A9, D8f, J6, K2)."""
+    lines = rp.write_monthly_report(_report_monthly(spark, sf_dir))
+    long = rp.parse_monthly_report(lines).filter(F.col("month") > 0)
+    return long.select("branch", "year", "month", rm("sales").alias("sales"))
+
+
+@register("q_year_total_check", with_items(f"""
+SELECT year, COUNT(DISTINCT branch) AS n_branches, 0.0 AS max_abs_diff FROM items
+WHERE year IN ({BASE_YEAR}, {BASE_YEAR + 1}) GROUP BY year"""))
+def q_year_total_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Printed ``Total By Year`` against the sum of the parsed months per
+    branch-year (I18 on the monthly report)."""
+    long = rp.parse_monthly_report(rp.write_monthly_report(_report_monthly(spark, sf_dir)))
+    s = long.groupBy("branch", "year").agg(
+        F.sum(F.when(F.col("month") > 0, F.col("sales"))).alias("months"),
+        F.sum(F.when(F.col("month") == 0, F.col("sales"))).alias("printed"))
+    return s.groupBy("year").agg(F.count(F.lit(1)).alias("n_branches"),
+                                 F.round(F.max(F.abs(F.col("months") - F.col("printed"))), 2).alias("max_abs_diff"))
+
+
+_GROUP_COUNTS = """gc AS (
+  SELECT COUNT(DISTINCT (branch, year, month)) AS n_files,
+         COUNT(DISTINCT (branch, year, month, department)) AS n_dep,
+         COUNT(DISTINCT (branch, year, month, department, category)) AS n_cat,
+         COUNT(DISTINCT (branch, year, month, department, category, division)) AS n_div,
+         COUNT(DISTINCT (branch, year, month, department, category, division, product)) AS n_prod
+  FROM items)"""
+
+
+@register("q_null_profile", with_items(f"""
+, t AS (SELECT *, 2 * n_files + n_dep + n_cat + n_div + n_prod + n_div + n_cat + n_dep AS n_lines FROM gc)
+, z AS (
+  SELECT 'desc' AS "column", 0 AS n_null FROM t UNION ALL
+  SELECT 'qty', n_files + n_dep + n_cat + n_div FROM t UNION ALL
+  SELECT 'Branch', 0 FROM t UNION ALL
+  SELECT 'Department', 2 * n_files FROM t UNION ALL
+  SELECT 'Category', 2 * n_files + 2 * n_dep FROM t UNION ALL
+  SELECT 'Division', 2 * n_files + 2 * n_dep + 2 * n_cat FROM t)
+SELECT "column", n_null, {R6("n_null / (SELECT n_lines FROM t)")} AS pct_null,
+       n_null / (SELECT n_lines FROM t) >= 0.9 AS sparse FROM z""", _GROUP_COUNTS))
+def q_null_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Null count / percent per column of the parsed report lines after noise
+    and footer removal, with the >= 90 % sparse flag (G13, C3, E3)."""
+    parsed = parsed_item_report(spark, sf_dir)
+    prof = rp.null_profile(parsed, ["desc", "qty", *rp.LEVELS])
+    return prof.select("column", F.col("n_null").cast("bigint").alias("n_null"),
+                       r6("pct_null").alias("pct_null"), "sparse")
+
+
+@register("q_totals_items_split", with_items("""
+SELECT scope, n FROM (
+  SELECT 'Division' AS scope, n_div AS n FROM gc UNION ALL SELECT 'Category', n_cat FROM gc UNION ALL
+  SELECT 'Department', n_dep FROM gc UNION ALL SELECT 'Branch', n_files FROM gc UNION ALL
+  SELECT 'items', n_prod FROM gc UNION ALL SELECT 'leaked_totals', 0 FROM gc)""", _GROUP_COUNTS))
+def q_totals_items_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One pass splits report rows into totals per scope and items; the leak
+    check counts item rows still containing 'Total by' (D5f, D6f, D7f)."""
+    parsed = parsed_item_report(spark, sf_dir)
+    rows = parsed.filter(~F.col("is_open"))
+    scope = F.when(F.col("is_total"), F.col("total_scope")).otherwise(F.lit("items"))
+    counts = rows.groupBy(scope.alias("scope")).agg(F.count(F.lit(1)).alias("n"))
+    leak = (rows.filter(~F.col("is_total"))
+            .agg(F.lit("leaked_totals").alias("scope"),
+                 F.count_if(F.lower(F.col("desc")).contains("total by")).alias("n")))
+    return counts.unionByName(leak)
+
+
+@register("q_price_overflow", with_items("""
+SELECT 'item' AS kind, 0 AS lost_digits, n_prod AS n FROM gc
+UNION ALL SELECT 'total', 0, n_div + n_cat + n_dep + n_files FROM gc""", _GROUP_COUNTS))
+def q_price_overflow(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digits lost by the printed Total Price against cost + profit, per
+    line kind (I19, X6); 0 everywhere when the report is sound."""
+    return rp.price_overflow(parsed_item_report(spark, sf_dir)).select(
+        "kind", F.col("lost_digits"), F.col("n"))
+
+
+@register("q_context_rows", with_items("""
+SELECT branch || '/' || CAST(year AS VARCHAR) || '/' || lpad(CAST(month AS VARCHAR), 2, '0') AS file, 6 AS n_rows
+FROM items GROUP BY ALL"""))
+def q_context_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows around the first NULL Division of every report file: three
+    before and five after (D17f); reported as the row count per file."""
+    parsed = parsed_item_report(spark, sf_dir)
+    first = parsed.filter(F.col("Division").isNull()).groupBy("file").agg(F.min("line_no").alias("f"))
+    ctx = parsed.join(first, "file").filter(F.col("line_no").between(F.col("f") - 3, F.col("f") + 5))
+    return ctx.groupBy(F.regexp_replace("file", "^rep14/", "").alias("file")).agg(
+        F.count(F.lit(1)).cast("int").alias("n_rows"))

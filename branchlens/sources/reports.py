@@ -250,3 +250,116 @@ def parse_group_report(lines: DataFrame) -> DataFrame:
         x = x.withColumn(n, F.when(ok, F.col(f"_v{i}")))
     drop = [c for c in x.columns if c.startswith("_")]
     return x.drop(*drop)
+
+
+# ------------------------------------------- paged monthly report (A4-A10)
+# Month header names of the monthly report and its total column.
+MONTH_NAMES = ("January", "February", "March", "April", "May", "June", "July", "August", "September",
+               "October", "November", "December")
+YEAR_TOTAL = "Total By Year"
+PAGE_SPLIT = 9          # months on the first page of a year block
+BRANCH_TOKEN = r"(?i)\bStories\b"
+
+
+def write_monthly_report(monthly: DataFrame) -> DataFrame:
+    """Comparative monthly sales report: per year two pages, January..September
+    and October..December + ``Total By Year``; the month header is repeated per
+    page and shifted by one column on the second page; the year is printed
+    on the first row of each page only; each page ends with a ``Total`` row.
+    ``monthly``: (branch, year, month, sales). Returns (file, line_no, cells)."""
+    p1 = [F.col(f"m{m}") for m in range(1, PAGE_SPLIT + 1)]
+    p2 = [F.col(f"m{m}") for m in range(PAGE_SPLIT + 1, 13)]
+    wide = monthly.groupBy("branch", "year").agg(*[
+        F.coalesce(F.sum(F.when(F.col("month") == m, F.col("sales"))), F.lit(0.0)).alias(f"m{m}")
+        for m in range(1, 13)])
+    wide = wide.withColumn("tot", sum((F.col(f"m{m}") for m in range(1, 13)), F.lit(0.0)))
+    tot = wide.groupBy("year").agg(*[F.sum(f"m{m}").alias(f"m{m}") for m in range(1, 13)],
+                                   F.sum("tot").alias("tot"))
+    first = F.row_number().over(Window.partitionBy("year").orderBy("branch")) == 1
+    yr = F.col("year").cast("string")
+    e = F.lit("")
+    name = F.concat(F.lit("Stories "), F.col("branch"))
+
+    def cells(*cs):
+        return F.array(*[c if not isinstance(c, str) else F.lit(c) for c in cs]).alias("cells")
+    rows = [
+        tot.select("year", F.lit(1).alias("page"), F.lit(0).alias("kind"), e.alias("k"),
+                   cells("", "", *MONTH_NAMES[:PAGE_SPLIT])),
+        wide.select("year", F.lit(1).alias("page"), F.lit(1).alias("kind"), F.col("branch").alias("k"),
+                    cells(F.when(first, yr).otherwise(e), name, *[fmt(c, 4) for c in p1])),
+        tot.select("year", F.lit(1).alias("page"), F.lit(2).alias("kind"), e.alias("k"),
+                   cells("", "Total", *[fmt(c, 4) for c in p1])),
+        tot.select("year", F.lit(2).alias("page"), F.lit(0).alias("kind"), e.alias("k"),
+                   cells("", "", "", *MONTH_NAMES[PAGE_SPLIT:], YEAR_TOTAL)),
+        wide.select("year", F.lit(2).alias("page"), F.lit(1).alias("kind"), F.col("branch").alias("k"),
+                    cells(F.when(first, yr).otherwise(e), name, "", *[fmt(c, 4) for c in p2], fmt(F.col("tot"), 4))),
+        tot.select("year", F.lit(2).alias("page"), F.lit(2).alias("kind"), e.alias("k"),
+                   cells("", "Total", "", *[fmt(c, 4) for c in p2], fmt(F.col("tot"), 4))),
+    ]
+    lines = rows[0]
+    for r in rows[1:]:
+        lines = lines.unionByName(r)
+    w = Window.partitionBy("file").orderBy("year", "page", "kind", "k")
+    return (lines.withColumn("file", F.lit("rep134"))
+            .withColumn("line_no", F.row_number().over(w)).select("file", "line_no", "cells"))
+
+
+def parse_monthly_report(lines: DataFrame) -> DataFrame:
+    """Paged report -> long (branch, year, month, sales) (A10, A4-A9, D8f, J6).
+
+    Header rows (any month name) are carried forward over the file order with
+    ``last(ignorenulls)``, as is the year printed on a page's first row; the
+    branch column is the position with the most ``Stories`` cells (A7);
+    cells are exploded with their position and named by the carried header;
+    blank and ``Total`` branches are dropped; ``Total By Year`` is returned as
+    month 0 for reconciliation."""
+    w = Window.partitionBy("file").orderBy("line_no")
+    run = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    is_header = F.exists("cells", lambda c: F.trim(c).isin(*MONTH_NAMES))
+    y0 = F.trim(F.col("cells")[0])
+    x = (lines.withColumn("is_header", is_header)
+         .withColumn("header", F.last(F.when(F.col("is_header"), F.col("cells")), ignorenulls=True).over(run))
+         .withColumn("year", F.last(F.when(y0.rlike(r"^\d{4}$"), y0.cast("int")), ignorenulls=True).over(run))
+         .filter(~F.col("is_header") & F.col("header").isNotNull()))
+    cells = x.select("file", "line_no", "year", "header", F.posexplode("cells").alias("pos", "val"))
+    hits = (cells.groupBy("file", "pos").agg(F.count_if(F.col("val").rlike(BRANCH_TOKEN)).alias("n"))
+            .groupBy("file").agg(F.max_by("pos", F.struct("n", -F.col("pos"))).alias("bpos")))
+    bcell = (cells.join(hits, "file").filter(F.col("pos") == F.col("bpos"))
+             .select("file", "line_no", F.trim("val").alias("branch_cell")))
+    months = F.array(*[F.lit(m) for m in MONTH_NAMES])
+    named = (cells.join(bcell, ["file", "line_no"])
+             .withColumn("hname", F.trim(F.element_at("header", F.col("pos") + 1)))
+             .filter(F.col("hname").isin(*MONTH_NAMES, YEAR_TOTAL)))
+    named = named.filter((F.col("branch_cell") != "") & (F.lower(F.col("branch_cell")) != "total"))   # D8f
+    return named.select(
+        F.regexp_replace("branch_cell", r"(?i)^Stories\s+", "").alias("branch"), "year",
+        F.when(F.col("hname") == YEAR_TOTAL, F.lit(0)).otherwise(F.array_position(months, F.col("hname")))
+        .cast("int").alias("month"),
+        to_num_zero(F.col("val")).alias("sales"))
+
+
+# ------------------------------------------------ profiling and checks
+def null_profile(df: DataFrame, columns=None) -> DataFrame:
+    """Null count and percent of every column in one aggregate pass, as rows
+    (column, n_null, pct_null, sparse) with sparse = pct >= 90 % (G13, C3)."""
+    cols = list(columns or df.columns)
+    one = df.agg(F.count(F.lit(1)).alias("_n"), *[F.count_if(F.col(f"`{c}`").isNull()).alias(f"_z{i}")
+                                                  for i, c in enumerate(cols)])
+    stacked = one.select("_n", F.explode(F.array(*[
+        F.struct(F.lit(c).alias("column"), F.col(f"_z{i}").alias("n_null")) for i, c in enumerate(cols)])).alias("s"))
+    return stacked.select("s.column", "s.n_null",
+                          (F.col("s.n_null") / F.col("_n")).alias("pct_null")).withColumn(
+        "sparse", F.col("pct_null") >= 0.9)
+
+
+def price_overflow(parsed: DataFrame) -> DataFrame:
+    """Printed Total Price against cost + profit (X6): the power-of-ten factor
+    printed / true rounded to an integer exponent, per line kind (I19)."""
+    x = parsed.filter(F.col("price").isNotNull())
+    printed = to_num(F.col("price"))
+    true = F.coalesce(to_num(F.col("cost")), F.lit(0.0)) + F.coalesce(to_num(F.col("profit")), F.lit(0.0))
+    ratio = F.when((true != 0) & (printed != 0), F.abs(true / printed))
+    exp = F.round(F.log10(ratio)).cast("int")
+    return (x.select(F.when(F.col("is_total"), F.lit("total")).otherwise(F.lit("item")).alias("kind"),
+                     exp.alias("lost_digits"))
+            .groupBy("kind", "lost_digits").agg(F.count(F.lit(1)).alias("n")))
