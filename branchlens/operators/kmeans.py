@@ -92,7 +92,7 @@ def _flat_points(pts: DataFrame, p: int) -> DataFrame:
     return pts.select("*", *[F.col("x")[i].alias(f"f{i}") for i in range(p)])
 
 
-def nearest(flat: DataFrame, models: DataFrame, group: list[str], id_col: str, p: int,
+def nearest(flat: DataFrame, cent: DataFrame, group: list[str], id_col: str, p: int,
             n_cells: int, carry: bool = False) -> DataFrame:
     """(group, id, k, r, cluster, dist): nearest centre per point and model.
 
@@ -102,7 +102,7 @@ def nearest(flat: DataFrame, models: DataFrame, group: list[str], id_col: str, p
     aggregate whose partial phase runs right after the join in the same task:
     all k rows of a point meet there, so only one row per (point, model)
     is shuffled."""
-    cl = _centres_long(models, group, p)
+    cl = cent.select(*group, "k", "r", "cid", *[F.col("center")[i].alias(f"c{i}") for i in range(p)])
     if n_cells <= BROADCAST_MAX_CELLS:
         cl = F.broadcast(cl)
     j = flat.join(cl, group)
@@ -134,7 +134,7 @@ def _model_grid(points: DataFrame, group: list[str], k_values: Sequence[int], re
 
 def fit_kmeans(points: DataFrame, group: Sequence[str], id_col: str, k_values: Sequence[int],
                restarts: int = 4, max_iter: int = 20, tol: float = 1e-4, seed: int = 42,
-               min_points: int = 2) -> tuple[DataFrame, DataFrame]:
+               min_points: int = 2, check_every: int = 3) -> tuple[DataFrame, DataFrame]:
     """Fit every (group, k, restart) model. Returns (models, points) where
     models = (group, k, r, n, centers, inertia) and points is the cut-lineage
     points table."""
@@ -153,30 +153,33 @@ def fit_kmeans(points: DataFrame, group: Sequence[str], id_col: str, k_values: S
             .groupBy(*g, "k", "r")
             .agg(F.array_sort(F.collect_list(F.struct("rn", "x"))).alias("s"))
             .select(*g, "k", "r", F.transform("s", lambda e: e["x"]).alias("centers")))
-    models = cut_lineage(init)
+    # centres in long form (group, k, r, cid, center): the join side of the
+    # assignment and the table updated in place every iteration
+    cent = cut_lineage(init.select(*g, "k", "r", F.posexplode("centers").alias("cid", "center"))
+                       .withColumn("cid", F.col("cid").cast("int")))
 
     flat = cut_lineage(_flat_points(pts, p))
     n_cells = n_models * k_max * p
     for it in range(max_iter):
-        a = nearest(flat, models, g, id_col, p, n_cells, carry=True)
+        a = nearest(flat, cent, g, id_col, p, n_cells, carry=True)
         upd = (a.groupBy(*g, "k", "r", "cluster")
                .agg(*[F.avg(f"f{i}").alias(f"c{i}") for i in range(p)])
                .select(*g, "k", "r", F.col("cluster").alias("cid"),
                        F.array(*[F.col(f"c{i}") for i in range(p)]).alias("new_center")))
-        old = models.select(*g, "k", "r", F.posexplode("centers").alias("cid", "center"))
         merged = cut_lineage(
-            old.join(upd, [*g, "k", "r", "cid"], "left")
+            cent.join(upd, [*g, "k", "r", "cid"], "left")
             .select(*g, "k", "r", "cid", "center", F.coalesce("new_center", "center").alias("new_center")))
-        shift = (merged.groupBy(*g, "k", "r").agg(F.sum(_sqdist(F.col("center"), F.col("new_center"))).alias("s"))
-                 .select(F.max("s")).first()[0])
-        # one small aggregate over the checkpointed table: lineage stays short
-        models = (merged.groupBy(*g, "k", "r")
-                  .agg(F.array_sort(F.collect_list(F.struct("cid", "new_center"))).alias("s"))
-                  .select(*g, "k", "r", F.transform("s", lambda e: e["new_center"]).alias("centers")))
-        if shift is None or shift <= tol:
-            break
+        cent = merged.select(*g, "k", "r", "cid", F.col("new_center").alias("center"))
+        if (it + 1) % check_every == 0 or it + 1 == max_iter:
+            shift = (merged.groupBy(*g, "k", "r")
+                     .agg(F.sum(_sqdist(F.col("center"), F.col("new_center"))).alias("s"))
+                     .select(F.max("s")).first()[0])
+            if shift is None or shift <= tol:
+                break
     log.info("k-means stopped after %d iterations", it + 1)
-
+    models = (cent.groupBy(*g, "k", "r")
+              .agg(F.array_sort(F.collect_list(F.struct("cid", "center"))).alias("s"))
+              .select(*g, "k", "r", F.transform("s", lambda e: e["center"]).alias("centers")))
     assigned = assign(pts, models, g, id_col, n_models, p, k_max)
     inertia = assigned.groupBy(*g, "k", "r").agg(F.sum("dist").alias("inertia"))
     models = models.join(inertia, [*g, "k", "r"]).join(grid.select(*g, "k", "r", "n"), [*g, "k", "r"])
@@ -186,7 +189,8 @@ def fit_kmeans(points: DataFrame, group: Sequence[str], id_col: str, k_values: S
 def assign(pts: DataFrame, models: DataFrame, group: list[str], id_col: str, n_models: int, p: int,
            k_max: int) -> DataFrame:
     """Points with their nearest centre and squared distance for every model."""
-    near = nearest(_flat_points(pts, p), models, group, id_col, p, n_models * k_max * p)
+    cent = models.select(*group, "k", "r", F.posexplode("centers").alias("cid", "center"))
+    near = nearest(_flat_points(pts, p), cent, group, id_col, p, n_models * k_max * p)
     return pts.join(near, [*group, id_col])
 
 

@@ -48,7 +48,11 @@ def _hash_unit(*cols: Column) -> Column:
 
 def fit_nmf(x_long: DataFrame, k: int, n_iter: int = 200, seed: int = 42) -> tuple[DataFrame, np.ndarray, DataFrame]:
     """x_long: (branch, gid int 0..G-1, x >= 0). Returns (W table, H, x_long)."""
-    x_long = cut_lineage(x_long.select("branch", F.col("gid").cast("int").alias("gid"), F.col("x").cast("double")))
+    # ``first`` marks one cell per branch so W^T W can ride on the per-group
+    # aggregate of W^T X (a window per branch over its <= G cells)
+    first = F.row_number().over(Window.partitionBy("branch").orderBy("gid")) == 1
+    x_long = cut_lineage(x_long.select("branch", F.col("gid").cast("int").alias("gid"), F.col("x").cast("double"))
+                         .withColumn("first", first))
     g_count = x_long.agg(F.max("gid")).first()[0] + 1
     mean_x = x_long.agg(F.sum("x")).first()[0] / (x_long.select("branch").distinct().count() * g_count)
     scale = float(np.sqrt(max(mean_x, EPS) / k))
@@ -89,13 +93,17 @@ def _update_w(x_long: DataFrame, w: DataFrame, H: np.ndarray, k: int) -> DataFra
 
 def _update_h(x_long: DataFrame, w: DataFrame, H: np.ndarray, k: int) -> np.ndarray:
     wx = (x_long.join(w, "branch").groupBy("gid")
-          .agg(*[F.sum(F.col("w")[j] * F.col("x")).alias(f"wx{j}") for j in range(k)]).collect())
-    r = w.agg(*[F.sum(F.col("w")[a] * F.col("w")[b]).alias(f"g{a}_{b}") for a in range(k) for b in range(k)]).first()
-    wtw = np.array([[r[f"g{a}_{b}"] for b in range(k)] for a in range(k)])
+          .agg(*[F.sum(F.col("w")[j] * F.col("x")).alias(f"wx{j}") for j in range(k)],
+               *[F.sum(F.when(F.col("first"), F.col("w")[a] * F.col("w")[b])).alias(f"g{a}_{b}")
+                 for a in range(k) for b in range(k)]).collect())
     WX = np.zeros_like(H)
+    wtw = np.zeros((k, k))
     for row in wx:
         for j in range(k):
             WX[j, row["gid"]] = row[f"wx{j}"]
+        for a in range(k):
+            for b in range(k):
+                wtw[a, b] += row[f"g{a}_{b}"] or 0.0
     return H * WX / (wtw @ H + EPS)
 
 
@@ -162,3 +170,46 @@ def choose_k(metrics: DataFrame, rule: str = "min_gain") -> DataFrame:
         return m.agg(F.max(F.when(F.col("R2_diff") >= g0 * 0.1, F.col("K"))).alias("chosen_K"))
     return m.agg(F.coalesce(F.min_by("K", F.when(F.col("R2_diff").isNotNull(), F.struct("R2_diff", "K"))),
                             F.max_by("K", "Pseudo_R2")).alias("chosen_K"))
+
+
+def full_grid(x_long: DataFrame) -> DataFrame:
+    """Every (branch, gid) cell with 0 where the branch did not sell the
+    group, with a dense integer branch id (``uid``). Ids come from a window
+    over the distinct branches and the grid from ``sequence``/``explode``
+    (no cross join)."""
+    g_count = x_long.agg(F.max("gid")).first()[0] + 1
+    br = x_long.select("branch").distinct().withColumn(
+        "uid", (F.dense_rank().over(Window.orderBy("branch")) - 1).cast("int"))   # bounded: branch domain
+    grid = br.select("branch", "uid", F.explode(F.sequence(F.lit(0), F.lit(g_count - 1))).alias("gid"))
+    return (grid.join(x_long.select("branch", "gid", "x"), ["branch", "gid"], "left")
+            .select("branch", "uid", "gid", F.coalesce("x", F.lit(0.0)).alias("x")))
+
+
+def fit_nmf_als(x_long: DataFrame, k: int, n_iter: int = 30, seed: int = 42, reg: float = 1e-9):
+    """X ~ W H with Spark ML's alternating least squares under
+    non-negativity (``ALS(nonnegative=True)``) on the complete grid, zeros as
+    explicit ratings and a vanishing ridge: the Frobenius NMF objective,
+    solved block-distributed by MLlib. Returns (W long, H long, fitted grid):
+    W = (branch, pattern, weight), H = (pattern, gid, weight), grid with
+    ``prediction``."""
+    from pyspark.ml.recommendation import ALS
+    grid = cut_lineage(full_grid(x_long))
+    als = ALS(rank=k, maxIter=n_iter, regParam=reg, nonnegative=True, implicitPrefs=False,
+              userCol="uid", itemCol="gid", ratingCol="x", seed=seed, coldStartStrategy="drop")
+    model = als.fit(grid)
+    names = grid.select("branch", "uid").distinct()
+    w = (model.userFactors.select(F.col("id").alias("uid"), F.posexplode("features").alias("j", "weight"))
+         .join(names, "uid")
+         .select("branch", F.concat(F.lit("Pattern_"), F.col("j").cast("string")).alias("pattern"),
+                 F.col("weight").cast("double").alias("weight")))
+    h = model.itemFactors.select(F.col("id").alias("gid"), F.posexplode("features").alias("j", "weight")).select(
+        F.concat(F.lit("Pattern_"), F.col("j").cast("string")).alias("pattern"), "gid",
+        F.col("weight").cast("double").alias("weight"))
+    return w, h, model.transform(grid)
+
+
+def grid_metrics(fitted: DataFrame) -> DataFrame:
+    """Frobenius error and pseudo R2 = 1 - |X - WH|^2 / |X|^2 over the grid."""
+    sse = F.sum(F.pow(F.col("x") - F.col("prediction"), 2))
+    return fitted.agg(F.sqrt(sse).alias("Reconstruction_Error"),
+                      (F.lit(1.0) - sse / F.sum(F.col("x") * F.col("x"))).alias("Pseudo_R2"))

@@ -1,5 +1,7 @@
 """Branch product-mix queries: group revenue shares (G15, J4, K18, D9f, F4),
-NMF (L25-L27) and the pattern read-outs (H13-H16, K17).
+NMF (L25-L27) and the pattern read-outs (H13-H16, K17). The factorisation
+is Spark ML's non-negative ALS on the complete share grid; the multiplicative
+update solver in ``operators.nmf.fit_nmf`` is the alternative.
 
 The read-out operators are SQL-checked on the share matrix itself (each
 product group is its own "pattern"); on the NMF weights they run in
@@ -67,34 +69,37 @@ def _x_long(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _fit(spark: SparkSession, sf_dir: str, k: int):
     x = cut_lineage(_x_long(spark, sf_dir))
-    w, H, xl = nmf.fit_nmf(x.select("branch", "gid", "x"), k, NMF_ITER)
-    return x, w, H, xl
-
-
-def _w_long(w: DataFrame, k: int) -> DataFrame:
-    return w.select("branch", F.posexplode("w").alias("j", "weight")).select(
-        "branch", F.concat(F.lit("Pattern_"), F.col("j").cast("string")).alias("pattern"), "weight")
+    return nmf.fit_nmf_als(x.select("branch", "gid", "x"), k, NMF_ITER)
 
 
 @register("q_nmf_fit")
 def q_nmf_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Branch pattern weights W of a K=3 NMF of the branch x group share
-    matrix (multiplicative updates, 30 iterations, hash-seeded start) (L25)."""
-    _, w, _, _ = _fit(spark, sf_dir, NMF_K)
-    return _w_long(w, NMF_K)
+    """Branch pattern weights W of a K=3 non-negative factorisation of the
+    branch x group share matrix (ALS with non-negativity, 30 sweeps) (L25)."""
+    w, _, _ = _fit(spark, sf_dir, NMF_K)
+    return w
+
+
+@register("q_nmf_patterns")
+def q_nmf_patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pattern definitions: top-7 product groups of every H row."""
+    _, h, _ = _fit(spark, sf_dir, NMF_K)
+    names = _x_long(spark, sf_dir).select("gid", "grp").distinct()
+    hl = h.join(names, "gid")
+    return nmf.top_n_joined(hl, "pattern", "grp", "weight", TOP_GROUPS, "Top_7_Groups")
 
 
 @register("q_nmf_metrics")
 def q_nmf_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Frobenius error and pseudo R2 per K in 2..4, chosen K by the smallest
-    R2 gain (L26, L27, H13)."""
-    rows = []
+    R2 gain (the reference's rule) (L26, L27, H13)."""
     x = cut_lineage(_x_long(spark, sf_dir)).select("branch", "gid", "x")
+    m = None
     for k in (2, 3, 4):
-        w, H, xl = nmf.fit_nmf(x, k, NMF_ITER)
-        err, r2 = nmf.reconstruction_metrics(xl, w, H, k)
-        rows.append((k, err, r2))
-    m = spark.createDataFrame(rows, "K int, Reconstruction_Error double, Pseudo_R2 double")
+        _, _, fitted = nmf.fit_nmf_als(x, k, NMF_ITER)
+        one = nmf.grid_metrics(fitted).select(F.lit(k).alias("K"), "*")
+        m = one if m is None else m.unionByName(one)
+    m = cut_lineage(m)
     chosen = nmf.choose_k(m).first()[0]
     return m.withColumn("chosen", F.col("K") == F.lit(chosen))
 
@@ -103,9 +108,9 @@ def q_nmf_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
 def q_nmf_branch_patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Dominant NMF pattern, its weight and the entropy of each branch's
     pattern mix (H16, K17 on the fitted W)."""
-    _, w, _, _ = _fit(spark, sf_dir, NMF_K)
-    wl = _w_long(w, NMF_K)
-    return nmf.dominant(wl).join(nmf.entropy(wl), "branch")
+    w, _, _ = _fit(spark, sf_dir, NMF_K)
+    w = cut_lineage(w)
+    return nmf.dominant(w).join(nmf.entropy(w), "branch")
 
 
 SHARE_W = """wl AS (SELECT branch, grp AS pattern, rev_share AS weight FROM sh WHERE grp IS NOT NULL)"""
