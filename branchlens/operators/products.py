@@ -11,10 +11,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.exprs import clip, guarded_ratio, log1p_clip0, zero_sum
+from ..session import cut_lineage
 from .margin import DEPARTMENTS
 
 GLOBAL_FEATURES = ["log_Sales", "MarginPct", "log_AvgPrice", "BranchPenetration",
@@ -31,16 +32,36 @@ def _as_product(items: DataFrame, product: str) -> DataFrame:
     return items.withColumnRenamed(product, "Product")
 
 
-def _rollup(items: DataFrame, keys: Sequence[str], product: str, extra=()) -> DataFrame:
-    chan = [F.coalesce(F.sum(F.when(F.col("department") == d, F.col("price"))), F.lit(0.0)).alias(d)
-            for d in DEPARTMENTS]
-    return items.groupBy(*keys).agg(
-        # mode_or_first: most frequent non-null value, smallest on ties
-        F.mode("category", True).alias("Category"),
-        F.mode("division", True).alias("Division"),
-        zero_sum("price").alias("Sales"), zero_sum("cost").alias("Cost"),
-        zero_sum("profit").alias("Profit"), zero_sum("qty").alias("Qty"),
-        *extra, *chan)
+def _base(items: DataFrame) -> DataFrame:
+    """The only pass over the facts: one partial+final aggregate to
+    (branch, Product, category, division) with row counts, sums and channel
+    sums, written to the shared checkpoint folder. Every product-level number
+    (sums, distinct branches, modes, the branch count) is derived from it, so
+    the facts are read once; its size is bounded by catalog x branches, not by
+    the number of sales lines."""
+    chan = [F.sum(F.when(F.col("department") == d, F.col("price"))).alias(d) for d in DEPARTMENTS]
+    return cut_lineage(items.groupBy("branch", "Product", "category", "division").agg(
+        F.count(F.lit(1)).alias("_n"), F.sum("price").alias("Sales"), F.sum("cost").alias("Cost"),
+        F.sum("profit").alias("Profit"), F.sum("qty").alias("Qty"), *chan))
+
+
+def _mode(base: DataFrame, keys: Sequence[str], col: str, alias: str) -> DataFrame:
+    """mode_or_first: most frequent non-null value per key (row counts from
+    the base aggregate), smallest value on ties (G5). The window runs over a
+    key's distinct values only."""
+    c = (base.filter(F.col(col).isNotNull()).groupBy(*keys, col).agg(F.sum("_n").alias("_c")))
+    w = Window.partitionBy(*keys).orderBy(F.desc("_c"), col)
+    return c.withColumn("_r", F.row_number().over(w)).filter("_r = 1").select(*keys, F.col(col).alias(alias))
+
+
+def _rollup(base: DataFrame, keys: Sequence[str], extra=()) -> DataFrame:
+    sums = [zero_sum(c).alias(c) for c in ("Sales", "Cost", "Profit", "Qty")]
+    chan = [F.coalesce(F.sum(F.col(f"`{d}`")), F.lit(0.0)).alias(d) for d in DEPARTMENTS]
+    t = base.groupBy(*keys).agg(*sums, *extra, *chan)
+    t = (t.join(_mode(base, keys, "category", "Category"), list(keys), "left")
+         .join(_mode(base, keys, "division", "Division"), list(keys), "left"))
+    return t.select(*keys, "Category", "Division", *[c for c in t.columns
+                                                     if c not in (*keys, "Category", "Division")])
 
 
 def _ratios(df: DataFrame) -> DataFrame:
@@ -57,9 +78,9 @@ def product_table(items: DataFrame, product: str = "product") -> DataFrame:
 
     ``BranchPenetration`` = distinct branches of the product / distinct
     branches overall; the denominator is a scalar subquery (no cross join)."""
-    it = _as_product(items, product)
-    n_branches = it.select(F.count_distinct("branch")).scalar()
-    t = _rollup(it, ["Product"], product, extra=[F.count_distinct("branch").alias("Branches")])
+    base = _base(_as_product(items, product))
+    n_branches = base.select(F.count_distinct("branch")).scalar()
+    t = _rollup(base, ["Product"], extra=[F.count_distinct("branch").alias("Branches")])
     t = _ratios(t).withColumn("BranchPenetration", F.col("Branches") / n_branches)
     return (t.withColumn("log_Sales", log1p_clip0("Sales"))
             .withColumn("log_AvgPrice", log1p_clip0("AvgPrice")))
@@ -67,8 +88,8 @@ def product_table(items: DataFrame, product: str = "product") -> DataFrame:
 
 def branch_product_table(items: DataFrame, product: str = "product") -> DataFrame:
     """One row per (branch, product) with in-branch shares."""
-    it = _as_product(items, product)
-    t = _ratios(_rollup(it, ["branch", "Product"], product))
+    base = _base(_as_product(items, product))
+    t = _ratios(_rollup(base, ["branch", "Product"]))
     totals = t.groupBy("branch").agg(
         F.sum("Sales").alias("BranchSales"),
         F.sum(F.greatest(F.col("Profit"), F.lit(0.0))).alias("BranchPositiveProfit"))

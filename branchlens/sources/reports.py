@@ -19,6 +19,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
+
 # Report noise rows and level names.
 PAGE_NOISE = ("22-Jan-26", "Product Desc")
 LEVELS = ("Branch", "Department", "Category", "Division")
@@ -60,8 +62,9 @@ def write_item_report(items: DataFrame) -> DataFrame:
     ``Total By`` closings at every level, footer. Returns
     (file, line_no, desc, qty, price, cost, profit) with numeric cells as text."""
     keys = ["branch", "year", "month", "department", "category", "division", "product"]
-    p = items.groupBy(*keys).agg(F.sum("qty").alias("qty"), F.sum("price").alias("price"),
-                                 F.sum("cost").alias("cost"), F.sum("profit").alias("profit"))
+    # one pass over the facts; every report level is rolled up from it
+    p = cut_lineage(items.groupBy(*keys).agg(F.sum("qty").alias("qty"), F.sum("price").alias("price"),
+                                             F.sum("cost").alias("cost"), F.sum("profit").alias("profit")))
     file = F.concat_ws("/", F.lit("rep14"), "branch", F.col("year").cast("string"),
                        F.lpad(F.col("month").cast("string"), 2, "0"))
     p = p.withColumn("file", file)
@@ -186,9 +189,9 @@ def write_group_report(items: DataFrame) -> DataFrame:
     """Report "191": ``Branch: x`` / ``Division: y`` / ``Group: z`` openings,
     item rows (Description, Qty, Total Amount), ``Total by <level>: name``
     closings; one file per (branch, year)."""
-    p = (items.groupBy("branch", "year", "division", "grp", "product")
-         .agg(F.sum("qty").alias("qty"), F.sum("price").alias("amount"))
-         .withColumn("file", F.concat_ws("/", F.lit("rep191"), "branch", F.col("year").cast("string"))))
+    p = cut_lineage(items.groupBy("branch", "year", "division", "grp", "product")
+                    .agg(F.sum("qty").alias("qty"), F.sum("price").alias("amount"))
+                    .withColumn("file", F.concat_ws("/", F.lit("rep191"), "branch", F.col("year").cast("string"))))
     sums = [F.sum("qty").alias("qty"), F.sum("amount").alias("amount")]
     by_grp = p.groupBy("file", "branch", "division", "grp").agg(*sums)
     by_div = p.groupBy("file", "branch", "division").agg(*sums)
@@ -269,9 +272,9 @@ def write_monthly_report(monthly: DataFrame) -> DataFrame:
     ``monthly``: (branch, year, month, sales). Returns (file, line_no, cells)."""
     p1 = [F.col(f"m{m}") for m in range(1, PAGE_SPLIT + 1)]
     p2 = [F.col(f"m{m}") for m in range(PAGE_SPLIT + 1, 13)]
-    wide = monthly.groupBy("branch", "year").agg(*[
+    wide = cut_lineage(monthly.groupBy("branch", "year").agg(*[
         F.coalesce(F.sum(F.when(F.col("month") == m, F.col("sales"))), F.lit(0.0)).alias(f"m{m}")
-        for m in range(1, 13)])
+        for m in range(1, 13)]))
     wide = wide.withColumn("tot", sum((F.col(f"m{m}") for m in range(1, 13)), F.lit(0.0)))
     tot = wide.groupBy("year").agg(*[F.sum(f"m{m}").alias(f"m{m}") for m in range(1, 13)],
                                    F.sum("tot").alias("tot"))
