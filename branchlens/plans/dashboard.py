@@ -57,10 +57,16 @@ RULE_CTES = branch_product_ctes("family") + [
     """asg0 AS (SELECT bpt.*, cats.Cluster FROM bpt JOIN cats ON bpt.Category = cats.Category)""",
     """prof0 AS (SELECT branch, Cluster, COUNT(Product) AS n_products, SUM(Sales) AS total_sales,
         SUM(Profit) AS total_profit, MEDIAN(Sales) AS median_sales, MEDIAN(Profit) AS median_profit,
-        MEDIAN(MarginPct) AS median_margin_pct FROM asg0 GROUP BY branch, Cluster)""",
+        MEDIAN(MarginPct) AS median_margin_pct, AVG(TakeAwayShare) AS avg_takeaway_share,
+        AVG(TableShare) AS avg_table_share, AVG(TotersShare) AS avg_toters_share
+        FROM asg0 GROUP BY branch, Cluster)""",
     f"""prof1 AS (SELECT *, 0.5 * ({_z("median_sales")}) + 0.35 * ({_z("median_profit")})
         + 0.15 * ({_z("median_margin_pct")}) AS SuccessScore,
-        total_sales / SUM(total_sales) OVER (PARTITION BY branch) AS sales_share FROM prof0)""",
+        CASE WHEN SUM(total_sales) OVER (PARTITION BY branch) > 0
+             THEN total_sales / SUM(total_sales) OVER (PARTITION BY branch) ELSE 0 END AS sales_share,
+        CASE WHEN SUM(total_profit) OVER (PARTITION BY branch) <> 0
+             THEN total_profit / SUM(total_profit) OVER (PARTITION BY branch) ELSE 0 END AS profit_share
+        FROM prof0)""",
     """prof2 AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY branch ORDER BY SuccessScore DESC NULLS LAST, Cluster)
         AS SuccessRank, COUNT(*) OVER (PARTITION BY branch) AS n_tiers FROM prof1)""",
     f"""prof AS (SELECT *, 'Tier ' || CAST(SuccessRank AS VARCHAR) || ': ' || {_tier_sql("t", "SuccessRank", "n_tiers")}
@@ -206,3 +212,255 @@ def q_channel_leaders(spark: SparkSession, sf_dir: str) -> DataFrame:
                                       r6(F.max(c)).alias("share"))
         out = one if out is None else out.unionByName(one)
     return out
+
+
+# ------------------------------------------------------------ more views
+HIST_BINS = 45
+ALL_BRANCHES_LABEL = "All Branches (Combined)"
+# Tier colours of the dashboard (substring rules, first match wins).
+TIER_COLOURS = (("most successful", "#0F8A78"), ("least successful", "#B84A2A"), ("strong", "#D8973C"))
+TIER_COLOUR_DEFAULT = "#5A6F57"
+
+
+@register("q_kpis", with_items(f"""
+SELECT a.branch, ROUND(SUM(Sales), 4) AS total_sales, ROUND(SUM(Profit), 4) AS total_profit,
+       COUNT(*) AS n_products, MIN(t.SuccessTier) AS top_tier, {R6("MIN(t.sales_share)")} AS top_tier_share
+FROM asg a JOIN (SELECT branch, SuccessTier, sales_share FROM prof WHERE SuccessRank = 1) t ON a.branch = t.branch
+GROUP BY a.branch""", *RULE_CTES))
+def q_kpis(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """KPI cards per branch: sales, profit, product count, top tier and its
+    sales share (M2, G18)."""
+    a, prof = rule_tiers(spark, sf_dir)
+    top = prof.filter(F.col("SuccessRank") == 1).select("branch", F.col("SuccessTier").alias("top_tier"),
+                                                        F.col("sales_share").alias("top_tier_share"))
+    s = a.groupBy("branch").agg(rm(F.sum("Sales")).alias("total_sales"), rm(F.sum("Profit")).alias("total_profit"),
+                                F.count(F.lit(1)).alias("n_products"))
+    return s.join(top, "branch").select("branch", "total_sales", "total_profit", "n_products", "top_tier",
+                                        r6("top_tier_share").alias("top_tier_share"))
+
+
+@register("q_insights", with_items(f"""
+, ch AS (SELECT branch, AVG(TakeAwayShare) AS ta, AVG(TableShare) AS tb, AVG(TotersShare) AS tt,
+                SUM(Sales) AS s, SUM(Profit) AS p, COUNT(*) FILTER (WHERE Profit < 0) AS n_loss FROM asg GROUP BY branch)
+, best AS (SELECT branch, SuccessTier AS best_tier, sales_share AS best_share FROM prof WHERE SuccessRank = 1)
+, worst AS (SELECT branch, SuccessTier AS worst_tier, sales_share AS worst_share FROM prof
+            WHERE SuccessRank = n_tiers)
+, top AS (SELECT branch, Product AS best_seller, Sales AS best_seller_sales FROM (
+          SELECT *, ROW_NUMBER() OVER (PARTITION BY branch ORDER BY Sales DESC, Product) AS rn FROM asg) WHERE rn = 1)
+, low AS (SELECT branch, Product AS lowest_seller, Sales AS lowest_seller_sales FROM (
+          SELECT *, ROW_NUMBER() OVER (PARTITION BY branch ORDER BY Sales, Product) AS rn FROM asg) WHERE rn = 1)
+, lm AS (SELECT branch, Product AS lowest_margin_product, MarginPct AS lowest_margin FROM (
+          SELECT *, ROW_NUMBER() OVER (PARTITION BY branch ORDER BY MarginPct NULLS LAST, Product) AS rn FROM asg)
+         WHERE rn = 1)
+SELECT ch.branch, best_tier, {R6("best_share")} AS best_share, worst_tier, {R6("worst_share")} AS worst_share,
+       CASE WHEN ta >= greatest(ta, tb, tt) THEN 'Take Away' WHEN tb >= greatest(ta, tb, tt) THEN 'Table'
+            ELSE 'Toters' END AS dominant_channel, {R6("greatest(ta, tb, tt)")} AS dominant_channel_share,
+       best_seller, ROUND(best_seller_sales, 4) AS best_seller_sales, lowest_seller,
+       ROUND(lowest_seller_sales, 4) AS lowest_seller_sales,
+       {R6("CASE WHEN s > 0 THEN p / s ELSE 0 END")} AS overall_margin, n_loss,
+       lowest_margin_product, {R6("lowest_margin")} AS lowest_margin
+FROM ch JOIN best ON ch.branch = best.branch JOIN worst ON ch.branch = worst.branch
+JOIN top ON ch.branch = top.branch JOIN low ON ch.branch = low.branch JOIN lm ON ch.branch = lm.branch""",
+                                     *RULE_CTES))
+def q_insights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Insight facts per branch: best/worst tier and their sales share,
+    dominant channel (first of Take Away, Table, Toters on ties), best and
+    lowest seller, overall margin, loss makers, lowest-margin product (M3,
+    G18, G20, I7)."""
+    a, prof = rule_tiers(spark, sf_dir)
+    n_t = prof.groupBy("branch").agg(F.max("SuccessRank").alias("_nt"))
+    best = prof.filter(F.col("SuccessRank") == 1).select("branch", F.col("SuccessTier").alias("best_tier"),
+                                                         F.col("sales_share").alias("best_share"))
+    worst = (prof.join(n_t, "branch").filter(F.col("SuccessRank") == F.col("_nt"))
+             .select("branch", F.col("SuccessTier").alias("worst_tier"), F.col("sales_share").alias("worst_share")))
+    ta, tb, tt = F.col("ta"), F.col("tb"), F.col("tt")
+    top3 = F.greatest(ta, tb, tt)
+    ch = a.groupBy("branch").agg(
+        F.avg("TakeAwayShare").alias("ta"), F.avg("TableShare").alias("tb"), F.avg("TotersShare").alias("tt"),
+        F.sum("Sales").alias("s"), F.sum("Profit").alias("p"), F.count_if(F.col("Profit") < 0).alias("n_loss"),
+        F.min_by(F.struct("Product", "Sales"), F.struct(-F.col("Sales"), F.col("Product"))).alias("top"),
+        F.min_by(F.struct("Product", "Sales"), F.struct(F.col("Sales"), F.col("Product"))).alias("low"),
+        F.min_by(F.struct("Product", "MarginPct"),
+                 F.struct(F.col("MarginPct").isNull(), F.col("MarginPct"), F.col("Product"))).alias("lm"))
+    ch = ch.select(
+        "branch",
+        F.when(ta >= top3, "Take Away").when(tb >= top3, "Table").otherwise("Toters").alias("dominant_channel"),
+        r6(top3).alias("dominant_channel_share"),
+        F.col("top.Product").alias("best_seller"), rm("top.Sales").alias("best_seller_sales"),
+        F.col("low.Product").alias("lowest_seller"), rm("low.Sales").alias("lowest_seller_sales"),
+        r6(F.when(F.col("s") > 0, F.col("p") / F.col("s")).otherwise(0.0)).alias("overall_margin"), "n_loss",
+        F.col("lm.Product").alias("lowest_margin_product"), r6("lm.MarginPct").alias("lowest_margin"))
+    return (ch.join(best, "branch").join(worst, "branch")
+            .select("branch", "best_tier", r6("best_share").alias("best_share"), "worst_tier",
+                    r6("worst_share").alias("worst_share"), "dominant_channel", "dominant_channel_share",
+                    "best_seller", "best_seller_sales", "lowest_seller", "lowest_seller_sales", "overall_margin",
+                    "n_loss", "lowest_margin_product", "lowest_margin"))
+
+
+@register("q_branch_margin_extremes", with_items(f"""
+, b AS (SELECT branch, SUM(Sales) AS s, SUM(Profit) AS p FROM asg GROUP BY branch HAVING SUM(Sales) > 0)
+SELECT (SELECT COUNT(*) FROM (SELECT DISTINCT branch FROM asg)) AS n_branches,
+       (SELECT branch FROM b ORDER BY p / s DESC, branch LIMIT 1) AS best_branch,
+       {R6("(SELECT MAX(p / s) FROM b)")} AS best_margin,
+       (SELECT branch FROM b ORDER BY p / s, branch LIMIT 1) AS worst_branch,
+       {R6("(SELECT MIN(p / s) FROM b)")} AS worst_margin""", *RULE_CTES))
+def q_branch_margin_extremes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Combined view: branch count, best and worst branch by margin among
+    branches with sales (G19, M3)."""
+    a, _ = rule_tiers(spark, sf_dir)
+    b = (a.groupBy("branch").agg(F.sum("Sales").alias("s"), F.sum("Profit").alias("p"))
+         .filter(F.col("s") > 0).withColumn("m", F.col("p") / F.col("s")))
+    return b.agg(F.count(F.lit(1)).alias("n_branches"),
+                 F.min_by("branch", F.struct(-F.col("m"), F.col("branch"))).alias("best_branch"),
+                 r6(F.max("m")).alias("best_margin"),
+                 F.min_by("branch", F.struct(F.col("m"), F.col("branch"))).alias("worst_branch"),
+                 r6(F.min("m")).alias("worst_margin"))
+
+
+@register("q_margin_hist", with_items(f"""
+, r AS (SELECT branch, MIN(MarginPct) AS lo, MAX(MarginPct) AS hi FROM asg GROUP BY branch)
+, b AS (SELECT a.branch, CASE WHEN r.hi = r.lo THEN 0
+               ELSE LEAST(CAST(FLOOR((MarginPct - r.lo) / (r.hi - r.lo) * {HIST_BINS}) AS INTEGER), {HIST_BINS - 1}) END
+               AS bin, r.lo, r.hi
+        FROM asg a JOIN r ON a.branch = r.branch WHERE MarginPct IS NOT NULL)
+SELECT branch, bin, {R6(f"lo + bin * (hi - lo) / {HIST_BINS}")} AS bin_start, COUNT(*) AS n_products
+FROM b GROUP BY branch, bin, lo, hi""", *RULE_CTES))
+def q_margin_hist(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """45 equal-width MarginPct bins between the branch's min and max."""
+    a, _ = rule_tiers(spark, sf_dir)
+    a = a.filter(F.col("MarginPct").isNotNull())
+    r = a.groupBy("branch").agg(F.min("MarginPct").alias("lo"), F.max("MarginPct").alias("hi"))
+    width = F.col("hi") - F.col("lo")
+    bin_ = F.when(width == 0, F.lit(0)).otherwise(
+        F.least(F.floor((F.col("MarginPct") - F.col("lo")) / width * HIST_BINS).cast("int"), F.lit(HIST_BINS - 1)))
+    b = a.join(r, "branch").withColumn("bin", bin_)
+    return (b.groupBy("branch", "bin", "lo", "hi").agg(F.count(F.lit(1)).alias("n_products"))
+            .select("branch", "bin", r6(F.col("lo") + F.col("bin") * width / HIST_BINS).alias("bin_start"),
+                    "n_products"))
+
+
+@register("q_margin_box", with_items(f"""
+, q AS (SELECT branch, SuccessTier, MIN(SuccessRank) AS rk, COUNT(MarginPct) AS n,
+               QUANTILE_CONT(MarginPct, 0.25) AS q1, MEDIAN(MarginPct) AS med, QUANTILE_CONT(MarginPct, 0.75) AS q3
+        FROM asg GROUP BY branch, SuccessTier)
+, j AS (SELECT a.MarginPct, q.* FROM asg a JOIN q ON a.branch = q.branch AND a.SuccessTier = q.SuccessTier
+        WHERE a.MarginPct IS NOT NULL)
+SELECT branch, SuccessTier, n, {R6("q1")} AS q1, {R6("med")} AS median, {R6("q3")} AS q3,
+       {R6("MIN(MarginPct) FILTER (WHERE MarginPct >= q1 - 1.5 * (q3 - q1))")} AS whisker_low,
+       {R6("MAX(MarginPct) FILTER (WHERE MarginPct <= q3 + 1.5 * (q3 - q1))")} AS whisker_high,
+       COUNT(*) FILTER (WHERE MarginPct < q1 - 1.5 * (q3 - q1) OR MarginPct > q3 + 1.5 * (q3 - q1)) AS n_outliers
+FROM j GROUP BY branch, SuccessTier, n, q1, med, q3""", *RULE_CTES))
+def q_margin_box(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Box statistics of MarginPct per tier: quartiles, 1.5 IQR whiskers,
+    suspected outliers (G23, M10)."""
+    a, _ = rule_tiers(spark, sf_dir)
+    q = a.groupBy("branch", "SuccessTier").agg(
+        F.count("MarginPct").alias("n"), F.percentile("MarginPct", 0.25).alias("q1"),
+        F.median("MarginPct").alias("med"), F.percentile("MarginPct", 0.75).alias("q3"))
+    j = a.filter(F.col("MarginPct").isNotNull()).join(q, ["branch", "SuccessTier"])
+    iqr = F.col("q3") - F.col("q1")
+    lo, hi = F.col("q1") - 1.5 * iqr, F.col("q3") + 1.5 * iqr
+    m = F.col("MarginPct")
+    return (j.groupBy("branch", "SuccessTier", "n", "q1", "med", "q3")
+            .agg(F.min(F.when(m >= lo, m)).alias("wl"), F.max(F.when(m <= hi, m)).alias("wh"),
+                 F.count_if((m < lo) | (m > hi)).alias("n_outliers"))
+            .select("branch", "SuccessTier", "n", r6("q1").alias("q1"), r6("med").alias("median"),
+                    r6("q3").alias("q3"), r6("wl").alias("whisker_low"), r6("wh").alias("whisker_high"),
+                    "n_outliers"))
+
+
+def tier_axis_label(c):
+    """``Tier <n>`` / ``C<n>`` / first three words."""
+    t = F.trim(c)
+    tier = F.regexp_extract(t, r"(?i)^Tier\s*(\d+)", 1)
+    clus = F.regexp_extract(t, r"(?i)^(C\d+)", 1)
+    words = F.split(t, r"\s+")
+    return (F.when(tier != "", F.concat(F.lit("Tier "), tier)).when(clus != "", F.upper(clus))
+            .when(F.size(words) <= 3, t).otherwise(F.array_join(F.slice(words, 1, 3), " ")))
+
+
+def tier_colour(c):
+    """Ordered substring rules on the lower-cased tier name."""
+    low = F.lower(c)
+    out = None
+    for key, colour in TIER_COLOURS:
+        out = F.when(low.contains(key), F.lit(colour)) if out is None else out.when(low.contains(key), F.lit(colour))
+    return out.otherwise(F.lit(TIER_COLOUR_DEFAULT))
+
+
+def _tier_axis_sql(c: str) -> str:
+    return (f"CASE WHEN regexp_matches({c}, '^Tier\\s*\\d+', 'i') THEN 'Tier ' || regexp_extract({c}, '^Tier\\s*(\\d+)', 1, 'i') "
+            f"WHEN regexp_matches({c}, '^C\\d+', 'i') THEN upper(regexp_extract({c}, '^(C\\d+)', 1, 'i')) "
+            f"WHEN len(regexp_split_to_array(trim({c}), '\\s+')) <= 3 THEN trim({c}) "
+            f"ELSE array_to_string(regexp_split_to_array(trim({c}), '\\s+')[1:3], ' ') END")
+
+
+def _tier_colour_sql(c: str) -> str:
+    parts = " ".join(f"WHEN contains(lower({c}), '{k}') THEN '{v}'" for k, v in TIER_COLOURS)
+    return f"CASE {parts} ELSE '{TIER_COLOUR_DEFAULT}' END"
+
+
+@register("q_cluster_mix", with_items(f"""
+SELECT branch, SuccessRank, SuccessTier, {_tier_axis_sql("SuccessTier")} AS TierAxis,
+       {_tier_colour_sql("SuccessTier")} AS TierColor, n_products, {R6("sales_share")} AS sales_share,
+       {R6("profit_share")} AS profit_share FROM prof""", *RULE_CTES))
+def q_cluster_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tier mix per branch: axis label, colour, products, sales and profit
+    share in rank order (M5, M15, K12, K13)."""
+    _, prof = rule_tiers(spark, sf_dir)
+    return prof.select("branch", F.col("SuccessRank").cast("bigint").alias("SuccessRank"), "SuccessTier",
+                       tier_axis_label(F.col("SuccessTier")).alias("TierAxis"),
+                       tier_colour(F.col("SuccessTier")).alias("TierColor"), "n_products",
+                       r6("sales_share").alias("sales_share"), r6("profit_share").alias("profit_share"))
+
+
+@register("q_channel_matrix", with_items(f"""
+SELECT branch, SuccessTier, channel, {R6("share")} AS share FROM (
+  SELECT branch, SuccessTier, 'Take Away' AS channel, avg_takeaway_share AS share FROM prof UNION ALL
+  SELECT branch, SuccessTier, 'Table', avg_table_share FROM prof UNION ALL
+  SELECT branch, SuccessTier, 'Toters', avg_toters_share FROM prof)""", *RULE_CTES))
+def q_channel_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tier x channel matrix of mean channel shares, long."""
+    _, prof = rule_tiers(spark, sf_dir)
+    cols = [("avg_takeaway_share", "Take Away"), ("avg_table_share", "Table"), ("avg_toters_share", "Toters")]
+    st = F.array(*[F.struct(F.lit(lbl).alias("channel"), F.col(c).alias("share")) for c, lbl in cols])
+    return (prof.select("branch", "SuccessTier", F.explode(st).alias("s"))
+            .select("branch", "SuccessTier", "s.channel", r6("s.share").alias("share")))
+
+
+@register("q_performance_map", with_items(f"""
+SELECT branch, Product, SuccessTier, {_tier_colour_sql("SuccessTier")} AS TierColor, ROUND(Sales, 4) AS Sales,
+       ROUND(Profit, 4) AS Profit, ROUND(Qty, 4) AS Qty, {R6("MarginPct")} AS MarginPct,
+       {R6("GREATEST(Sales, 1)")} AS SalesForPlot,
+       ROW_NUMBER() OVER (PARTITION BY branch ORDER BY Qty DESC, Product) AS draw_order FROM asg""", *RULE_CTES))
+def q_performance_map(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scatter rows per branch: sales, profit, quantity, margin, tier colour,
+    sales clipped at 1 for a log axis, drawing order by quantity (M4, M11, K8)."""
+    a, _ = rule_tiers(spark, sf_dir)
+    w = Window.partitionBy("branch").orderBy(F.desc("Qty"), "Product")
+    return a.select("branch", "Product", "SuccessTier", tier_colour(F.col("SuccessTier")).alias("TierColor"),
+                    rm("Sales").alias("Sales"), rm("Profit").alias("Profit"), rm("Qty").alias("Qty"),
+                    r6("MarginPct").alias("MarginPct"), r6(F.greatest(F.col("Sales"), F.lit(1.0))).alias("SalesForPlot"),
+                    F.row_number().over(w).alias("draw_order"))
+
+
+@register("q_combined_view", with_items(f"""
+, g AS (SELECT Cluster, SUM(total_sales) AS s FROM prof GROUP BY Cluster)
+, gs AS (SELECT Cluster, s / (SELECT SUM(s) FROM g) AS sales_share FROM g)
+SELECT branch, Cluster, SuccessRank, {R6("sales_share")} AS sales_share FROM prof
+UNION ALL
+SELECT '{ALL_BRANCHES_LABEL}', Cluster, DENSE_RANK() OVER (ORDER BY ROUND(sales_share, 12) DESC),
+       {R6("sales_share")} FROM gs""", *RULE_CTES))
+def q_combined_view(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per-branch tiers plus the combined pseudo-branch whose rank is the
+    dense rank of its global sales share (M18, H1, I12, C6)."""
+    _, prof = rule_tiers(spark, sf_dir)
+    g = prof.groupBy("Cluster").agg(F.sum("total_sales").alias("s"))
+    tot = g.select(F.sum("s")).scalar()
+    gs = g.select("Cluster", (F.col("s") / tot).alias("sales_share"))
+    gs = gs.select(F.lit(ALL_BRANCHES_LABEL).alias("branch"), "Cluster",
+                   F.dense_rank().over(Window.orderBy(F.desc(F.round("sales_share", 12)))).cast("bigint")
+                   .alias("SuccessRank"), r6("sales_share").alias("sales_share"))
+    per = prof.select("branch", "Cluster", F.col("SuccessRank").cast("bigint").alias("SuccessRank"),
+                      r6("sales_share").alias("sales_share"))
+    return per.unionByName(gs)
