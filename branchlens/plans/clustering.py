@@ -12,7 +12,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators import kmeans as km
@@ -22,7 +22,11 @@ from ..operators.products import (BRANCH_FEATURES, GLOBAL_FEATURES, branch_produ
                                   with_global_shares)
 from ..session import cut_lineage
 from ..sources.tables import BASE_YEAR, items
+from ..functions.exprs import r6
 from .registry import register
+from .sqlparts import R6, branch_product_ctes, product_table_ctes
+from .timeseries import monthly_ctes as _monthly_ctes
+from ..sources.tables import with_items
 
 ALL_BRANCHES_LABEL = "All Branches (Combined)"
 K_VALUES = tuple(range(3, 9))
@@ -162,14 +166,6 @@ def _opening(spark: SparkSession, sf_dir: str):
     return monthly, feats, clusters
 
 
-@register("q_opening_features", None)
-def q_opening_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Months before opening, mean / population std / growth of the first three
-    active months per product (H8, H9)."""
-    monthly = ts.monthly_sales(items(spark, sf_dir), "product", BASE_YEAR)
-    return ts.opening_features(monthly, "product")
-
-
 @register("q_opening_clusters")
 def q_opening_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """KMeans(3) on standardised opening features; feature means per cluster
@@ -188,3 +184,103 @@ def q_opening_trajectory(spark: SparkSession, sf_dir: str) -> DataFrame:
     tr = ts.opening_trajectory(monthly, "product").join(clusters, "product")
     return tr.groupBy("cluster", "pos").agg(F.avg("relative_sales").alias("relative_sales"),
                                             F.count(F.lit(1)).alias("n"))
+
+
+# ------------------------------------------------- SQL-checkable building blocks
+def _feature_sql(src: str, feats: list[str], group: str, key: str, q: float) -> str:
+    """Oracle for ``kmeans.feature_matrix``: median impute, quantile clip,
+    population standardisation per group."""
+    med = ", ".join(f"MEDIAN(f{i}) AS med{i}" for i in range(len(feats)))
+    raw = ", ".join(f'CASE WHEN isinf("{f}") OR isnan("{f}") THEN NULL ELSE "{f}" END AS f{i}'
+                    for i, f in enumerate(feats))
+    filled = ", ".join(f"COALESCE(f{i}, med{i}, 0) AS f{i}" for i in range(len(feats)))
+    qs = ", ".join(f"QUANTILE_CONT(f{i}, {q}) AS lo{i}, QUANTILE_CONT(f{i}, {1 - q}) AS hi{i}"
+                   for i in range(len(feats)))
+    clipped = ", ".join(f"LEAST(GREATEST(f{i}, lo{i}), hi{i}) AS f{i}" for i in range(len(feats)))
+    mom = ", ".join(f"AVG(f{i}) AS mu{i}, STDDEV_POP(f{i}) AS sd{i}" for i in range(len(feats)))
+    z = ", ".join(R6(f"(f{i} - mu{i}) / CASE WHEN sd{i} > 1e-12 THEN sd{i} ELSE 1 END") + f" AS z{i}"
+                  for i in range(len(feats)))
+    return f"""
+, r0 AS (SELECT {group} AS grp_key, {key} AS Product, {raw} FROM {src})
+, m0 AS (SELECT grp_key, {med} FROM r0 GROUP BY grp_key)
+, r1 AS (SELECT r0.grp_key, Product, {filled} FROM r0 JOIN m0 ON r0.grp_key = m0.grp_key)
+, q0 AS (SELECT grp_key, {qs} FROM r1 GROUP BY grp_key)
+, r2 AS (SELECT r1.grp_key, Product, {clipped} FROM r1 JOIN q0 ON r1.grp_key = q0.grp_key)
+, s0 AS (SELECT grp_key, {mom} FROM r2 GROUP BY grp_key)
+SELECT r2.grp_key AS branch, Product, {z} FROM r2 JOIN s0 ON r2.grp_key = s0.grp_key"""
+
+
+def _fm_out(pts: DataFrame, p: int) -> DataFrame:
+    return pts.select("branch", "Product", *[r6(F.col("x")[i]).alias(f"z{i}") for i in range(p)])
+
+
+@register("q_feature_matrix", with_items(
+    _feature_sql("pt", GLOBAL_FEATURES, f"'{ALL_BRANCHES_LABEL}'", "Product", CLIP_QUANTILE),
+    *product_table_ctes("family")))
+def q_feature_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Global clustering features: inf -> missing, median impute, 1 % / 99 %
+    winsorising, population z-scores (L1, D18f, K7, K8)."""
+    pt = product_table(items(spark, sf_dir), product=PRODUCT_GRAIN).withColumn("branch", F.lit(ALL_BRANCHES_LABEL))
+    return _fm_out(km.feature_matrix(pt, ["branch"], "Product", GLOBAL_FEATURES, CLIP_QUANTILE), len(GLOBAL_FEATURES))
+
+
+@register("q_feature_matrix_by_branch", with_items(
+    _feature_sql("bpt", BRANCH_FEATURES, "branch", "Product", CLIP_QUANTILE), *branch_product_ctes("family")))
+def q_feature_matrix_by_branch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per-branch clustering features, statistics per branch (L1, L2)."""
+    bt = branch_product_table(items(spark, sf_dir), product=PRODUCT_GRAIN)
+    return _fm_out(km.feature_matrix(bt, ["branch"], "Product", BRANCH_FEATURES, CLIP_QUANTILE),
+                   len(BRANCH_FEATURES))
+
+
+@register("q_silhouette_rule", with_items(
+    _feature_sql("bpt", BRANCH_FEATURES, "branch", "Product", CLIP_QUANTILE).replace(
+        "SELECT r2.grp_key AS branch, Product,", ", zz AS (SELECT r2.grp_key AS branch, Product,") + f""")
+, lab AS (SELECT zz.*, DENSE_RANK() OVER (ORDER BY split_part(zz.Product, ' ', 2)) - 1 AS cl FROM zz)
+, d AS (SELECT a.branch, a.Product, a.cl, b.cl AS cl2,
+               {" + ".join(f"(a.z{i} - b.z{i}) * (a.z{i} - b.z{i})" for i in range(len(BRANCH_FEATURES)))} AS d2
+        FROM lab a JOIN lab b ON a.branch = b.branch AND a.Product <> b.Product)
+, pc AS (SELECT branch, Product, cl, cl2, AVG(d2) AS md FROM d GROUP BY ALL)
+, nc AS (SELECT branch, cl, COUNT(*) AS n FROM lab GROUP BY ALL)
+, s AS (SELECT p.branch, p.Product,
+               MAX(CASE WHEN p.cl = p.cl2 THEN p.md END) AS a, MIN(CASE WHEN p.cl <> p.cl2 THEN p.md END) AS b
+        FROM pc p GROUP BY ALL)
+, si AS (SELECT s.branch, CASE WHEN s.a IS NULL THEN 0 ELSE (s.b - s.a) / GREATEST(s.a, s.b) END AS v FROM s)
+SELECT branch, {R6("AVG(v)", 9)} AS silhouette FROM si GROUP BY branch""", *branch_product_ctes("family")))
+def q_silhouette_rule(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mean silhouette (squared Euclidean) per branch of the per-branch
+    feature matrix labelled by product type; the oracle is the brute-force
+    all-pairs SQL, the Spark side the O(n k) cluster-sum form (L6)."""
+    bt = branch_product_table(items(spark, sf_dir), product=PRODUCT_GRAIN)
+    pts = km.feature_matrix(bt, ["branch"], "Product", BRANCH_FEATURES, CLIP_QUANTILE)
+    pts = pts.withColumn("x", F.transform("x", lambda v: F.round(v * F.lit(1.0 + 1e-12), 6)))
+    types = pts.select(F.split("Product", " ")[1].alias("t")).distinct().withColumn(
+        "cluster", (F.dense_rank().over(Window.orderBy("t")) - 1).cast("int"))       # bounded: type domain
+    lab = pts.withColumn("t", F.split("Product", " ")[1]).join(types, "t").withColumn("k", F.lit(0))
+    return km.silhouette(lab, ["branch"]).select("branch", r6("silhouette", 9).alias("silhouette"))
+
+
+@register("q_opening_features", with_items(f"""
+, om AS (SELECT product, MIN(month) AS open_month FROM monthly WHERE month <= 12 AND sales <> 0 GROUP BY product)
+, f3 AS (SELECT m.product, om.open_month, COUNT(*) AS n3, COUNT(*) FILTER (WHERE sales = 0) AS z3,
+                AVG(sales) AS a, STDDEV_POP(sales) AS v, arg_max(sales, month) - arg_min(sales, month) AS g
+         FROM monthly m JOIN om ON m.product = om.product
+         WHERE m.month <= 12 AND m.month BETWEEN om.open_month AND om.open_month + 2 GROUP BY ALL)
+SELECT product, open_month - 1 AS initial_zeros, {R6("a", 4)} AS avg_first3, {R6("v", 4)} AS vol_first3,
+       {R6("g", 4)} AS growth_first3 FROM f3 WHERE n3 = 3 AND z3 = 0""", *_monthly_ctes("product")))
+def q_opening_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Months before opening, mean / population std / growth of the first three
+    active months per product (H8, H9)."""
+    monthly = ts.monthly_sales(items(spark, sf_dir), "product", BASE_YEAR)
+    f = ts.opening_features(monthly, "product")
+    return f.select("product", F.col("initial_zeros").cast("int").alias("initial_zeros"),
+                    r6("avg_first3", 4).alias("avg_first3"), r6("vol_first3", 4).alias("vol_first3"),
+                    r6("growth_first3", 4).alias("growth_first3"))
+
+
+@register("q_selected_k")
+def q_selected_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Selected-k row per branch, falling back to the best silhouette (I8, M7)."""
+    s = branch_run(spark, sf_dir).k_scores
+    w = Window.partitionBy("branch").orderBy(F.desc("selected"), F.desc_nulls_last("silhouette"), "k")
+    return s.withColumn("_r", F.row_number().over(w)).filter("_r = 1").drop("_r")
