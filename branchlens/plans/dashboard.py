@@ -464,3 +464,49 @@ def q_combined_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     per = prof.select("branch", "Cluster", F.col("SuccessRank").cast("bigint").alias("SuccessRank"),
                       r6("sales_share").alias("sales_share"))
     return per.unionByName(gs)
+
+
+def _fmt_table(df: DataFrame, name: str) -> DataFrame:
+    """Display formatting: thousands separators without decimals, percent
+    with one decimal (K14)."""
+    return df.select(F.lit(name).alias("table"), "branch", "rank", "Product", "SuccessTier", "Cluster",
+                     F.format_number("Sales", 0).alias("Sales"), F.format_number("Profit", 0).alias("Profit"),
+                     F.format_string("%.1f%%", F.col("MarginPct") * 100).alias("MarginPct"),
+                     F.format_number("Qty", 0).alias("Qty"))
+
+
+def _fmt_sql(name: str, src: str) -> str:
+    return (f"SELECT '{name}' AS \"table\", branch, rank, Product, SuccessTier, Cluster, "
+            f"format('{{:,.0f}}', Sales) AS Sales, format('{{:,.0f}}', Profit) AS Profit, "
+            f"printf('%.1f%%', MarginPct * 100) AS MarginPct, format('{{:,.0f}}', Qty) AS Qty FROM {src}")
+
+
+@register("q_tier_tables", with_items(f"""
+, worst AS (SELECT branch, MAX(SuccessRank) AS wr FROM asg GROUP BY branch)
+, t1 AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY branch ORDER BY Sales DESC, Product) AS rank FROM asg
+         WHERE SuccessRank = 1)
+, t2 AS (SELECT a.*, ROW_NUMBER() OVER (PARTITION BY a.branch ORDER BY Sales, Profit, Product) AS rank
+         FROM asg a JOIN worst w ON a.branch = w.branch WHERE a.SuccessRank = w.wr)
+, t3 AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY branch ORDER BY Sales DESC, Product) AS rank FROM asg)
+, t4 AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY branch ORDER BY Sales, Product) AS rank FROM asg)
+{_fmt_sql("top_tier", "t1 WHERE rank <= 10")} UNION ALL
+{_fmt_sql("least_success", "t2 WHERE rank <= 10")} UNION ALL
+{_fmt_sql("top_sales", "t3 WHERE rank <= 10")} UNION ALL
+{_fmt_sql("bottom_sales", "t4 WHERE rank <= 10")}""", *RULE_CTES))
+def q_tier_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The four dashboard tables per branch - best tier top 10, least
+    successful tier bottom 10 by (Sales, Profit), top 10 and bottom 10 by
+    sales - with display formatting (M16, I5, D19f, K14)."""
+    a, _ = rule_tiers(spark, sf_dir)
+    wr = a.groupBy("branch").agg(F.max("SuccessRank").alias("_wr"))
+    least = a.join(wr, "branch").filter(F.col("SuccessRank") == F.col("_wr")).drop("_wr")
+    parts = [
+        _fmt_table(_ranked(a, [F.desc("Sales"), "Product"], 10, F.col("SuccessRank") == 1), "top_tier"),
+        _fmt_table(_ranked(least, ["Sales", "Profit", "Product"], 10), "least_success"),
+        _fmt_table(_ranked(a, [F.desc("Sales"), "Product"], 10), "top_sales"),
+        _fmt_table(_ranked(a, ["Sales", "Product"], 10), "bottom_sales"),
+    ]
+    out = parts[0]
+    for p_ in parts[1:]:
+        out = out.unionByName(p_)
+    return out

@@ -50,3 +50,23 @@ def test_kmeans_and_silhouette(spark):
         bi = D[i, ~own].mean()
         s.append((bi - ai) / max(ai, bi))
     assert abs(np.mean(s) - sil) < 1e-9
+
+
+def test_sinks_roundtrip(spark, tmp_path):
+    from branchlens import sinks
+    df = spark.createDataFrame([("b1", 1, 2.0), ("b2", 2, 1.0), ("b1", 3, 0.5)], "branch string, K int, v double")
+    sinks.write_facts(df, str(tmp_path / "facts"))
+    assert spark.read.parquet(str(tmp_path / "facts")).filter("branch = 'b1'").count() == 2
+    sinks.write_sorted(df, str(tmp_path / "sorted"), ["v"], fmt="csv", partitions=2)
+    got = spark.read.option("header", True).csv(str(tmp_path / "sorted")).count()
+    assert got == 3
+    sinks.write_by_k(df, str(tmp_path / "byk"))
+    assert spark.read.parquet(str(tmp_path / "byk")).filter("K = 2").count() == 1
+    sinks.write_chosen_k(spark.createDataFrame([(10,)], "k int"), str(tmp_path / "k"))
+    assert spark.read.parquet(str(tmp_path / "k")).first()[0] == 10
+    sinks.require_columns(df, ["branch", "v"])
+    import pytest
+    with pytest.raises(ValueError):
+        sinks.require_columns(df, ["nope"])
+    with pytest.raises(FileNotFoundError):
+        sinks.require_paths(spark, [str(tmp_path / "absent")])
