@@ -284,3 +284,44 @@ def q_selected_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = branch_run(spark, sf_dir).k_scores
     w = Window.partitionBy("branch").orderBy(F.desc("selected"), F.desc_nulls_last("silhouette"), "k")
     return s.withColumn("_r", F.row_number().over(w)).filter("_r = 1").drop("_r")
+
+
+def _label_sql() -> str:
+    L = pf
+    return f"""
+, cats AS (SELECT Category, CAST(DENSE_RANK() OVER (ORDER BY Category) - 1 AS INTEGER) AS Cluster
+           FROM (SELECT DISTINCT Category FROM pt))
+, a AS (SELECT pt.*, cats.Cluster FROM pt JOIN cats ON pt.Category = cats.Category)
+, p AS (SELECT Cluster, COUNT(Product) AS n_products, SUM(Sales) AS total_sales, MEDIAN(Sales) AS median_sales,
+               MEDIAN(MarginPct) AS median_margin_pct, AVG(BranchPenetration) AS avg_branch_penetration,
+               AVG(TakeAwayShare) AS avg_takeaway_share, AVG(TotersShare) AS avg_toters_share FROM a GROUP BY Cluster)
+, q AS (SELECT QUANTILE_CONT(median_sales, 0.75) AS sq75, QUANTILE_CONT(avg_branch_penetration, 0.75) AS bq75,
+               QUANTILE_CONT(avg_branch_penetration, 0.5) AS bq50, QUANTILE_CONT(avg_toters_share, 0.75) AS tq75,
+               QUANTILE_CONT(median_margin_pct, 0.25) AS mq25 FROM p)
+, l AS (SELECT p.*, CASE
+          WHEN median_sales >= sq75 AND avg_branch_penetration >= bq75 THEN '{L.LABEL_CORE[0]}'
+          WHEN avg_takeaway_share >= {L.TAKEAWAY_NICHE_SHARE} AND avg_branch_penetration <= bq50 THEN '{L.LABEL_TAKEAWAY[0]}'
+          WHEN avg_toters_share >= tq75 THEN '{L.LABEL_TOTERS[0]}'
+          WHEN median_margin_pct <= mq25 THEN '{L.LABEL_MARGIN[0]}'
+          ELSE '{L.LABEL_GROWTH[0]}' END AS lab FROM p, q)
+, t AS (SELECT Cluster, STRING_AGG(Product, '; ' ORDER BY rn) AS TopProducts FROM (
+          SELECT Cluster, Product, ROW_NUMBER() OVER (PARTITION BY Cluster ORDER BY Sales DESC, Product) AS rn FROM a)
+        WHERE rn <= {L.TOP_PRODUCTS_N} GROUP BY Cluster)
+SELECT l.Cluster, n_products, ROUND(total_sales, 4) AS total_sales, {R6("median_sales", 4)} AS median_sales,
+       'C' || CAST(l.Cluster AS VARCHAR) || ': ' || lab AS ClusterLabel, TopProducts
+FROM l JOIN t ON l.Cluster = t.Cluster"""
+
+
+@register("q_cluster_labels_rule", with_items(_label_sql(), *product_table_ctes("family")))
+def q_cluster_labels_rule(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Global segment profiles with the ordered label rules on profile
+    quantiles and the top-8 products, segments = product type (G7, G9, G10,
+    K16, F5)."""
+    pt = product_table(items(spark, sf_dir), product=PRODUCT_GRAIN).withColumn("branch", F.lit(ALL_BRANCHES_LABEL))
+    cats = pt.select("Category").distinct().withColumn(
+        "Cluster", (F.dense_rank().over(Window.orderBy("Category")) - 1).cast("int"))   # bounded: type domain
+    a = pt.join(cats, "Category")
+    prof = pf.label_clusters(pf.profiles(a, ["branch"]), ["branch"])
+    prof = prof.join(pf.top_products(a, ["branch"]), ["branch", "Cluster"])
+    return prof.select("Cluster", "n_products", F.round("total_sales", 4).alias("total_sales"),
+                       r6("median_sales", 4).alias("median_sales"), "ClusterLabel", "TopProducts")
