@@ -325,3 +325,19 @@ def q_cluster_labels_rule(spark: SparkSession, sf_dir: str) -> DataFrame:
     prof = prof.join(pf.top_products(a, ["branch"]), ["branch", "Cluster"])
     return prof.select("Cluster", "n_products", F.round("total_sales", 4).alias("total_sales"),
                        r6("median_sales", 4).alias("median_sales"), "ClusterLabel", "TopProducts")
+
+
+@register("q_product_trajectories", with_items(f"""
+, om AS (SELECT product, MIN(month) AS o FROM monthly WHERE month <= 12 AND sales <> 0 GROUP BY product)
+, j AS (SELECT m.product, m.month - om.o + 1 AS pos, m.sales FROM monthly m JOIN om ON m.product = om.product
+        WHERE m.month <= 12 AND m.month BETWEEN om.o AND om.o + 5)
+, ok AS (SELECT product FROM j GROUP BY product HAVING COUNT(*) = 6 AND COUNT(*) FILTER (WHERE sales = 0) = 0)
+, b AS (SELECT product, sales AS s1 FROM j WHERE pos = 1)
+SELECT j.product, CAST(pos AS INTEGER) AS pos, {R6("sales / s1")} AS relative_sales
+FROM j JOIN ok ON j.product = ok.product JOIN b ON j.product = b.product""", *_monthly_ctes("product")))
+def q_product_trajectories(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """First six months from the opening indexed to the first month, for
+    products with six non-zero months in the year, keyed by product (H10, X4)."""
+    monthly = ts.monthly_sales(items(spark, sf_dir), "product", BASE_YEAR)
+    t = ts.opening_trajectory(monthly, "product")
+    return t.select("product", F.col("pos").cast("int").alias("pos"), r6("relative_sales").alias("relative_sales"))

@@ -47,15 +47,18 @@ def q_group_share_long(spark: SparkSession, sf_dir: str) -> DataFrame:
                     r6("rev_share", 9).alias("rev_share"))
 
 
-@register("q_group_share_matrix")
+@register("q_group_share_matrix", with_items(f"""
+PIVOT (SELECT branch, 'revshare_group__' || TRIM(grp) AS g, rev_share FROM sh WHERE grp IS NOT NULL) ON g
+USING COALESCE({R6("SUM(rev_share)", 9)}, 0) GROUP BY branch""", SHARES_CTE))
 def q_group_share_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Wide NMF input: one row per branch, ``revshare_group__<group>``
-    columns, 0 where the branch did not sell the group (J4). Pivot values are
-    the product-group domain of the part dimension."""
-    groups = sorted(r[0] for r in table(spark, sf_dir, "part").select("p_name").distinct().collect())
-    s = shares(spark, sf_dir)
+    columns, 0 where the branch did not sell the group (J4). The pivot values
+    are the distinct groups of the aggregated shares (bounded by the group
+    domain); a NULL group counts in the branch total but gets no column."""
+    s = shares(spark, sf_dir).filter(F.col("grp").isNotNull())
+    groups = sorted(r[0] for r in s.select("grp").distinct().collect())
     wide = s.groupBy("branch").pivot("grp", groups).agg(F.sum("rev_share"))
-    return wide.select("branch", *[F.coalesce(F.col(f"`{g}`"), F.lit(0.0)).alias(f"revshare_group__{g.strip()}")
+    return wide.select("branch", *[F.coalesce(r6(F.col(f"`{g}`"), 9), F.lit(0.0)).alias(f"revshare_group__{g.strip()}")
                                    for g in groups])
 
 
