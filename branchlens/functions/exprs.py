@@ -84,3 +84,10 @@ def rounded(df, money=(), ratio=()):
         else:
             cols.append(q)
     return df.select(*cols)
+
+
+def extract_count(text: Column | str, default: int = 5, cap: int = 10) -> Column:
+    """First stand-alone 1-2 digit number in a request, clamped to 1..cap,
+    ``default`` when absent (K19)."""
+    m = F.regexp_extract(col(text), r"\b(\d{1,2})\b", 1)
+    return F.when(m == "", F.lit(default)).otherwise(F.greatest(F.lit(1), F.least(m.cast("int"), F.lit(cap))))

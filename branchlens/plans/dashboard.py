@@ -510,3 +510,17 @@ def q_tier_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     for p_ in parts[1:]:
         out = out.unionByName(p_)
     return out
+
+
+@register("q_branch_list", with_items(f"""
+SELECT branch, ROW_NUMBER() OVER (ORDER BY branch <> '{ALL_BRANCHES_LABEL}', branch) AS position FROM (
+  SELECT DISTINCT TRIM(branch) AS branch FROM asg UNION SELECT '{ALL_BRANCHES_LABEL}')""", *RULE_CTES))
+def q_branch_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Branch selector: the combined label first, then the distinct trimmed
+    branch names in order (I13, C6); one row per branch, so the global order
+    is over a bounded list."""
+    a, _ = rule_tiers(spark, sf_dir)
+    b = a.select(F.trim("branch").alias("branch")).distinct().unionByName(
+        spark.range(1).select(F.lit(ALL_BRANCHES_LABEL).alias("branch"))).distinct()
+    w = Window.orderBy(F.col("branch") != ALL_BRANCHES_LABEL, "branch")
+    return b.select("branch", F.row_number().over(w).alias("position"))

@@ -17,3 +17,9 @@ def test_to_num(spark):
 def test_branch_name(spark):
     df = spark.createDataFrame([("12 - Achrafieh",), ("Stories-Jbeil",), ("Plain",)], "s string")
     assert [r[0] for r in df.select(branch_name(F.col("s"))).collect()] == ["Achrafieh", "Jbeil", "Plain"]
+
+
+def test_extract_count(spark):
+    from branchlens.functions.exprs import extract_count
+    df = spark.createDataFrame([("top 3 products",), ("show me products",), ("top 50",), ("best 0",)], "q string")
+    assert [r[0] for r in df.select(extract_count("q")).collect()] == [3, 5, 10, 1]
