@@ -187,3 +187,36 @@ def q_context_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     ctx = parsed.join(first, "file").filter(F.col("line_no").between(F.col("f") - 3, F.col("f") + 5))
     return ctx.groupBy(F.regexp_replace("file", "^rep14/", "").alias("file")).agg(
         F.count(F.lit(1)).cast("int").alias("n_rows"))
+
+
+def _scope_margin_sql(level: str, col: str) -> str:
+    return with_items(f"""
+SELECT branch AS Branch, {col} AS {level}, ROUND(SUM(c) + SUM(p), 4) AS Sales, ROUND(SUM(c), 4) AS COGS,
+       ROUND(SUM(p), 4) AS GM, ROUND(SUM(q), 4) AS Qty,
+       {R6("CASE WHEN SUM(c) + SUM(p) <> 0 THEN SUM(p) / (SUM(c) + SUM(p)) END")} AS GM_pct
+FROM (SELECT branch, year, month, {col}, SUM(qty) AS q, ROUND(SUM(cost), 4) AS c, ROUND(SUM(profit), 4) AS p
+      FROM items GROUP BY ALL)
+GROUP BY ALL""")
+
+
+def _scope_margin(spark: SparkSession, sf_dir: str, level: str) -> DataFrame:
+    from ..operators.margin import aggregate_margin
+    tot = rp.report_totals(parsed_item_report(spark, sf_dir)).filter(F.col("total_scope") == level)
+    tot = tot.withColumn("price", F.coalesce("cost", F.lit(0.0)) + F.coalesce("profit", F.lit(0.0)))   # C7
+    m = aggregate_margin(tot, ["Branch", level])
+    return m.select("Branch", level, rm("Sales").alias("Sales"), rm("COGS").alias("COGS"), rm("GM").alias("GM"),
+                    rm("Qty").alias("Qty"), r6("GM_pct").alias("GM_pct"))
+
+
+@register("q_margin_from_category_totals", _scope_margin_sql("Category", "category"))
+def q_margin_from_category_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Gross margin by branch and category from the printed ``Total By
+    Category`` rows of the parsed report, price repaired as cost + profit
+    (D6f, C7, G1 - the notebook flow)."""
+    return _scope_margin(spark, sf_dir, "Category")
+
+
+@register("q_margin_from_department_totals", _scope_margin_sql("Department", "department"))
+def q_margin_from_department_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Gross margin by branch and department from ``Total By Department`` rows."""
+    return _scope_margin(spark, sf_dir, "Department")
