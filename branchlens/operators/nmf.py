@@ -138,7 +138,7 @@ def dominant(weights: DataFrame, key: str = "branch", pattern: str = "pattern",
 def entropy(weights: DataFrame, key: str = "branch", weight: str = "weight") -> DataFrame:
     """Shannon entropy (natural log) of the L1-normalised weights, 0 log 0 = 0."""
     t = weights.groupBy(key).agg(F.sum(weight).alias("_t"))
-    p = weights.join(t, key).withColumn("_p", F.col(weight) / F.col("_t"))
+    p = weights.join(t, key).withColumn("_p", F.try_divide(F.col(weight), F.col("_t")))
     return p.groupBy(key).agg((-F.sum(F.when(F.col("_p") > 0, F.col("_p") * F.log(F.col("_p"))).otherwise(0.0)))
                               .alias("Entropy"))
 

@@ -106,9 +106,9 @@ def forecast_metrics(scored: DataFrame, actual: str = "actual_sales", pred: str
     return scored.agg(
         F.count(F.lit(1)).alias("n_scored"),
         F.avg(F.abs(F.col(actual) - F.col(pred))).alias("mae"),
-        (F.lit(1.0) - F.sum(F.pow(F.col(actual) - F.col(pred), 2))
-         / F.sum(F.pow(F.col(actual) - mean_a, 2))).alias("r2"),
-        (F.avg(F.abs((F.col(actual) - F.col(pred)) / F.col(actual))) * 100).alias("mape"))
+        (F.lit(1.0) - F.try_divide(F.sum(F.pow(F.col(actual) - F.col(pred), 2)),
+                                   F.sum(F.pow(F.col(actual) - mean_a, 2)))).alias("r2"),
+        (F.avg(F.abs(F.try_divide(F.col(actual) - F.col(pred), F.col(actual)))) * 100).alias("mape"))
 
 
 def norm_zero_as_null(monthly: DataFrame, key: str) -> DataFrame:
@@ -163,7 +163,7 @@ def lag_corr(norm: DataFrame, key: str) -> DataFrame:
     ok = r.filter((F.col("month") >= 4) & F.col("prev3").isNotNull() & F.col("norm").isNotNull())
     out = ok.groupBy("month").agg(F.corr("prev3", "norm").alias("corr"), F.count(F.lit(1)).alias("n"))
     return out.withColumn(
-        "t_stat", F.col("corr") * F.sqrt((F.col("n") - 2) / (F.lit(1.0) - F.col("corr") * F.col("corr"))))
+        "t_stat", F.col("corr") * F.sqrt(F.try_divide(F.col("n") - 2, F.lit(1.0) - F.col("corr") * F.col("corr"))))
 
 
 def student_t_two_sided_p(t: np.ndarray, dof: np.ndarray) -> np.ndarray:

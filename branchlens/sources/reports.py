@@ -351,7 +351,7 @@ def null_profile(df: DataFrame, columns=None) -> DataFrame:
     stacked = one.select("_n", F.explode(F.array(*[
         F.struct(F.lit(c).alias("column"), F.col(f"_z{i}").alias("n_null")) for i, c in enumerate(cols)])).alias("s"))
     return stacked.select("s.column", "s.n_null",
-                          (F.col("s.n_null") / F.col("_n")).alias("pct_null")).withColumn(
+                          F.try_divide(F.col("s.n_null"), F.col("_n")).alias("pct_null")).withColumn(
         "sparse", F.col("pct_null") >= 0.9)
 
 
