@@ -9,7 +9,6 @@ product group is its own "pattern"); on the NMF weights they run in
 
 from __future__ import annotations
 
-import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -166,5 +165,3 @@ def q_pattern_top_features(spark: SparkSession, sf_dir: str) -> DataFrame:
         "branch", F.col("grp").alias("pattern"), F.col("rev_share").alias("weight"))
     return nmf.top_n_joined(wl, "branch", "pattern", "weight", TOP_GROUPS, "Top_7_Groups")
 
-
-_ = np
