@@ -101,7 +101,9 @@ def ols_predict(df: DataFrame, model: dict) -> DataFrame:
 
 
 def forecast_metrics(scored: DataFrame, actual: str = "actual_sales", pred: str = "predicted_sales") -> DataFrame:
-    """MAE, R2 (against the mean of the actuals) and MAPE in percent."""
+    """MAE, R2 (against the mean of the actuals) and MAPE in percent over
+    the rows with a non-zero actual (L16; a zero actual has no percentage
+    error)."""
     mean_a = scored.select(F.avg(actual)).scalar()
     return scored.agg(
         F.count(F.lit(1)).alias("n_scored"),
@@ -163,7 +165,8 @@ def lag_corr(norm: DataFrame, key: str) -> DataFrame:
     ok = r.filter((F.col("month") >= 4) & F.col("prev3").isNotNull() & F.col("norm").isNotNull())
     out = ok.groupBy("month").agg(F.corr("prev3", "norm").alias("corr"), F.count(F.lit(1)).alias("n"))
     return out.withColumn(
-        "t_stat", F.col("corr") * F.sqrt(F.try_divide(F.col("n") - 2, F.lit(1.0) - F.col("corr") * F.col("corr"))))
+        "t_stat", F.when(F.col("n") > 2, F.col("corr")
+                         * F.sqrt(F.try_divide(F.col("n") - 2, F.lit(1.0) - F.col("corr") * F.col("corr")))))
 
 
 def student_t_two_sided_p(t: np.ndarray, dof: np.ndarray) -> np.ndarray:

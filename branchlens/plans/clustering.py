@@ -20,13 +20,12 @@ from ..operators import profiles as pf
 from ..operators import timeseries as ts
 from ..operators.products import (BRANCH_FEATURES, GLOBAL_FEATURES, branch_product_table, product_table,
                                   with_global_shares)
-from ..session import cut_lineage
-from ..sources.tables import BASE_YEAR, items
 from ..functions.exprs import r6
+from ..session import cut_lineage
+from ..sources.tables import BASE_YEAR, items, with_items
 from .registry import register
 from .sqlparts import R6, branch_product_ctes, product_table_ctes
 from .timeseries import monthly_ctes as _monthly_ctes
-from ..sources.tables import with_items
 
 ALL_BRANCHES_LABEL = "All Branches (Combined)"
 K_VALUES = tuple(range(3, 9))
@@ -142,8 +141,13 @@ def q_success_tiers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return branch_run(spark, sf_dir).profiles
 
 
-@register("q_skipped_branches", """
-SELECT 'none' AS branch, 0 AS n_products, 'none' AS reason WHERE FALSE""")
+@register("q_skipped_branches", with_items(f"""
+SELECT branch, n_products, reason FROM (
+  SELECT branch, CAST(COUNT(DISTINCT family) AS INTEGER) AS n_products,
+         CASE WHEN COUNT(DISTINCT family) < {MIN_PRODUCTS} THEN 'below min-products threshold'
+              WHEN {max(2, min(K_VALUES))} > LEAST({max(K_VALUES)}, COUNT(DISTINCT family) - 1)
+              THEN 'invalid k range after bounds check' END AS reason
+  FROM items GROUP BY branch) WHERE reason IS NOT NULL"""))
 def q_skipped_branches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Branches below the product threshold (D15f)."""
     return skipped_branches(spark, sf_dir).select("branch", F.col("n_products").cast("int"), "reason")

@@ -78,7 +78,9 @@ def q_pct_change(spark: SparkSession, sf_dir: str) -> DataFrame:
 , p AS (SELECT branch, month, norm, LAG(rolling3) OVER (PARTITION BY branch ORDER BY month) AS prev3 FROM r)
 , c AS (SELECT month, CORR(prev3, norm) AS corr, COUNT(*) AS n FROM p
         WHERE month >= 4 AND prev3 IS NOT NULL AND norm IS NOT NULL GROUP BY month)
-SELECT month, n, {R6("corr")} AS corr, {R6("corr * SQRT((n - 2) / (1.0 - corr * corr))")} AS t_stat FROM c""",
+SELECT month, n, {R6("corr")} AS corr,
+       {R6("CASE WHEN n > 2 AND 1.0 - corr * corr <> 0 THEN corr * SQRT((n - 2) / (1.0 - corr * corr)) END")} AS t_stat
+FROM c""",
                                     *NORM_CTES))
 def q_lag_corr(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pearson r between the rolling 3-month mean ending at month i-1 and
@@ -201,8 +203,8 @@ def q_ols_forecast(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("q_forecast_metrics", with_items(f"""
 SELECT (SELECT n_train FROM beta) AS n_train, COUNT(*) AS n_scored,
        ROUND(AVG(ABS(actual_sales - predicted_sales)), 2) AS mae,
-       {R6("1 - SUM((actual_sales - predicted_sales) ^ 2) / SUM((actual_sales - (SELECT AVG(actual_sales) FROM sc)) ^ 2)")} AS r2,
-       {R6("AVG(ABS((actual_sales - predicted_sales) / actual_sales)) * 100", 4)} AS mape
+       {R6("1 - SUM((actual_sales - predicted_sales) ^ 2) / NULLIF(SUM((actual_sales - (SELECT AVG(actual_sales) FROM sc)) ^ 2), 0)")} AS r2,
+       {R6("AVG(CASE WHEN actual_sales <> 0 THEN ABS((actual_sales - predicted_sales) / actual_sales) END) * 100", 4)} AS mape
 FROM sc""", *OLS_CTES))
 def q_forecast_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """MAE, R2, MAPE of the next-January forecast, sample counts."""
