@@ -220,3 +220,36 @@ def q_margin_from_category_totals(spark: SparkSession, sf_dir: str) -> DataFrame
 def q_margin_from_department_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Gross margin by branch and department from ``Total By Department`` rows."""
     return _scope_margin(spark, sf_dir, "Department")
+
+
+@register("q_header_row", with_items(f"""
+, b AS (SELECT year, COUNT(DISTINCT branch) AS nb FROM items WHERE year IN ({BASE_YEAR}, {BASE_YEAR + 1}) GROUP BY year)
+, s AS (SELECT year, nb, 1 + COALESCE(SUM(2 * (nb + 2)) OVER (ORDER BY year ROWS BETWEEN UNBOUNDED PRECEDING
+                                                             AND 1 PRECEDING), 0) AS start FROM b)
+SELECT 'rep134' AS file, CAST(start AS INTEGER) AS line_no, 'January' AS first_month, FALSE AS all_months,
+       1 AS branch_col FROM s
+UNION ALL
+SELECT 'rep134', CAST(start + nb + 2 AS INTEGER), 'October', FALSE, 1 FROM s"""))
+def q_header_row(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Month header rows of the paged monthly report, whether a row holds
+    all twelve months, and the branch column found by token counts (A4, A5, A7)."""
+    lines = rp.write_monthly_report(_report_monthly(spark, sf_dir))
+    h = rp.header_rows(lines)
+    return h.select("file", F.col("line_no").cast("int").alias("line_no"), "first_month", "all_months",
+                    F.col("branch_col").cast("int").alias("branch_col"))
+
+
+@register("q_parse_money", with_items("""
+SELECT branch AS Branch, COUNT(*) AS n_items, COUNT(*) FILTER (WHERE p < 0) AS n_negative,
+       ROUND(SUM(p), 4) AS profit
+FROM (SELECT branch, year, month, department, category, division, product, ROUND(SUM(profit), 4) AS p
+      FROM items GROUP BY ALL)
+GROUP BY branch"""))
+def q_parse_money(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Printed money cells parsed back: thousands separators and
+    parenthesised negatives (K1, K3, K6) - count, negatives and total of the
+    item profit cells per branch."""
+    parsed = parsed_item_report(spark, sf_dir)
+    it = parsed.filter(~F.col("is_total") & ~F.col("is_open")).withColumn("p", rp.to_num(F.col("profit")))
+    return it.groupBy("Branch").agg(F.count(F.lit(1)).alias("n_items"), F.count_if(F.col("p") < 0).alias("n_negative"),
+                                    rm(F.sum("p")).alias("profit"))

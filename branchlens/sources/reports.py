@@ -366,3 +366,18 @@ def price_overflow(parsed: DataFrame) -> DataFrame:
     return (x.select(F.when(F.col("is_total"), F.lit("total")).otherwise(F.lit("item")).alias("kind"),
                      exp.alias("lost_digits"))
             .groupBy("kind", "lost_digits").agg(F.count(F.lit(1)).alias("n")))
+
+
+def header_rows(lines: DataFrame) -> DataFrame:
+    """Header discovery (A4, A5, A7): every line naming a month, its first
+    month name, and the detected branch column of the file."""
+    is_header = F.exists("cells", lambda c: F.trim(c).isin(*MONTH_NAMES))
+    hdr = lines.filter(is_header).select(
+        "file", "line_no",
+        F.element_at(F.filter("cells", lambda c: F.trim(c).isin(*MONTH_NAMES)), 1).alias("first_month"),
+        F.forall(F.array(*[F.lit(m) for m in MONTH_NAMES]),
+                 lambda m: F.array_contains("cells", m)).alias("all_months"))
+    data = lines.filter(~is_header).select("file", F.posexplode("cells").alias("pos", "val"))
+    bcol = (data.groupBy("file", "pos").agg(F.count_if(F.col("val").rlike(BRANCH_TOKEN)).alias("n"))
+            .groupBy("file").agg(F.max_by("pos", F.struct("n", -F.col("pos"))).alias("branch_col")))
+    return hdr.join(bcol, "file")
