@@ -160,8 +160,10 @@ def fit_kmeans(points: DataFrame, group: Sequence[str], id_col: str, k_values: S
 
     flat = cut_lineage(_flat_points(pts, p))
     n_cells = n_models * k_max * p
+    active = None            # models still moving; None = all
     for it in range(max_iter):
-        a = nearest(flat, cent, g, id_col, p, n_cells, carry=True)
+        moving = cent if active is None else cent.join(F.broadcast(active), [*g, "k", "r"])
+        a = nearest(flat, moving, g, id_col, p, n_cells, carry=True)
         upd = (a.groupBy(*g, "k", "r", "cluster")
                .agg(*[F.avg(f"f{i}").alias(f"c{i}") for i in range(p)])
                .select(*g, "k", "r", F.col("cluster").alias("cid"),
@@ -171,10 +173,15 @@ def fit_kmeans(points: DataFrame, group: Sequence[str], id_col: str, k_values: S
             .select(*g, "k", "r", "cid", "center", F.coalesce("new_center", "center").alias("new_center")))
         cent = merged.select(*g, "k", "r", "cid", F.col("new_center").alias("center"))
         if (it + 1) % check_every == 0 or it + 1 == max_iter:
-            shift = (merged.groupBy(*g, "k", "r")
-                     .agg(F.sum(_sqdist(F.col("center"), F.col("new_center"))).alias("s"))
-                     .select(F.max("s")).first()[0])
-            if shift is None or shift <= tol:
+            # a model whose summed squared centre shift is <= tol is converged
+            # and frozen: later iterations only join the moving ones
+            shifts = (merged.groupBy(*g, "k", "r")
+                      .agg(F.sum(_sqdist(F.col("center"), F.col("new_center"))).alias("s")))
+            still = shifts.filter(F.col("s") > tol).select(*g, "k", "r")
+            if active is not None:
+                still = still.join(active, [*g, "k", "r"])
+            active = cut_lineage(still)
+            if active.limit(1).count() == 0:
                 break
     log.info("k-means stopped after %d iterations", it + 1)
     models = (cent.groupBy(*g, "k", "r")

@@ -33,7 +33,7 @@ MIN_PRODUCTS = 30
 MIN_CLUSTER_RATIO = 0.05
 CLIP_QUANTILE = 0.01
 RESTARTS = 2
-MAX_ITER = 10
+MAX_ITER = 15
 PRODUCT_GRAIN = "family"
 
 
