@@ -49,6 +49,12 @@ def to_num_zero(c: Column) -> Column:
     return F.coalesce(to_num(c), F.lit(0.0))
 
 
+def to_num_strict(c: Column) -> Column:
+    """Strict parse (K4): thousands separators removed, then an ANSI cast
+    that fails the job on any non-numeric value."""
+    return F.regexp_replace(F.trim(c), ",", "").cast("double")
+
+
 def fmt(c: Column, decimals: int) -> Column:
     """Report money format: thousands separators, negatives in parentheses."""
     return F.when(c < 0, F.concat(F.lit("("), F.format_number(-c, decimals), F.lit(")"))).otherwise(

@@ -23,3 +23,16 @@ def test_extract_count(spark):
     from branchlens.functions.exprs import extract_count
     df = spark.createDataFrame([("top 3 products",), ("show me products",), ("top 50",), ("best 0",)], "q string")
     assert [r[0] for r in df.select(extract_count("q")).collect()] == [3, 5, 10, 1]
+
+
+def test_to_num_strict(spark):
+    import pytest
+    from pyspark.errors import PySparkException
+
+    from branchlens.sources.reports import to_num_strict
+    ok = spark.createDataFrame([("1,234.5",), (" 7",)], "s string")
+    assert [r[0] for r in ok.select(to_num_strict(F.col("s"))).collect()] == [1234.5, 7.0]
+    bad = spark.createDataFrame([("abc",)], "s string")
+    with pytest.raises(Exception) as e:
+        bad.select(to_num_strict(F.col("s"))).collect()
+    assert isinstance(e.value, (PySparkException, Exception))
