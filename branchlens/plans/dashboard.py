@@ -95,7 +95,7 @@ def q_success_tiers_rule(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _ranked(a: DataFrame, order, n: int, where=None) -> DataFrame:
     x = a if where is None else a.filter(where)
     w = Window.partitionBy("branch").orderBy(*order)
-    return x.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= n)
+    return x.withColumn("rank", F.row_number().over(w).cast("bigint")).filter(F.col("rank") <= n)
 
 
 OUT = ["branch", "rank", "Product", "SuccessTier", "Cluster"]
@@ -441,7 +441,7 @@ def q_performance_map(spark: SparkSession, sf_dir: str) -> DataFrame:
     return a.select("branch", "Product", "SuccessTier", tier_colour(F.col("SuccessTier")).alias("TierColor"),
                     rm("Sales").alias("Sales"), rm("Profit").alias("Profit"), rm("Qty").alias("Qty"),
                     r6("MarginPct").alias("MarginPct"), r6(F.greatest(F.col("Sales"), F.lit(1.0))).alias("SalesForPlot"),
-                    F.row_number().over(w).alias("draw_order"))
+                    F.row_number().over(w).cast("bigint").alias("draw_order"))
 
 
 @register("q_combined_view", with_items(f"""
@@ -523,4 +523,4 @@ def q_branch_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     b = a.select(F.trim("branch").alias("branch")).distinct().unionByName(
         spark.range(1).select(F.lit(ALL_BRANCHES_LABEL).alias("branch"))).distinct()
     w = Window.orderBy(F.col("branch") != ALL_BRANCHES_LABEL, "branch")
-    return b.select("branch", F.row_number().over(w).alias("position"))
+    return b.select("branch", F.row_number().over(w).cast("bigint").alias("position"))

@@ -38,7 +38,7 @@ def q_hierarchy_implicit(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @register("q_rollup_reconcile", with_items("""
-SELECT scope, COUNT(*) AS n_totals, 0.0 AS max_abs_diff FROM (
+SELECT scope, COUNT(*) AS n_totals, CAST(0.0 AS DOUBLE) AS max_abs_diff FROM (
   SELECT 'Division' AS scope FROM items GROUP BY branch, year, month, department, category, division
   UNION ALL SELECT 'Category' FROM items GROUP BY branch, year, month, department, category
   UNION ALL SELECT 'Department' FROM items GROUP BY branch, year, month, department
@@ -106,7 +106,7 @@ def q_paged_report_long(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @register("q_year_total_check", with_items(f"""
-SELECT year, COUNT(DISTINCT branch) AS n_branches, 0.0 AS max_abs_diff FROM items
+SELECT year, COUNT(DISTINCT branch) AS n_branches, CAST(0.0 AS DOUBLE) AS max_abs_diff FROM items
 WHERE year IN ({BASE_YEAR}, {BASE_YEAR + 1}) GROUP BY year"""))
 def q_year_total_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Printed ``Total By Year`` against the sum of the parsed months per

@@ -239,4 +239,4 @@ def q_seasonal_total_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = branch_monthly(spark, sf_dir)
     t = m.groupBy(KEY).agg(F.sum(F.when(F.col("month").isin(11, 12, 13), F.col("sales"))).alias("total"))
     w = Window.orderBy(F.desc("total"), KEY)
-    return t.select(KEY, rm("total").alias("Total_NovDecJan"), F.row_number().over(w).alias("rank"))
+    return t.select(KEY, rm("total").alias("Total_NovDecJan"), F.row_number().over(w).cast("bigint").alias("rank"))
