@@ -33,7 +33,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from branchlens.llm.common import GAP_CHARS, WORD_GAP
-from branchlens.session import cut_lineage
 
 MIN_WORDS = 8
 SEED = 40_013
@@ -137,8 +136,9 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """``_row`` (all columns of ``docs``) and ``gone``, the numbers of the
     lines to drop (null: none), one row per row of ``docs``.
 
-    The documents are dealt by row hash once; every step that needs texts joins
-    on it, so the exchange is the same and Spark reuses it."""
+    One plan without a cut: the documents are dealt by row hash once, every
+    step that needs texts joins on it, and Spark reuses that exchange and those
+    of the lines and variants."""
     base = docs.select(F.struct(*docs.columns).alias("_row"),
                        F.xxhash64(docs[id_col], docs[text_col]).alias("rid"))
     line = F.btrim(F.col("line"), F.lit(GAP_CHARS))
@@ -177,8 +177,7 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     o = F.struct("id", "rid", "pos")
     lead = (variants.groupBy("key").agg(F.min(o).alias("lead"), F.max(o).alias("last"))
             .where("lead < last").select("key", "lead"))
-    pairs = cut_lineage(variants.join(lead, "key").where(o > F.col("lead"))
-                        .select(o.alias("o"), "lead").distinct())
+    pairs = variants.join(lead, "key").where(o > F.col("lead")).select(o.alias("o"), "lead").distinct()
     want = (pairs.select(F.explode(F.array("o", "lead")).alias("x")).select("x.id", "x.rid", "x.pos").distinct()
             .groupBy("id", "rid").agg(F.collect_list(F.struct("pos", F.lit(0).alias("flags"))).alias("spots")))
     text = base.join(want, "rid").mapInArrow(_words_of(text_col), "rid long, pos int, w array<string>")
