@@ -160,8 +160,9 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
              .join(again, (F.col("h") == F.col("h2")) & (F.col("n") == F.col("n2")))
              .where(F.struct("id", "rid", "pos") > F.col("o")).select("rid", "pos"))
 
-    # candidates: lines that share a half key with another line
-    halves = first.where(F.col("n") >= MIN_WORDS).select(
+    # candidates: lines that share a half key with another line (the condition
+    # keeps the aggregate as it is above, so its exchange is reused)
+    halves = first.where("m > 0 AND (o.k0 IS NOT NULL OR o.k1 IS NOT NULL)").select(
         "o.id", "o.rid", "o.pos", "n",
         F.explode(F.filter(F.array(*[F.struct(F.col(f"o.k{i}").alias("key"), F.lit((TAIL, HEAD)[i % 2]).alias("side"))
                                      for i in range(4)]), lambda s: s["key"].isNotNull())).alias("k"))
