@@ -36,7 +36,7 @@ from pyspark.sql import types as T
 
 from branchlens.llm.common import free_name, held_out
 
-SAMPLE = 1500
+SAMPLE = 1000
 SEED = 90_001
 STEPS = 60
 #: A feature marks a token of a toxic document when it occurs in at least
@@ -46,7 +46,7 @@ MIN_DOCS, MIN_SHARE, RATIO = 3, 0.02, 30.0
 #: Background tokens after which messages have reached their fixed point.
 SETTLE = 24
 #: Tokens of one training sequence.
-PIECE = 256
+PIECE = 64
 
 _LETTERS = re.compile(r"[^\W\d_]+")
 _TOKEN = re.compile(r"\S+")
@@ -163,7 +163,10 @@ def _tagged(docs: list[tuple[str, int]]):
     bad, good = max(1, sum(y for _, y in seqs)), max(1, sum(1 - y for _, y in seqs))
     telling = {f for f, n in seen[1].items() if n >= max(MIN_DOCS, MIN_SHARE * bad)
                and n / bad >= RATIO * (seen[0].get(f, 0) + 0.25) / good}
-    tags = [[int(y and not telling.isdisjoint(t)) for t in s] for s, y in seqs]
+    # from here on only telling features matter
+    few = {s: tuple(f for f in s if f in telling) for s in memo.values()}
+    seqs = [([few[t] for t in s], y) for s, y in seqs]
+    tags = [[int(y and len(t) > 0) for t in s] for s, y in seqs]
     return [s for s, _ in seqs], tags, telling
 
 
@@ -182,7 +185,7 @@ def fit(docs: list[tuple[str, int]], steps: int = STEPS) -> Field | None:
     for s, t in zip(seqs, tags):
         for k in range(0, len(s), PIECE):
             part = s[k:k + PIECE]
-            if all(telling.isdisjoint(x) for x in set(part)):
+            if not any(part):
                 plain[len(part)] = plain.get(len(part), 0) + 1
             else:
                 pieces.append((part, t[k:k + PIECE]))
