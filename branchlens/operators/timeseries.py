@@ -19,14 +19,16 @@ MONTHS = ["January", "February", "March", "April", "May", "June", "July", "Augus
 
 def monthly_sales(items: DataFrame, key: str, base_year: int) -> DataFrame:
     """(key, month, sales) for months 1..12 of ``base_year`` plus month 13 =
-    January of the next year; every key gets all 13 months (0 when absent)."""
+    January of the next year; every key gets all 13 months (0 when absent; a
+    next January without any sale stays null, as it is not known)."""
     m = F.when(F.col("year") == base_year, F.col("month")).when(
         (F.col("year") == base_year + 1) & (F.col("month") == 1), F.lit(13))
     agg = (items.select(key, m.alias("m"), "price").filter(F.col("m").isNotNull())
            .groupBy(key, "m").agg(F.sum("price").alias("sales")))
     grid = agg.select(key).distinct().select(key, F.explode(F.sequence(F.lit(1), F.lit(13))).alias("month"))
     return (grid.join(agg.withColumnRenamed("m", "month"), [key, "month"], "left")
-            .select(key, "month", F.coalesce("sales", F.lit(0.0)).alias("sales")))
+            .select(key, "month", F.when(F.col("month") <= 12, F.coalesce("sales", F.lit(0.0)))
+                    .otherwise(F.col("sales")).alias("sales")))
 
 
 def with_norm(monthly: DataFrame, key: str) -> DataFrame:
@@ -56,7 +58,7 @@ def lag_features(monthly: DataFrame, key: str) -> DataFrame:
           .withColumn("n_nonzero_4", F.sum(F.when(F.col("sales") != 0, 1).otherwise(0)).over(w.rowsBetween(-3, 0)))
           .withColumn("n_nonzero_prev3", F.sum(F.when(F.col("sales") != 0, 1).otherwise(0)).over(prev3)))
     train = (F.col("month").between(4, 12)) & (F.col("n_nonzero_4") == 4)
-    score = (F.col("month") == 13) & (F.col("n_nonzero_prev3") == 3)
+    score = (F.col("month") == 13) & F.col("sales").isNotNull() & (F.col("n_nonzero_prev3") == 3)
     return (df.filter(train | score)
             .select(key, F.col("month").alias("t"), (F.col("month") == 13).alias("is_score"),
                     "lag_1", "lag_2", "rolling_3",
@@ -86,7 +88,7 @@ def ols_fit(train: DataFrame, features=FEATURES, target: str = "target") -> dict
         for j in range(i, p):
             S[i, j] = S[j, i] = r[f"c{i}_{j}"]
     sy = np.array([r[f"cy{i}"] for i in range(p)])
-    beta = np.linalg.solve(S, sy)
+    beta = np.linalg.lstsq(S, sy, rcond=None)[0]  # least norm where the design is singular
     sd = np.sqrt(np.diag(S))
     sd[sd == 0] = 1.0
     return {"n": r["n"], "intercept": r["my"], "mean": [r[f"m{i}"] for i in range(p)],

@@ -27,7 +27,7 @@ def monthly_ctes(key: str = "branch") -> list[str]:
         SUM(price) AS sales FROM items WHERE year = {y} OR (year = {y + 1} AND month = 1) GROUP BY 1, 2)""",
         f"""grid AS (SELECT b.{key}, CAST(g.month AS INTEGER) AS month
         FROM (SELECT DISTINCT {key} FROM ms) b, range(1, 14) g(month))""",
-        f"""monthly AS (SELECT grid.{key}, grid.month, COALESCE(ms.sales, 0) AS sales
+        f"""monthly AS (SELECT grid.{key}, grid.month, CASE WHEN grid.month <= 12 THEN COALESCE(ms.sales, 0) ELSE ms.sales END AS sales
         FROM grid LEFT JOIN ms ON grid.{key} = ms.{key} AND grid.month = ms.m)""",
     ]
 
@@ -134,7 +134,7 @@ LAG_CTES = monthly_ctes() + [
         FROM nm WINDOW w AS (PARTITION BY branch ORDER BY month),
           w3 AS (PARTITION BY branch ORDER BY month ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING),
           w4 AS (PARTITION BY branch ORDER BY month ROWS BETWEEN 3 PRECEDING AND CURRENT ROW))""",
-    """lf AS (SELECT * FROM lf0 WHERE (t BETWEEN 4 AND 12 AND nz4 = 4) OR (t = 13 AND nz3 = 3))""",
+    """lf AS (SELECT * FROM lf0 WHERE (t BETWEEN 4 AND 12 AND nz4 = 4) OR (t = 13 AND actual_sales IS NOT NULL AND nz3 = 3))""",
 ]
 
 
