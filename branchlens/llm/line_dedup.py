@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from branchlens.llm.common import GAP_CHARS, WORD_GAP
+from branchlens.llm.common import GAP_CHARS
 
 MIN_WORDS = 8
 SEED = 40_013
@@ -119,17 +119,43 @@ def within_one(a: Column, b: Column) -> Column:
         F.when(F.size(long) == n, same_length).otherwise(longer))
 
 
-def _half_keys(w: Column, n: Column) -> list[Column]:
-    """Hashes of the first and last floor(n/2) and ceil(n/2) words; null for
-    lines that are compared for equality only and for the repeats of an even
-    number of words."""
-    out = []
-    for which, tag in ((F.floor(n / 2), 0), (F.ceil(n / 2), 1)):
-        k = which.cast("int")
-        use = (n >= MIN_WORDS) if tag == 0 else (n >= MIN_WORDS) & (n % 2 == 1)
-        out += [F.when(use, F.xxhash64(F.lit(TAIL), k, F.slice(w, F.lit(1), k))),
-                F.when(use, F.xxhash64(F.lit(HEAD), k, F.slice(w, n - k + 1, k)))]
-    return out
+def _lines(with_halves: bool):
+    """Rows (id, rid, text in UTF-8) to their worded lines: number, hash of the
+    words, number of words and, where wanted, the hashes of the first and last
+    floor(n/2) and ceil(n/2) words; those are null for lines that are compared
+    for equality only and for the repeats of an even number of words."""
+    def run(batches):
+        import xxhash
+        digest = xxhash.xxh64_intdigest
+        for batch in batches:
+            row, at, n, h = [], [], [], []
+            halves = ([], [], [], [])
+            for i, text in enumerate(batch.column(2).to_pylist()):
+                for pos, line in enumerate((text or b"").split(b"\n")):
+                    w = line.split()
+                    if not w:
+                        continue
+                    m = len(w)
+                    row.append(i)
+                    at.append(pos)
+                    n.append(m)
+                    h.append(digest(b" ".join(w), SEED))
+                    if with_halves:
+                        for j in (0, 1):
+                            k = (m + j) // 2
+                            use = m >= MIN_WORDS and (j == 0 or m % 2 == 1)
+                            halves[2 * j].append(digest(b" ".join(w[:k]), 4 * k + TAIL) if use else 0)
+                            halves[2 * j + 1].append(digest(b" ".join(w[m - k:]), 4 * k + HEAD) if use else 0)
+            if not row:
+                continue
+            row, n = pa.array(row, pa.int32()), np.array(n, np.int32)
+            cols = [batch.column(0).take(row), batch.column(1).take(row), pa.array(at, pa.int32()),
+                    pa.array(np.array(h, np.uint64).view(np.int64)), pa.array(n)]
+            if with_halves:
+                none = (n < MIN_WORDS, (n < MIN_WORDS) | (n % 2 == 0))
+                cols += [pa.array(np.array(x, np.uint64).view(np.int64), mask=none[i // 2]) for i, x in enumerate(halves)]
+            yield pa.RecordBatch.from_arrays(cols, names=["id", "rid", "pos", "h", "n", "k0", "k1", "k2", "k3"][:len(cols)])
+    return run
 
 
 def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -141,22 +167,17 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     of the lines and variants."""
     base = docs.select(F.struct(*docs.columns).alias("_row"),
                        F.xxhash64(docs[id_col], docs[text_col]).alias("rid"))
-    line = F.btrim(F.col("line"), F.lit(GAP_CHARS))
-    lines = (docs.select(F.coalesce(docs[id_col].cast("long"), F.lit(2**63 - 1)).alias("id"),
-                         F.xxhash64(docs[id_col], docs[text_col]).alias("rid"),
-                         F.posexplode(F.split(docs[text_col], "\n", -1)).alias("pos", "line"))
-             .select("id", "rid", "pos", line.alias("line")).where("line <> ''")
-             .select("id", "rid", "pos", F.split("line", WORD_GAP).alias("w"))
-             .withColumn("h", F.xxhash64("w")).withColumn("n", F.size("w")))
-    keys = [c.alias(f"k{i}") for i, c in enumerate(_half_keys(F.col("w"), F.col("n")))]
-    first = (lines.select("h", "n", "id", "rid", "pos", *keys)
+    texts = docs.select(F.coalesce(docs[id_col].cast("long"), F.lit(2**63 - 1)).alias("id"),
+                        F.xxhash64(docs[id_col], docs[text_col]).alias("rid"), docs[text_col].cast("binary").alias("text"))
+    cut = "id long, rid long, pos int, h long, n int"
+    first = (texts.mapInArrow(_lines(True), cut + ", k0 long, k1 long, k2 long, k3 long")
              .groupBy("h", "n").agg(F.min(F.struct("id", "rid", "pos", "k0", "k1", "k2", "k3")).alias("o"),
                                     F.count("*").alias("m")))
 
     # equal lines: everything behind the first occurrence
     again = first.where("m > 1").select(F.col("h").alias("h2"), F.col("n").alias("n2"),
                                         F.struct("o.id", "o.rid", "o.pos").alias("o"))
-    equal = (lines.select("h", "n", "id", "rid", "pos")
+    equal = (texts.mapInArrow(_lines(False), cut)
              .join(again, (F.col("h") == F.col("h2")) & (F.col("n") == F.col("n2")))
              .where(F.struct("id", "rid", "pos") > F.col("o")).select("rid", "pos"))
 
