@@ -169,7 +169,9 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
                        F.xxhash64(docs[id_col], docs[text_col]).alias("rid"))
     texts = docs.select(F.coalesce(docs[id_col].cast("long"), F.lit(2**63 - 1)).alias("id"),
                         F.xxhash64(docs[id_col], docs[text_col]).alias("rid"), docs[text_col].cast("binary").alias("text"))
-    cut = "id long, rid long, pos int, h long, n int"
+    # h and n are never null: with no filter on them below it, both uses of the
+    # aggregate share one exchange
+    cut = "id long, rid long, pos int, h long not null, n int not null"
     first = (texts.mapInArrow(_lines(True), cut + ", k0 long, k1 long, k2 long, k3 long")
              .groupBy("h", "n").agg(F.min(F.struct("id", "rid", "pos", "k0", "k1", "k2", "k3")).alias("o"),
                                     F.count("*").alias("m")))
