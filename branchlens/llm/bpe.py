@@ -4,8 +4,8 @@ A text is cut at special tokens, then into pre-tokens; a pre-token's bytes are
 a doubly linked list of symbols, and a priority queue of (merge rank, position)
 joins the best pair first. Entries whose symbols changed since they were pushed
 are stale and skipped, so a pre-token of n symbols costs O(n log n) however
-long it is. Decoding concatenates the vocabulary strings of the ids and maps
-them back to bytes.
+long it is. Decoding concatenates the vocabulary strings of the ids as
+bytes.
 
 The vocabulary file is a parameter; the driver reads it and ships its text as
 a broadcast variable (a file of about 1.5 MB, whatever the data). A worker
@@ -28,8 +28,9 @@ from pyspark.sql import types as T
 
 from branchlens.llm.common import free_name
 
-#: Pre-tokens a worker remembers (about 250 bytes each); the memo starts anew
-#: when it is full.
+#: Pre-tokens a worker remembers in each of two generations (about 250 bytes
+#: each). When the young one is full it replaces the old one; a pre-token found
+#: in the old one moves on, so frequent pre-tokens are never merged again.
 MEMO = 200_000
 #: Pre-tokens longer than this are not remembered.
 MEMO_CHARS = 64
@@ -57,13 +58,16 @@ class Codec:
         pairs = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in merges]
         self.ranks = {p: i for i, p in enumerate(pairs)}
         self.special = {t["content"]: t["id"] for t in model.get("added_tokens", [])}
-        self.strings = {i: s for s, i in self.vocab.items()} | {i: s for s, i in self.special.items()}
         self.alphabet = byte_alphabet()
-        self.bytes_of = {c: b for b, c in self.alphabet.items()}
+        of = {c: b for b, c in self.alphabet.items()}
+        # id -> bytes of its vocabulary string; special tokens stand for themselves
+        self.strings = {i: bytes(of[c] for c in s) for s, i in self.vocab.items() if s not in self.special}
+        self.strings |= {i: s.encode() for s, i in self.special.items()}
         self.find = regex.compile(PRETOKEN).findall
         self.cut = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") \
             if self.special else None
         self.memo: dict[str, tuple[tuple[int, ...], bytes]] = {}
+        self.old: dict[str, tuple[tuple[int, ...], bytes]] = {}
 
     def merge(self, pretoken: str) -> list[int]:
         sym = [self.alphabet[b] for b in pretoken.encode("utf-8")]
@@ -89,15 +93,17 @@ class Codec:
         return [self.vocab[s] for s in sym if s]
 
     def decode_bytes(self, ids) -> bytes:
-        """Vocabulary strings of the ids, concatenated and mapped to bytes."""
-        of = self.bytes_of
-        return bytes(of[c] for c in "".join([self.strings[i] for i in ids]))
+        """Vocabulary strings of the ids, concatenated."""
+        return b"".join([self.strings[i] for i in ids])
 
     def entry(self, pretoken: str):
-        ids = tuple(self.merge(pretoken))
-        got = ids, self.decode_bytes(ids)
+        got = self.old.get(pretoken)
+        if got is None:
+            ids = tuple(self.merge(pretoken))
+            got = ids, self.decode_bytes(ids)
         if len(pretoken) <= MEMO_CHARS:
             if len(self.memo) >= MEMO:
+                self.old = self.memo.copy()
                 self.memo.clear()
             self.memo[pretoken] = got
         return got
