@@ -31,7 +31,7 @@ from branchlens.llm.common import free_name
 #: Pre-tokens a worker remembers in each of two generations (about 250 bytes
 #: each). When the young one is full it replaces the old one; a pre-token found
 #: in the old one moves on, so frequent pre-tokens are never merged again.
-MEMO = 200_000
+MEMO = 100_000
 #: Pre-tokens longer than this are not remembered.
 MEMO_CHARS = 64
 

@@ -45,6 +45,8 @@ STEPS = 60
 MIN_DOCS, MIN_SHARE, RATIO = 3, 0.02, 30.0
 #: Background tokens after which messages have reached their fixed point.
 SETTLE = 24
+#: Tokens whose weight a task remembers (about 200 bytes each).
+MEMO = 100_000
 #: Tokens of one training sequence.
 PIECE = 64
 
@@ -88,7 +90,7 @@ class Field:
         if got is None:
             got = sum(self.weights.get(f, 0.0) for f in features(token))
             if len(token) <= 64:
-                if len(self.memo) > 300_000:
+                if len(self.memo) >= MEMO:
                     self.memo.clear()
                 self.memo[token] = got
         return got
@@ -272,6 +274,8 @@ def score_toxicity(df: DataFrame, field: Field | None, text_col: str = "text", o
                 s, spans = model.score(text.as_py()) if model else (0.0, [])
                 got.append({"score": s, "spans": [{"start": a, "end": b, "marginal": p} for a, b, p in spans]})
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(got, arrow)], names=[*batch.schema.names, name])
+        if model:
+            model.memo.clear()  # the worker goes on to other stages
 
     return df.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField(name, kind)]))
 
