@@ -47,18 +47,21 @@ def q_group_share_long(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @register("q_group_share_matrix", with_items(f"""
-PIVOT (SELECT branch, 'revshare_group__' || TRIM(grp) AS g, rev_share FROM sh WHERE grp IS NOT NULL) ON g
-USING COALESCE({R6("SUM(rev_share)", 9)}, 0) GROUP BY branch""", SHARES_CTE))
+SELECT b.branch, 'revshare_group__' || TRIM(g.grp) AS feature, COALESCE({R6("sh.rev_share", 9)}, 0) AS share
+FROM (SELECT DISTINCT branch FROM sh WHERE grp IS NOT NULL) b
+CROSS JOIN (SELECT DISTINCT grp FROM sh WHERE grp IS NOT NULL) g
+LEFT JOIN sh ON sh.branch = b.branch AND sh.grp = g.grp""", SHARES_CTE))
 def q_group_share_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Wide NMF input: one row per branch, ``revshare_group__<group>``
-    columns, 0 where the branch did not sell the group (J4). The pivot values
-    are the distinct groups of the aggregated shares (bounded by the group
-    domain); a NULL group counts in the branch total but gets no column."""
+    """NMF input, one row per matrix cell: branch, ``revshare_group__<group>``
+    and the share, 0 where the branch did not sell the group (J4). The columns
+    are the distinct groups of the aggregated shares, a scalar subquery; a
+    NULL group counts in the branch total but gets no column."""
     s = shares(spark, sf_dir).filter(F.col("grp").isNotNull())
-    groups = sorted(r[0] for r in s.select("grp").distinct().collect())
-    wide = s.groupBy("branch").pivot("grp", groups).agg(F.sum("rev_share"))
-    return wide.select("branch", *[F.coalesce(r6(F.col(f"`{g}`"), 9), F.lit(0.0)).alias(f"revshare_group__{g.strip()}")
-                                   for g in groups])
+    groups = s.select(F.sort_array(F.collect_set("grp"))).scalar()
+    cells = s.select("branch").distinct().select("branch", F.explode(groups).alias("grp"))
+    return cells.join(s, ["branch", "grp"], "left").select(
+        "branch", F.concat(F.lit("revshare_group__"), F.trim("grp")).alias("feature"),
+        F.coalesce(r6("rev_share", 9), F.lit(0.0)).alias("share"))
 
 
 def _x_long(spark: SparkSession, sf_dir: str) -> DataFrame:
