@@ -54,12 +54,22 @@ def _mode(base: DataFrame, keys: Sequence[str], col: str, alias: str) -> DataFra
     return c.withColumn("_r", F.row_number().over(w)).filter("_r = 1").select(*keys, F.col(col).alias(alias))
 
 
+def _null_safe_left(t: DataFrame, other: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Left join on ``keys`` in which a null key matches a null key."""
+    r = other.select(*[F.col(k).alias(f"_r_{k}") for k in keys], *[c for c in other.columns if c not in keys])
+    cond = None
+    for k in keys:
+        c = F.col(k).eqNullSafe(F.col(f"_r_{k}"))
+        cond = c if cond is None else cond & c
+    return t.join(r, cond, "left").drop(*[f"_r_{k}" for k in keys])
+
+
 def _rollup(base: DataFrame, keys: Sequence[str], extra=()) -> DataFrame:
     sums = [zero_sum(c).alias(c) for c in ("Sales", "Cost", "Profit", "Qty")]
     chan = [F.coalesce(F.sum(F.col(f"`{d}`")), F.lit(0.0)).alias(d) for d in DEPARTMENTS]
     t = base.groupBy(*keys).agg(*sums, *extra, *chan)
-    t = (t.join(_mode(base, keys, "category", "Category"), list(keys), "left")
-         .join(_mode(base, keys, "division", "Division"), list(keys), "left"))
+    for col, alias in (("category", "Category"), ("division", "Division")):
+        t = _null_safe_left(t, _mode(base, keys, col, alias), keys)
     return t.select(*keys, "Category", "Division", *[c for c in t.columns
                                                      if c not in (*keys, "Category", "Division")])
 
@@ -93,7 +103,7 @@ def branch_product_table(items: DataFrame, product: str = "product") -> DataFram
     totals = t.groupBy("branch").agg(
         F.sum("Sales").alias("BranchSales"),
         F.sum(F.greatest(F.col("Profit"), F.lit(0.0))).alias("BranchPositiveProfit"))
-    t = t.join(totals, "branch", "left")
+    t = _null_safe_left(t, totals, ["branch"])
     return (t
             .withColumn("SalesShareInBranch", guarded_ratio(F.col("Sales"), F.col("BranchSales"), 0.0))
             .withColumn("ProfitShareInBranch",
