@@ -13,7 +13,7 @@ def state_machine_14(rows):
     for desc, qty in rows:
         txt = (desc or "").strip()
         import re
-        m = re.match(rp.TOTAL_RE.replace("(?i)", ""), txt, re.I)
+        m = re.match(r"\s*total\s+by\s+(Branch|Department|Category|Division)\s*:?\s*$", txt, re.I)
         if m:
             out.append(tuple(cur[lv] for lv in LEVELS))
             idx = [x.lower() for x in LEVELS].index(m.group(1).lower())
