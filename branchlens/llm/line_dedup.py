@@ -8,10 +8,13 @@ id, then line number) is its duplicate; so the earliest of every group stays.
 The neighbourhood of a line are its variants with one word deleted, as hashed
 keys. A replaced word leaves both lines with the same variant at the same
 position; an inserted word makes the shorter line a variant of the longer one.
-So a key (variant, position), or the shorter line itself, brings together
-exactly the lines within the bound, and each line only has to be held against
-the earliest line of its key: no pairs inside a group are emitted. That pair's
-edit distance is then verified on the words.
+The lines of a key (variant, position) are all within the bound of each other,
+so each is held against the earliest of them. A key of the shorter line itself
+holds that line and the lines one word longer, which may be two edits from each
+other; so the longer ones are held against the shorter line, and that one
+against the earliest of them. Either way a line has one partner in a key: no
+pairs inside a group are emitted. That pair's edit distance is then verified on
+the words.
 
 Only lines that can have a partner get variants: of two lines within one edit,
 the first or the last half of the words agrees, so a line whose half keys
@@ -53,7 +56,8 @@ def neighbourhood(words: list[bytes], flags: int) -> np.ndarray:
     """Keys of a line's deletion neighbourhood, from prefix and suffix sums of
     a polynomial hash: (variant without word i, i) for every i the flags allow,
     and, where a partner may be one word longer or shorter, the variants alone
-    and the line itself."""
+    and, as the last key, the line itself. Only keys of the second kind are
+    odd."""
     import xxhash
     n = len(words)
     h = np.fromiter((xxhash.xxh64_intdigest(x, SEED) for x in words), np.uint64, n)
@@ -64,9 +68,11 @@ def neighbourhood(words: list[bytes], flags: int) -> np.ndarray:
     lo = 0 if flags & HEAD else n // 2
     hi = n if flags & TAIL else n - n // 2
     spot = np.arange(n, dtype=np.uint64)
-    keys = [_mix(gone[lo:hi] ^ _mix(spot[lo:hi] * np.uint64(4) + np.uint64(1)) ^ np.uint64(n - 1))]
+    odd = np.uint64(1)
+    keys = [_mix(gone[lo:hi] ^ _mix(spot[lo:hi] * np.uint64(4) + np.uint64(1)) ^ np.uint64(n - 1)) & ~odd]
     if flags & LENGTH:
-        keys += [np.unique(_mix(gone[lo:hi] ^ np.uint64((n - 1) * 8 + 2))), _mix(here[-1:] ^ np.uint64(n * 8 + 2))]
+        keys += [np.unique(_mix(gone[lo:hi] ^ np.uint64((n - 1) * 8 + 2)) | odd),
+                 _mix(here[-1:] ^ np.uint64(n * 8 + 2)) | odd]
     return np.concatenate(keys).view(np.int64)
 
 
@@ -77,6 +83,8 @@ def _cut(text, spots):
 
 
 def _variants(text_col):
+    """Rows (key, id, rid, at) of the wanted lines: at is twice the line's
+    number, plus one where the key is the line itself."""
     def run(batches):
         for batch in batches:
             keys, ids, rids, at = [], [], [], []
@@ -86,10 +94,11 @@ def _variants(text_col):
                     keys.append(k)
                     ids.append(np.full(len(k), r["id"]))
                     rids.append(np.full(len(k), r["rid"]))
-                    at.append(np.full(len(k), pos, np.int32))
+                    at.append(np.full(len(k), 2 * pos, np.int32))
+                    at[-1][-1] += bool(flags & LENGTH)
             if keys:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (keys, ids, rids, at)],
-                                                 names=["key", "id", "rid", "pos"])
+                                                 names=["key", "id", "rid", "at"])
     return run
 
 
@@ -196,12 +205,19 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
              .agg(F.bit_or(F.col("side").bitwiseOR(F.col("more"))).cast("int").alias("flags"))
              .groupBy("id", "rid").agg(F.collect_list(F.struct("pos", "flags")).alias("spots")))
 
-    # deletion neighbourhoods: every line against the earliest of its key
-    variants = base.join(spots, "rid").mapInArrow(_variants(text_col), "key long, id long, rid long, pos int")
-    o = F.struct("id", "rid", "pos")
-    lead = (variants.groupBy("key").agg(F.min(o).alias("lead"), F.max(o).alias("last"))
-            .where("lead < last").select("key", "lead"))
-    pairs = variants.join(lead, "key").where(o > F.col("lead")).select(o.alias("o"), "lead").distinct()
+    # deletion neighbourhoods: every line against the earliest of its key, or
+    # against the line that is the key (an odd key without that line has no pair)
+    variants = base.join(spots, "rid").mapInArrow(_variants(text_col), "key long, id long, rid long, at int")
+    o, own = F.struct("id", "rid", "at"), F.col("at") % 2 == 1
+    lead = (variants.groupBy("key").agg(F.min(o).alias("lead"), F.max(F.when(own, o)).alias("own"),
+                                        F.count("*").alias("m"))
+            .where("m > 1 AND (key & 1 = 0 OR own IS NOT NULL)").select("key", "lead", "own"))
+    partner = F.when(F.col("own").isNull() | own, F.col("lead")).otherwise(F.col("own"))
+
+    def line(x):
+        return F.struct(x["id"].alias("id"), x["rid"].alias("rid"), F.shiftright(x["at"], 1).alias("pos"))
+
+    pairs = variants.join(lead, "key").where(o > partner).select(line(o).alias("o"), line(partner).alias("lead")).distinct()
     want = (pairs.select(F.explode(F.array("o", "lead")).alias("x")).select("x.id", "x.rid", "x.pos").distinct()
             .groupBy("id", "rid").agg(F.collect_list(F.struct("pos", F.lit(0).alias("flags"))).alias("spots")))
     text = base.join(want, "rid").mapInArrow(_words_of(text_col), "rid long, pos int, w array<string>")

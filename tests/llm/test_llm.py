@@ -2,6 +2,7 @@
 and long texts, ties, repeated rows, empty tables, clashing extra columns."""
 
 import hashlib
+import itertools
 import re
 import zlib
 from collections import Counter
@@ -224,6 +225,39 @@ def test_neighbourhood_meets_within_one():
     assert not own & set(line_dedup.neighbourhood(words[::-1], every).tolist())
 
 
+def _within_one(a, b):
+    if a == b:
+        return True
+    if min(len(a), len(b)) < line_dedup.MIN_WORDS or abs(len(a) - len(b)) > 1:
+        return False
+    if len(a) == len(b):
+        return sum(x != y for x, y in zip(a, b)) == 1
+    a, b = sorted((a, b), key=len)
+    return any(b[:i] + b[i + 1:] == a for i in range(len(b)))
+
+
+def test_line_dedup_all_orders(spark):
+    rng = np.random.default_rng(4)
+    lines = []
+    for f, order in enumerate(itertools.permutations(range(4))):
+        s = [f"f{f}w{i}" for i in range(9)]
+        four = [s, *[s[:i] + [f"new{i}"] + s[i:] for i in (1, 4, 8)]]
+        lines += [four[i] for i in order]
+    for f in range(40):
+        s = [f"r{f}w{k}" for k in rng.integers(0, 4, int(rng.integers(7, 12)))]
+        family = [s]
+        for _ in range(9):
+            w = list(family[int(rng.integers(0, len(family)))])
+            i, new = int(rng.integers(0, len(w))), [f"r{f}w{rng.integers(0, 4)}"]
+            w[i:i + int(rng.integers(0, 2))] = new if rng.integers(0, 3) else []
+            family.append(w)
+        lines += [family[i] for i in rng.permutation(10)]
+    want = {i for i, w in enumerate(lines) if any(_within_one(v, w) for v in lines[:i])}
+    df = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(lines)], "doc_id long, text string").repartition(3)
+    got = {r["doc_id"] for r in line_dedup.line_report(df).collect() if r["n_kept"] < r["n_lines"]}
+    assert got == want
+
+
 def _toxic_docs():
     rng = np.random.default_rng(1)
     plain = [f"ord{i}" for i in range(200)]
