@@ -1,12 +1,15 @@
 """Mixing sources to target weights.
 
 Sainte-Lague apportionment in two steps. Every source has a target in words;
-whole passes over the source are taken first, the rest is apportioned as
-equal blocks of about BLOCK words: sources get blocks by the highest quotients
+whole passes over the source are taken first, the rest is apportioned in
+blocks of about BLOCK words: sources get blocks by the highest quotients
 v / (2j + 1), then the shards of a source share its blocks the same way, which
-gives an integer quota per shard. Within a shard a seeded affine permutation of
-the block numbers picks exactly that many blocks, so no sort and no random
-state is needed and reruns agree.
+gives an integer quota per shard. Within a shard whole documents fill that
+quota in a seeded order of their hashes, so no random state is needed and
+reruns agree. What is then missing is the document closest to it in size, if it
+is met within a block; otherwise the next document is cut at the line end
+closest to it. So all documents of a shard but one leave as exact copies, and
+no line is cut.
 
 The j-th highest quotients are found without a queue: for total votes V, M
 seats and n parties the last winning divisor lies between V / (M + n) and
@@ -14,9 +17,9 @@ V / (M - n), so each party has only a few undecided quotients; those are ranked
 and the rest is certain.
 
 A shard has a bounded number of documents (SHARD_DOCS on average, dealt by
-hash), whatever its source's size; block positions are running sums inside a
-shard. Only sizes travel, never texts, until ``apply_mix`` joins the picked
-word ranges back.
+hash), whatever its source's size; the words before a document are a running
+sum inside a shard. Only sizes travel, never texts, until ``apply_mix`` joins the
+plan back; the report reads the texts of the documents to be cut only.
 
 Defined results: null or blank texts have size 0 and take nothing; a null
 source is a source of its own, last in order; rows that agree in id, source and
@@ -27,7 +30,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from branchlens.llm.common import n_words, words
+from branchlens.llm.common import n_words
 
 WEIGHTS = (3, 1, 2)
 SHARE = 1.5
@@ -35,9 +38,6 @@ MAX_PASSES = 2
 BLOCK = 16
 SHARD_DOCS = 4096
 SEED = 20_240_607
-#: Multipliers of the block permutation (primes above any block count of a
-#: shard); the seed and shard choose one.
-PRIMES = (2_147_483_629, 2_147_483_587, 2_147_483_579, 2_147_483_563)
 
 
 def fingerprint(text: str = "text", source: str = "source") -> Column:
@@ -98,30 +98,28 @@ def sainte_lague(parties: DataFrame, group: list[str], party: list[str], votes:
             .drop("_v", "_n", "_sure", "_last", "_won", *["_" + c for c in keys]))
 
 
-def _ranges(first: Column, size: Column) -> Column:
-    """Word ranges of one document in the picked blocks of its shard, merged
-    where blocks touch: array of (from, upto), relative to the document."""
-    n, total = F.col("n_blocks"), F.col("shard_size")
+def _cut(text: Column, wanted: Column) -> Column:
+    """(lines, words) of the beginning of a text that ends at the line end
+    closest to so many words; the earlier one of equally close ends."""
+    start = F.struct(F.lit(0).alias("i"), F.lit(0).cast("long").alias("n"), F.lit(0).alias("lines"),
+                     F.lit(0).cast("long").alias("words"))
 
-    def edge(j):
-        return F.floor(j * total / n).cast("long")
+    def step(s, size):
+        i, n = s["i"] + 1, s["n"] + size
+        closer = F.abs(n - wanted) < F.abs(s["words"] - wanted)
+        return F.struct(i.alias("i"), n.alias("n"), F.when(closer, i).otherwise(s["lines"]).alias("lines"),
+                        F.when(closer, n).otherwise(s["words"]).alias("words"))
 
-    def picked(j):
-        return F.pmod(j * F.col("mult") + F.col("shift"), n) < F.col("quota")
-
-    # the block that holds word x is about x * n / total; one earlier is safe
-    from_block = F.greatest(F.floor(first * n / total).cast("long") - 1, F.lit(0))
-    to_block = F.least(F.floor((first + size) * n / total).cast("long") + 1, n - 1)
-    cut = F.transform(F.filter(F.sequence(from_block, to_block), picked), lambda j: F.struct(
-        F.greatest(edge(j) - first, F.lit(0)).alias("a"), F.least(edge(j + 1) - first, size).alias("b")))
-    return F.filter(cut, lambda r: r["b"] > r["a"])
+    sizes = F.transform(F.split(text, "\n", -1), n_words)
+    return F.aggregate(sizes, start, step, lambda s: F.struct(s["lines"].alias("lines"), s["words"].alias("words")))
 
 
 def plan_mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, passes: int = MAX_PASSES,
              block: int = BLOCK, seed: int = SEED) -> DataFrame:
     """One row per distinct (doc_id, source, text): doc_id, source, print,
-    size, copies, source_size, target, whole passes, ranges of words taken once
-    more, taken. ``copies`` is the number of rows that agree."""
+    size, copies, source_size, target, whole passes, and ``more``, the words
+    wanted once more: none, all, or as many as the line end closest to them
+    gives. ``copies`` is the number of rows that agree."""
     d = (docs.select("doc_id", "source", fingerprint().alias("print"), n_words(F.col("text")).alias("size"))
          .groupBy("doc_id", "source", "print", "size").agg(F.count("*").alias("copies")))
     per = targets(d, weights, share, passes)
@@ -138,51 +136,61 @@ def plan_mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, passes: int
     d = d.withColumn("shard", F.pmod(F.xxhash64(F.lit(seed), "doc_id", "print"), F.col("n_shards")))
     shards = d.groupBy("source", "shard").agg(F.sum("size").alias("shard_size"), F.first("blocks").alias("blocks"))
     shards = sainte_lague(shards, ["source"], ["shard"], "shard_size", "blocks").drop("blocks")
-    shards = (shards.withColumn("n_blocks", F.greatest(F.round(F.col("shard_size") / block), F.lit(1)).cast("long"))
-              .withColumn("quota", F.least("quota", "n_blocks"))
-              .withColumn("h", F.xxhash64(F.lit(seed), "source", "shard"))
-              .withColumn("mult", F.array(*[F.lit(p) for p in PRIMES])[F.pmod(F.col("h"), F.lit(len(PRIMES))).cast("int")].cast("long"))
-              .withColumn("shift", F.pmod(F.shiftright("h", 8), F.col("n_blocks")))
-              .select(F.col("source").alias("s2"), F.col("shard").alias("h2"), "shard_size", "n_blocks", "quota",
-                      "mult", "shift"))
+    n_blocks = F.greatest(F.round(F.col("shard_size") / block), F.lit(1)).cast("long")
+    shards = shards.select(F.col("source").alias("s2"), F.col("shard").alias("h2"),
+                           F.floor(F.least("quota", n_blocks) * F.col("shard_size") / n_blocks).cast("long").alias("fill"))
     d = d.join(shards, F.col("source").eqNullSafe(F.col("s2")) & (F.col("shard") == F.col("h2"))).drop("s2", "h2")
-    run = (Window.partitionBy("source", "shard")
-           .orderBy(F.xxhash64(F.lit(seed), "doc_id"), "doc_id", "print")
+    shard = Window.partitionBy("source", "shard")
+    run = (shard.orderBy(F.xxhash64(F.lit(seed), "doc_id"), "doc_id", "print")
            .rowsBetween(Window.unboundedPreceding, -1))
     d = d.withColumn("first", F.coalesce(F.sum("size").over(run), F.lit(0)).cast("long"))
-    d = d.withColumn("ranges", F.when(F.col("size") > 0, _ranges(F.col("first"), F.col("size")))
-                     .otherwise(F.array().cast("array<struct<a:bigint,b:bigint>>")))
-    extra = F.aggregate("ranges", F.lit(0).cast("long"), lambda acc, r: acc + r["b"] - r["a"])
-    return d.select("doc_id", "source", "print", "size", "copies", "source_size", "target", "passes", "ranges",
-                    (F.col("passes") * F.col("size") + extra).cast("long").alias("taken"))
+    fits = F.col("first") + F.col("size") <= F.col("fill")
+    d = d.withColumn("rest", F.col("fill") - F.coalesce(
+        F.max(F.when(fits, F.col("first") + F.col("size"))).over(shard), F.lit(0).cast("long")))
+    # documents without words share the start of the next one
+    d = d.withColumn("near", F.min(F.when(~fits, F.struct(
+        F.abs(F.col("size") - F.col("rest")).alias("gap"), F.col("first").alias("at")))).over(shard))
+    gap, is_near = F.col("near.gap"), F.col("near.at") == F.col("first")
+    more = (F.when(fits, F.col("size"))
+            .when((gap <= block) & (gap < F.col("rest")), F.when(is_near & (F.col("size") > 0), F.col("size")))
+            .when((F.col("rest") > block) & (F.col("first") < F.col("fill")), F.col("rest")))
+    return d.select("doc_id", "source", "print", "size", "copies", "source_size", "target", "passes",
+                    F.coalesce(more, F.lit(0)).cast("long").alias("more"))
 
 
 def mix_report(docs: DataFrame) -> DataFrame:
     """The contract's columns, one row per document."""
     plan = plan_mix(docs)
+    # one row a shard at most, and none where a whole document is close enough
+    open_ = plan.where("more > 0 AND more < size").select(
+        F.col("doc_id").alias("d2"), F.col("print").alias("p2"), F.col("more").alias("wanted"))
+    texts = docs.select("doc_id", "text", fingerprint().alias("print"))
+    cuts = (texts.join(F.broadcast(open_), F.col("doc_id").eqNullSafe(F.col("d2")) & (F.col("print") == F.col("p2")))
+            .select("d2", "p2", _cut(F.col("text"), F.col("wanted"))["words"].alias("cut")).distinct())
+    plan = plan.join(F.broadcast(cuts), F.col("doc_id").eqNullSafe(F.col("d2")) & (F.col("print") == F.col("p2")), "left")
+    taken = F.col("passes") * F.col("size") + F.coalesce("cut", "more")
     each = F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))
-    return (plan.select("doc_id", "size", "source_size", "target", "taken", each.alias("_"))
+    return (plan.select("doc_id", "size", "source_size", "target", taken.cast("long").alias("taken"), each.alias("_"))
             .drop("_"))
 
 
 def apply_mix(docs: DataFrame, **how) -> DataFrame:
     """The mixed rows, with the columns of ``docs``: a document appears once
-    for each whole pass and once more with the words of its picked ranges
-    (the whole text where the ranges cover it). Documents with no taken words
+    for each whole pass and once more if it is picked, whole or, for one
+    document of a shard, up to the end of a line. Documents with no taken words
     leave."""
-    plan = plan_mix(docs, **how).where("taken > 0").select(
-        F.struct("size", "passes", "ranges").alias("_mix"), F.col("doc_id").alias("_mix_id"),
+    plan = plan_mix(docs, **how).where("size > 0 AND passes + more > 0").select(
+        F.struct("size", "passes", "more").alias("_mix"), F.col("doc_id").alias("_mix_id"),
         F.col("print").alias("_mix_print"))
     d = docs.select(F.struct(*docs.columns).alias("_row"), F.col("doc_id").alias("_row_id"),
                     fingerprint().alias("_row_print"))
     d = d.join(plan, F.col("_row_id").eqNullSafe(F.col("_mix_id")) & (F.col("_row_print") == F.col("_mix_print")))
-    text, size, passes, ranges = (F.col(c) for c in ("_row.text", "_mix.size", "_mix.passes", "_mix.ranges"))
+    text, size, passes, more = (F.col(c) for c in ("_row.text", "_mix.size", "_mix.passes", "_mix.more"))
     whole = F.array_repeat(text, passes.cast("int"))
-    extra_words = F.aggregate(ranges, F.lit(0).cast("long"), lambda acc, r: acc + r["b"] - r["a"])
-    part = F.transform(F.array(words(text)), lambda w: F.array_join(F.flatten(F.transform(
-        ranges, lambda r: F.slice(w, (r["a"] + 1).cast("int"), (r["b"] - r["a"]).cast("int")))), " "))
-    extra = (F.when(extra_words == 0, F.array().cast("array<string>"))
-             .when(extra_words >= size, F.array(text)).otherwise(part))
+    part = F.transform(F.array(_cut(text, more)), lambda c: F.array_join(
+        F.slice(F.split(text, "\n", -1), F.lit(1), c["lines"]), "\n"))
+    extra = (F.when(more == 0, F.array().cast("array<string>")).when(more >= size, F.array(text))
+             .otherwise(F.filter(part, lambda t: n_words(t) > 0)))
     out = d.select("_row", F.explode(F.concat(whole, extra)).alias("_text"))
     cols = []
     for c in docs.columns:

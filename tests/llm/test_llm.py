@@ -164,6 +164,35 @@ def test_mixing(spark, docs, none):
     assert mixing.mix_report(none).count() == 0
 
 
+def test_mixing_keeps_documents_whole(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "SHARD_DOCS", 30)
+    rng = np.random.default_rng(6)
+    rows = []
+    for i in range(300):
+        lines = [" \t".join(f"d{i}w{k}" for k in range(int(rng.integers(0, 60)))) for _ in range(int(rng.integers(1, 9)))]
+        rows.append((i, "\n".join(lines) + "  \n" * (i % 2), f"s{min(i % 25, 3)}"))
+    # too few documents to meet the quota without a cut
+    rows += [(1000 + i, "\n".join(f" l{j}  d{i} a b c d e f g h" for j in range(200 + 70 * i)), "t") for i in range(3)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)
+    plan = {r["doc_id"]: r for r in mixing.plan_mix(df).collect()}
+    report = {r["doc_id"]: r["taken"] for r in mixing.mix_report(df.repartition(5)).collect()}
+    texts = {i: t for i, t, _ in rows}
+    got, cut = Counter(), Counter()
+    for r in mixing.apply_mix(df).collect():
+        full = texts[r["doc_id"]]
+        got[r["doc_id"]] += len(r["text"].split())
+        if r["text"] != full:
+            assert full.startswith(r["text"]) and full[len(r["text"])] == "\n"
+            cut[r["source"]] += 1
+    assert all(report[i] == got[i] for i in report)
+    n = Counter(s for *_, s in rows)
+    assert cut["t"] == 1 and all(c <= -(-n[s] // 30) for s, c in cut.items())
+    for s in n:
+        mine = [i for i, _, x in rows if x == s]
+        target, shards = plan[mine[0]]["target"], -(-n[s] // 30)
+        assert abs(sum(got[i] for i in mine) - target) <= (mixing.BLOCK + 30) * (shards + 1)
+
+
 def _sainte_lague(votes, seats):
     won = [0] * len(votes)
     for _ in range(seats):
