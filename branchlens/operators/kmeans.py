@@ -2,24 +2,24 @@
 
 One model per (group, k, restart) is fitted at the same time:
 
-* points: (group..., id, x array<double>) - partitioned as read, never
-  collected;
-* centres: (group..., k, r, centers array<array<double>>) - one row per model,
-  #groups x |K| x R rows, so it is tiny; its row count is checked before it is
-  broadcast, otherwise the join is left to AQE (skew join on).
-
-An iteration is: join points to their group's models, distances to all k
-centres with higher-order functions (JVM codegen, no Python), ``argmin`` per
-row, partial+final ``avg`` per (model, cluster), empty clusters keep their old
-centre. The centre table is checkpointed reliably into the shared checkpoint
+* points: (group..., x) in blocks of about BLOCK_POINTS points of a group, dealt
+  by the hash of their id, never collected;
+* models: (group..., k, r, c array<double>, moving) - one row per model,
+  #groups x |K| x R rows; c holds its centres one after the other.
+
+An iteration joins every block to the one nested array of its group's moving
+models, finds the nearest centre of each point for all of them at once (NumPy,
+equal distances go to the first centre) and emits sums per (model, cluster), so
+no point is copied or shuffled; an empty cluster keeps its centre. A model is
+frozen once its summed squared centre shift is <= tol; the fit ends when none
+moves. The model table is checkpointed reliably into the shared checkpoint
 folder every iteration, so the lineage stays one iteration deep and a lost
 executor recomputes at most one step.
 
-Initialisation: k distinct points with the smallest ``xxhash64(id, k, r, seed)``
-per model (a per-group top-k, planned as a partial ``WindowGroupLimit`` before
-the shuffle, so a hot group is never gathered in one task). Several restarts,
-lowest inertia wins. This replaces k-means++ (a sequential, driver-side
-seeding), a stated deviation; results are deterministic.
+Initialisation: the k points with the smallest hash of (id, k, r, seed) per
+model, k of each block being compared. Several restarts, lowest inertia wins.
+This replaces k-means++ (a sequential, driver-side seeding), a stated deviation;
+results are deterministic.
 
 Silhouette uses squared Euclidean distances (the definition of Spark ML's
 ``ClusteringEvaluator``), computed from per-cluster sufficient statistics in
@@ -31,6 +31,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -41,6 +43,7 @@ import logging
 
 log = logging.getLogger(__name__)
 BROADCAST_MAX_CELLS = 4_000_000   # centre doubles that may be broadcast
+BLOCK_POINTS = 2048               # points of a group that are held against its models together
 
 
 # --------------------------------------------------------------- features (L1)
@@ -81,19 +84,12 @@ def _sqdist(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda u, v: (u - v) * (u - v)), F.lit(0.0), lambda s, v: s + v)
 
 
-def _centres_long(models: DataFrame, group: list[str], p: int) -> DataFrame:
-    """One row per (model, cluster) with the centre as plain columns c<i>."""
-    return (models.select(*group, "k", "r", F.posexplode("centers").alias("cid", "center"))
-            .select(*group, "k", "r", F.col("cid").cast("int").alias("cid"),
-                    *[F.col("center")[i].alias(f"c{i}") for i in range(p)]))
-
-
 def _flat_points(pts: DataFrame, p: int) -> DataFrame:
     return pts.select("*", *[F.col("x")[i].alias(f"f{i}") for i in range(p)])
 
 
 def nearest(flat: DataFrame, cent: DataFrame, group: list[str], id_col: str, p: int,
-            n_cells: int, carry: bool = False) -> DataFrame:
+            n_cells: int) -> DataFrame:
     """(group, id, k, r, cluster, dist): nearest centre per point and model.
 
     Points are joined to their group's centre rows (broadcast when the centre
@@ -110,16 +106,11 @@ def nearest(flat: DataFrame, cent: DataFrame, group: list[str], id_col: str, p:
     for i in range(p):
         t = (F.col(f"f{i}") - F.col(f"c{i}")) * (F.col(f"f{i}") - F.col(f"c{i}"))
         dist = t if dist is None else dist + t
-    fs = [f"f{i}" for i in range(p)] if carry else []
-    j = j.select(*group, id_col, "k", "r", "cid", dist.alias("d"), *fs)
+    j = j.select(*group, id_col, "k", "r", "cid", dist.alias("d"))
     # fixed-width buffers keep this a hash aggregate (a struct ordering would
     # force a sort-based one); exact distance ties pick either centre
     return (j.groupBy(*group, id_col, "k", "r")
-            .agg(F.min_by("cid", "d").alias("cluster"), F.min("d").alias("dist"), *[F.first(f).alias(f) for f in fs]))
-
-
-def _maybe_broadcast(models: DataFrame, n_models: int, p: int, k_max: int) -> DataFrame:
-    return F.broadcast(models) if n_models * k_max * p <= BROADCAST_MAX_CELLS else models
+            .agg(F.min_by("cid", "d").alias("cluster"), F.min("d").alias("dist")))
 
 
 def _model_grid(points: DataFrame, group: list[str], k_values: Sequence[int], restarts: int,
@@ -132,64 +123,111 @@ def _model_grid(points: DataFrame, group: list[str], k_values: Sequence[int], re
             .select(*group, "n", "kr.k", "kr.r").filter(F.col("k") <= F.col("n") - 1))
 
 
+def _hash(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return h ^ (h >> np.uint64(31))
+
+
+def _starts(group: list[str], seed: int):
+    """Blocks with their group's models to (group, k, r, h, x): of each block
+    the k points with the smallest hash per model."""
+    def run(batches):
+        for batch in batches:
+            for row in batch.to_pylist():
+                h = np.array([q["h"] for q in row["pts"]], np.int64).view(np.uint64)
+                rows = []
+                for m in row["models"]:
+                    mine = _hash(h ^ _hash(np.array([(m["k"] << 32) + (m["r"] << 16) + seed + 1], np.uint64)))
+                    rows += [(m["k"], m["r"], int(mine[i].view(np.int64)), row["pts"][i]["x"])
+                             for i in np.argsort(mine, kind="stable")[:m["k"]]]
+                k, r, key, x = zip(*rows)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([row[c]] * len(k), batch.schema.field(c).type) for c in group]
+                    + [pa.array(k, pa.int32()), pa.array(r, pa.int32()), pa.array(key, pa.int64()),
+                       pa.array(x, pa.list_(pa.float64()))], names=[*group, "k", "r", "h", "x"])
+    return run
+
+
+def _sums(group: list[str], p: int):
+    """Blocks with their group's models to (group, k, r, cid, n, sse, s0, ...):
+    points, squared distances and coordinate sums of each cluster."""
+    def run(batches):
+        for batch in batches:
+            for row in batch.to_pylist():
+                x = np.array([q["x"] for q in row["pts"]], float)
+                for k in sorted({m["k"] for m in row["models"]}):
+                    mine = [m for m in row["models"] if m["k"] == k]
+                    c = np.array([m["c"] for m in mine], float).reshape(len(mine), k, p)
+                    d = np.zeros((len(x), len(mine), k))
+                    for i in range(p):
+                        d += (x[:, i, None, None] - c[None, :, :, i]) ** 2
+                    at = (d.argmin(axis=2) + k * np.arange(len(mine))).ravel()
+                    size = len(mine) * k
+                    cols = [np.bincount(at, minlength=size), np.bincount(at, d.min(axis=2).ravel(), size)]
+                    cols += [np.bincount(at, np.repeat(x[:, i], len(mine)), size) for i in range(p)]
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([row[g]] * size, batch.schema.field(g).type) for g in group]
+                        + [pa.array(np.full(size, k, np.int32)),
+                           pa.array(np.repeat(np.array([m["r"] for m in mine], np.int32), k)),
+                           pa.array(np.tile(np.arange(k, dtype=np.int32), len(mine)))] + [pa.array(v) for v in cols],
+                        names=[*group, "k", "r", "cid", "n", "sse", *[f"s{i}" for i in range(p)]])
+    return run
+
+
 def fit_kmeans(points: DataFrame, group: Sequence[str], id_col: str, k_values: Sequence[int],
                restarts: int = 4, max_iter: int = 20, tol: float = 1e-4, seed: int = 42,
-               min_points: int = 2, check_every: int = 3) -> tuple[DataFrame, DataFrame]:
+               min_points: int = 2) -> tuple[DataFrame, DataFrame]:
     """Fit every (group, k, restart) model. Returns (models, points) where
     models = (group, k, r, n, centers, inertia) and points is the cut-lineage
     points table."""
     g = list(group)
     pts = cut_lineage(points.select(*g, id_col, "x"))
+    some = pts.select("x").first()
+    p = len(some[0]) if some else 0
     grid = cut_lineage(_model_grid(pts, g, k_values, restarts, min_points))
-    n_models = grid.count()
-    p = len(pts.select("x").first()[0]) if n_models else 0
-    k_max = max(k_values)
-
-    # init: per model the k points with the smallest hash
-    cand = (pts.join(grid.select(*g, "k", "r"), g)
-            .withColumn("h", F.xxhash64(F.col(id_col).cast("string"), "k", "r", F.lit(seed))))
-    w = Window.partitionBy(*g, "k", "r").orderBy("h", id_col)
-    init = (cand.withColumn("rn", F.row_number().over(w)).filter(F.col("rn") <= F.col("k"))
-            .groupBy(*g, "k", "r")
-            .agg(F.array_sort(F.collect_list(F.struct("rn", "x"))).alias("s"))
-            .select(*g, "k", "r", F.transform("s", lambda e: e["x"]).alias("centers")))
-    # centres in long form (group, k, r, cid, center): the join side of the
-    # assignment and the table updated in place every iteration
-    cent = cut_lineage(init.select(*g, "k", "r", F.posexplode("centers").alias("cid", "center"))
-                       .withColumn("cid", F.col("cid").cast("int")))
-
-    flat = cut_lineage(_flat_points(pts, p))
-    n_cells = n_models * k_max * p
-    active = None            # models still moving; None = all
+    keys = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pts.select(*g).schema.fields)
+
+    h = F.xxhash64(F.col(id_col).cast("string"))
+    sizes = grid.select(*g, "n").distinct()
+    blocks = cut_lineage(pts.join(sizes, g)
+                         .groupBy(*g, F.pmod(h, F.ceil(F.col("n") / BLOCK_POINTS)).alias("block"))
+                         .agg(F.sort_array(F.collect_list(F.struct(h.alias("h"), "x"))).alias("pts")))
+
+    def with_models(m: DataFrame, *cols: str) -> DataFrame:
+        return blocks.join(m.groupBy(*g).agg(F.collect_list(F.struct("k", "r", *cols)).alias("models")), g)
+
+    w = Window.partitionBy(*g, "k", "r").orderBy("h")       # bounded: k rows per block
+    first = (with_models(grid).mapInArrow(_starts(g, seed), f"{keys}, k int, r int, h long, x array<double>")
+             .withColumn("rn", F.row_number().over(w)).filter(F.col("rn") <= F.col("k"))
+             .groupBy(*g, "k", "r").agg(F.array_sort(F.collect_list(F.struct("rn", "x"))).alias("s")))
+    models = cut_lineage(first.select(*g, "k", "r", F.flatten(F.transform("s", lambda e: e["x"])).alias("c"),
+                                      F.lit(True).alias("moving")))
+
+    def step(m: DataFrame) -> DataFrame:
+        out = with_models(m, "c").mapInArrow(_sums(g, p), f"{keys}, k int, r int, cid int, n long, sse double, "
+                                             + ", ".join(f"s{i} double" for i in range(p)))
+        per = out.groupBy(*g, "k", "r", "cid").agg(F.sum("n").alias("n"), F.sum("sse").alias("sse"),
+                                                   *[F.sum(f"s{i}").alias(f"s{i}") for i in range(p)])
+        mean = F.when(F.col("n") > 0, F.array(*[F.col(f"s{i}") / F.col("n") for i in range(p)]))
+        return (per.select(*g, "k", "r", "cid", "sse", mean.alias("mean")).groupBy(*g, "k", "r")
+                .agg(F.sum("sse").alias("inertia"), F.array_sort(F.collect_list(F.struct("cid", "mean"))).alias("s")))
+
+    left = models.count()
     for it in range(max_iter):
-        moving = cent if active is None else cent.join(F.broadcast(active), [*g, "k", "r"])
-        a = nearest(flat, moving, g, id_col, p, n_cells, carry=True)
-        upd = (a.groupBy(*g, "k", "r", "cluster")
-               .agg(*[F.avg(f"f{i}").alias(f"c{i}") for i in range(p)])
-               .select(*g, "k", "r", F.col("cluster").alias("cid"),
-                       F.array(*[F.col(f"c{i}") for i in range(p)]).alias("new_center")))
-        merged = cut_lineage(
-            cent.join(upd, [*g, "k", "r", "cid"], "left")
-            .select(*g, "k", "r", "cid", "center", F.coalesce("new_center", "center").alias("new_center")))
-        cent = merged.select(*g, "k", "r", "cid", F.col("new_center").alias("center"))
-        if (it + 1) % check_every == 0 or it + 1 == max_iter:
-            # a model whose summed squared centre shift is <= tol is converged
-            # and frozen: later iterations only join the moving ones
-            shifts = (merged.groupBy(*g, "k", "r")
-                      .agg(F.sum(_sqdist(F.col("center"), F.col("new_center"))).alias("s")))
-            still = shifts.filter(F.col("s") > tol).select(*g, "k", "r")
-            if active is not None:
-                still = still.join(active, [*g, "k", "r"])
-            active = cut_lineage(still)
-            if active.limit(1).count() == 0:
-                break
-    log.info("k-means stopped after %d iterations", it + 1)
-    models = (cent.groupBy(*g, "k", "r")
-              .agg(F.array_sort(F.collect_list(F.struct("cid", "center"))).alias("s"))
-              .select(*g, "k", "r", F.transform("s", lambda e: e["center"]).alias("centers")))
-    assigned = assign(pts, models, g, id_col, n_models, p, k_max)
-    inertia = assigned.groupBy(*g, "k", "r").agg(F.sum("dist").alias("inertia"))
-    models = models.join(inertia, [*g, "k", "r"]).join(grid.select(*g, "k", "r", "n"), [*g, "k", "r"])
+        if not left:
+            break
+        new = F.flatten(F.transform("s", lambda e: F.coalesce(e["mean"], F.slice("c", e["cid"] * p + 1, p))))
+        moved = models.join(step(models.filter("moving")).drop("inertia"), [*g, "k", "r"], "left").select(
+            *g, "k", "r", "c", F.coalesce(new, "c").alias("new"))
+        models = cut_lineage(moved.select(*g, "k", "r", F.col("new").alias("c"),
+                                          (_sqdist(F.col("c"), F.col("new")) > tol).alias("moving")))
+        left = models.filter("moving").count()
+    log.info("k-means: %d models not converged", left)
+    centers = F.transform(F.sequence(F.lit(0), F.col("k") - 1), lambda i: F.slice("c", i * p + 1, p))
+    done = step(models).select(*g, "k", "r", "inertia")
+    models = (models.select(*g, "k", "r", centers.alias("centers")).join(done, [*g, "k", "r"])
+              .join(grid.select(*g, "k", "r", "n"), [*g, "k", "r"]))
     return cut_lineage(models), pts
 
 

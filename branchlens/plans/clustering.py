@@ -32,8 +32,8 @@ K_VALUES = tuple(range(3, 9))
 MIN_PRODUCTS = 30
 MIN_CLUSTER_RATIO = 0.05
 CLIP_QUANTILE = 0.01
-RESTARTS = 2
-MAX_ITER = 15
+RESTARTS = 80      # as many as the reference
+MAX_ITER = 300     # the reference's limit; fits end when no model moves
 PRODUCT_GRAIN = "family"
 
 
@@ -163,7 +163,7 @@ def _opening(spark: SparkSession, sf_dir: str):
     feats = ts.opening_features(monthly, "product").withColumn("grp", F.lit(ALL_BRANCHES_LABEL))
     pts = km.feature_matrix(feats.withColumnRenamed("product", "Product"), ["grp"], "Product",
                             OPENING_FEATURES, clip_quantile=0.0)
-    models, pts = km.fit_kmeans(pts, ["grp"], "Product", [OPENING_K], restarts=4, max_iter=MAX_ITER)
+    models, pts = km.fit_kmeans(pts, ["grp"], "Product", [OPENING_K], restarts=RESTARTS, max_iter=MAX_ITER)
     best = km.best_restart(models, ["grp"])
     a = km.assign(pts, best.withColumn("r", F.lit(0)), ["grp"], "Product", 1, len(OPENING_FEATURES), OPENING_K)
     clusters = a.select(F.col("Product").alias("product"), F.col("cluster"))

@@ -52,6 +52,38 @@ def test_kmeans_and_silhouette(spark):
     assert abs(np.mean(s) - sil) < 1e-9
 
 
+def _lloyd(x, c):
+    while True:
+        at = ((x[:, None] - c[None]) ** 2).sum(-1).argmin(1)
+        new = np.array([x[at == j].mean(0) if (at == j).any() else c[j] for j in range(len(c))])
+        if ((new - c) ** 2).sum() <= 1e-4:
+            return ((x[:, None] - new[None]) ** 2).sum(-1).min(1).sum()
+        c = new
+
+
+def test_kmeans_runs_to_convergence(spark, monkeypatch):
+    from branchlens.plans import clustering as cl
+    monkeypatch.setattr(km, "BLOCK_POINTS", 50)
+    rng = np.random.default_rng(7)
+    x = {b: rng.normal(size=(n, 3)) * rng.integers(1, 4, size=(n, 1)) for b, n in (("a", 170), ("b", 40))}
+    df = spark.createDataFrame([(b, f"p{i}", [float(v) for v in row]) for b, m in x.items() for i, row in enumerate(m)],
+                               "branch string, Product string, x array<double>")
+    models, _ = km.fit_kmeans(df, ["branch"], "Product", [4, 7], restarts=cl.RESTARTS, max_iter=cl.MAX_ITER)
+    rows = models.collect()
+    assert len(rows) == 2 * 2 * cl.RESTARTS
+    for r in rows:
+        c, pts = np.array(r["centers"]), x[r["branch"]]
+        d = ((pts[:, None] - c[None]) ** 2).sum(-1)
+        assert abs(d.min(1).sum() - r["inertia"]) < 1e-9
+        at = d.argmin(1)
+        again = np.array([pts[at == j].mean(0) if (at == j).any() else c[j] for j in range(len(c))])
+        assert ((again - c) ** 2).sum() <= 1e-3
+    for b, k in (("a", 4), ("a", 7), ("b", 4), ("b", 7)):
+        best = min(r["inertia"] for r in rows if (r["branch"], r["k"]) == (b, k))
+        other = min(_lloyd(x[b], x[b][rng.choice(len(x[b]), k, replace=False)]) for _ in range(80))
+        assert best <= 1.01 * other
+
+
 def test_sinks_roundtrip(spark, tmp_path):
     from branchlens import sinks
     df = spark.createDataFrame([("b1", 1, 2.0), ("b2", 2, 1.0), ("b1", 3, 0.5)], "branch string, K int, v double")
