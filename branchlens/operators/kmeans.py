@@ -123,22 +123,22 @@ def _model_grid(points: DataFrame, group: list[str], k_values: Sequence[int], re
             .select(*group, "n", "kr.k", "kr.r").filter(F.col("k") <= F.col("n") - 1))
 
 
-def _hash(h: np.ndarray) -> np.ndarray:
-    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return h ^ (h >> np.uint64(31))
-
-
 def _starts(group: list[str], seed: int):
     """Blocks with their group's models to (group, k, r, h, x): of each block
-    the k points with the smallest hash per model."""
+    the k points with the smallest hash per model. Nothing of this module is
+    used inside, so workers need not import the package."""
+    def mix(h):
+        h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        return h ^ (h >> np.uint64(31))
+
     def run(batches):
         for batch in batches:
             for row in batch.to_pylist():
                 h = np.array([q["h"] for q in row["pts"]], np.int64).view(np.uint64)
                 rows = []
                 for m in row["models"]:
-                    mine = _hash(h ^ _hash(np.array([(m["k"] << 32) + (m["r"] << 16) + seed + 1], np.uint64)))
+                    mine = mix(h ^ mix(np.array([(m["k"] << 32) + (m["r"] << 16) + seed + 1], np.uint64)))
                     rows += [(m["k"], m["r"], int(mine[i].view(np.int64)), row["pts"][i]["x"])
                              for i in np.argsort(mine, kind="stable")[:m["k"]]]
                 k, r, key, x = zip(*rows)
