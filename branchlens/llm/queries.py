@@ -8,20 +8,20 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from branchlens.llm import (bpe, line_dedup, mixing, near_dup, pii, quality_classifier, quality_rules, topk, toxicity,
-                            warc)
+from branchlens.llm import (alignment, bpe, line_dedup, mixing, near_dup, packing, pii, quality_classifier,
+                            quality_rules, topk, toxicity, warc)
 from branchlens.llm.common import table
 from branchlens.session import ensure_checkpoint_dir
 
-#: Vocabulary file of the encoder; None: the installed public tokenizers.
-VOCABULARY: str | None = None
+#: Folder of the vocabulary files; None: the installed public tokenizers.
+VOCABULARIES: str | None = None
 
 
-def vocabulary() -> str:
-    if VOCABULARY:
-        return VOCABULARY
+def vocabulary(name: str = "byte_bpe_50k.json") -> str:
+    if VOCABULARIES:
+        return f"{VOCABULARIES.rstrip('/')}/{name}"
     import public_tokenizers
-    return public_tokenizers.path("byte_bpe_50k.json")
+    return public_tokenizers.path(name)
 
 
 def op1_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -65,9 +65,18 @@ def op10_minhash_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.near_dup_report(table(spark, sf_dir, "documents"))
 
 
+def op11_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.packing_report(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
+
+
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.alignment_report(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"),
+                                      vocabulary("piece_bpe_32k.model"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
     op1_exact_top_k, op2_line_dedup, op3_quality_rules, op4_bpe, op5_quality_classifier, op6_pii, op7_warc,
-    op8_mixing, op9_toxicity, op10_minhash_near_dup)}
+    op8_mixing, op9_toxicity, op10_minhash_near_dup, op11_packing, op12_token_alignment)}
 
 #: The other queries are tested against brute force or held-out labels: line
 #: edits, token merges, classifiers, span offsets, block picks and set
