@@ -7,9 +7,13 @@ are stale and skipped, so a pre-token of n symbols costs O(n log n) however
 long it is. Decoding concatenates the vocabulary strings of the ids as
 bytes.
 
+A single space between two other characters always opens a pre-token, so most
+texts fall into words at their spaces. A worker keeps bounded memos of words and
+of pre-tokens and merges what is in neither; the ids of a batch are one array,
+and its decoded bytes one gather of vocabulary strings.
+
 The vocabulary file is a parameter; the driver reads it and ships its text as
-a broadcast variable (a file of about 1.5 MB, whatever the data). A worker
-keeps a bounded memo of pre-tokens.
+a broadcast variable (a file of about 1.5 MB, whatever the data).
 
 Defined results: a null text is an empty text: no ids, empty decoded text;
 bytes that are no UTF-8 cannot occur in a text; repeated rows are independent;
@@ -19,21 +23,18 @@ from __future__ import annotations
 
 import heapq
 import json
-from itertools import chain
+import re
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from branchlens.llm.common import free_name
+from branchlens.llm.common import Memo, free_name, pack_ids, steps
 
-#: Pre-tokens a worker remembers in each of two generations (about 250 bytes
-#: each). When the young one is full it replaces the old one; a pre-token found
-#: in the old one moves on, so frequent pre-tokens are never merged again.
-MEMO = 100_000
-#: Pre-tokens longer than this are not remembered.
-MEMO_CHARS = 64
+#: A space next to other white space opens no pre-token by itself.
+_RUN = re.compile(r"\s | \s")
 
 # fixed value: the pre-token pattern of byte-level vocabularies
 PRETOKEN = (r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
@@ -61,13 +62,14 @@ class Codec:
         self.alphabet = byte_alphabet()
         of = {c: b for b, c in self.alphabet.items()}
         # id -> bytes of its vocabulary string; special tokens stand for themselves
-        self.strings = {i: bytes(of[c] for c in s) for s, i in self.vocab.items() if s not in self.special}
-        self.strings |= {i: s.encode() for s, i in self.special.items()}
+        strings = {i: bytes(of[c] for c in s) for s, i in self.vocab.items() if s not in self.special}
+        strings |= {i: s.encode() for s, i in self.special.items()}
+        self.strings = pa.array([strings.get(i) for i in range(max(strings) + 1)], pa.large_binary())
         self.find = regex.compile(PRETOKEN).findall
         self.cut = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") \
             if self.special else None
-        self.memo: dict[str, tuple[tuple[int, ...], bytes]] = {}
-        self.old: dict[str, tuple[tuple[int, ...], bytes]] = {}
+        self.words = Memo(lambda word: self.pretokens(" " + word))
+        self.parts = Memo(lambda pretoken: pack_ids(self.merge(pretoken)))
 
     def merge(self, pretoken: str) -> list[int]:
         sym = [self.alphabet[b] for b in pretoken.encode("utf-8")]
@@ -92,32 +94,28 @@ class Codec:
                 heapq.heappush(queue, (r, h, sym[h], sym[i]))
         return [self.vocab[s] for s in sym if s]
 
-    def decode_bytes(self, ids) -> bytes:
-        """Vocabulary strings of the ids, concatenated."""
-        return b"".join([self.strings[i] for i in ids])
-
-    def entry(self, pretoken: str):
-        got = self.old.get(pretoken)
-        if got is None:
-            ids = tuple(self.merge(pretoken))
-            got = ids, self.decode_bytes(ids)
-        if len(pretoken) <= MEMO_CHARS:
-            if len(self.memo) >= MEMO:
-                self.old = self.memo.copy()
-                self.memo.clear()
-            self.memo[pretoken] = got
-        return got
-
-    def entries(self, text: str) -> list:
-        """(ids, bytes) of every pre-token and special token of the text."""
-        pieces = self.cut.split(text) if self.cut and any(s in text for s in self.special) else (text,)
-        out, memo, entry = [], self.memo, self.entry
-        for p in pieces:
-            if p in self.special:
-                out.append(((self.special[p],), p.encode()))
-            elif p:
-                out += [memo.get(t) or entry(t) for t in self.find(p)]
-        return out
+    def pretokens(self, text: str) -> bytes:
+        return b"".join(map(self.parts.__getitem__, self.find(text)))
+
+    def plain(self, text: str) -> bytes:
+        """Ids of a text without special tokens."""
+        if _RUN.search(text):
+            return self.pretokens(text)
+        head, *tail = text.split(" ")
+        return self.pretokens(head) + b"".join(map(self.words.__getitem__, tail))
+
+    def ids(self, text: str) -> bytes:
+        """Ids of a text as little-endian 32-bit integers."""
+        if not self.cut or not any(s in text for s in self.special):
+            return self.plain(text)
+        return b"".join([pack_ids([self.special[p]]) if p in self.special else self.plain(p)
+                         for p in self.cut.split(text)])
+
+    def decode(self, offsets: np.ndarray, ids: np.ndarray) -> pa.StringArray:
+        """One text per run of ids: their vocabulary strings, concatenated."""
+        got = self.strings.take(pa.array(ids))
+        at = np.frombuffer(got.buffers()[1], np.int64)[: len(ids) + 1][offsets].astype(np.int32)
+        return pa.StringArray.from_buffers(len(offsets) - 1, pa.py_buffer(at), got.buffers()[2])
 
 
 _CODECS: dict[int, Codec] = {}
@@ -145,17 +143,15 @@ def encode(df: DataFrame, vocabulary: str, text_col: str = "text", ids: str = "i
 
     def run(batches):
         codec = _codec(shared)
-        for batch in batches:
-            offsets, flat, texts = [0], [], []
-            for text in batch.column(batch.schema.get_field_index(text_col)).to_pylist():
-                got = codec.entries(text or "")
-                flat.append(pa.array(list(chain.from_iterable([e[0] for e in got])), pa.int32()))
-                offsets.append(offsets[-1] + len(flat[-1]))
-                texts.append(b"".join([e[1] for e in got]).decode("utf-8", "replace"))
-            values = pa.concat_arrays(flat) if flat else pa.array([], pa.int32())
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns, pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), values), pa.array(texts, pa.string())],
-                names=[*batch.schema.names, ids, decoded])
+        for whole in batches:
+            for batch in steps(whole, whole.schema.get_field_index(text_col)):
+                texts = batch.column(batch.schema.get_field_index(text_col)).to_pylist()
+                packed = [codec.ids(t) if t else b"" for t in texts]
+                offsets = np.cumsum([0, *[len(p) // 4 for p in packed]]).astype(np.int32)
+                flat = np.frombuffer(b"".join(packed), np.int32)
+                yield pa.RecordBatch.from_arrays(
+                    [*batch.columns, pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat)), codec.decode(offsets, flat)],
+                    names=[*batch.schema.names, ids, decoded])
 
     return df.mapInArrow(run, schema)
 

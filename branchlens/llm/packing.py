@@ -36,7 +36,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from branchlens.llm.tokens import WordTokens, built, pack_ids, read_text
+from branchlens.llm.common import pack_ids
+from branchlens.llm.tokens import WordTokens, built, read_text
 
 TIERS = (256, 512, 1024, 2048)
 CLOSING_ID = 1

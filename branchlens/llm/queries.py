@@ -8,8 +8,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from branchlens.llm import (alignment, bpe, line_dedup, mixing, near_dup, packing, pii, quality_classifier,
-                            quality_rules, topk, toxicity, warc)
+from branchlens.llm import (alignment, bpe, divergence, line_dedup, mixing, near_dup, packing, pii,
+                            quality_classifier, quality_rules, topk, toxicity, warc)
 from branchlens.llm.common import table
 from branchlens.session import ensure_checkpoint_dir
 
@@ -74,11 +74,17 @@ def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
                                       vocabulary("piece_bpe_32k.model"))
 
 
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.divergence_report(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
     op1_exact_top_k, op2_line_dedup, op3_quality_rules, op4_bpe, op5_quality_classifier, op6_pii, op7_warc,
-    op8_mixing, op9_toxicity, op10_minhash_near_dup, op11_packing, op12_token_alignment)}
+    op8_mixing, op9_toxicity, op10_minhash_near_dup, op11_packing, op12_token_alignment,
+    op13_source_divergence)}
 
 #: The other queries are tested against brute force or held-out labels: line
 #: edits, token merges, classifiers, span offsets, block picks and set
 #: similarities have no SQL of reasonable speed over whole tables.
-ORACLES: dict[str, str] = {"op1_exact_top_k": topk.SQL, "op3_quality_rules": quality_rules.SQL, "op7_warc": warc.SQL}
+ORACLES: dict[str, str] = {"op1_exact_top_k": topk.SQL, "op3_quality_rules": quality_rules.SQL, "op7_warc": warc.SQL,
+                           "op13_source_divergence": divergence.SQL}

@@ -10,18 +10,13 @@ are parameters; the driver reads them and ships their content."""
 
 from __future__ import annotations
 
-import base64
 import json
 import re
-import struct
 
 import numpy as np
 
-from branchlens.llm.bpe import byte_alphabet
-
-#: Words a memo keeps in each of its two generations, and the longest one kept.
-MEMO = 150_000
-MEMO_CHARS = 64
+from branchlens.llm.bpe import PRETOKEN, byte_alphabet
+from branchlens.llm.common import Memo, pack_ids
 
 #: Beyond Latin, character classes are left to the tokenizer library.
 _BEYOND = re.compile("[^\x00-ɏ]")
@@ -33,30 +28,6 @@ _WHOLE = re.compile("[\x1c-\x1f]|<\\|")
 WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
 
-class Memo(dict):
-    """word -> packed ids, made on demand. When the young generation is full
-    it replaces the old one; words found in the old one move on."""
-
-    def __init__(self, make, limit: int = MEMO):
-        super().__init__()
-        self.make, self.limit, self.old = make, limit, {}
-
-    def __missing__(self, word):
-        got = self.old.get(word)
-        if got is None:
-            got = self.make(word)
-        if len(word) <= MEMO_CHARS:
-            if len(self) >= self.limit:
-                self.old = dict(self)
-                self.clear()
-            self[word] = got
-        return got
-
-
-def pack_ids(ids) -> bytes:
-    return struct.pack(f"<{len(ids)}I", *ids)
-
-
 class WordTokens:
     """Ids of the lower-casing word vocabulary as little-endian unsigned
     32-bit integers."""
@@ -96,8 +67,6 @@ class ByteTokens:
     def __init__(self, spec: str):
         import tiktoken
         from tokenizers import Tokenizer
-
-        from branchlens.llm.bpe import PRETOKEN
         self.library = Tokenizer.from_str(spec)
         self.library.encode_special_tokens = True
         model = json.loads(spec)
