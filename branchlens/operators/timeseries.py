@@ -1,55 +1,56 @@
 """Monthly series operators (A10 long form, H5-H12, I11, L15-L18).
 
-The reference keeps months as wide columns and walks rows in Python. Here the
-series is long (key, month, sales): one partial+final aggregation over the
-facts, then windows partitioned by the series key over at most 13 rows each.
-A complete month grid is generated per key with ``sequence``/``explode`` (no
-cross join), missing months are 0 as in the printed report.
+The reference keeps the months of one year as wide columns and walks rows in
+Python. Here a series is long (keys..., month, sales), one per key and year of the
+facts: one partial+final aggregation over the facts makes all months of a year,
+then windows partitioned by the series run over at most 13 rows each. Missing
+months are 0 as in the printed report.
 """
 
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 MONTHS = ["January", "February", "March", "April", "May", "June", "July", "August", "September",
           "October", "November", "December"]
 
 
-def monthly_sales(items: DataFrame, key: str, base_year: int) -> DataFrame:
-    """(key, month, sales) for months 1..12 of ``base_year`` plus month 13 =
-    January of the next year; every key gets all 13 months (0 when absent; a
-    next January without any sale stays null, as it is not known)."""
-    m = F.when(F.col("year") == base_year, F.col("month")).when(
-        (F.col("year") == base_year + 1) & (F.col("month") == 1), F.lit(13))
-    agg = (items.select(key, m.alias("m"), "price").filter(F.col("m").isNotNull())
-           .groupBy(key, "m").agg(F.sum("price").alias("sales")))
-    grid = agg.select(key).distinct().select(key, F.explode(F.sequence(F.lit(1), F.lit(13))).alias("month"))
-    return (grid.join(agg.withColumnRenamed("m", "month"), [key, "month"], "left")
-            .select(key, "month", F.when(F.col("month") <= 12, F.coalesce("sales", F.lit(0.0)))
-                    .otherwise(F.col("sales")).alias("sales")))
+def monthly_sales(items: DataFrame, key: str) -> DataFrame:
+    """(key, year, month, sales) for months 1..12 of every year of the key and
+    month 13 = January of the next year. Every series has 13 months: 0 when
+    absent, but a next January without any sale is null, as it is not known."""
+    month = F.col("month")
+    year = items.select(key, "year", "month", "price").groupBy(key, "year").agg(
+        *[F.sum(F.when(month == m, F.col("price"))).alias(f"m{m}") for m in range(1, 13)])
+    w = Window.partitionBy(key).orderBy("year")
+    after = F.when(F.lead("year").over(w) == F.col("year") + 1, F.lead("m1").over(w))
+    months = [F.coalesce(f"m{m}", F.lit(0.0)) for m in range(1, 13)]
+    return (year.withColumn("m13", after)
+            .select(key, "year", F.posexplode(F.array(*months, "m13")).alias("pos", "sales"))
+            .select(key, "year", (F.col("pos") + 1).alias("month"), "sales"))
 
 
-def with_norm(monthly: DataFrame, key: str) -> DataFrame:
-    """``branch_mean`` = mean of the non-zero months 1..12 and
+def with_norm(monthly: DataFrame, keys: list[str]) -> DataFrame:
+    """(``keys`` name a series, here and below.) ``branch_mean`` = mean of the non-zero months 1..12 and
     ``norm`` = sales / branch_mean (H11, F6). The mean is an aggregate joined
     back on the key."""
     means = (monthly.filter((F.col("month") <= 12) & (F.col("sales") != 0))
-             .groupBy(key).agg(F.avg("sales").alias("branch_mean")))
-    return (monthly.join(means, key, "left")
+             .groupBy(*keys).agg(F.avg("sales").alias("branch_mean")))
+    return (monthly.join(means, keys, "left")
             .withColumn("norm", F.col("sales") / F.col("branch_mean")))
 
 
-def lag_features(monthly: DataFrame, key: str) -> DataFrame:
+def lag_features(monthly: DataFrame, keys: list[str]) -> DataFrame:
     """Training rows (target month 4..12) and the scoring row (month 13).
 
     Train: the real values of months t-3..t are all non-zero; features
     lag_1, lag_2 (normalised), rolling_3 = mean of the three previous
     normalised months, target = normalised month t.
     Score (t = 13): next-January value present and months 10..12 non-zero."""
-    w = Window.partitionBy(key).orderBy("month")
-    df = with_norm(monthly, key)
+    w = Window.partitionBy(*keys).orderBy("month")
+    df = with_norm(monthly, keys)
     prev3 = w.rowsBetween(-3, -1)
     df = (df
           .withColumn("lag_1", F.lag("norm", 1).over(w))
@@ -60,7 +61,7 @@ def lag_features(monthly: DataFrame, key: str) -> DataFrame:
     train = (F.col("month").between(4, 12)) & (F.col("n_nonzero_4") == 4)
     score = (F.col("month") == 13) & F.col("sales").isNotNull() & (F.col("n_nonzero_prev3") == 3)
     return (df.filter(train | score)
-            .select(key, F.col("month").alias("t"), (F.col("month") == 13).alias("is_score"),
+            .select(*keys, F.col("month").alias("t"), (F.col("month") == 13).alias("is_score"),
                     "lag_1", "lag_2", "rolling_3",
                     F.when(F.col("month") <= 12, F.col("norm")).alias("target"),
                     F.col("sales").alias("actual_sales"), "branch_mean"))
@@ -115,40 +116,40 @@ def forecast_metrics(scored: DataFrame, actual: str = "actual_sales", pred: str
         (F.avg(F.abs(F.try_divide(F.col(actual) - F.col(pred), F.col(actual)))) * 100).alias("mape"))
 
 
-def norm_zero_as_null(monthly: DataFrame, key: str) -> DataFrame:
+def norm_zero_as_null(monthly: DataFrame, keys: list[str]) -> DataFrame:
     """timeseries variant: zeros are missing, norm = x / mean(non-missing);
     months 1..12 only (H11, K5)."""
     m = monthly.filter(F.col("month") <= 12).withColumn(
         "x", F.when(F.col("sales") != 0, F.col("sales")))
-    means = m.groupBy(key).agg(F.avg("x").alias("row_mean"))
-    return m.join(means, key).withColumn("norm", F.col("x") / F.col("row_mean"))
+    means = m.groupBy(*keys).agg(F.avg("x").alias("row_mean"))
+    return m.join(means, keys).withColumn("norm", F.col("x") / F.col("row_mean"))
 
 
-def rolling3(norm: DataFrame, key: str) -> DataFrame:
+def rolling3(norm: DataFrame, keys: list[str]) -> DataFrame:
     """3-month rolling mean needing 3 non-null values (H5)."""
-    w = Window.partitionBy(key).orderBy("month").rowsBetween(-2, 0)
+    w = Window.partitionBy(*keys).orderBy("month").rowsBetween(-2, 0)
     return norm.withColumn("rolling3", F.when(F.count("norm").over(w) == 3, F.avg("norm").over(w)))
 
 
-def pct_change(norm: DataFrame, key: str) -> DataFrame:
+def pct_change(norm: DataFrame, keys: list[str]) -> DataFrame:
     """Period-over-period change with forward fill of missing months."""
-    w = Window.partitionBy(key).orderBy("month")
+    w = Window.partitionBy(*keys).orderBy("month")
     filled = F.last("norm", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
     return (norm.withColumn("filled", filled)
             .withColumn("pct_change", F.col("filled") / F.lag("filled").over(w) - F.lit(1.0)))
 
 
-def wide_months(norm: DataFrame, key: str, value: str = "norm") -> DataFrame:
+def wide_months(norm: DataFrame, keys: list[str], value: str = "norm") -> DataFrame:
     """One row per key with columns m1..m12 (conditional aggregation)."""
-    return norm.groupBy(key).agg(*[F.max(F.when(F.col("month") == i, F.col(value))).alias(f"m{i}")
+    return norm.groupBy(*keys).agg(*[F.max(F.when(F.col("month") == i, F.col(value))).alias(f"m{i}")
                                    for i in range(1, 13)])
 
 
-def month_corr_matrix(norm: DataFrame, key: str) -> DataFrame:
+def month_corr_matrix(norm: DataFrame, keys: list[str]) -> DataFrame:
     """Pairwise-complete Pearson correlation of every month pair (L18): all
     78 ``corr`` aggregates in one pass over the wide rows (no self-join),
     then unpivoted to (m1, m2, corr)."""
-    wide = wide_months(norm, key)
+    wide = wide_months(norm, keys)
     pairs = [(i, j) for i in range(1, 13) for j in range(i, 13)]
     one = wide.agg(*[F.corr(f"m{i}", f"m{j}").alias(f"c_{i}_{j}") for i, j in pairs])
     stacked = one.select(F.explode(F.array(*[
@@ -159,11 +160,11 @@ def month_corr_matrix(norm: DataFrame, key: str) -> DataFrame:
     return stacked.unionByName(mirrored)
 
 
-def lag_corr(norm: DataFrame, key: str) -> DataFrame:
+def lag_corr(norm: DataFrame, keys: list[str]) -> DataFrame:
     """Correlation of the 3-month rolling mean ending at month i-1 with month
     i, for i = 4..12, over keys where both exist (L17)."""
-    w = Window.partitionBy(key).orderBy("month")
-    r = rolling3(norm, key).withColumn("prev3", F.lag("rolling3").over(w))
+    w = Window.partitionBy(*keys).orderBy("month")
+    r = rolling3(norm, keys).withColumn("prev3", F.lag("rolling3").over(w))
     ok = r.filter((F.col("month") >= 4) & F.col("prev3").isNotNull() & F.col("norm").isNotNull())
     out = ok.groupBy("month").agg(F.corr("prev3", "norm").alias("corr"), F.count(F.lit(1)).alias("n"))
     return out.withColumn(
@@ -171,84 +172,57 @@ def lag_corr(norm: DataFrame, key: str) -> DataFrame:
                          * F.sqrt(F.try_divide(F.col("n") - 2, F.lit(1.0) - F.col("corr") * F.col("corr")))))
 
 
-def student_t_two_sided_p(t: np.ndarray, dof: np.ndarray) -> np.ndarray:
-    """Two-sided p-value of Student's t via the regularised incomplete beta
-    I_x(dof/2, 1/2), x = dof / (dof + t^2) (continued fraction, Lentz)."""
-    out = np.full(len(t), np.nan)
-    for k, (tv, d) in enumerate(zip(t, dof)):
-        if tv is None or d is None or not np.isfinite(tv) or d <= 0:
-            continue
-        x = d / (d + tv * tv)
-        out[k] = _betainc(d / 2.0, 0.5, x)
-    return out
-
-
-def _betainc(a: float, b: float, x: float) -> float:
-    from math import exp, lgamma, log
-    if x <= 0:
-        return 0.0
-    if x >= 1:
-        return 1.0
-    lbeta = lgamma(a + b) - lgamma(a) - lgamma(b) + a * log(x) + b * log(1 - x)
-    if x < (a + 1) / (a + b + 2):
-        return exp(lbeta) * _betacf(a, b, x) / a
-    return 1.0 - exp(lbeta) * _betacf(b, a, 1 - x) / b
-
-
-def _betacf(a: float, b: float, x: float) -> float:
-    tiny, eps = 1e-300, 3e-16
-    qab, qap, qam = a + b, a + 1, a - 1
-    c, d = 1.0, 1 - qab * x / qap
-    d = 1 / (d if abs(d) > tiny else tiny)
-    h = d
-    for m in range(1, 300):
-        m2 = 2 * m
-        aa = m * (b - m) * x / ((qam + m2) * (a + m2))
-        d = 1 + aa * d
-        d = 1 / (d if abs(d) > tiny else tiny)
-        c = 1 + aa / c
-        c = c if abs(c) > tiny else tiny
-        h *= d * c
-        aa = -(a + m) * (qab + m) * x / ((a + m2) * (qap + m2))
-        d = 1 + aa * d
-        d = 1 / (d if abs(d) > tiny else tiny)
-        c = 1 + aa / c
-        c = c if abs(c) > tiny else tiny
-        delta = d * c
-        h *= delta
-        if abs(delta - 1) < eps:
-            break
-    return h
-
-
-def opening_features(monthly: DataFrame, key: str) -> DataFrame:
+def student_t_two_sided_p(t: Column, dof: Column) -> Column:
+    """Two-sided p-value of Student's t for a whole number of degrees of freedom,
+    by the finite trigonometric series: with angle a = atan(|t| / sqrt(dof)), the
+    mass inside +-t is sin(a) times a sum of even powers of cos(a) for even dof,
+    and 2/pi (a + sin(a) times a sum of odd powers) for odd dof."""
+    angle = F.atan(F.abs(t) / F.sqrt(dof))
+    sin, cos = F.sin(angle), F.cos(angle)
+    odd = dof % 2 == 1
+    start = F.when(odd, cos).otherwise(F.lit(1.0))
+    terms = F.floor((dof - F.when(odd, 3).otherwise(2)) / 2)
+    steps = F.when(terms >= 1, F.sequence(F.lit(1).cast("long"), terms)).otherwise(F.array().cast("array<bigint>"))
+    ratio = lambda j: F.when(odd, 2 * j / (2 * j + 1)).otherwise((2 * j - 1) / (2 * j))
+    state = lambda term, total: F.struct(term.alias("term"), total.alias("total"))
+
+    def add(s, j):
+        term = s["term"] * cos * cos * ratio(j)
+        return state(term, s["total"] + term)
+    total = F.aggregate(steps, state(start, start), add, lambda s: s["total"])
+    series = F.when(dof == 1, F.lit(0.0)).otherwise(total)
+    inside = F.when(odd, 2 / F.pi() * (angle + sin * series)).otherwise(sin * series)
+    return F.when((dof >= 1) & t.isNotNull(), F.greatest(1 - inside, F.lit(0.0)))
+
+
+def opening_features(monthly: DataFrame, keys: list[str]) -> DataFrame:
     """Opening dynamics over months 1..12 (H8, H9): initial_zeros = months
     before the first non-zero; the first three months from the opening must
     all exist and be non-zero; avg, population std and last-first of them."""
     m = monthly.filter(F.col("month") <= 12)
-    first = (m.filter(F.col("sales") != 0).groupBy(key).agg(F.min("month").alias("open_month")))
-    j = m.join(first, key).filter(F.col("month").between(F.col("open_month"), F.col("open_month") + 2))
-    return (j.groupBy(key, "open_month")
+    first = (m.filter(F.col("sales") != 0).groupBy(*keys).agg(F.min("month").alias("open_month")))
+    j = m.join(first, keys).filter(F.col("month").between(F.col("open_month"), F.col("open_month") + 2))
+    return (j.groupBy(*keys, "open_month")
             .agg(F.count(F.lit(1)).alias("n3"),
                  F.sum(F.when(F.col("sales") == 0, 1).otherwise(0)).alias("z3"),
                  F.avg("sales").alias("avg_first3"),
                  F.stddev_pop("sales").alias("vol_first3"),
                  (F.max_by("sales", "month") - F.min_by("sales", "month")).alias("growth_first3"))
             .filter((F.col("n3") == 3) & (F.col("z3") == 0))
-            .select(key, (F.col("open_month") - 1).alias("initial_zeros"), "avg_first3", "vol_first3",
+            .select(*keys, (F.col("open_month") - 1).alias("initial_zeros"), "avg_first3", "vol_first3",
                     "growth_first3"))
 
 
-def opening_trajectory(monthly: DataFrame, key: str) -> DataFrame:
+def opening_trajectory(monthly: DataFrame, keys: list[str]) -> DataFrame:
     """First six months from the opening indexed to the first one (H10), only
-    for keys with six non-zero months inside the year; keyed by ``key``."""
+    for keys with six non-zero months inside the year; keyed by the series."""
     m = monthly.filter(F.col("month") <= 12)
-    first = m.filter(F.col("sales") != 0).groupBy(key).agg(F.min("month").alias("open_month"))
-    j = (m.join(first, key).filter(F.col("month").between(F.col("open_month"), F.col("open_month") + 5))
+    first = m.filter(F.col("sales") != 0).groupBy(*keys).agg(F.min("month").alias("open_month"))
+    j = (m.join(first, keys).filter(F.col("month").between(F.col("open_month"), F.col("open_month") + 5))
          .withColumn("pos", F.col("month") - F.col("open_month") + 1))
-    base = j.filter(F.col("pos") == 1).select(key, F.col("sales").alias("first_sales"))
-    ok = (j.groupBy(key).agg(F.count(F.lit(1)).alias("n6"),
+    base = j.filter(F.col("pos") == 1).select(*keys, F.col("sales").alias("first_sales"))
+    ok = (j.groupBy(*keys).agg(F.count(F.lit(1)).alias("n6"),
                              F.sum(F.when(F.col("sales") == 0, 1).otherwise(0)).alias("z6"))
-          .filter((F.col("n6") == 6) & (F.col("z6") == 0)).select(key))
-    return (j.join(ok, key).join(base, key)
-            .select(key, "pos", (F.col("sales") / F.col("first_sales")).alias("relative_sales")))
+          .filter((F.col("n6") == 6) & (F.col("z6") == 0)).select(*keys))
+    return (j.join(ok, keys).join(base, keys)
+            .select(*keys, "pos", (F.col("sales") / F.col("first_sales")).alias("relative_sales")))

@@ -22,7 +22,7 @@ from ..operators.products import (BRANCH_FEATURES, GLOBAL_FEATURES, branch_produ
                                   with_global_shares)
 from ..functions.exprs import r6
 from ..session import cut_lineage
-from ..sources.tables import BASE_YEAR, items, with_items
+from ..sources.tables import items, with_items
 from .registry import register
 from .sqlparts import R6, branch_product_ctes, product_table_ctes
 from .timeseries import monthly_ctes as _monthly_ctes
@@ -158,15 +158,19 @@ OPENING_FEATURES = ["initial_zeros", "avg_first3", "vol_first3", "growth_first3"
 OPENING_K = 3
 
 
+SERIES = ["product", "year"]
+
+
 def _opening(spark: SparkSession, sf_dir: str):
-    monthly = cut_lineage(ts.monthly_sales(items(spark, sf_dir), "product", BASE_YEAR))
-    feats = ts.opening_features(monthly, "product").withColumn("grp", F.lit(ALL_BRANCHES_LABEL))
-    pts = km.feature_matrix(feats.withColumnRenamed("product", "Product"), ["grp"], "Product",
+    monthly = cut_lineage(ts.monthly_sales(items(spark, sf_dir), "product"))
+    feats = ts.opening_features(monthly, SERIES).withColumn("grp", F.lit(ALL_BRANCHES_LABEL))
+    pts = km.feature_matrix(feats.withColumn("Product", F.concat_ws("/", *SERIES)).drop(*SERIES), ["grp"], "Product",
                             OPENING_FEATURES, clip_quantile=0.0)
     models, pts = km.fit_kmeans(pts, ["grp"], "Product", [OPENING_K], restarts=RESTARTS, max_iter=MAX_ITER)
     best = km.best_restart(models, ["grp"])
     a = km.assign(pts, best.withColumn("r", F.lit(0)), ["grp"], "Product", 1, len(OPENING_FEATURES), OPENING_K)
-    clusters = a.select(F.col("Product").alias("product"), F.col("cluster"))
+    parts = F.split("Product", "/")
+    clusters = a.select(parts[0].alias("product"), parts[1].cast("int").alias("year"), F.col("cluster"))
     return monthly, feats, clusters
 
 
@@ -175,7 +179,7 @@ def q_opening_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """KMeans(3) on standardised opening features; feature means per cluster
     (L3, G16). Clusters are ordered by their mean opening month."""
     _, feats, clusters = _opening(spark, sf_dir)
-    j = feats.join(clusters, "product")
+    j = feats.join(clusters, SERIES)
     return j.groupBy("cluster").agg(F.count(F.lit(1)).alias("n"),
                                     *[F.avg(f).alias(f) for f in OPENING_FEATURES])
 
@@ -185,7 +189,7 @@ def q_opening_trajectory(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mean first-six-month trajectory per opening cluster, keyed by product
     (H10, G17)."""
     monthly, _, clusters = _opening(spark, sf_dir)
-    tr = ts.opening_trajectory(monthly, "product").join(clusters, "product")
+    tr = ts.opening_trajectory(monthly, SERIES).join(clusters, SERIES)
     return tr.groupBy("cluster", "pos").agg(F.avg("relative_sales").alias("relative_sales"),
                                             F.count(F.lit(1)).alias("n"))
 
@@ -265,19 +269,18 @@ def q_silhouette_rule(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @register("q_opening_features", with_items(f"""
-, om AS (SELECT product, MIN(month) AS open_month FROM monthly WHERE month <= 12 AND sales <> 0 GROUP BY product)
-, f3 AS (SELECT m.product, om.open_month, COUNT(*) AS n3, COUNT(*) FILTER (WHERE sales = 0) AS z3,
+, om AS (SELECT product, year, MIN(month) AS open_month FROM monthly WHERE month <= 12 AND sales <> 0 GROUP BY ALL)
+, f3 AS (SELECT m.product, m.year, om.open_month, COUNT(*) AS n3, COUNT(*) FILTER (WHERE sales = 0) AS z3,
                 AVG(sales) AS a, STDDEV_POP(sales) AS v, arg_max(sales, month) - arg_min(sales, month) AS g
-         FROM monthly m JOIN om ON m.product = om.product
+         FROM monthly m JOIN om ON m.product = om.product AND m.year = om.year
          WHERE m.month <= 12 AND m.month BETWEEN om.open_month AND om.open_month + 2 GROUP BY ALL)
-SELECT product, open_month - 1 AS initial_zeros, {R6("a", 4)} AS avg_first3, {R6("v", 4)} AS vol_first3,
+SELECT product, year, open_month - 1 AS initial_zeros, {R6("a", 4)} AS avg_first3, {R6("v", 4)} AS vol_first3,
        {R6("g", 4)} AS growth_first3 FROM f3 WHERE n3 = 3 AND z3 = 0""", *_monthly_ctes("product")))
 def q_opening_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Months before opening, mean / population std / growth of the first three
-    active months per product (H8, H9)."""
-    monthly = ts.monthly_sales(items(spark, sf_dir), "product", BASE_YEAR)
-    f = ts.opening_features(monthly, "product")
-    return f.select("product", F.col("initial_zeros").cast("int").alias("initial_zeros"),
+    active months per product and year (H8, H9)."""
+    f = ts.opening_features(ts.monthly_sales(items(spark, sf_dir), "product"), SERIES)
+    return f.select(*SERIES, F.col("initial_zeros").cast("int").alias("initial_zeros"),
                     r6("avg_first3", 4).alias("avg_first3"), r6("vol_first3", 4).alias("vol_first3"),
                     r6("growth_first3", 4).alias("growth_first3"))
 
@@ -332,16 +335,17 @@ def q_cluster_labels_rule(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @register("q_product_trajectories", with_items(f"""
-, om AS (SELECT product, MIN(month) AS o FROM monthly WHERE month <= 12 AND sales <> 0 GROUP BY product)
-, j AS (SELECT m.product, m.month - om.o + 1 AS pos, m.sales FROM monthly m JOIN om ON m.product = om.product
+, om AS (SELECT product, year, MIN(month) AS o FROM monthly WHERE month <= 12 AND sales <> 0 GROUP BY ALL)
+, j AS (SELECT m.product, m.year, m.month - om.o + 1 AS pos, m.sales
+        FROM monthly m JOIN om ON m.product = om.product AND m.year = om.year
         WHERE m.month <= 12 AND m.month BETWEEN om.o AND om.o + 5)
-, ok AS (SELECT product FROM j GROUP BY product HAVING COUNT(*) = 6 AND COUNT(*) FILTER (WHERE sales = 0) = 0)
-, b AS (SELECT product, sales AS s1 FROM j WHERE pos = 1)
-SELECT j.product, CAST(pos AS INTEGER) AS pos, {R6("sales / s1")} AS relative_sales
-FROM j JOIN ok ON j.product = ok.product JOIN b ON j.product = b.product""", *_monthly_ctes("product")))
+, ok AS (SELECT product, year FROM j GROUP BY ALL HAVING COUNT(*) = 6 AND COUNT(*) FILTER (WHERE sales = 0) = 0)
+, b AS (SELECT product, year, sales AS s1 FROM j WHERE pos = 1)
+SELECT j.product, j.year, CAST(pos AS INTEGER) AS pos, {R6("sales / s1")} AS relative_sales
+FROM j JOIN ok ON j.product = ok.product AND j.year = ok.year
+JOIN b ON j.product = b.product AND j.year = b.year""", *_monthly_ctes("product")))
 def q_product_trajectories(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """First six months from the opening indexed to the first month, for
-    products with six non-zero months in the year, keyed by product (H10, X4)."""
-    monthly = ts.monthly_sales(items(spark, sf_dir), "product", BASE_YEAR)
-    t = ts.opening_trajectory(monthly, "product")
-    return t.select("product", F.col("pos").cast("int").alias("pos"), r6("relative_sales").alias("relative_sales"))
+    """First six months from the opening indexed to the first month, for series
+    with six non-zero months in the year, keyed by product and year (H10, X4)."""
+    t = ts.opening_trajectory(ts.monthly_sales(items(spark, sf_dir), "product"), SERIES)
+    return t.select(*SERIES, F.col("pos").cast("int").alias("pos"), r6("relative_sales").alias("relative_sales"))

@@ -1,6 +1,7 @@
 """Report-cleaning queries: the hierarchical POS exports are written from the
-items view, parsed back with the window-based hierarchy rules, and checked
-against the direct aggregate (A2, D1f-D7f, E1-E5, K1-K3, C7, I18)."""
+items view with the faults of real exports (``write_item_report``), parsed back
+chunk by chunk, and checked against the direct aggregate (A2, D1f-D7f, E1-E5,
+K1-K3, C7, I18)."""
 
 from __future__ import annotations
 
@@ -9,13 +10,27 @@ from pyspark.sql import functions as F
 
 from ..functions.exprs import r6, rm
 from ..sources import reports as rp
-from ..sources.tables import BASE_YEAR, items, with_items
+from ..sources.tables import items, with_items
 from .registry import register
 from .sqlparts import R6
 
 
-def parsed_item_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rp.parse_item_report(rp.write_item_report(items(spark, sf_dir)))
+def parsed_item_report(spark: SparkSession, sf_dir: str, dense: bool = False) -> DataFrame:
+    return rp.parse_item_report(rp.write_item_report(items(spark, sf_dir), faults=True, dense=dense))
+
+
+# sections of the written reports, and the faults: February files have no branch
+# total, March files an empty department, April files a stray zero line
+_GROUP_COUNTS = """gc AS (
+  SELECT COUNT(DISTINCT (branch, year, month)) AS n_files,
+         COUNT(DISTINCT (branch, year, month)) FILTER (WHERE month = 2) AS n_feb,
+         COUNT(DISTINCT (branch, year, month)) FILTER (WHERE month = 3) AS n_mar,
+         COUNT(DISTINCT (branch, year, month)) FILTER (WHERE month = 4) AS n_apr,
+         COUNT(DISTINCT (branch, year, month, department)) AS n_dep,
+         COUNT(DISTINCT (branch, year, month, department, category)) AS n_cat,
+         COUNT(DISTINCT (branch, year, month, department, category, division)) AS n_div,
+         COUNT(DISTINCT (branch, year, month, department, category, division, product)) AS n_prod
+  FROM items)"""
 
 
 @register("q_hierarchy_implicit", with_items("""
@@ -38,31 +53,27 @@ def q_hierarchy_implicit(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @register("q_rollup_reconcile", with_items("""
-SELECT scope, COUNT(*) AS n_totals, CAST(0.0 AS DOUBLE) AS max_abs_diff FROM (
-  SELECT 'Division' AS scope FROM items GROUP BY branch, year, month, department, category, division
-  UNION ALL SELECT 'Category' FROM items GROUP BY branch, year, month, department, category
-  UNION ALL SELECT 'Department' FROM items GROUP BY branch, year, month, department
-  UNION ALL SELECT 'Branch' FROM items GROUP BY branch, year, month)
-GROUP BY scope"""))
+, t AS (
+  SELECT 'Division' AS scope, month, SUM(profit) AS p FROM items
+    GROUP BY branch, year, month, department, category, division
+  UNION ALL SELECT 'Category', month, NULL FROM items GROUP BY branch, year, month, department, category
+  UNION ALL SELECT 'Department', month, NULL FROM items GROUP BY branch, year, month, department
+  UNION ALL SELECT 'Branch', month, NULL FROM items GROUP BY branch, year, month)
+SELECT scope, CASE WHEN scope = 'Branch' AND month = 2 THEN 'computed only' ELSE 'both' END AS reason,
+       COUNT(*) AS n_totals,
+       CASE WHEN scope = 'Branch' AND month = 2 THEN CAST(NULL AS DOUBLE)
+            ELSE ROUND(COALESCE(MAX(ABS(p - round_even(p, 0))), 0), 2) END AS max_abs_diff
+FROM (SELECT scope, p, CASE WHEN scope = 'Branch' AND month = 2 THEN 2 ELSE 0 END AS month FROM t)
+GROUP BY scope, month
+UNION ALL SELECT 'Department', 'printed only', n_mar, CAST(NULL AS DOUBLE) FROM gc WHERE n_mar > 0""", _GROUP_COUNTS))
 def q_rollup_reconcile(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Printed ``Total By`` rows against a recomputed ``rollup`` of the
-    parsed item rows per file (I18, D6f): number of totals per scope and the
+    """Printed ``Total By`` rows against a recomputed ``rollup`` of the parsed
+    item rows per file, as a full outer join with a reason for totals of one
+    side only (I18, F9, D6f): number of totals per scope and reason and the
     largest absolute profit difference (rounded to cents)."""
     parsed = parsed_item_report(spark, sf_dir)
-    facts = rp.report_facts(parsed)
-    lv = list(rp.LEVELS)
-    roll = (facts.rollup("file", *lv).agg(F.sum("profit").alias("rp"), F.grouping_id().alias("gid"))
-            .filter(F.col("file").isNotNull() & F.col("Branch").isNotNull()))
-    scope = (F.when(F.col("Division").isNotNull(), "Division").when(F.col("Category").isNotNull(), "Category")
-             .when(F.col("Department").isNotNull(), "Department").otherwise("Branch"))
-    roll = roll.withColumn("scope", scope).filter(
-        ((F.col("scope") == "Division") & (F.col("gid") == 0)) | ((F.col("scope") == "Category") & (F.col("gid") == 1))
-        | ((F.col("scope") == "Department") & (F.col("gid") == 3)) | ((F.col("scope") == "Branch") & (F.col("gid") == 7)))
-    tot = rp.report_totals(parsed).withColumnRenamed("total_scope", "scope")
-    keys = ["file", "scope", *lv]
-    j = tot.join(roll.select(*keys, "rp"), [tot[k].eqNullSafe(roll[k]) for k in keys], "left")
-    return (j.groupBy(tot["scope"]).agg(F.count(F.lit(1)).alias("n_totals"),
-                                        F.round(F.max(F.abs(F.col("profit") - F.col("rp"))), 2).alias("max_abs_diff")))
+    return rp.reconcile_totals(rp.report_totals(parsed), rp.report_facts(parsed)).groupBy("scope", "reason").agg(
+        F.count(F.lit(1)).alias("n_totals"), F.round(F.max(F.abs(F.col("printed") - F.col("computed"))), 2).alias("max_abs_diff"))
 
 
 @register("q_hierarchy_explicit", with_items("""
@@ -75,7 +86,7 @@ def q_hierarchy_explicit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Write the explicit ``Branch: / Division: / Group:`` report per
     branch-year, parse it with the last-opening rule and aggregate the item
     rows (E2, E5, K3, D5f)."""
-    lines = rp.write_group_report(items(spark, sf_dir))
+    lines = rp.write_group_report(items(spark, sf_dir), dense=False)
     parsed = rp.parse_group_report(lines)
     it = parsed.filter(~F.col("is_total") & ~F.col("is_open"))
     return (it.groupBy("Branch", "Division", "Group")
@@ -83,35 +94,33 @@ def q_hierarchy_explicit(spark: SparkSession, sf_dir: str) -> DataFrame:
                  rm(F.sum(rp.to_num(F.col("amount")))).alias("TotalAmount")))
 
 
-def _report_monthly(spark: SparkSession, sf_dir: str) -> DataFrame:
-    it = items(spark, sf_dir).filter(F.col("year").isin(BASE_YEAR, BASE_YEAR + 1))
-    return it.groupBy("branch", "year", "month").agg(F.sum("price").alias("sales"))
+def _report_monthly(spark: SparkSession, sf_dir: str, dense: bool = False) -> DataFrame:
+    it = items(spark, sf_dir)
+    return rp.write_monthly_report(it.groupBy("branch", "year", "month").agg(F.sum("price").alias("sales")), dense)
 
 
-@register("q_paged_report_long", with_items(f"""
-, m AS (SELECT branch, year, month, ROUND(SUM(price), 4) AS s FROM items
-        WHERE year IN ({BASE_YEAR}, {BASE_YEAR + 1}) GROUP BY ALL)
-, g AS (SELECT b.branch, y.year, CAST(mm.month AS INTEGER) AS month
-        FROM (SELECT DISTINCT branch, year FROM m) b JOIN (SELECT DISTINCT year FROM m) y ON b.year = y.year,
-             range(1, 13) mm(month))
+@register("q_paged_report_long", with_items("""
+, m AS (SELECT branch, year, month, ROUND(SUM(price), 4) AS s FROM items GROUP BY ALL)
+, g AS (SELECT b.branch, b.year, CAST(mm.month AS INTEGER) AS month
+        FROM (SELECT DISTINCT branch, year FROM m) b, range(1, 13) mm(month))
 SELECT g.branch, g.year, g.month, COALESCE(m.s, 0) AS sales
 FROM g LEFT JOIN m ON g.branch = m.branch AND g.year = m.year AND g.month = m.month"""))
 def q_paged_report_long(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Write the paged monthly report (two column blocks per year, shifted
+    """Write the paged monthly report (one or two column blocks per year, shifted
     header, year on the first row of a page, Total rows) and parse it back to
     long (branch, year, month, sales) (A10, A4-A9, D8f, J6, K2)."""
-    lines = rp.write_monthly_report(_report_monthly(spark, sf_dir))
-    long = rp.parse_monthly_report(lines).filter(F.col("month") > 0)
+    long = rp.parse_monthly_report(_report_monthly(spark, sf_dir)).filter(F.col("month") > 0)
     return long.select("branch", "year", "month", rm("sales").alias("sales"))
 
 
-@register("q_year_total_check", with_items(f"""
-SELECT year, COUNT(DISTINCT branch) AS n_branches, CAST(0.0 AS DOUBLE) AS max_abs_diff FROM items
-WHERE year IN ({BASE_YEAR}, {BASE_YEAR + 1}) GROUP BY year"""))
+@register("q_year_total_check", with_items("""
+, t AS (SELECT branch, year, SUM(s) AS t FROM (
+          SELECT branch, year, month, ROUND(SUM(price), 4) AS s FROM items GROUP BY ALL) GROUP BY branch, year)
+SELECT year, COUNT(*) AS n_branches, ROUND(MAX(ABS(t - round_even(t, 0))), 2) AS max_abs_diff FROM t GROUP BY year"""))
 def q_year_total_check(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Printed ``Total By Year`` against the sum of the parsed months per
-    branch-year (I18 on the monthly report)."""
-    long = rp.parse_monthly_report(rp.write_monthly_report(_report_monthly(spark, sf_dir)))
+    """Printed ``Total By Year`` (without decimals) against the sum of the
+    parsed months per branch-year (I18 on the monthly report)."""
+    long = rp.parse_monthly_report(_report_monthly(spark, sf_dir))
     s = long.groupBy("branch", "year").agg(
         F.sum(F.when(F.col("month") > 0, F.col("sales"))).alias("months"),
         F.sum(F.when(F.col("month") == 0, F.col("sales"))).alias("printed"))
@@ -119,24 +128,15 @@ def q_year_total_check(spark: SparkSession, sf_dir: str) -> DataFrame:
                                  F.round(F.max(F.abs(F.col("months") - F.col("printed"))), 2).alias("max_abs_diff"))
 
 
-_GROUP_COUNTS = """gc AS (
-  SELECT COUNT(DISTINCT (branch, year, month)) AS n_files,
-         COUNT(DISTINCT (branch, year, month, department)) AS n_dep,
-         COUNT(DISTINCT (branch, year, month, department, category)) AS n_cat,
-         COUNT(DISTINCT (branch, year, month, department, category, division)) AS n_div,
-         COUNT(DISTINCT (branch, year, month, department, category, division, product)) AS n_prod
-  FROM items)"""
-
-
 @register("q_null_profile", with_items(f"""
-, t AS (SELECT *, 2 * n_files + n_dep + n_cat + n_div + n_prod + n_div + n_cat + n_dep AS n_lines FROM gc)
+, t AS (SELECT *, 2 * n_files - n_feb + 2 * (n_dep + n_mar + n_cat + n_div) + n_prod + n_apr AS n_lines FROM gc)
 , z AS (
   SELECT 'desc' AS "column", 0 AS n_null FROM t UNION ALL
-  SELECT 'qty', n_files + n_dep + n_cat + n_div FROM t UNION ALL
-  SELECT 'Branch', 0 FROM t UNION ALL
-  SELECT 'Department', 2 * n_files FROM t UNION ALL
-  SELECT 'Category', 2 * n_files + 2 * n_dep FROM t UNION ALL
-  SELECT 'Division', 2 * n_files + 2 * n_dep + 2 * n_cat FROM t)
+  SELECT 'qty', n_files + n_dep + n_mar + n_cat + n_div FROM t UNION ALL
+  SELECT 'Branch', n_apr FROM t UNION ALL
+  SELECT 'Department', n_apr + 2 * n_files - n_feb FROM t UNION ALL
+  SELECT 'Category', n_apr + 2 * n_files - n_feb + 2 * (n_dep + n_mar) FROM t UNION ALL
+  SELECT 'Division', n_apr + 2 * n_files - n_feb + 2 * (n_dep + n_mar + n_cat) FROM t)
 SELECT "column", n_null, {R6("n_null / (SELECT n_lines FROM t)")} AS pct_null,
        n_null / (SELECT n_lines FROM t) >= 0.9 AS sparse FROM z""", _GROUP_COUNTS))
 def q_null_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -151,8 +151,8 @@ def q_null_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("q_totals_items_split", with_items("""
 SELECT scope, n FROM (
   SELECT 'Division' AS scope, n_div AS n FROM gc UNION ALL SELECT 'Category', n_cat FROM gc UNION ALL
-  SELECT 'Department', n_dep FROM gc UNION ALL SELECT 'Branch', n_files FROM gc UNION ALL
-  SELECT 'items', n_prod FROM gc UNION ALL SELECT 'leaked_totals', 0 FROM gc)""", _GROUP_COUNTS))
+  SELECT 'Department', n_dep + n_mar FROM gc UNION ALL SELECT 'Branch', n_files - n_feb FROM gc UNION ALL
+  SELECT 'items', n_prod + n_apr FROM gc UNION ALL SELECT 'leaked_totals', n_apr FROM gc)""", _GROUP_COUNTS))
 def q_totals_items_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One pass splits report rows into totals per scope and items; the leak
     check counts item rows still containing 'Total by' (D5f, D6f, D7f)."""
@@ -166,36 +166,62 @@ def q_totals_items_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.unionByName(leak)
 
 
-@register("q_price_overflow", with_items("""
-SELECT 'item' AS kind, 0 AS lost_digits, n_prod AS n FROM gc
-UNION ALL SELECT 'total', 0, n_div + n_cat + n_dep + n_files FROM gc""", _GROUP_COUNTS))
+@register("q_price_overflow", with_items(f"""
+, p AS (
+  SELECT 'item' AS kind, SUM(price) AS p FROM items
+    GROUP BY branch, year, month, department, category, division, product
+  UNION ALL SELECT 'total', SUM(price) FROM items GROUP BY branch, year, month, department, category, division
+  UNION ALL SELECT 'total', SUM(price) FROM items GROUP BY branch, year, month, department, category
+  UNION ALL SELECT 'total', SUM(price) FROM items GROUP BY branch, year, month, department
+  UNION ALL SELECT 'total', SUM(price) FROM items WHERE month <> 2 GROUP BY branch, year, month)
+SELECT kind, CAST(greatest(floor(log10(abs(p))) + 1 - {rp.PRICE_DIGITS}, 0) AS INTEGER) AS lost_digits, COUNT(*) AS n
+FROM p GROUP BY ALL
+UNION ALL SELECT 'item', NULL, n_apr FROM gc WHERE n_apr > 0
+UNION ALL SELECT 'total', NULL, n_mar FROM gc WHERE n_mar > 0""", _GROUP_COUNTS))
 def q_price_overflow(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digits lost by the printed Total Price against cost + profit, per
-    line kind (I19, X6); 0 everywhere when the report is sound."""
+    line kind (I19, X6); null where either is zero."""
     return rp.price_overflow(parsed_item_report(spark, sf_dir)).select(
         "kind", F.col("lost_digits"), F.col("n"))
 
 
-@register("q_context_rows", with_items("""
-SELECT branch || '/' || CAST(year AS VARCHAR) || '/' || lpad(CAST(month AS VARCHAR), 2, '0') AS file, 6 AS n_rows
-FROM items GROUP BY ALL"""))
+@register("q_context_rows", with_items(f"""
+, p AS (SELECT DISTINCT branch, year, month, department, category, division, product FROM items)
+, l AS (
+  SELECT DISTINCT branch, year, month, 0 AS r0, '' AS dep, n AS r2, '' AS cat, 0 AS r4, '' AS div, 0 AS r6,
+         '' AS prod, CASE n WHEN 2 THEN '{rp.BRAND} - ' || branch END AS t FROM p, range(0, 3) x(n)
+  UNION ALL SELECT DISTINCT branch, year, month, 1, department, n, '', 0, '', 0, '',
+         CASE n WHEN 0 THEN department ELSE 'Total By Department:' END FROM p, (VALUES (0), (2)) x(n)
+  UNION ALL SELECT DISTINCT branch, year, month, 1, department, 1, category, n, '', 0, '',
+         CASE n WHEN 0 THEN category ELSE 'Total By Category:' END FROM p, (VALUES (0), (2)) x(n)
+  UNION ALL SELECT DISTINCT branch, year, month, 1, department, 1, category, 1, division, n, '',
+         CASE n WHEN 0 THEN division ELSE 'Total By Division:' END FROM p, (VALUES (0), (2)) x(n)
+  UNION ALL SELECT branch, year, month, 1, department, 1, category, 1, division, 1, product, product FROM p
+  UNION ALL SELECT DISTINCT branch, year, month, 2, '', n, '', 0, '', 0, '',
+         CASE n WHEN 0 THEN 'Catering' ELSE 'Total By Department:' END FROM p, range(0, 2) x(n) WHERE month = 3
+  UNION ALL SELECT DISTINCT branch, year, month, 3, '', 0, '', 0, '', 0, '', 'Total By Branch:' FROM p WHERE month <> 2
+  UNION ALL SELECT DISTINCT branch, year, month, 3, '', 1, '', 0, '', 0, '', 'Grand Total By Month:' FROM p WHERE month = 4)
+, n AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY branch, year, month
+                                     ORDER BY r0, dep, r2, cat, r4, div, r6, prod) AS line_no FROM l)
+SELECT branch || '/' || CAST(year AS VARCHAR) || '/' || lpad(CAST(month AS VARCHAR), 2, '0') AS file, line_no,
+       t AS description
+FROM n WHERE t IS NOT NULL AND line_no <= 3 + 5"""))
 def q_context_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rows around the first NULL Division of every report file: three
-    before and five after (D17f); reported as the row count per file."""
-    parsed = parsed_item_report(spark, sf_dir)
+    """Rows around the first NULL Division of every report file: up to three
+    before and five after (D17f)."""
+    parsed = parsed_item_report(spark, sf_dir, dense=True)
     first = parsed.filter(F.col("Division").isNull()).groupBy("file").agg(F.min("line_no").alias("f"))
     ctx = parsed.join(first, "file").filter(F.col("line_no").between(F.col("f") - 3, F.col("f") + 5))
-    return ctx.groupBy(F.regexp_replace("file", "^rep14/", "").alias("file")).agg(
-        F.count(F.lit(1)).cast("int").alias("n_rows"))
+    return ctx.select(F.regexp_replace("file", "^rep14/", "").alias("file"), "line_no", F.col("desc").alias("description"))
 
 
-def _scope_margin_sql(level: str, col: str) -> str:
+def _scope_margin_sql(level: str, col: str, more: str = "") -> str:
     return with_items(f"""
 SELECT branch AS Branch, {col} AS {level}, ROUND(SUM(c) + SUM(p), 4) AS Sales, ROUND(SUM(c), 4) AS COGS,
        ROUND(SUM(p), 4) AS GM, ROUND(SUM(q), 4) AS Qty,
        {R6("CASE WHEN SUM(c) + SUM(p) <> 0 THEN SUM(p) / (SUM(c) + SUM(p)) END")} AS GM_pct
 FROM (SELECT branch, year, month, {col}, SUM(qty) AS q, ROUND(SUM(cost), 4) AS c, ROUND(SUM(profit), 4) AS p
-      FROM items GROUP BY ALL)
+      FROM items GROUP BY ALL {more})
 GROUP BY ALL""")
 
 
@@ -216,25 +242,25 @@ def q_margin_from_category_totals(spark: SparkSession, sf_dir: str) -> DataFrame
     return _scope_margin(spark, sf_dir, "Category")
 
 
-@register("q_margin_from_department_totals", _scope_margin_sql("Department", "department"))
+@register("q_margin_from_department_totals", _scope_margin_sql(
+    "Department", "department", "UNION ALL SELECT DISTINCT branch, year, month, 'Catering', 0, 0, 0 FROM items WHERE month = 3"))
 def q_margin_from_department_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Gross margin by branch and department from ``Total By Department`` rows."""
     return _scope_margin(spark, sf_dir, "Department")
 
 
-@register("q_header_row", with_items(f"""
-, b AS (SELECT year, COUNT(DISTINCT branch) AS nb FROM items WHERE year IN ({BASE_YEAR}, {BASE_YEAR + 1}) GROUP BY year)
-, s AS (SELECT year, nb, 1 + COALESCE(SUM(2 * (nb + 2)) OVER (ORDER BY year ROWS BETWEEN UNBOUNDED PRECEDING
-                                                             AND 1 PRECEDING), 0) AS start FROM b)
-SELECT 'rep134' AS file, CAST(start AS INTEGER) AS line_no, 'January' AS first_month, FALSE AS all_months,
+@register("q_header_row", with_items("""
+, b AS (SELECT year, COUNT(DISTINCT branch) + 2 AS page FROM items GROUP BY year)
+, s AS (SELECT *, 1 + COALESCE(SUM(CASE WHEN year % 2 = 0 THEN page ELSE 2 * page END)
+                  OVER (ORDER BY year ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start FROM b)
+SELECT 'rep134' AS file, CAST(start AS INTEGER) AS line_no, 'January' AS first_month, year % 2 = 0 AS all_months,
        1 AS branch_col FROM s
 UNION ALL
-SELECT 'rep134', CAST(start + nb + 2 AS INTEGER), 'October', FALSE, 1 FROM s"""))
+SELECT 'rep134', CAST(start + page AS INTEGER), 'October', FALSE, 1 FROM s WHERE year % 2 = 1"""))
 def q_header_row(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Month header rows of the paged monthly report, whether a row holds
     all twelve months, and the branch column found by token counts (A4, A5, A7)."""
-    lines = rp.write_monthly_report(_report_monthly(spark, sf_dir))
-    h = rp.header_rows(lines)
+    h = rp.header_rows(_report_monthly(spark, sf_dir, dense=True))
     return h.select("file", F.col("line_no").cast("int").alias("line_no"), "first_month", "all_months",
                     F.col("branch_col").cast("int").alias("branch_col"))
 
@@ -244,7 +270,8 @@ SELECT branch AS Branch, COUNT(*) AS n_items, COUNT(*) FILTER (WHERE p < 0) AS n
        ROUND(SUM(p), 4) AS profit
 FROM (SELECT branch, year, month, department, category, division, product, ROUND(SUM(profit), 4) AS p
       FROM items GROUP BY ALL)
-GROUP BY branch"""))
+GROUP BY branch
+UNION ALL SELECT NULL, n_apr, 0, 0.0 FROM gc WHERE n_apr > 0""", _GROUP_COUNTS))
 def q_parse_money(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Printed money cells parsed back: thousands separators and
     parenthesised negatives (K1, K3, K6) - count, negatives and total of the

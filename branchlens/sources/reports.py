@@ -3,15 +3,15 @@ K1-K3, C7).
 
 A report is a sequence of text rows per file: page header, nested opening
 rows (no quantity), item rows, ``Total By <level>:`` closing rows, a footer.
-Lines are rows (file, line_no, cells...). Reading real exports is
-``spark.read.text`` + the file path (``_metadata.file_path``) + a line number;
-here reports are *written* from the items view so that a parse can be checked
-against the direct aggregate.
-
-Hierarchy reconstruction is the reference's row-by-row state machine turned
-into window functions over (file, line_no): every file is independent, so
-files are processed in parallel; one file's lines go through one task, and a
-file holds one branch-month, i.e. at most (products x channels) lines.
+Lines are rows (file, line_no, cells...); ``line_no`` grows in file order. Real
+exports come from the ``report_lines`` data source (``sources/files.py``); here
+reports are *written* from the items view so that a parse can be checked
+against the direct aggregate. The writers can print faulty reports on purpose
+(see ``write_item_report``).
+
+Hierarchy reconstruction is the reference's row-by-row state machine as chunk
+summaries and a prefix scan over them (``sources/chunks.py``): no window runs
+over a whole file, so one large file is parsed by many tasks.
 """
 
 from __future__ import annotations
@@ -20,15 +20,19 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
+from . import chunks
 
 # Report noise rows and level names.
-PAGE_NOISE = ("22-Jan-26", "Product Desc")
+PAGE_NOISE = ("Product Desc", "Description")
+PAGE_DATE = r"^\d{1,2}-[A-Za-z]{3}-\d{2}$"
 LEVELS = ("Branch", "Department", "Category", "Division")
 TOTAL_PREFIX = "total by "
 EXPLICIT_LEVELS = ("Branch", "Division", "Group")
-EXPLICIT_OPEN_RE = r"(?i)^\s*(Branch|Division|Group)\s*:\s*(.+?)\s*$"
-EXPLICIT_CLOSE_RE = r"(?i)^\s*Total\s+by\s+(Branch|Division|Group)\s*:\s*(.+?)\s*$"
-HIGH = "\u007f\u007f"   # sorts after any printable name
+PRINT_DATE = "22-Jan-26"
+#: Word in front of a branch name in printed reports.
+BRAND = "Store"
+#: Digits before the point that fit a printed price.
+PRICE_DIGITS = 5
 
 
 # ----------------------------------------------------------------- numbers (K1)
@@ -45,8 +49,11 @@ def to_num(c: Column) -> Column:
 
 
 def to_num_zero(c: Column) -> Column:
-    """``_to_number`` variant: blanks, ``-``, ``nan``, ``None`` and bad values -> 0 (K2)."""
-    return F.coalesce(to_num(c), F.lit(0.0))
+    """Lenient parse (K2): quotes and thousands separators go, and whatever is no plain
+    number then is 0: blanks, ``-``, ``nan``, ``None``, and ``(12.5)`` too, which
+    only K1 reads as a negative."""
+    s = F.regexp_replace(F.trim(c), '[",]', "")
+    return F.coalesce(F.when(s.rlike(NUMERIC_RE), s.try_cast("double")), F.lit(0.0))
 
 
 def to_num_strict(c: Column) -> Column:
@@ -62,62 +69,83 @@ def fmt(c: Column, decimals: int) -> Column:
 
 
 # --------------------------------------------------------- writer (report 14)
-def write_item_report(items: DataFrame) -> DataFrame:
-    """Hierarchical item report, one file per (branch, year, month):
-    page header, Branch > Department > Category > Division openings, item rows,
-    ``Total By`` closings at every level, footer. Returns
-    (file, line_no, desc, qty, price, cost, profit) with numeric cells as text."""
+def _line(kind: str, rank: tuple, desc: Column, cells: list[Column] | None = None, n: int = 4) -> Column:
+    """One printed line: where it sorts (``rank``: numbers and names from the
+    file level down) and its text."""
+    cells = cells or [F.lit(None).cast("string")] * n
+    ranks = [F.lit(r) if isinstance(r, (int, str)) else r for r in rank]
+    return F.struct(F.lit(kind).alias("kind"), *[r.alias(f"r{i}") for i, r in enumerate(ranks)], desc.alias("desc"),
+                    *[c.alias(f"c{i}") for i, c in enumerate(cells)])
+
+
+def _printed(rows: DataFrame, order: int, names: list[str], dense: bool) -> DataFrame:
+    """Rows with an array ``lines`` as numbered report lines."""
+    flat = rows.select("file", F.explode("lines").alias("l"))
+    flat = flat.select("file", *[F.col(f"l.r{i}").alias(f"r{i}") for i in range(order)], F.col("l.desc").alias("desc"),
+                       *[F.col(f"l.c{i}").alias(n) for i, n in enumerate(names)])
+    placed = chunks.in_file_order(flat, [f"r{i}" for i in range(order)])
+    return (chunks.numbered(placed) if dense else placed).select("file", "line_no", "desc", *names)
+
+
+def write_item_report(items: DataFrame, faults: bool = False, dense: bool = True) -> DataFrame:
+    """Hierarchical item report, one file per (branch, year, month): page
+    header, Branch > Department > Category > Division openings, item rows,
+    ``Total By`` closings at every level, footer. Returns (file, line_no, desc,
+    qty, price, cost, profit) with numeric cells as text; ``dense`` numbers the
+    lines from 1.
+
+    ``faults`` prints what real exports print: prices of more than
+    ``PRICE_DIGITS`` digits lose their last ones (I19); profits of division totals
+    have no decimals; February files end without their branch total; March files
+    hold an empty department, ``Catering``, with a zero total; April files end with
+    a stray zero line that only looks like a total (D4f, D7f)."""
     keys = ["branch", "year", "month", "department", "category", "division", "product"]
-    # one pass over the facts; every report level is rolled up from it
-    p = cut_lineage(items.groupBy(*keys).agg(F.sum("qty").alias("qty"), F.sum("price").alias("price"),
-                                             F.sum("cost").alias("cost"), F.sum("profit").alias("profit")))
+    sums = [F.sum(c).alias(c) for c in ("qty", "price", "cost", "profit")]
+    # one pass over the facts; every report level is a grouping set of it
+    p = cut_lineage(items.groupBy(*keys).agg(*sums))
     file = F.concat_ws("/", F.lit("rep14"), "branch", F.col("year").cast("string"),
                        F.lpad(F.col("month").cast("string"), 2, "0"))
-    p = p.withColumn("file", file)
-
-    def num_row(df, desc, sk):
-        return df.select("file", *sk, desc.alias("desc"), fmt(F.col("qty"), 0).alias("qty"),
-                         fmt(F.col("price"), 4).alias("price"), fmt(F.col("cost"), 4).alias("cost"),
-                         fmt(F.col("profit"), 4).alias("profit"))
-
-    def open_row(df, desc, sk):
-        return df.select("file", *sk, desc.alias("desc"), *[F.lit(None).cast("string").alias(c)
-                                                             for c in ("qty", "price", "cost", "profit")])
-
-    def sk(d, c, v, k, prod):
-        return [F.lit(d).alias("s1") if isinstance(d, str) else d.alias("s1"),
-                F.lit(c).alias("s2") if isinstance(c, str) else c.alias("s2"),
-                F.lit(v).alias("s3") if isinstance(v, str) else v.alias("s3"),
-                F.lit(k).alias("s4"),
-                F.lit(prod).alias("s5") if isinstance(prod, str) else prod.alias("s5")]
-
-    d, c, v = F.col("department"), F.col("category"), F.col("division")
-    sums = [F.sum("qty").alias("qty"), F.sum("price").alias("price"), F.sum("cost").alias("cost"),
-            F.sum("profit").alias("profit")]
-    by_div = p.groupBy("file", "branch", "department", "category", "division").agg(*sums)
-    by_cat = p.groupBy("file", "branch", "department", "category").agg(*sums)
-    by_dep = p.groupBy("file", "branch", "department").agg(*sums)
-    by_br = p.groupBy("file", "branch").agg(*sums)
-    parts = [
-        open_row(by_br, F.lit(PAGE_NOISE[0]), sk("", "", "", -2, "")),
-        open_row(by_br, F.lit(PAGE_NOISE[1]), sk("", "", "", -1, "")),
-        open_row(by_br, F.concat(F.lit("Stories - "), F.col("branch")), sk("", "", "", 0, "")),
-        open_row(by_dep, d, sk(d, "", "", 0, "")),
-        open_row(by_cat, c, sk(d, c, "", 0, "")),
-        open_row(by_div, v, sk(d, c, v, 0, "")),
-        num_row(p, F.col("product"), sk(d, c, v, 1, F.col("product"))),
-        num_row(by_div, F.lit("Total By Division:"), sk(d, c, v, 2, "")),
-        num_row(by_cat, F.lit("Total By Category:"), sk(d, c, HIGH, 3, "")),
-        num_row(by_dep, F.lit("Total By Department:"), sk(d, HIGH, HIGH, 4, "")),
-        num_row(by_br, F.lit("Total By Branch:"), sk(HIGH, HIGH, HIGH, 5, "")),
-        open_row(by_br, F.lit("End of report"), sk(HIGH + HIGH, "", "", 6, "")),
-    ]
-    lines = parts[0]
-    for q in parts[1:]:
-        lines = lines.unionByName(q)
-    w = Window.partitionBy("file").orderBy("s1", "s2", "s3", "s4", "s5")
-    return lines.withColumn("line_no", F.row_number().over(w)).select(
-        "file", "line_no", "desc", "qty", "price", "cost", "profit")
+    top, deep = keys[:3], keys[3:]
+    sets = [top + deep[:k] for k in range(len(deep), -1, -1)]
+    g = p.groupingSets([[F.col(c) for c in s] for s in sets], *keys).agg(*sums, F.grouping_id().alias("gid"))
+    depth = 4 - F.bit_count("gid")
+
+    price = F.col("price")
+    if faults:
+        lost = F.greatest(F.floor(F.log10(F.abs(price))) + 1 - PRICE_DIGITS, F.lit(0))
+        price = F.when(price == 0, price).otherwise(price / F.pow(F.lit(10.0), lost))
+
+    def numbers(profit_decimals: int = 4):
+        return [fmt(F.col("qty"), 0), fmt(price, 4), fmt(F.col("cost"), 4), fmt(F.col("profit"), profit_decimals)]
+
+    d, c, v, i = (F.col(x) for x in deep)
+    none = F.lit(None).cast("string")
+
+    def at(r0, dep=none, r2=0, cat=none, r4=0, div=none, r6=0, prod=none):
+        return r0, dep, r2, cat, r4, div, r6, prod
+
+    header = [_line("noise", at(0, r2=0), F.lit(PRINT_DATE)), _line("noise", at(0, r2=1), F.lit(PAGE_NOISE[0])),
+              _line("open", at(0, r2=2), F.concat(F.lit(f"{BRAND} - "), F.col("branch")))]
+    total = _line("close", at(3), F.lit("Total By Branch:"), numbers())
+    footer = _line("noise", at(4), F.lit("End of report"))
+    whole = F.array(*header, total, footer)
+    if faults:
+        zero = [F.lit("0"), *[F.lit("0.0000")] * 3]
+        empty = [_line("open", at(2, r2=0), F.lit("Catering")), _line("close", at(2, r2=1), F.lit("Total By Department:"), zero)]
+        stray = _line("item", at(3, r2=1), F.lit("Grand Total By Month:"), zero)
+        whole = (F.when(F.col("month") == 2, F.array(*header, footer))
+                 .when(F.col("month") == 3, F.array(*header, *empty, total, footer))
+                 .when(F.col("month") == 4, F.array(*header, total, stray, footer)).otherwise(whole))
+    lines = (F.when(depth == 4, F.array(_line("item", at(1, d, 1, c, 1, v, 1, i), i, numbers())))
+             .when(depth == 3, F.array(_line("open", at(1, d, 1, c, 1, v, 0), v),
+                                       _line("close", at(1, d, 1, c, 1, v, 2), F.lit("Total By Division:"),
+                                             numbers(0 if faults else 4))))
+             .when(depth == 2, F.array(_line("open", at(1, d, 1, c, 0), c),
+                                       _line("close", at(1, d, 1, c, 2), F.lit("Total By Category:"), numbers())))
+             .when(depth == 1, F.array(_line("open", at(1, d, 0), d),
+                                       _line("close", at(1, d, 2), F.lit("Total By Department:"), numbers())))
+             .otherwise(whole))
+    return _printed(g.select(file.alias("file"), lines.alias("lines")), 8, ["qty", "price", "cost", "profit"], dense)
 
 
 # ------------------------------------------------------ parser (E1, report 14)
@@ -132,44 +160,50 @@ def branch_name(c: Column) -> Column:
             .when(F.instr(s, "-") > 0, F.trim(F.split(s, "-", 2)[1])).otherwise(s))
 
 
-def parse_item_report(lines: DataFrame) -> DataFrame:
+def without_noise(lines: DataFrame) -> DataFrame:
+    """Lines without page dates, repeated page headers (D1f) and the footer,
+    the last line of every file (D3f)."""
+    desc = F.trim(F.col("desc"))
+    return chunks.without_last(lines.filter(~F.coalesce(desc.isin(*PAGE_NOISE) | desc.rlike(PAGE_DATE), F.lit(False))))
+
+
+def parse_item_report(lines: DataFrame, chunk: int = chunks.CHUNK) -> DataFrame:
     """Implicit hierarchy (E1): an opening is a non-blank text with an empty
     quantity and opens the first unset level (a fifth opening overwrites
     Division); ``Total By <Level>`` closes that level and all below and is
     tagged with the state before it closes; other rows inherit.
 
-    Depth as a closed form over prefix aggregates: with a = 1 on openings and
-    c = 4 on openings, level index on closings, +inf otherwise,
-    depth = A + least(0, min(c - A)) where A = running sum(a)."""
-    desc = F.trim(F.col("desc"))
-    x = lines.filter(~F.coalesce(desc.isin(*PAGE_NOISE), F.lit(False)))           # D1f
-    last = F.max("line_no").over(Window.partitionBy("file"))
-    x = x.withColumn("_last", last).filter(F.col("line_no") < F.col("_last")).drop("_last")   # D3f footer
+    A line maps the depth d to least(d + a, c), with a = 1, c = 4 on openings,
+    a = 0, c = level index on closings. The maps of a chunk compose to one such
+    map, so a first scan over chunks gives every chunk its depth, and a second
+    one the last opening of every level before it."""
+    x = without_noise(lines)
     # every row with the prefix is a total; only a known level closes something
     text = F.concat(F.trim(F.regexp_replace(F.lower(F.col("desc")), r"\s+", " ")), F.lit(" "))
     is_total = F.coalesce(text.startswith(TOTAL_PREFIX), F.lit(False))
     lvl = F.when(is_total, F.trim(F.split(F.substring(text, len(TOTAL_PREFIX) + 1, 1 << 20), ":", 2)[0]))
     is_open = ~is_total & _blank(F.col("qty")) & ~_blank(F.col("desc"))
-    close_idx = None
-    for i, name in enumerate(LEVELS):
-        cond = lvl == name.lower()
-        close_idx = F.when(cond, F.lit(i)) if close_idx is None else close_idx.when(cond, F.lit(i))
-    x = x.select("*", is_total.alias("is_total"), is_open.alias("is_open"), close_idx.alias("close_level"),
-                 F.initcap(lvl).alias("total_scope"))
-    w = Window.partitionBy("file").orderBy("line_no")
-    run = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    a = F.when(F.col("is_open"), 1).otherwise(0)
-    c = F.when(F.col("is_open"), 4).when(F.col("is_total"), F.col("close_level")).otherwise(1 << 30)
-    x = x.withColumn("_A", F.sum(a).over(run)).withColumn("_cA", c - F.col("_A"))
-    x = x.withColumn("depth", F.col("_A") + F.least(F.lit(0), F.min("_cA").over(run)))
-    x = x.withColumn("_prev_depth", F.coalesce(F.lag("depth").over(w), F.lit(0)))
-    eff = F.when(F.col("is_total"), F.col("_prev_depth")).otherwise(F.col("depth"))
-    out = x
-    for i, name in enumerate(LEVELS):
-        val = F.when(F.col("is_open") & (F.col("depth") == i + 1),
-                     branch_name(F.col("desc")) if i == 0 else F.trim(F.col("desc")))
-        out = out.withColumn(name, F.when(eff >= i + 1, F.last(val, ignorenulls=True).over(run)))
-    return out.drop("_A", "_cA", "_prev_depth")
+    close = F.array_position(F.array(*[F.lit(n.lower()) for n in LEVELS]), lvl)
+    x = x.select("*", is_total.alias("is_total"), is_open.alias("is_open"),
+                 F.when(close > 0, (close - 1).cast("int")).alias("close_level"), F.initcap(lvl).alias("total_scope"))
+    x = chunks.in_chunks(x, chunk).withColumn("_shift", F.col("is_open").cast("int"))
+    cap = F.when(F.col("is_open"), 4).when(F.col("is_total"), F.col("close_level")).otherwise(1 << 30)
+    run = chunks.running()
+    x = x.withColumn("_A", F.sum("_shift").over(run)).withColumn("_cap", cap - F.col("_A"))
+    x = x.withColumn("_low", F.min("_cap").over(run))
+    x = x.join(chunks.carry_depth(x, "_shift", "_cap"), chunks.KEY)
+    x = x.withColumn("depth", F.col("_A") + F.least(F.col("_d0"), F.col("_low")))
+    before = F.coalesce(F.lag("depth").over(chunks.within_chunk()), F.col("_d0"))
+    eff = F.when(F.col("is_total"), before).otherwise(F.col("depth"))
+    opened = {name: F.when(F.col("is_open") & (F.col("depth") == i + 1),
+                           branch_name(F.col("desc")) if i == 0 else F.trim(F.col("desc")))
+              for i, name in enumerate(LEVELS)}
+    y = x.join(chunks.carried_in(x, {f"_in{n}": v for n, v in opened.items()}), chunks.KEY)
+    y = y.withColumn("_eff", eff)
+    for i, (name, v) in enumerate(opened.items()):
+        y = y.withColumn(name, F.when(F.col("_eff") >= i + 1,
+                                      F.coalesce(F.last(v, ignorenulls=True).over(run), F.col(f"_in{name}.v"))))
+    return y.drop(*[c for c in y.columns if c.startswith("_")])
 
 
 def report_facts(parsed: DataFrame) -> DataFrame:
@@ -192,75 +226,97 @@ def report_totals(parsed: DataFrame) -> DataFrame:
                     to_num(F.col("price")).alias("printed_price"))
 
 
+def reconcile_totals(totals: DataFrame, facts: DataFrame) -> DataFrame:
+    """Printed totals against the rollup of the item rows, every file and scope:
+    (file, scope, levels, printed, computed, reason), reason ``both``, ``printed
+    only`` or ``computed only`` (I18, F9)."""
+    lv = list(LEVELS)
+    sets = [["file", *lv[:k]] for k in range(1, len(lv) + 1)]
+    roll = facts.groupingSets([[F.col(c) for c in s] for s in sets], "file", *lv).agg(
+        F.sum("profit").alias("computed"), F.grouping_id().alias("gid"))
+    scope = F.element_at(F.array(*[F.lit(n) for n in lv]), 4 - F.bit_count("gid"))
+    keys = ["file", "scope", *lv]
+    a = totals.select("file", F.col("total_scope").alias("scope"), *lv, F.col("profit").alias("printed"), F.lit(1).alias("_p"))
+    b = roll.select("file", scope.alias("scope"), *lv, "computed", F.lit(1).alias("_c"))
+    j = a.join(b, [a[k].eqNullSafe(b[k]) for k in keys], "full_outer")
+    return j.select(*[F.coalesce(a[k], b[k]).alias(k) for k in keys], "printed", "computed",
+                    F.when(F.col("_c").isNull(), "printed only").when(F.col("_p").isNull(), "computed only")
+                    .otherwise("both").alias("reason"))
+
+
 # --------------------------------------------------- explicit hierarchy
-def write_group_report(items: DataFrame) -> DataFrame:
+def write_group_report(items: DataFrame, dense: bool = True) -> DataFrame:
     """Report "191": ``Branch: x`` / ``Division: y`` / ``Group: z`` openings,
     item rows (Description, Qty, Total Amount), ``Total by <level>: name``
-    closings; one file per (branch, year)."""
-    p = cut_lineage(items.groupBy("branch", "year", "division", "grp", "product")
-                    .agg(F.sum("qty").alias("qty"), F.sum("price").alias("amount"))
-                    .withColumn("file", F.concat_ws("/", F.lit("rep191"), "branch", F.col("year").cast("string"))))
+    closings, page header and footer; one file per (branch, year)."""
+    keys = ["branch", "year", "division", "grp", "product"]
     sums = [F.sum("qty").alias("qty"), F.sum("amount").alias("amount")]
-    by_grp = p.groupBy("file", "branch", "division", "grp").agg(*sums)
-    by_div = p.groupBy("file", "branch", "division").agg(*sums)
-    by_br = p.groupBy("file", "branch").agg(*sums)
-
-    def row(df, desc, s1, s2, k, s4, numbers=True):
-        return df.select("file", F.lit(s1).alias("s1") if isinstance(s1, str) else s1.alias("s1"),
-                         F.lit(s2).alias("s2") if isinstance(s2, str) else s2.alias("s2"),
-                         F.lit(k).alias("s3"), F.lit(s4).alias("s4") if isinstance(s4, str) else s4.alias("s4"),
-                         desc.alias("desc"),
-                         (fmt(F.col("qty"), 0) if numbers else F.lit(None).cast("string")).alias("qty"),
-                         (fmt(F.col("amount"), 4) if numbers else F.lit(None).cast("string")).alias("amount"))
-    dv, gp = F.col("division"), F.col("grp")
-    parts = [
-        row(by_br, F.concat(F.lit("Branch: "), F.col("branch")), "", "", 0, "", False),
-        row(by_div, F.concat(F.lit("Division: "), dv), dv, "", 0, "", False),
-        row(by_grp, F.concat(F.lit("Group: "), gp), dv, gp, 0, "", False),
-        row(p, F.col("product"), dv, gp, 1, F.col("product")),
-        row(by_grp, F.concat(F.lit("Total by Group: "), gp), dv, gp, 2, ""),
-        row(by_div, F.concat(F.lit("Total by Division: "), dv), dv, HIGH, 3, ""),
-        row(by_br, F.concat(F.lit("Total by Branch: "), F.col("branch")), HIGH, HIGH, 4, ""),
-    ]
-    lines = parts[0]
-    for q in parts[1:]:
-        lines = lines.unionByName(q)
-    w = Window.partitionBy("file").orderBy("s1", "s2", "s3", "s4")
-    return lines.withColumn("line_no", F.row_number().over(w)).select("file", "line_no", "desc", "qty", "amount")
-
-
-def parse_group_report(lines: DataFrame) -> DataFrame:
+    p = cut_lineage(items.groupBy(*keys).agg(F.sum("qty").alias("qty"), F.sum("price").alias("amount")))
+    sets = [keys[:2] + keys[2:][:k] for k in range(3, -1, -1)]
+    g = p.groupingSets([[F.col(c) for c in s] for s in sets], *keys).agg(*sums, F.grouping_id().alias("gid"))
+    depth = 3 - F.bit_count("gid")
+    cells = [fmt(F.col("qty"), 0), fmt(F.col("amount"), 4)]
+    dv, gp, it, none = F.col("division"), F.col("grp"), F.col("product"), F.lit(None).cast("string")
+
+    def at(r0, div=none, r2=0, grp=none, r4=0, prod=none):
+        return r0, div, r2, grp, r4, prod
+
+    def both(rank, level, name):
+        return F.array(_line("open", rank(0), F.concat(F.lit(f"{level}: "), name), n=2),
+                       _line("close", rank(2), F.concat(F.lit(f"Total by {level}: "), name), cells))
+
+    whole = F.concat(
+        F.array(_line("noise", at(0, r2=0), F.lit(PRINT_DATE), n=2), _line("noise", at(0, r2=1), F.lit(PAGE_NOISE[1]), n=2)),
+        both(lambda k: at(0, r2=2) if k == 0 else at(2), "Branch", F.col("branch")),
+        F.array(_line("noise", at(3), F.lit("End of report"), n=2)))
+    lines = (F.when(depth == 3, F.array(_line("item", at(1, dv, 1, gp, 1, it), it, cells)))
+             .when(depth == 2, both(lambda k: at(1, dv, 1, gp, k), "Group", gp))
+             .when(depth == 1, both(lambda k: at(1, dv, k), "Division", dv)).otherwise(whole))
+    file = F.concat_ws("/", F.lit("rep191"), "branch", F.col("year").cast("string"))
+    return _printed(g.select(file.alias("file"), lines.alias("lines")), 6, ["qty", "amount"], dense)
+
+
+def _level_and_name(desc: Column) -> tuple[Column, Column, Column]:
+    """A line cut at its first colon: whether it is a total, the level it names
+    (lower case; null for other words) and the name behind the colon."""
+    flat = F.trim(F.regexp_replace(F.lower(desc), r"\s+", " "))
+    is_total = F.coalesce(flat.startswith(TOTAL_PREFIX), F.lit(False))
+    word = F.trim(F.split(F.when(is_total, F.substring(flat, len(TOTAL_PREFIX) + 1, 1 << 20)).otherwise(flat), ":", 2)[0])
+    name = F.regexp_replace(F.substring(desc, F.instr(desc, ":") + 1, 1 << 20), r"^\s+|\s+$", "")
+    known = word.isin(*[n.lower() for n in EXPLICIT_LEVELS]) & F.contains(desc, F.lit(":")) & (name != "")
+    return is_total, F.when(known, word), name
+
+
+def parse_group_report(lines: DataFrame, chunk: int = chunks.CHUNK, noise: bool = True) -> DataFrame:
     """Explicit hierarchy (E2): ``Level: name`` opens the level and resets
     the lower ones; ``Total by Level: name`` closes it after tagging.
 
     Level l holds the name of its last opening o iff o lies after the last
     opening of every higher level and after the last closing (strictly
-    before the current row) of level l or higher."""
-    w = Window.partitionBy("file").orderBy("line_no")
-    run = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    before = w.rowsBetween(Window.unboundedPreceding, -1)
-    is_close = F.coalesce(F.col("desc").rlike(EXPLICIT_CLOSE_RE), F.lit(False))
-    is_open = ~is_close & F.coalesce(F.col("desc").rlike(EXPLICIT_OPEN_RE), F.lit(False))
-    olvl = F.lower(F.regexp_extract(F.col("desc"), EXPLICIT_OPEN_RE, 1))
-    clvl = F.lower(F.regexp_extract(F.col("desc"), EXPLICIT_CLOSE_RE, 1))
-    x = lines.select("*", is_close.alias("is_total"), is_open.alias("is_open"), olvl.alias("_ol"), clvl.alias("_cl"),
-                     F.regexp_extract(F.col("desc"), EXPLICIT_OPEN_RE, 2).alias("_name"))
+    before the current row) of level l or higher. Last openings and closings are
+    maxima, so a chunk is summarised by them."""
+    x = chunks.in_chunks(without_noise(lines) if noise else lines, chunk)
+    total, level, name = _level_and_name(F.col("desc"))
+    x = x.select("*", F.coalesce(total & level.isNotNull(), F.lit(False)).alias("is_total"),
+                 F.coalesce(~total & level.isNotNull(), F.lit(False)).alias("is_open"), level.alias("_l"), name.alias("_n"))
     names = [n.lower() for n in EXPLICIT_LEVELS]
-    for i, n in enumerate(names):
-        x = x.withColumn(f"_lo{i}", F.max(F.when(F.col("is_open") & (F.col("_ol") == n), F.col("line_no"))).over(run))
-        x = x.withColumn(f"_v{i}", F.last(F.when(F.col("is_open") & (F.col("_ol") == n), F.col("_name")),
-                                          ignorenulls=True).over(run))
-        x = x.withColumn(f"_lc{i}", F.max(F.when(F.col("is_total") & (F.col("_cl") == n), F.col("line_no")))
-                         .over(before))
+    opened = {f"_o{i}": F.when(F.col("is_open") & (F.col("_l") == n), F.col("_n")) for i, n in enumerate(names)}
+    closed = {f"_c{i}": F.when(F.col("is_total") & (F.col("_l") == n), F.lit(True)) for i, n in enumerate(names)}
+    y = x.join(chunks.carried_in(x, {**opened, **closed}), chunks.KEY)
+    for c, v in opened.items():
+        y = y.withColumn(c, F.greatest(F.col(c), chunks.last_seen(v)))
+    strictly = chunks.within_chunk().rowsBetween(Window.unboundedPreceding, -1)
+    for c, v in closed.items():
+        y = y.withColumn(c, F.greatest(F.col(f"{c}.at"), F.max(F.when(v.isNotNull(), F.col("line_no"))).over(strictly)))
     for i, n in enumerate(EXPLICIT_LEVELS):
-        ok = F.col(f"_lo{i}").isNotNull()
+        o = F.col(f"_o{i}.at")
+        ok = o.isNotNull()
         for h in range(i):
-            ok = ok & (F.col(f"_lo{i}") > F.coalesce(F.col(f"_lo{h}"), F.lit(-1)))
+            ok = ok & (o > F.coalesce(F.col(f"_o{h}.at"), F.lit(-1)))
         for h in range(i + 1):                 # closings of this or a higher level
-            ok = ok & (F.col(f"_lo{i}") > F.coalesce(F.col(f"_lc{h}"), F.lit(-1)))
-        x = x.withColumn(n, F.when(ok, F.col(f"_v{i}")))
-    drop = [c for c in x.columns if c.startswith("_")]
-    return x.drop(*drop)
+            ok = ok & (o > F.coalesce(F.col(f"_c{h}"), F.lit(-1)))
+        y = y.withColumn(n, F.when(ok, F.col(f"_o{i}.v")))
+    return y.drop(*[c for c in y.columns if c.startswith("_")])
 
 
 # ------------------------------------------- paged monthly report (A4-A10)
@@ -269,81 +325,90 @@ MONTH_NAMES = ("January", "February", "March", "April", "May", "June", "July", "
                "October", "November", "December")
 YEAR_TOTAL = "Total By Year"
 PAGE_SPLIT = 9          # months on the first page of a year block
-BRANCH_TOKEN = r"(?i)\bStories\b"
 
 
-def write_monthly_report(monthly: DataFrame) -> DataFrame:
+def branch_token(brand: str = BRAND) -> str:
+    """Pattern of cells that name a branch."""
+    return rf"(?i)\b{brand}\b"
+
+
+def write_monthly_report(monthly: DataFrame, dense: bool = True) -> DataFrame:
     """Comparative monthly sales report: per year two pages, January..September
     and October..December + ``Total By Year``; the month header is repeated per
     page and shifted by one column on the second page; the year is printed
     on the first row of each page only; each page ends with a ``Total`` row.
-    ``monthly``: (branch, year, month, sales). Returns (file, line_no, cells)."""
-    p1 = [F.col(f"m{m}") for m in range(1, PAGE_SPLIT + 1)]
-    p2 = [F.col(f"m{m}") for m in range(PAGE_SPLIT + 1, 13)]
+    Even years are printed on one wide page with all twelve months. Yearly totals
+    have no decimals. ``monthly``: (branch, year, month, sales). Returns (file,
+    line_no, cells)."""
     wide = cut_lineage(monthly.groupBy("branch", "year").agg(*[
         F.coalesce(F.sum(F.when(F.col("month") == m, F.col("sales"))), F.lit(0.0)).alias(f"m{m}")
         for m in range(1, 13)]))
     wide = wide.withColumn("tot", sum((F.col(f"m{m}") for m in range(1, 13)), F.lit(0.0)))
     tot = wide.groupBy("year").agg(*[F.sum(f"m{m}").alias(f"m{m}") for m in range(1, 13)],
-                                   F.sum("tot").alias("tot"))
-    first = F.row_number().over(Window.partitionBy("year").orderBy("branch")) == 1
-    yr = F.col("year").cast("string")
-    e = F.lit("")
-    name = F.concat(F.lit("Stories "), F.col("branch"))
+                                   F.sum("tot").alias("tot"), F.min("branch").alias("first_branch"))
+    first = tot.select("year", "first_branch")
+    year = F.when(F.col("branch") == F.col("first_branch"), F.col("year").cast("string")).otherwise("")
+    name, even = F.concat(F.lit(f"{BRAND} "), F.col("branch")), F.col("year") % 2 == 0
 
     def cells(*cs):
-        return F.array(*[c if not isinstance(c, str) else F.lit(c) for c in cs]).alias("cells")
-    rows = [
-        tot.select("year", F.lit(1).alias("page"), F.lit(0).alias("kind"), e.alias("k"),
-                   cells("", "", *MONTH_NAMES[:PAGE_SPLIT])),
-        wide.select("year", F.lit(1).alias("page"), F.lit(1).alias("kind"), F.col("branch").alias("k"),
-                    cells(F.when(first, yr).otherwise(e), name, *[fmt(c, 4) for c in p1])),
-        tot.select("year", F.lit(1).alias("page"), F.lit(2).alias("kind"), e.alias("k"),
-                   cells("", "Total", *[fmt(c, 4) for c in p1])),
-        tot.select("year", F.lit(2).alias("page"), F.lit(0).alias("kind"), e.alias("k"),
-                   cells("", "", "", *MONTH_NAMES[PAGE_SPLIT:], YEAR_TOTAL)),
-        wide.select("year", F.lit(2).alias("page"), F.lit(1).alias("kind"), F.col("branch").alias("k"),
-                    cells(F.when(first, yr).otherwise(e), name, "", *[fmt(c, 4) for c in p2], fmt(F.col("tot"), 4))),
-        tot.select("year", F.lit(2).alias("page"), F.lit(2).alias("kind"), e.alias("k"),
-                   cells("", "Total", "", *[fmt(c, 4) for c in p2], fmt(F.col("tot"), 4))),
-    ]
-    lines = rows[0]
-    for r in rows[1:]:
-        lines = lines.unionByName(r)
-    w = Window.partitionBy("file").orderBy("year", "page", "kind", "k")
-    return (lines.withColumn("file", F.lit("rep134"))
-            .withColumn("line_no", F.row_number().over(w)).select("file", "line_no", "cells"))
-
-
-def parse_monthly_report(lines: DataFrame) -> DataFrame:
+        return F.array(*[c if not isinstance(c, str) else F.lit(c) for c in cs])
+
+    def page(number, kind, k, row):
+        return F.struct(F.lit(number).alias("page"), F.lit(kind).alias("kind"), k.alias("k"), row.alias("cells"))
+
+    def pages(kind, k, start, texts, total, wide_start, gap):
+        """Rows of one kind on their pages; ``gap`` cells shift the second."""
+        return F.when(even, F.array(page(1, kind, k, cells(*wide_start, *texts, total)))).otherwise(F.array(
+            page(1, kind, k, cells(*start, *texts[:PAGE_SPLIT])),
+            page(2, kind, k, cells(*start, *gap, *texts[PAGE_SPLIT:], total))))
+
+    money = [fmt(F.col(f"m{m}"), 4) for m in range(1, 13)]
+    whole = fmt(F.col("tot"), 0)
+    body = wide.join(first, "year").select(
+        "year", pages(1, F.col("branch"), (year, name), money, whole, (year, name), ("",)).alias("rows"))
+    rest = tot.select("year", F.concat(
+        pages(0, F.lit(""), ("", ""), list(MONTH_NAMES), YEAR_TOTAL, ("", ""), ("",)),
+        pages(2, F.lit(""), ("", "Total"), money, whole, ("", "Total"), ("",))).alias("rows"))
+    flat = body.unionByName(rest).select(F.lit("rep134").alias("file"), "year", F.explode("rows").alias("r"))
+    flat = flat.select("file", "year", "r.page", "r.kind", "r.k", "r.cells")
+    placed = chunks.in_file_order(flat, ["year", "page", "kind", "k"])
+    return (chunks.numbered(placed) if dense else placed).select("file", "line_no", "cells")
+
+
+def _branch_column(rows: DataFrame, brand: str) -> DataFrame:
+    """(file, bpos): the position with the most cells that name a branch."""
+    hits = rows.select("file", F.posexplode("cells").alias("pos", "val"))
+    return (hits.groupBy("file", "pos").agg(F.count_if(F.col("val").rlike(branch_token(brand))).alias("n"))
+            .groupBy("file").agg(F.max_by("pos", F.struct("n", -F.col("pos"))).alias("bpos")))
+
+
+def is_header() -> Column:
+    return F.exists("cells", lambda c: F.trim(c).isin(*MONTH_NAMES))
+
+
+def parse_monthly_report(lines: DataFrame, brand: str = BRAND, chunk: int = chunks.CHUNK) -> DataFrame:
     """Paged report -> long (branch, year, month, sales) (A10, A4-A9, D8f, J6).
 
-    Header rows (any month name) are carried forward over the file order with
-    ``last(ignorenulls)``, as is the year printed on a page's first row; the
-    branch column is the position with the most ``Stories`` cells (A7);
-    cells are exploded with their position and named by the carried header;
-    blank and ``Total`` branches are dropped; ``Total By Year`` is returned as
-    month 0 for reconciliation."""
-    w = Window.partitionBy("file").orderBy("line_no")
-    run = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    is_header = F.exists("cells", lambda c: F.trim(c).isin(*MONTH_NAMES))
+    Header rows (any month name) and the year printed on a page's first row are
+    carried forward over the file order, within chunks and from chunk to chunk;
+    the branch column is the position with the most branch cells (A7); cells are
+    exploded with their position and named by the carried header; blank and
+    ``Total`` branches are dropped; ``Total By Year`` is returned as month 0 for
+    reconciliation."""
+    x = chunks.in_chunks(lines, chunk)
     y0 = F.trim(F.col("cells")[0])
-    x = (lines.withColumn("is_header", is_header)
-         .withColumn("header", F.last(F.when(F.col("is_header"), F.col("cells")), ignorenulls=True).over(run))
-         .withColumn("year", F.last(F.when(y0.rlike(r"^\d{4}$"), y0.cast("int")), ignorenulls=True).over(run))
-         .filter(~F.col("is_header") & F.col("header").isNotNull()))
-    cells = x.select("file", "line_no", "year", "header", F.posexplode("cells").alias("pos", "val"))
-    hits = (cells.groupBy("file", "pos").agg(F.count_if(F.col("val").rlike(BRANCH_TOKEN)).alias("n"))
-            .groupBy("file").agg(F.max_by("pos", F.struct("n", -F.col("pos"))).alias("bpos")))
-    bcell = (cells.join(hits, "file").filter(F.col("pos") == F.col("bpos"))
-             .select("file", "line_no", F.trim("val").alias("branch_cell")))
+    seen = {"_header": F.when(is_header(), F.col("cells")), "_year": F.when(y0.rlike(r"^\d{4}$"), y0.cast("int"))}
+    y = x.join(chunks.carried_in(x, seen), chunks.KEY)
+    for c, v in seen.items():
+        y = y.withColumn(c, F.coalesce(F.last(v, ignorenulls=True).over(chunks.running()), F.col(f"{c}.v")))
+    y = y.filter(~is_header() & F.col("_header").isNotNull()).join(_branch_column(lines.filter(~is_header()), brand), "file")
+    y = y.withColumn("branch_cell", F.trim(F.get("cells", F.col("bpos"))))
+    y = y.filter((F.col("branch_cell") != "") & (F.lower(F.col("branch_cell")) != "total"))   # D8f
     months = F.array(*[F.lit(m) for m in MONTH_NAMES])
-    named = (cells.join(bcell, ["file", "line_no"])
-             .withColumn("hname", F.trim(F.element_at("header", F.col("pos") + 1)))
-             .filter(F.col("hname").isin(*MONTH_NAMES, YEAR_TOTAL)))
-    named = named.filter((F.col("branch_cell") != "") & (F.lower(F.col("branch_cell")) != "total"))   # D8f
+    named = (y.select("branch_cell", F.col("_year").alias("year"), "_header", F.posexplode("cells").alias("pos", "val"))
+             .withColumn("hname", F.trim(F.get("_header", F.col("pos")))).filter(F.col("hname").isin(*MONTH_NAMES, YEAR_TOTAL)))
     return named.select(
-        F.regexp_replace("branch_cell", r"(?i)^Stories\s+", "").alias("branch"), "year",
+        F.regexp_replace("branch_cell", rf"(?i)^{brand}\s+", "").alias("branch"), "year",
         F.when(F.col("hname") == YEAR_TOTAL, F.lit(0)).otherwise(F.array_position(months, F.col("hname")))
         .cast("int").alias("month"),
         to_num_zero(F.col("val")).alias("sales"))
@@ -376,16 +441,12 @@ def price_overflow(parsed: DataFrame) -> DataFrame:
             .groupBy("kind", "lost_digits").agg(F.count(F.lit(1)).alias("n")))
 
 
-def header_rows(lines: DataFrame) -> DataFrame:
+def header_rows(lines: DataFrame, brand: str = BRAND) -> DataFrame:
     """Header discovery (A4, A5, A7): every line naming a month, its first
-    month name, and the detected branch column of the file."""
-    is_header = F.exists("cells", lambda c: F.trim(c).isin(*MONTH_NAMES))
-    hdr = lines.filter(is_header).select(
+    month name, whether it names all twelve, and the branch column of the file."""
+    hdr = lines.filter(is_header()).select(
         "file", "line_no",
         F.element_at(F.filter("cells", lambda c: F.trim(c).isin(*MONTH_NAMES)), 1).alias("first_month"),
         F.forall(F.array(*[F.lit(m) for m in MONTH_NAMES]),
                  lambda m: F.array_contains("cells", m)).alias("all_months"))
-    data = lines.filter(~is_header).select("file", F.posexplode("cells").alias("pos", "val"))
-    bcol = (data.groupBy("file", "pos").agg(F.count_if(F.col("val").rlike(BRANCH_TOKEN)).alias("n"))
-            .groupBy("file").agg(F.max_by("pos", F.struct("n", -F.col("pos"))).alias("branch_col")))
-    return hdr.join(bcol, "file")
+    return hdr.join(_branch_column(lines.filter(~is_header()), brand).withColumnRenamed("bpos", "branch_col"), "file")

@@ -15,23 +15,26 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # Fixed values of the retail mapping (department per return flag, channel
-# availability rules, cost factor, forecasting base year).
+# availability rules, cost factor).
 DEPARTMENT_BY_FLAG = {"A": "TABLE", "N": "TAKE AWAY", "R": "Toters"}
 DEPARTMENTS = ("TABLE", "TAKE AWAY", "Toters")
-TOTERS_NATION_MODULUS = 4      # Toters only where n_nationkey % 4 = 0
-NO_TAKEAWAY_NATION = 7         # one branch without take-away
+TOTERS_NATION_MODULUS = 4      # Toters only where n_nationkey % 4 = 0; elsewhere those lines are sold at the table
+NO_TAKEAWAY_NATION = 7         # one branch without take-away sells those lines at the table too
 COST_FACTOR = 0.3              # cost = qty * retail price * 0.3
-BASE_YEAR = 2000               # monthly report year; January of next year is the target
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
 
 
-def department_expr(flag: Column) -> Column:
-    out = None
+def department_expr(flag: Column, nation: Column) -> Column:
+    """The channel of a line; a branch without the line's channel sold it at the
+    table, so no line is left out."""
+    closed = (((flag == "N") & (nation == NO_TAKEAWAY_NATION))
+              | ((flag == "R") & (nation % TOTERS_NATION_MODULUS != 0)))
+    out = F.when(closed, F.lit(DEPARTMENTS[0]))
     for k, v in DEPARTMENT_BY_FLAG.items():
-        out = F.when(flag == k, F.lit(v)) if out is None else out.when(flag == k, F.lit(v))
+        out = out.when(flag == k, F.lit(v))
     return out
 
 
@@ -54,14 +57,11 @@ def items(spark: SparkSession, sf_dir: str) -> DataFrame:
                     .select("o_orderkey", "o_orderdate", "n_nationkey", "n_name"))
     j = li.join(order_branch, li.l_orderkey == order_branch.o_orderkey).join(
         pa, li.l_partkey == pa.p_partkey)
-    keep = ((F.col("l_returnflag") == "A")
-            | ((F.col("l_returnflag") == "N") & (F.col("n_nationkey") != NO_TAKEAWAY_NATION))
-            | ((F.col("l_returnflag") == "R") & (F.col("n_nationkey") % TOTERS_NATION_MODULUS == 0)))
     price = F.col("l_extendedprice") * (F.lit(1.0) - F.col("l_discount"))
     cost = F.col("l_quantity") * F.col("p_retailprice") * F.lit(COST_FACTOR)
-    return j.filter(keep).select(
+    return j.select(
         F.col("n_name").alias("branch"),
-        department_expr(F.col("l_returnflag")).alias("department"),
+        department_expr(F.col("l_returnflag"), F.col("n_nationkey")).alias("department"),
         F.concat(F.lit("P"), F.col("l_partkey").cast("string")).alias("product"),
         F.concat_ws(" ", "p_brand", "p_type").alias("family"),
         F.col("p_type").alias("category"),
@@ -80,7 +80,9 @@ def items(spark: SparkSession, sf_dir: str) -> DataFrame:
 ITEMS_SQL = """
 items AS (
   SELECT n.n_name AS branch,
-         CASE l.l_returnflag WHEN 'A' THEN 'TABLE' WHEN 'N' THEN 'TAKE AWAY' WHEN 'R' THEN 'Toters' END AS department,
+         CASE WHEN l.l_returnflag = 'A' OR (l.l_returnflag = 'N' AND n.n_nationkey = 7)
+                OR (l.l_returnflag = 'R' AND n.n_nationkey % 4 <> 0) THEN 'TABLE'
+              WHEN l.l_returnflag = 'N' THEN 'TAKE AWAY' WHEN l.l_returnflag = 'R' THEN 'Toters' END AS department,
          'P' || CAST(l.l_partkey AS VARCHAR) AS product,
          p.p_brand || ' ' || p.p_type AS family,
          p.p_type AS category, p.p_brand AS division, p.p_name AS grp,
@@ -94,9 +96,6 @@ items AS (
   JOIN customer c ON o.o_custkey = c.c_custkey
   JOIN nation n ON c.c_nationkey = n.n_nationkey
   JOIN part p ON l.l_partkey = p.p_partkey
-  WHERE l.l_returnflag = 'A'
-     OR (l.l_returnflag = 'N' AND n.n_nationkey <> 7)
-     OR (l.l_returnflag = 'R' AND n.n_nationkey % 4 = 0)
 )"""
 
 

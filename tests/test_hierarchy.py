@@ -56,9 +56,90 @@ def test_implicit_matches_state_machine(spark):
             expect[(f"f{f}", ln)] = st
     df = spark.createDataFrame(data, "file string, line_no int, desc string, qty string, price string, "
                                      "cost string, profit string")
-    got = {(r["file"], r["line_no"]): tuple(r[lv] for lv in LEVELS)
-           for r in rp.parse_item_report(df).collect()}
-    assert got == expect
+    for chunk in (3, 7, 1 << 16):      # lines of a chunk: the scan carries the state from chunk to chunk
+        got = {(r["file"], r["line_no"]): tuple(r[lv] for lv in LEVELS)
+               for r in rp.parse_item_report(df, chunk).collect()}
+        assert got == expect, chunk
+
+
+EXPLICIT = ["Branch", "Division", "Group"]
+
+
+def state_machine_191(rows):
+    cur, out = dict.fromkeys(EXPLICIT), []
+    for text in rows:
+        flat = " ".join(text.split())
+        total = flat.lower().startswith("total by ")
+        word, colon, name = (flat[9:] if total else flat).partition(":")
+        level = next((x for x in EXPLICIT if x.lower() == word.strip().lower()), None)
+        known = level and colon and name.strip()
+        below = EXPLICIT[EXPLICIT.index(level):] if known else []
+        if known and not total:
+            cur.update(dict.fromkeys(below))
+            cur[level] = name.strip()
+        out.append(tuple(cur[x] for x in EXPLICIT))
+        if known and total:
+            cur.update(dict.fromkeys(below))
+    return out
+
+
+def test_explicit_matches_state_machine(spark):
+    rng = random.Random(11)
+    data, expect = [], {}
+    for f in range(30):
+        rows = []
+        for i in range(30):
+            level, r = rng.choice(EXPLICIT + ["Season"]), rng.random()
+            rows.append(f" {level.upper()} : n{i}" if r < 0.15 else f"{level}: n{i}" if r < 0.4
+                        else f"Total  by {level}: n{i}" if r < 0.6 else f"{level}:" if r < 0.65 else f"item{i}")
+        full = ["19-Jan-26", "Description"] + rows + ["footer"]
+        data += [(f"f{f}", ln, t, "1", "2") for ln, t in enumerate(full, start=1)]
+        expect.update({(f"f{f}", ln): st for ln, st in zip(range(3, 3 + len(rows)), state_machine_191(rows))})
+    df = spark.createDataFrame(data, "file string, line_no int, desc string, qty string, amount string")
+    for chunk in (3, 1 << 16):
+        got = {(r["file"], r["line_no"]): tuple(r[x] for x in EXPLICIT) for r in rp.parse_group_report(df, chunk).collect()}
+        assert got == expect, chunk
+
+
+def test_no_window_over_a_file(spark):
+    """Windows over lines are partitioned by file and chunk; those by file alone
+    run over one row per chunk."""
+    import contextlib
+    import io
+    import re
+    df = spark.createDataFrame([("f", 1, "a", "1", "2", "3", "4")], "file string, line_no int, desc string, qty string, "
+                                                                "price string, cost string, profit string")
+    for parsed in (rp.parse_item_report(df), rp.parse_group_report(df)):
+        with contextlib.redirect_stdout(io.StringIO()) as out:
+            parsed.explain("simple")
+        plan = out.getvalue()
+        assert not re.search(r"Window \[.*line_no.*\], \[file#\d+\], \[line_no", plan)
+        assert "_chunk" in plan
+
+
+def test_number_lines(spark):
+    """Numbers from 1 without gaps, whatever the partitions."""
+    from pyspark.sql import functions as F
+
+    from branchlens.sources import chunks
+    rows = spark.range(5000).select(F.when(F.col("id") % 3 == 0, "big").otherwise(F.concat(F.lit("f"), F.col("id") % 7)).alias("file"),
+                                    F.xxhash64("id").alias("k"))
+    got = chunks.numbered(chunks.in_file_order(rows, ["k"])).toPandas().sort_values(["file", "k"])
+    for _, g in got.groupby("file"):
+        assert g.line_no.tolist() == list(range(1, len(g) + 1))
+    assert len(got) == 5000
+
+
+def test_monthly_report_chunks(spark):
+    from pyspark.sql import functions as F
+    rows = [(f"b{b}", y, m, float(b * 1000 + y + m)) for b in range(4) for y in (2000, 2001, 2003) for m in range(1, 13)]
+    lines = rp.write_monthly_report(spark.createDataFrame(rows, "branch string, year int, month int, sales double"))
+    for chunk in (2, 1 << 16):
+        long = rp.parse_monthly_report(lines, chunk=chunk)
+        assert sorted(map(tuple, long.filter("month > 0").collect())) == sorted(rows)
+        assert long.filter("month = 0").agg(F.sum("sales")).first()[0] == sum(r[3] for r in rows)
+    assert {r["line_no"]: r["all_months"] for r in rp.header_rows(lines).collect()} == {
+        1: True, 7: False, 13: False, 19: False, 25: False}
 
 
 def test_explicit_rules(spark):
@@ -66,7 +147,8 @@ def test_explicit_rules(spark):
              "Branch: b", "x3", "Group: g2", "x4", "Total by Division: d9", "x5", "TOTAL BY BRANCH: b", "x6"]
     df = spark.createDataFrame([("f", i, t, "1", "2") for i, t in enumerate(lines)],
                                "file string, line_no int, desc string, qty string, amount string")
-    got = {r["line_no"]: (r["Branch"], r["Division"], r["Group"]) for r in rp.parse_group_report(df).collect()}
+    got = {r["line_no"]: (r["Branch"], r["Division"], r["Group"])
+           for r in rp.parse_group_report(df, noise=False).collect()}
     assert got[1] == ("a", None, None)
     assert got[4] == ("a", "d1", "g1")
     assert got[5] == ("a", "d1", "g1")       # closing row tagged before it closes

@@ -20,7 +20,7 @@ def test_opening_features_edge_cases(spark):
         "gap": [3, 0, 4, 5, 6, 7, 8, 9, 1, 1, 1, 1],          # zero inside the first three
         "late": [0] * 10 + [4, 5],                              # fewer than 3 months left
     }
-    f = {r["k"]: r for r in ts.opening_features(_monthly(spark, rows), "k").collect()}
+    f = {r["k"]: r for r in ts.opening_features(_monthly(spark, rows), ["k"]).collect()}
     assert set(f) == {"lead"}
     r = f["lead"]
     assert r["initial_zeros"] == 2 and abs(r["avg_first3"] - 6.0) < 1e-12
@@ -61,3 +61,29 @@ def test_success_tiers_constant_and_ties(spark):
     one = spark.createDataFrame([("c", 0, 5.0, 1.0, 0.5)], prof.schema)
     r = success_tiers(one, ["branch"]).first()
     assert r["SuccessScore"] == 0.0 and r["SuccessRank"] == 1                        # zero variance -> z = 0
+
+
+def test_student_t_tail(spark):
+    """The finite series against numerical integration of the density."""
+    import math
+
+    import numpy as np
+    cases = [(t, v) for t in (0.0, 0.3, -1.7, 4.0) for v in (1, 2, 3, 4, 7, 30, 171)]
+    df = spark.createDataFrame(cases, "t double, v long")
+    got = [r[0] for r in df.select(ts.student_t_two_sided_p(F.col("t"), F.col("v"))).collect()]
+    for (t, v), p in zip(cases, got):
+        x = np.linspace(0, abs(t), 200_001)
+        c = math.exp(math.lgamma((v + 1) / 2) - math.lgamma(v / 2)) / math.sqrt(v * math.pi)
+        y = c * (1 + x * x / v) ** (-(v + 1) / 2)
+        assert abs(p - (1 - 2 * float(np.sum((y[1:] + y[:-1]) / 2) * (x[1] - x[0])))) < 1e-9
+    none = spark.createDataFrame([(None, 3), (1.0, 0)], "t double, v long")
+    assert [r[0] for r in none.select(ts.student_t_two_sided_p(F.col("t"), F.col("v"))).collect()] == [None, None]
+
+
+def test_series_of_every_year(spark):
+    rows = [("a", 2000, 3, 5.0), ("a", 2001, 1, 7.0), ("a", 2003, 1, 2.0), ("b", 2001, 12, 1.0)]
+    m = ts.monthly_sales(spark.createDataFrame(rows, "branch string, year int, month int, price double"), "branch")
+    got = {(r["branch"], r["year"], r["month"]): r["sales"] for r in m.collect()}
+    assert len(got) == 4 * 13
+    assert got[("a", 2000, 13)] == 7.0 and got[("a", 2001, 13)] is None and got[("b", 2001, 12)] == 1.0
+    assert sum(v for (_, _, k), v in got.items() if k <= 12) == 15.0

@@ -2,7 +2,7 @@
 
 from branchlens.sources import reports
 
-LINES = ["Stories - A", "TABLE", "HOT", "TEA", "mint", "Total By Season:", "Total  by Department: TABLE",
+LINES = ["Store - A", "TABLE", "HOT", "TEA", "mint", "Total By Season:", "Total  by Department: TABLE",
          "TAKE AWAY", "COLD", "ICE", "cola", "End"]
 ITEMS = ("mint", "cola")
 
