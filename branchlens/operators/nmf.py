@@ -1,28 +1,37 @@
-"""Branch x group revenue shares (G15, J4, K18) and non-negative matrix
-factorisation X ~ W H by multiplicative updates (L25-L27), with the pattern
-read-outs (H13-H16, K17).
-
-X stays long (branch, gid, x): one row per non-zero cell. W is a table of
-branch rows (branch, w array<double> of K); H (K x G, G = product groups) is
-the model and lives on the driver between iterations, like a centroid table.
-Per iteration:
-
-* W <- W * (X H^T) / (W (H H^T) + eps): one aggregate over X grouped by
-  branch, H and H H^T enter as literals; W is written to the shared
-  checkpoint folder (lineage one iteration deep);
-* H <- H * (W^T X) / ((W^T W) H + eps): one aggregate over X joined to W,
-  grouped by gid (K numbers per group), plus W^T W (K^2 sums).
+"""Branch x group revenue shares (G15, J4, K18) and sparse non-negative matrix
+factorisation X ~ W H (L25-L27), with the pattern read-outs (H13-H16, K17).
+
+X is long (row, col, x) and stays sparse: absent cells are zeros and enter only
+through algebra. All models - every K with every start - are fitted together: a
+row (column) has one vector with the factors of all models side by side. Both
+factors are tables of blocks of about ``BLOCK`` rows (columns), and X is a table of
+(row block, column block) cells, so
+
+* X H^T: a block of cells is multiplied with its columns' vectors inside the task,
+  and the partial products meet at their row block (one cogroup);
+* the K x K matrices H H^T are sums over blocks and the only thing, besides one
+  error term per model, that passes through the driver, like a centroid table;
+* W is updated block by block: ``SWEEPS`` passes of coordinate descent over its
+  non-negative least squares problem, then extrapolated along its last step.
+
+The error needs no cell of W H: |X - WH|^2 = |X|^2 - 2 <X^T W, H> + <W^T W, H H^T>.
+A step that raises a model's error is taken back and its extrapolation is
+shortened. Every half step is a table in the shared folder.
 """
 
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
 
-EPS = 1e-12
+BLOCK = 1024
+SWEEPS = 10
+#: Extrapolation weight: first value, growth while errors fall, cut when one rises.
+WEIGHT, GROW, GROW_CAP, CUT = 0.5, 1.1, 1.05, 1.5
 
 
 def group_shares(facts: DataFrame, branch: str = "branch", group: str = "grp", amount: str = "price") -> DataFrame:
@@ -42,89 +51,215 @@ def l1_normalise(long: DataFrame, branch: str = "branch", value: str = "x") -> D
                                            .otherwise(F.col(value))).drop("_l1")
 
 
-def _hash_unit(*cols: Column) -> Column:
-    return (F.pmod(F.xxhash64(*cols), F.lit(1_000_003)).cast("double") / F.lit(1_000_003.0)) * 0.9 + 0.1
-
-
-def fit_nmf(x_long: DataFrame, k: int, n_iter: int = 200, seed: int = 42) -> tuple[DataFrame, np.ndarray, DataFrame]:
-    """x_long: (branch, gid int 0..G-1, x >= 0). Returns (W table, H, x_long)."""
-    # ``first`` marks one cell per branch so W^T W can ride on the per-group
-    # aggregate of W^T X (a window per branch over its <= G cells)
-    first = F.row_number().over(Window.partitionBy("branch").orderBy("gid")) == 1
-    x_long = cut_lineage(x_long.select("branch", F.col("gid").cast("int").alias("gid"), F.col("x").cast("double"))
-                         .withColumn("first", first))
-    g_count = x_long.agg(F.max("gid")).first()[0] + 1
-    mean_x = x_long.agg(F.sum("x")).first()[0] / (x_long.select("branch").distinct().count() * g_count)
-    scale = float(np.sqrt(max(mean_x, EPS) / k))
-    branches = x_long.select("branch").distinct()
-    w = cut_lineage(branches.select("branch", F.array(*[
-        _hash_unit(F.col("branch"), F.lit(j), F.lit(seed)) * scale for j in range(k)]).alias("w")))
-    rng_vals = (x_long.select("gid").distinct()
-                .select("gid", *[_hash_unit(F.col("gid"), F.lit(j), F.lit(seed + 1)).alias(f"h{j}") for j in range(k)])
-                .collect())
-    H = np.zeros((k, g_count))
-    for r in rng_vals:
-        for j in range(k):
-            H[j, r["gid"]] = r[f"h{j}"] * scale
-    for _ in range(n_iter):
-        w = _update_w(x_long, w, H, k)
-        H = _update_h(x_long, w, H, k)
-    return w, H, x_long
-
-
-def _h_lookup(H: np.ndarray, gid: Column, j: int) -> Column:
-    return F.element_at(F.array(*[F.lit(float(v)) for v in H[j]]), gid + 1)
-
-
-def _update_w(x_long: DataFrame, w: DataFrame, H: np.ndarray, k: int) -> DataFrame:
-    xh = x_long.groupBy("branch").agg(*[F.sum(F.col("x") * _h_lookup(H, F.col("gid"), j)).alias(f"xh{j}")
-                                        for j in range(k)])
-    hht = H @ H.T
-    j = w.join(xh, "branch", "left")
-    new = []
-    for a in range(k):
-        den = None
-        for b in range(k):
-            t = F.col("w")[b] * F.lit(float(hht[b, a]))
-            den = t if den is None else den + t
-        new.append(F.col("w")[a] * F.coalesce(F.col(f"xh{a}"), F.lit(0.0)) / (den + F.lit(EPS)))
-    return cut_lineage(j.select("branch", F.array(*new).alias("w")))
-
-
-def _update_h(x_long: DataFrame, w: DataFrame, H: np.ndarray, k: int) -> np.ndarray:
-    wx = (x_long.join(w, "branch").groupBy("gid")
-          .agg(*[F.sum(F.col("w")[j] * F.col("x")).alias(f"wx{j}") for j in range(k)],
-               *[F.sum(F.when(F.col("first"), F.col("w")[a] * F.col("w")[b])).alias(f"g{a}_{b}")
-                 for a in range(k) for b in range(k)]).collect())
-    WX = np.zeros_like(H)
-    wtw = np.zeros((k, k))
-    for row in wx:
-        for j in range(k):
-            WX[j, row["gid"]] = row[f"wx{j}"]
-        for a in range(k):
-            for b in range(k):
-                wtw[a, b] += row[f"g{a}_{b}"] or 0.0
-    return H * WX / (wtw @ H + EPS)
-
-
-def reconstruction_metrics(x_long: DataFrame, w: DataFrame, H: np.ndarray, k: int) -> tuple[float, float]:
-    """Frobenius error ||X - WH|| over all cells and pseudo R2 = 1 - SSE/|X|^2
-    (L26). Cells absent from X are zeros: their contribution sum(WH)^2 over
-    absent cells = |WH|^2 - sum over present cells."""
-    j = x_long.join(w, "branch")
-    wh = None
-    for a in range(k):
-        t = F.col("w")[a] * _h_lookup(H, F.col("gid"), a)
-        wh = t if wh is None else wh + t
-    r = j.agg(F.sum(F.pow(F.col("x") - wh, 2)).alias("sse_present"), F.sum(wh * wh).alias("wh2_present"),
-              F.sum(F.col("x") * F.col("x")).alias("x2")).first()
-    hht = H @ H.T
-    tot = w.agg(F.sum(F.aggregate(F.sequence(F.lit(0), F.lit(k * k - 1)), F.lit(0.0),
-                                  lambda s, i: s + F.col("w")[F.floor(i / k).cast("int")]
-                                  * F.col("w")[F.pmod(i, F.lit(k))]
-                                  * F.element_at(F.array(*[F.lit(float(v)) for v in hht.flatten()]), i + 1)))).first()[0]
-    sse = r["sse_present"] + (tot - r["wh2_present"])
-    return float(np.sqrt(max(sse, 0.0))), float(1.0 - sse / r["x2"])
+def in_blocks(keys: DataFrame, key: str) -> DataFrame:
+    """(key, block, at, size): distinct keys dealt into blocks by their hash and
+    numbered within the block."""
+    keys = keys.select(F.col(key).alias("key")).distinct()
+    n_blocks = max(1, -(-keys.count() // BLOCK))
+    w = Window.partitionBy("block")                       # bounded: one block
+    return cut_lineage(keys.withColumn("block", F.pmod(F.xxhash64("key"), F.lit(n_blocks)))
+                       .withColumn("at", F.row_number().over(w.orderBy("key")) - 1)
+                       .withColumn("size", F.count(F.lit(1)).over(w).cast("int")))
+
+
+_FACTOR = "block long, size int, cur binary, new binary, ext binary, stats array<double>"
+
+
+class Models:
+    """Layout of the models in a vector: for every K, ``starts`` slices of K."""
+
+    def __init__(self, ks, starts: int):
+        self.ks, self.starts = list(ks), starts
+        self.width = starts * sum(self.ks)
+        self.first = dict(zip(self.ks, np.cumsum([0] + [starts * k for k in self.ks[:-1]]).tolist()))
+
+    def stack(self, m: np.ndarray, k: int) -> np.ndarray:
+        """(starts, rows, k) of the models of one K."""
+        part = m[:, self.first[k]:self.first[k] + self.starts * k]
+        return part.reshape(len(m), self.starts, k).transpose(1, 0, 2)
+
+    def put(self, m: np.ndarray, k: int, stack: np.ndarray) -> None:
+        m[:, self.first[k]:self.first[k] + self.starts * k] = stack.transpose(1, 0, 2).reshape(len(m), -1)
+
+    def grams(self, m: np.ndarray) -> np.ndarray:
+        """W^T W of every model, one after the other."""
+        return np.concatenate([np.einsum("snk,snl->skl", x, x).ravel() for x in (self.stack(m, k) for k in self.ks)])
+
+    def dots(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        return np.concatenate([(self.stack(a, k) * self.stack(b, k)).sum(axis=(1, 2)) for k in self.ks])
+
+    def gram_of(self, flat: np.ndarray, k: int) -> np.ndarray:
+        at = sum(self.starts * j * j for j in self.ks[:self.ks.index(k)])
+        return flat[at:at + self.starts * k * k].reshape(self.starts, k, k)
+
+    def mask(self, per_model: np.ndarray) -> np.ndarray:
+        """A value per model as a value per vector place."""
+        return np.concatenate([np.repeat(per_model[i * self.starts:(i + 1) * self.starts], k) for i, k in enumerate(self.ks)])
+
+    def update(self, a: np.ndarray, gram: np.ndarray, m: np.ndarray) -> np.ndarray:
+        """Coordinate descent on min |X - m H|, m >= 0, with a = X H^T."""
+        out = m.copy()
+        for k in self.ks:
+            x, ax, g = self.stack(m, k).copy(), self.stack(a, k), self.gram_of(gram, k)
+            for _ in range(SWEEPS):
+                for j in range(k):
+                    d = g[:, j, j][:, None]
+                    step = (ax[:, :, j] - np.einsum("snk,sk->sn", x, g[:, :, j])) / np.where(d > 0, d, 1.0)
+                    x[:, :, j] = np.where(d > 0, np.maximum(x[:, :, j] + step, 0.0), x[:, :, j])
+            self.put(out, k, x)
+        return out
+
+
+def _matrix(raw: bytes, width: int) -> np.ndarray:
+    return np.frombuffer(raw, np.float64).reshape(-1, width)
+
+
+def _factor_rows(block, size, cur, new, ext, stats) -> dict:
+    return {"block": [block], "size": pa.array([size], pa.int32()), "cur": [cur.tobytes()], "new": [new.tobytes()],
+            "ext": [ext.tobytes()], "stats": [stats]}
+
+
+def _start(keys: DataFrame, models: Models, scale: float, seed: int) -> DataFrame:
+    """Random factors in (0.1, 1) x scale; a block's numbers depend on its number."""
+    def run(batches):
+        for batch in batches:
+            for row in batch.to_pylist():
+                m = np.random.default_rng([seed, row["block"]]).uniform(0.1, 1.0, (row["size"], models.width))
+                # models of different K get different scales, so that W H starts near X
+                m *= scale / np.sqrt(models.mask(np.repeat(np.array(models.ks, float), models.starts)))
+                yield pa.RecordBatch.from_pydict(_factor_rows(row["block"], row["size"], m, m, m, models.grams(m)))
+    return cut_lineage(keys.select("block", "size").distinct().mapInArrow(run, _FACTOR))
+
+
+def _half(cells: DataFrame, fixed: DataFrame, moved: DataFrame, models: Models, sides: tuple[str, str], pick, keep,
+          gram: np.ndarray, beta: np.ndarray, closing: bool) -> DataFrame:
+    """One half step: ``moved`` is updated against ``fixed`` (``sides``: the
+    column names of their blocks and places in ``cells``). ``pick(row)`` is the
+    fixed matrix in use, ``keep(row)`` the accepted and the starting matrix."""
+    own, other = sides
+    width = models.width
+
+    def products(batches):
+        for batch in batches:
+            for row in batch.to_pylist():
+                f = pick(row)
+                own_at, other_at, x = (np.array(row[c]) for c in (f"{own}_at", f"{other}_at", "x"))
+                order = np.argsort(own_at, kind="stable")
+                out = np.zeros((int(own_at.max()) + 1, width))
+                for at in range(0, len(order), 4096):
+                    part = order[at:at + 4096]
+                    places, first = np.unique(own_at[part], return_index=True)
+                    out[places] += np.add.reduceat(f[other_at[part]] * x[part, None], first, axis=0)
+                yield pa.RecordBatch.from_pydict({"block": [row[own]], "part": [out.tobytes()]})
+
+    def update(parts: pa.Table, state: pa.Table) -> pa.Table:
+        row = state.to_pylist()[0]
+        a = np.zeros((row["size"], width))
+        for raw in parts["part"].to_pylist():
+            m = _matrix(raw, width)
+            a[:len(m)] += m
+        cur, at = keep(row)
+        new = models.update(a, gram, at)
+        ext = np.maximum(new + models.mask(beta) * (new - cur), 0.0)
+        new = new if closing else ext
+        stats = np.concatenate([models.dots(a, new), models.grams(new), models.grams(ext)]) if closing else models.grams(ext)
+        return pa.table(_factor_rows(row["block"], row["size"], cur, new, ext, stats))
+
+    parts = (cells.join(fixed.select(F.col("block").alias(other), "cur", "new", "ext"), other)
+             .mapInArrow(products, "block long, part binary"))
+    return cut_lineage(parts.groupBy("block").cogroup(moved.withColumnRenamed("block", "home").groupBy("home"))
+                       .applyInArrow(lambda p, s: update(p, s.rename_columns({"home": "block"})), _FACTOR))
+
+
+def _total(factor: DataFrame) -> np.ndarray:
+    rows = (factor.select(F.posexplode("stats").alias("pos", "v")).groupBy("pos").agg(F.sum("v").alias("v"))
+            .orderBy("pos").collect())                    # K^2 numbers a model
+    return np.array([r["v"] for r in rows])
+
+
+def fit_nmf(x: DataFrame, row: str, col: str, value: str, ks, starts: int = 8, max_iter: int = 40, tol: float = 1e-4,
+            seed: int = 42) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Fit every K of ``ks`` from ``starts`` random starts on the non-negative
+    cells of ``x``. Returns, for the best start of every K, W = (K, row, pattern,
+    weight), H = (K, pattern, col, weight), and metrics (K, Reconstruction_Error,
+    Pseudo_R2, iterations, converged), where converged means that the last five
+    iterations lowered the error by less than ``tol`` of it."""
+    models = Models(ks, starts)
+    n = len(models.ks) * starts
+    x = cut_lineage(x.select(F.col(row).alias("row"), F.col(col).alias("col"), F.col(value).cast("double").alias("x")))
+    rows, cols = in_blocks(x, "row"), in_blocks(x, "col")
+    sums = x.agg(F.sum("x").alias("s"), F.sum(F.col("x") * F.col("x")).alias("q")).first()
+    if not sums["q"]:
+        raise ValueError("nothing to factorise: the matrix has no non-zero cell")
+    scale = float(np.sqrt(sums["s"] / (rows.count() * cols.count())))
+    r = rows.select(F.col("key").alias("row"), F.col("block").alias("r"), F.col("at").alias("r_at"))
+    c = cols.select(F.col("key").alias("col"), F.col("block").alias("c"), F.col("at").alias("c_at"))
+    cells = (x.where("x <> 0").join(r, "row").join(c, "col").groupBy("r", "c")
+             .agg(F.sort_array(F.collect_list(F.struct("r_at", "c_at", "x"))).alias("s")))
+    cells = cut_lineage(cells.select("r", "c", *[F.col(f"s.{v}").alias(v) for v in ("r_at", "c_at", "x")]))
+    w, h = _start(rows, models, scale, seed), _start(cols, models, scale, seed + 1)
+
+    width = models.width
+    ok = np.ones(n, bool)
+    gram_h = gram_kept = _total(h)
+    best, beta, cap = np.full(n, np.inf), np.full(n, WEIGHT), np.ones(n)
+    history = []
+    for _ in range(max_iter):
+        taken = models.mask(ok)
+
+        def resolve(row, a="new", taken=taken):
+            return np.where(taken, _matrix(row[a], width), _matrix(row["cur"], width))
+        w = _half(cells, h, w, models, ("r", "c"), lambda row: resolve(row, "ext"),
+                  lambda row: (resolve(row),) * 2, gram_h, beta, False)
+        gram_w = _total(w)
+        h = _half(cells, w, h, models, ("c", "r"), lambda row: _matrix(row["new"], width),
+                  lambda row: (resolve(row), resolve(row, "ext")), gram_w, beta, True)
+        stats = _total(h)
+        size = (len(stats) - n) // 2
+        dots, new, ext = stats[:n], stats[n:n + size], stats[n + size:]
+        both, at = [], 0
+        for k in models.ks:
+            a, b = models.gram_of(gram_w, k), models.gram_of(new, k)
+            both += (a * b).sum(axis=(1, 2)).tolist()
+        error = np.sqrt(np.maximum(sums["q"] - 2 * dots + np.array(both), 0.0))
+        ok = error <= best
+        best = np.where(ok, error, best)
+        beta, cap = (np.where(ok, np.minimum(cap, GROW * beta), beta / CUT),
+                     np.where(ok, np.minimum(1.0, GROW_CAP * cap), beta))
+        # per model: the Gram matrix of the columns' factor in use next
+        in_use = np.concatenate([np.repeat(ok[i * starts:(i + 1) * starts], k * k) for i, k in enumerate(models.ks)])
+        gram_h, gram_kept = np.where(in_use, ext, gram_kept), np.where(in_use, new, gram_kept)
+        history.append(best.copy())
+        if len(history) > 5 and (history[-6] - best <= tol * best).all():
+            break
+    taken = models.mask(ok)
+    settled = (history[-6] - best <= tol * best) if len(history) > 5 else np.zeros(n, bool)
+    winner = {k: int(best[i * starts:(i + 1) * starts].argmin()) for i, k in enumerate(models.ks)}
+
+    def long(batches):
+        for batch in batches:
+            for row in batch.to_pylist():
+                m = np.where(taken, _matrix(row["new"], width), _matrix(row["cur"], width))
+                for k in models.ks:
+                    part = models.stack(m, k)[winner[k]]
+                    at, j = np.indices(part.shape)
+                    yield pa.RecordBatch.from_pydict({
+                        "K": pa.array(np.full(part.size, k, np.int32)), "block": pa.array(np.full(part.size, row["block"])),
+                        "at": pa.array(at.ravel().astype(np.int32)), "j": pa.array(j.ravel().astype(np.int32)),
+                        "weight": pa.array(part.ravel())})
+
+    def named(factor, keys, name):
+        out = factor.mapInArrow(long, "K int, block long, at int, j int, weight double").join(keys, ["block", "at"])
+        return out.select("K", F.concat(F.lit("Pattern_"), F.col("j").cast("string")).alias("pattern"),
+                          F.col("key").alias(name), "weight")
+
+    metrics = []
+    for i, k in enumerate(models.ks):
+        e = float(best[i * starts + winner[k]])
+        metrics.append((k, e, 1.0 - e * e / sums["q"], len(history), bool(settled[i * starts + winner[k]])))
+    table = x.sparkSession.createDataFrame(
+        metrics, "K int, Reconstruction_Error double, Pseudo_R2 double, iterations int, converged boolean")
+    return named(w, rows, row), named(h, cols, col), table
 
 
 def dominant(weights: DataFrame, key: str = "branch", pattern: str = "pattern", weight: str = "weight") -> DataFrame:
@@ -170,46 +305,3 @@ def choose_k(metrics: DataFrame, rule: str = "min_gain") -> DataFrame:
         return m.agg(F.max(F.when(F.col("R2_diff") >= g0 * 0.1, F.col("K"))).alias("chosen_K"))
     return m.agg(F.coalesce(F.min_by("K", F.when(F.col("R2_diff").isNotNull(), F.struct("R2_diff", "K"))),
                             F.max_by("K", "Pseudo_R2")).alias("chosen_K"))
-
-
-def full_grid(x_long: DataFrame) -> DataFrame:
-    """Every (branch, gid) cell with 0 where the branch did not sell the
-    group, with a dense integer branch id (``uid``). Ids come from a window
-    over the distinct branches and the grid from ``sequence``/``explode``
-    (no cross join)."""
-    g_count = x_long.agg(F.max("gid")).first()[0] + 1
-    br = x_long.select("branch").distinct().withColumn(
-        "uid", (F.dense_rank().over(Window.orderBy("branch")) - 1).cast("int"))   # bounded: branch domain
-    grid = br.select("branch", "uid", F.explode(F.sequence(F.lit(0), F.lit(g_count - 1))).alias("gid"))
-    return (grid.join(x_long.select("branch", "gid", "x"), ["branch", "gid"], "left")
-            .select("branch", "uid", "gid", F.coalesce("x", F.lit(0.0)).alias("x")))
-
-
-def fit_nmf_als(x_long: DataFrame, k: int, n_iter: int = 30, seed: int = 42, reg: float = 1e-9):
-    """X ~ W H with Spark ML's alternating least squares under
-    non-negativity (``ALS(nonnegative=True)``) on the complete grid, zeros as
-    explicit ratings and a vanishing ridge: the Frobenius NMF objective,
-    solved block-distributed by MLlib. Returns (W long, H long, fitted grid):
-    W = (branch, pattern, weight), H = (pattern, gid, weight), grid with
-    ``prediction``."""
-    from pyspark.ml.recommendation import ALS
-    grid = cut_lineage(full_grid(x_long))
-    als = ALS(rank=k, maxIter=n_iter, regParam=reg, nonnegative=True, implicitPrefs=False,
-              userCol="uid", itemCol="gid", ratingCol="x", seed=seed, coldStartStrategy="drop")
-    model = als.fit(grid)
-    names = grid.select("branch", "uid").distinct()
-    w = (model.userFactors.select(F.col("id").alias("uid"), F.posexplode("features").alias("j", "weight"))
-         .join(names, "uid")
-         .select("branch", F.concat(F.lit("Pattern_"), F.col("j").cast("string")).alias("pattern"),
-                 F.col("weight").cast("double").alias("weight")))
-    h = model.itemFactors.select(F.col("id").alias("gid"), F.posexplode("features").alias("j", "weight")).select(
-        F.concat(F.lit("Pattern_"), F.col("j").cast("string")).alias("pattern"), "gid",
-        F.col("weight").cast("double").alias("weight"))
-    return w, h, model.transform(grid)
-
-
-def grid_metrics(fitted: DataFrame) -> DataFrame:
-    """Frobenius error and pseudo R2 = 1 - |X - WH|^2 / |X|^2 over the grid."""
-    sse = F.sum(F.pow(F.col("x") - F.col("prediction"), 2))
-    return fitted.agg(F.sqrt(sse).alias("Reconstruction_Error"),
-                      (F.lit(1.0) - sse / F.sum(F.col("x") * F.col("x"))).alias("Pseudo_R2"))

@@ -1,7 +1,6 @@
 """Branch product-mix queries: group revenue shares (G15, J4, K18, D9f, F4),
 NMF (L25-L27) and the pattern read-outs (H13-H16, K17). The factorisation
-is Spark ML's non-negative ALS on the complete share grid; the multiplicative
-update solver in ``operators.nmf.fit_nmf`` is the alternative.
+fits every K and start of the sparse shares together (``operators.nmf``).
 
 The read-out operators are SQL-checked on the share matrix itself (each
 product group is its own "pattern"); on the NMF weights they run in
@@ -15,12 +14,15 @@ from pyspark.sql import functions as F
 from ..functions.exprs import r6, rm
 from ..operators import nmf
 from ..session import cut_lineage
-from ..sources.tables import items, table, with_items
+from ..sources.tables import items, with_items
 from .registry import register
 from .sqlparts import R6
 
-NMF_K = 3
-NMF_ITER = 30
+NMF_K = 6                      # as in the reference's final run
+K_RANGE = range(2, 11)         # the reference's sweep
+STARTS = 8
+MAX_ITER = 60                  # fits end when no error falls by 0.1 % in five iterations
+TOL = 1e-3
 TOP_BRANCHES = 5
 TOP_GROUPS = 7
 
@@ -66,55 +68,66 @@ def q_group_share_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _x_long(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = shares(spark, sf_dir).filter(F.col("grp").isNotNull())
-    gids = (table(spark, sf_dir, "part").select(F.col("p_name").alias("grp")).distinct()
-            .withColumn("gid", F.dense_rank().over(Window.orderBy("grp")) - 1))   # bounded: group domain
-    x = s.join(gids, "grp").select("branch", "gid", "grp", F.col("rev_share").alias("x"))
-    return nmf.l1_normalise(x, "branch", "x")
+    return nmf.l1_normalise(s.select("branch", "grp", F.col("rev_share").alias("x")), "branch", "x")
 
 
-def _fit(spark: SparkSession, sf_dir: str, k: int):
-    x = cut_lineage(_x_long(spark, sf_dir))
-    return nmf.fit_nmf_als(x.select("branch", "gid", "x"), k, NMF_ITER)
+def _fit(spark: SparkSession, sf_dir: str, ks):
+    return nmf.fit_nmf(_x_long(spark, sf_dir), "branch", "grp", "x", ks, STARTS, MAX_ITER, TOL)
 
 
 @register("q_nmf_fit")
 def q_nmf_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Branch pattern weights W of a K=3 non-negative factorisation of the
-    branch x group share matrix (ALS with non-negativity, 30 sweeps) (L25)."""
-    w, _, _ = _fit(spark, sf_dir, NMF_K)
-    return w
+    """Branch pattern weights W of a K=6 non-negative factorisation of the
+    branch x group share matrix, best of 8 starts (L25)."""
+    w, _, _ = _fit(spark, sf_dir, [NMF_K])
+    return w.select("branch", "pattern", "weight")
 
 
 @register("q_nmf_patterns")
 def q_nmf_patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pattern definitions: top-7 product groups of every H row."""
-    _, h, _ = _fit(spark, sf_dir, NMF_K)
-    names = _x_long(spark, sf_dir).select("gid", "grp").distinct()
-    hl = h.join(names, "gid")
-    return nmf.top_n_joined(hl, "pattern", "grp", "weight", TOP_GROUPS, "Top_7_Groups")
+    _, h, _ = _fit(spark, sf_dir, [NMF_K])
+    return nmf.top_n_joined(h, "pattern", "grp", "weight", TOP_GROUPS, "Top_7_Groups")
 
 
 @register("q_nmf_metrics")
 def q_nmf_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Frobenius error and pseudo R2 per K in 2..4, chosen K by the smallest
+    """Frobenius error and pseudo R2 per K in 2..10, chosen K by the smallest
     R2 gain (the reference's rule) (L26, L27, H13)."""
-    x = cut_lineage(_x_long(spark, sf_dir)).select("branch", "gid", "x")
-    m = None
-    for k in (2, 3, 4):
-        _, _, fitted = nmf.fit_nmf_als(x, k, NMF_ITER)
-        one = nmf.grid_metrics(fitted).select(F.lit(k).alias("K"), "*")
-        m = one if m is None else m.unionByName(one)
-    m = cut_lineage(m)
-    chosen = nmf.choose_k(m).first()[0]
-    return m.withColumn("chosen", F.col("K") == F.lit(chosen))
+    _, _, m = _fit(spark, sf_dir, K_RANGE)
+    chosen = nmf.choose_k(m).scalar()
+    return m.select("K", "Reconstruction_Error", "Pseudo_R2", "converged", (F.col("K") == chosen).alias("chosen"))
+
+
+@register("q_choose_nmf_k", with_items(f"""
+, c AS (SELECT grp, SUM(rev_share * rev_share) AS q FROM sh WHERE grp IS NOT NULL GROUP BY grp)
+, r AS (SELECT q, ROW_NUMBER() OVER (ORDER BY q DESC, grp) AS K FROM c)
+, m AS (SELECT K, SUM(q) OVER (ORDER BY K) / SUM(q) OVER () AS Pseudo_R2 FROM r)
+, g AS (SELECT K, Pseudo_R2, Pseudo_R2 - LAG(Pseudo_R2) OVER (ORDER BY K) AS gain FROM m WHERE K BETWEEN 2 AND 10)
+SELECT CAST(K AS INTEGER) AS K, {R6("Pseudo_R2")} AS Pseudo_R2,
+       K = COALESCE((SELECT K FROM g WHERE gain IS NOT NULL ORDER BY gain, K LIMIT 1),
+                    (SELECT K FROM g ORDER BY Pseudo_R2 DESC LIMIT 1)) AS smallest_gain,
+       K = (SELECT MAX(K) FROM g WHERE gain >= 0.1 * (SELECT gain FROM g WHERE K = 3)) AS elbow FROM g""", SHARES_CTE))
+def q_choose_nmf_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Both rules that choose K (H13, L27) on the pseudo R2 of the factorisation
+    that keeps the K heaviest product groups, which needs no fit."""
+    s = shares(spark, sf_dir).filter(F.col("grp").isNotNull())
+    c = s.groupBy("grp").agg(F.sum(F.col("rev_share") * F.col("rev_share")).alias("q"))
+    total = c.select(F.sum("q")).scalar()
+    top = c.orderBy(F.desc("q"), "grp").limit(max(K_RANGE))
+    w = Window.orderBy(F.desc("q"), "grp")                # bounded: the ten heaviest groups
+    m = (top.select(F.row_number().over(w).alias("K"), (F.sum("q").over(w.rowsBetween(Window.unboundedPreceding, 0)) / total)
+                    .alias("Pseudo_R2")).filter(F.col("K") >= min(K_RANGE)))
+    return m.select("K", r6("Pseudo_R2").alias("Pseudo_R2"), (F.col("K") == nmf.choose_k(m).scalar()).alias("smallest_gain"),
+                    (F.col("K") == nmf.choose_k(m, "elbow").scalar()).alias("elbow"))
 
 
 @register("q_nmf_branch_patterns")
 def q_nmf_branch_patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Dominant NMF pattern, its weight and the entropy of each branch's
     pattern mix (H16, K17 on the fitted W)."""
-    w, _, _ = _fit(spark, sf_dir, NMF_K)
-    w = cut_lineage(w)
+    w, _, _ = _fit(spark, sf_dir, [NMF_K])
+    w = cut_lineage(w.select("branch", "pattern", "weight"))
     return nmf.dominant(w).join(nmf.entropy(w), "branch")
 
 
