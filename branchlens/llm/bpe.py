@@ -33,6 +33,8 @@ from pyspark.sql import types as T
 
 from branchlens.llm.common import Memo, free_name, pack_ids, steps
 
+#: Entries of a memo generation; two memos a worker.
+MEMO = 200_000
 #: A space next to other white space opens no pre-token by itself.
 _RUN = re.compile(r"\s | \s")
 
@@ -68,8 +70,8 @@ class Codec:
         self.find = regex.compile(PRETOKEN).findall
         self.cut = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") \
             if self.special else None
-        self.words = Memo(lambda word: self.pretokens(" " + word))
-        self.parts = Memo(lambda pretoken: pack_ids(self.merge(pretoken)))
+        self.words = Memo(lambda word: self.pretokens(" " + word), MEMO)
+        self.parts = Memo(lambda pretoken: pack_ids(self.merge(pretoken)), MEMO)
 
     def merge(self, pretoken: str) -> list[int]:
         sym = [self.alphabet[b] for b in pretoken.encode("utf-8")]

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 WORD_GAP = r"[\x20\x09-\x0D]+"
 GAP_CHARS = "\x20\x09\x0a\x0b\x0c\x0d"
 #: Words a memo keeps in each of its two generations, and the longest one kept.
-MEMO = 150_000
+MEMO = 400_000
 MEMO_CHARS = 64
 #: Text a batch is worked on at once.
 STEP_BYTES = 8 << 20

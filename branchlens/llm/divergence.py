@@ -127,7 +127,7 @@ def groups(docs: DataFrame, kept: DataFrame) -> DataFrame:
 _BITMAP = "lang string, block long, terms int, source string, n long, bits binary"
 
 
-def _bitmap_rows(batches):
+def _bitmap_rows(batches, block_terms: int):
     """Terms, sorted by language and total within the task, as blocks."""
     base, nth = TaskContext.get().partitionId() << 32, 0
     lang, terms, rows = None, 0, {}
@@ -147,7 +147,7 @@ def _bitmap_rows(batches):
 
     for batch in batches:
         for of, found in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            if terms and (of != lang or terms >= BLOCK_TERMS or (terms % WORD_BITS == 0 and len(rows) >= BLOCK_ROWS)):
+            if terms and (of != lang or terms >= block_terms or (terms % WORD_BITS == 0 and len(rows) >= BLOCK_ROWS)):
                 yield closed()
                 nth, terms, rows = nth + 1, 0, {}
             lang = of
@@ -158,26 +158,26 @@ def _bitmap_rows(batches):
         yield closed()
 
 
-def bitmaps(kept: DataFrame) -> DataFrame:
+def bitmaps(kept: DataFrame, block_terms: int = BLOCK_TERMS) -> DataFrame:
     """(lang, block, source, n) with the bitmap of the block's terms that occur
     ``n`` times in the group, as a table in the shared folder."""
     rows = kept.sortWithinPartitions("lang", F.desc("total"), "term").select("lang", "by_source")
-    return cut_lineage(rows.mapInArrow(_bitmap_rows, _BITMAP))
+    return cut_lineage(rows.mapInArrow(lambda batches: _bitmap_rows(batches, block_terms), _BITMAP))
 
 
-def joint_sums(block: list[np.ndarray], p: list[np.ndarray]) -> np.ndarray:
+def joint_sums(block: list[np.ndarray], p: list[np.ndarray], cells: int = CELLS) -> np.ndarray:
     """Sum of f(p, q) over the terms of a block for every ordered pair of
     groups: ``block[g]`` holds the bitmaps of group g (rows of machine words),
     ``p[g]`` their probabilities."""
     first = np.cumsum([0] + [len(x) for x in p[:-1]])
     bits, prob = np.concatenate(block), np.concatenate(p)
     out = np.empty((len(bits), len(p)), np.int64)
-    step = max(1, CELLS // max(1, bits.size))
+    step = max(1, cells // max(1, bits.size))
     for at in range(0, len(bits), step):
         part = slice(at, at + step)
-        cells = np.bitwise_count(bits[part, None, :] & bits[None, :, :]).sum(axis=2, dtype=np.int64)
+        joint = np.bitwise_count(bits[part, None, :] & bits[None, :, :]).sum(axis=2, dtype=np.int64)
         gap = prob[part, None] - prob[None, :]
-        out[part] = np.add.reduceat(cells * (gap * gap // prob[None, :]), first, axis=1)
+        out[part] = np.add.reduceat(joint * (gap * gap // prob[None, :]), first, axis=1)
     return np.add.reduceat(out, first, axis=0)
 
 
@@ -237,14 +237,14 @@ def term_divergence(kept: DataFrame, found: DataFrame) -> DataFrame:
     return rows.select("lang", "source", "item", F.expr("(p - q) * (p - q) div q").alias("value"))
 
 
-def divergence_report(docs: DataFrame) -> DataFrame:
+def divergence_report(docs: DataFrame, block_terms: int = BLOCK_TERMS) -> DataFrame:
     """The contract's columns: part ``pair`` with all ranks, part ``term`` to
     rank ``TOP_TERMS``."""
     kept = cut_lineage(kept_terms(term_counts(docs)))
     found = cut_lineage(groups(docs, kept))
     order = Window.partitionBy("lang", "source").orderBy(F.desc("value"), "item")
     parts = []
-    for name, rows, top in (("pair", pair_sums(bitmaps(kept), found), None),
+    for name, rows, top in (("pair", pair_sums(bitmaps(kept, block_terms), found), None),
                             ("term", term_divergence(kept, found), TOP_TERMS)):
         ranked = rows.withColumn("rank", F.row_number().over(order))
         ranked = ranked.where(F.col("rank") <= top) if top else ranked

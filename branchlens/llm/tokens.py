@@ -24,6 +24,9 @@ _BEYOND = re.compile("[^\x00-ɏ]")
 #: special token.
 _WHOLE = re.compile("[\x1c-\x1f]|<\\|")
 
+#: Marks that often follow a word.
+_TAIL = ".,;:!?)"
+
 # fixed value: the pre-token pattern of the word vocabulary
 WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
@@ -48,7 +51,11 @@ class WordTokens:
     def _word(self, word: str) -> bytes:
         if _BEYOND.search(word):
             return self._whole(word)
-        return b"".join([self.parts[p] for p in self.find(word.lower())])
+        low = word.lower()
+        core = low.rstrip(_TAIL)
+        if core.isalpha():  # the pattern gives the letters and the marks behind them
+            return self.parts[core] + (self.parts[low[len(core):]] if len(core) < len(low) else b"")
+        return b"".join([self.parts[p] for p in self.find(low)])
 
     def _part(self, part: str) -> bytes:
         level = part if part.isascii() else part.encode("utf-8").decode("latin-1")
