@@ -12,6 +12,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
+from .quantiles import group_quantiles
+
 # Cluster labels and actions (global clustering, first match wins).
 LABEL_CORE = ("Core Winners", "Protect availability, bundle with add-ons, and prioritize in promotions.")
 LABEL_TAKEAWAY = ("Takeaway Niche", "Keep only in demand branches and test targeted takeaway campaigns.")
@@ -33,18 +36,21 @@ def profiles(assign: DataFrame, group: Sequence[str], product: str = "Product",
              per_branch: bool = False) -> DataFrame:
     """Cluster profile rows (G7) with sales/profit share of the group total."""
     g = list(group)
+    medians = {"Sales": "median_sales", "Profit": "median_profit", "MarginPct": "median_margin_pct",
+               "AvgPrice": "median_avg_price"}
     aggs = [F.count(F.col(product)).alias("n_products"),
-            F.sum("Sales").alias("total_sales"), F.sum("Profit").alias("total_profit"),
-            F.median("Sales").alias("median_sales"), F.median("Profit").alias("median_profit"),
-            F.median("MarginPct").alias("median_margin_pct"), F.median("AvgPrice").alias("median_avg_price")]
+            F.sum("Sales").alias("total_sales"), F.sum("Profit").alias("total_profit")]
     if per_branch:
-        aggs += [F.median("SalesShareInBranch").alias("median_sales_share_in_branch"),
-                 F.median("ProfitShareInBranch").alias("median_profit_share_in_branch")]
+        medians |= {"SalesShareInBranch": "median_sales_share_in_branch",
+                    "ProfitShareInBranch": "median_profit_share_in_branch"}
     else:
         aggs += [F.avg("BranchPenetration").alias("avg_branch_penetration")]
     aggs += [F.avg("TakeAwayShare").alias("avg_takeaway_share"), F.avg("TableShare").alias("avg_table_share"),
              F.avg("TotersShare").alias("avg_toters_share")]
-    prof = assign.groupBy(*g, "Cluster").agg(*aggs)
+    assign = cut_lineage(assign)
+    mid = group_quantiles(assign, [*g, "Cluster"], list(medians), [0.5])
+    mid = mid.select(*g, "Cluster", *[F.col(f"{c}_q")[0].alias(n) for c, n in medians.items()])
+    prof = assign.groupBy(*g, "Cluster").agg(*aggs).join(mid, [*g, "Cluster"])
     tot = prof.groupBy(*g).agg(F.sum("total_sales").alias("_ts"), F.sum("total_profit").alias("_tp"))
     return (prof.join(tot, g)
             .withColumn("sales_share", F.when(F.col("_ts") > 0, F.col("total_sales") / F.col("_ts")).otherwise(0.0))
@@ -55,7 +61,7 @@ def profiles(assign: DataFrame, group: Sequence[str], product: str = "Product",
 
 def label_clusters(prof: DataFrame, group: Sequence[str]) -> DataFrame:
     """ClusterLabel / SuggestedAction by ordered rules on quantiles of the
-    profile table (G9, K16)."""
+    profile table (G9, K16), which has one row per cluster."""
     g = list(group)
     q = prof.groupBy(*g).agg(
         F.percentile("median_sales", 0.75).alias("sales_q75"),

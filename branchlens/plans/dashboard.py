@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 from ..functions.exprs import r6, rm
 from ..operators import profiles as pf
 from ..operators.products import branch_product_table
+from ..operators.quantiles import group_quantiles
+from ..session import cut_lineage
 from ..sources.tables import items, with_items
 from .registry import register
 from .sqlparts import R6, branch_product_ctes
@@ -354,9 +356,11 @@ def q_margin_box(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Box statistics of MarginPct per tier: quartiles, 1.5 IQR whiskers,
     suspected outliers (G23, M10)."""
     a, _ = rule_tiers(spark, sf_dir)
-    q = a.groupBy("branch", "SuccessTier").agg(
-        F.count("MarginPct").alias("n"), F.percentile("MarginPct", 0.25).alias("q1"),
-        F.median("MarginPct").alias("med"), F.percentile("MarginPct", 0.75).alias("q3"))
+    a = cut_lineage(a.select("branch", "SuccessTier", "MarginPct"))
+    q = group_quantiles(a, ["branch", "SuccessTier"], ["MarginPct"], [0.25, 0.5, 0.75])
+    q = q.select("branch", "SuccessTier", *[F.col("MarginPct_q")[i].alias(n) for i, n in enumerate(("q1", "med", "q3"))])
+    n = a.groupBy("branch", "SuccessTier").agg(F.count("MarginPct").alias("n"))
+    q = q.join(n, ["branch", "SuccessTier"])
     j = a.filter(F.col("MarginPct").isNotNull()).join(q, ["branch", "SuccessTier"])
     iqr = F.col("q3") - F.col("q1")
     lo, hi = F.col("q1") - 1.5 * iqr, F.col("q3") + 1.5 * iqr
