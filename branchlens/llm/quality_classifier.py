@@ -172,14 +172,14 @@ def _with_statistics(df: DataFrame, text_col: str, model=None, name: str = "stat
 
 def train(docs: DataFrame, labels: DataFrame, n: int = SAMPLE):
     """(model, prior) from at most ``n`` trusted positives and ``n`` unlabelled
-    documents; None without positives."""
+    documents, one row of each id; None without positives."""
     def chosen(ids, flag):
         return (ids.where(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.lit(flag).alias("p"))
                 .orderBy(F.xxhash64("doc_id", F.lit(SEED + flag)), "doc_id").limit(n))
 
     ids = F.broadcast(chosen(labels.where("quality = 1"), 1).union(chosen(docs, 0)))
     rows = docs.select("doc_id", "text").join(ids, "doc_id")
-    rows = _with_statistics(rows, "text").select("doc_id", "p", "stats").collect()
+    rows = _with_statistics(rows, "text").groupBy("doc_id", "p").agg(F.min("stats").alias("stats")).collect()
     rows.sort(key=lambda r: (r["p"], r["doc_id"], r["stats"]))
     x = {f: np.array([r["stats"] for r in rows if r["p"] == f]).reshape(-1, len(STATS)) for f in (0, 1)}
     return fit(x[1], x[0]) if len(x[1]) and len(x[0]) else None

@@ -240,13 +240,15 @@ def fit(docs: list[tuple[str, int]], steps: int = STEPS) -> Field | None:
 
 
 def training_sample(docs: DataFrame, labels: DataFrame, label: str, n: int = SAMPLE) -> DataFrame:
-    """Texts of at most ``n`` labelled rows of each value that are not held
-    out: text, y. Ids are chosen first, so only their texts leave the scan."""
+    """At most ``n`` labelled documents of each value that are not held out:
+    doc_id, text, y. Ids are chosen first, so only their texts leave the scan; of
+    repeated ids the text with the smallest hash counts."""
     ids = (labels.where(~held_out(F.col("doc_id")) & F.col(label).isNotNull())
            .groupBy("doc_id").agg(F.max(label).cast("int").alias("y")))
     ids = [ids.where(F.col("y") == y).orderBy(F.xxhash64("doc_id", F.lit(SEED)), "doc_id").limit(n) for y in (0, 1)]
     ids = F.broadcast(ids[0].union(ids[1]))
-    return docs.select("doc_id", "text").join(ids, "doc_id").select("doc_id", "text", "y")
+    return (docs.select("doc_id", "text").join(ids, "doc_id").groupBy("doc_id", "y")
+            .agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text")).select("doc_id", "text", "y"))
 
 
 def train(docs: DataFrame, labels: DataFrame, n: int = SAMPLE) -> Field | None:
@@ -286,7 +288,9 @@ def toxicity_report(docs: DataFrame, labels: DataFrame) -> DataFrame:
     score = F.col("toxicity.score")
     return got.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), score.alias("score"),
                       F.when(score >= 0.5, 1).otherwise(0).alias("predicted"),
-                      F.size("toxicity.spans").alias("n_spans"))
+                      F.size("toxicity.spans").alias("n_spans"),
+                      F.array_join(F.transform("toxicity.spans", lambda s: F.concat_ws(":", s["start"], s["end"])), ",")
+                      .alias("spans"))
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, at: float = 0.5) -> DataFrame:

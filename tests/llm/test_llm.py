@@ -343,6 +343,20 @@ def test_quality_classifier(spark, docs, none):
     assert quality_classifier.quality_scores(none, df.drop("text")).count() == 0
 
 
+def test_repeated_training_ids(spark):
+    """A labelled id that thousands of rows carry is one training document."""
+    rows = _toxic_docs()
+    df = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    hot = next(i for i, _, y in rows if y and zlib.crc32(str(i).encode()) % 5)
+    docs = df.drop("toxic").union(spark.range(20_000).select(F.lit(hot).alias("doc_id"), F.concat(F.lit("copy "), F.col("id")).alias("text")))
+    labels = df.drop("text")
+    sample = toxicity.training_sample(docs, labels, "toxic").collect()
+    assert len(sample) == len({r["doc_id"] for r in sample}) == sum(zlib.crc32(str(i).encode()) % 5 > 0 for i, *_ in rows)
+    assert quality_classifier.quality_scores(docs, labels.withColumnRenamed("toxic", "quality")).count() == 20_400
+    report = toxicity.toxicity_report(df.drop("toxic"), labels).where("n_spans > 0").first()
+    assert report["spans"].count(":") == report["n_spans"]
+
+
 def _same(spark, name, sf):
     con = duckdb.connect()
     for t in ("documents", "embeddings", "pages"):
