@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from branchlens.llm import bpe, line_dedup, mixing, near_dup, toxicity
-from branchlens.llm.common import table
+from branchlens.llm.common import free_name, table
 from branchlens.llm.queries import vocabulary
 from branchlens.session import ensure_checkpoint_dir
 
@@ -42,12 +42,13 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def bpe_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 4: token ids, and whether they decode to the text."""
+    """Operator 4: number of tokens, token ids, and whether they decode to the
+    text, under n_tokens, token_ids and round_trip or free variants of them."""
     got = bpe.encode(docs, vocabulary())
     ids, decoded = got.columns[-2:]
     exact = F.col(decoded) == F.coalesce(F.col("text"), F.lit(""))
-    return got.select(*docs.columns, F.size(ids).cast("long").alias("n_tokens"), F.col(ids).alias("token_ids"),
-                      exact.alias("round_trip"))
+    new = {"n_tokens": F.size(ids).cast("long"), "token_ids": F.col(ids), "round_trip": exact}
+    return got.select(*docs.columns, *[c.alias(free_name(docs, n)) for n, c in new.items()])
 
 
 STAGES = [
