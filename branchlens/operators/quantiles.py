@@ -44,8 +44,8 @@ def group_quantiles(df: DataFrame, group: Sequence[str], columns: Sequence[str],
     ends = df.groupBy(*g).agg(*[f(F.col(f"`{c}`").cast("double")).alias(f"_{a}{i}") for i, c in enumerate(columns)
                                 for a, f in (("n", F.count), ("lo", F.min), ("hi", F.max))])
     ends = cut_lineage(ends)
-    rank = F.array_distinct(F.flatten(F.array(*[F.array(F.floor((F.col("n") - 1) * q), F.ceil((F.col("n") - 1) * q))
-                                                for q in qs])))
+    rank = F.array_distinct(F.flatten(F.transform(F.array(*[F.lit(float(q)) for q in qs]), lambda q: F.array(
+        F.floor((F.col("n") - 1) * q), F.ceil((F.col("n") - 1) * q)))))
     col = F.explode(F.array(*[F.struct(F.lit(i).alias("c"), F.col(f"_n{i}").alias("n"), F.col(f"_lo{i}").alias("lo"),
                                        F.col(f"_hi{i}").alias("hi")) for i in range(len(columns))]))
     open_ = (ends.select(*g, col.alias("s")).select(*g, "s.*").filter("n > 0")
@@ -87,12 +87,16 @@ def group_quantiles(df: DataFrame, group: Sequence[str], columns: Sequence[str],
         one = ends[k].eqNullSafe(right[f"_{k}"])
         cond = one if cond is None else cond & one
 
-    def quantile(i: int, q: float) -> Column:
-        pos = (F.col(f"_n{i}") - 1) * q
-        lo, hi = F.floor(pos), F.ceil(pos)
-        a, b = (F.try_element_at(f"_m{i}", x) for x in (lo, hi))
-        return F.when(lo == hi, a).otherwise((hi - pos) * a + (pos - lo) * b)
+    wanted = F.array(*[F.lit(float(q)) for q in qs])
+
+    def quantiles(i: int) -> Column:
+        def one(q):
+            pos = (F.col(f"_n{i}") - 1) * q
+            lo, hi = F.floor(pos), F.ceil(pos)
+            a, b = (F.try_element_at(f"_m{i}", x) for x in (lo, hi))
+            return F.when(lo == hi, a).otherwise((hi - pos) * a + (pos - lo) * b)
+        return F.transform(wanted, one)
 
     return ends.join(right, cond, "left").select(
         *[ends[k] for k in g],
-        *[F.when(F.col(f"_n{i}") > 0, F.array(*[quantile(i, q) for q in qs])).alias(f"{c}_q") for i, c in enumerate(columns)])
+        *[F.when(F.col(f"_n{i}") > 0, quantiles(i)).alias(f"{c}_q") for i, c in enumerate(columns)])

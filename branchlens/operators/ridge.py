@@ -1,23 +1,28 @@
-"""Ridge regression with leave-one-out CV.
-
-Training rows are branch feature rows. All data passes through Spark
-aggregates: feature means / population std (one aggregate), the Gram matrix
-X'X and X'y ((p+1)^2 + (p+1) sums, one aggregate); only the (p+1) x (p+1)
-solve runs on the driver. Leave-one-out residuals use the exact closed form
-e_i / (1 - h_ii) of a linear smoother (scaling is fitted once on the full
-training set, as in the reference), so n refits become one pass; the inverse
-and coefficients travel to the rows as literals.
-"""
+"""Ridge regression with cross-validation (L2, L9-L14, L19, L22-L24), one model per
+group and penalty, all inside Spark SQL.
+
+A row is (keys..., id, x array<double>, y). Per group one aggregate gives means
+and population standard deviations, one the Gram matrix X'X and X'y of the
+standardised design. The small systems are solved by Cholesky factorisation
+written with higher-order functions on nested arrays, so any number of groups
+and penalties is fitted without a driver loop: A = L L', coefficients by one
+forward and one backward substitution. Leave-one-out residuals use the exact
+closed form e / (1 - h) of a linear smoother (scaling is fitted once on the full
+training set, as in the reference), with the leverage h = |L^-1 x|^2 from one
+forward substitution per row.
+
+A feature that is constant in a group has z = 0 and coefficient 0, so groups with
+different features share one layout: features a group does not use are 0."""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.exprs import finite_or_null
+from ..session import cut_lineage
 
 
 def clean(c: str) -> Column:
@@ -25,100 +30,106 @@ def clean(c: str) -> Column:
     return F.coalesce(finite_or_null(F.col(f"`{c}`")), F.lit(0.0))
 
 
-def scaler(train: DataFrame, feats: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Mean and population std of each feature; std 0 -> 1 (L2)."""
-    r = train.agg(*[F.avg(clean(f)).alias(f"m{i}") for i, f in enumerate(feats)],
-                  *[F.stddev_pop(clean(f)).alias(f"s{i}") for i, f in enumerate(feats)]).first()
-    mu = np.array([r[f"m{i}"] for i in range(len(feats))], dtype=float)
-    sd = np.array([r[f"s{i}"] for i in range(len(feats))], dtype=float)
-    sd[~(sd > 0)] = 1.0
-    return mu, sd
-
-
-def design(feats: Sequence[str], mu, sd) -> list[Column]:
-    """[1, z_1..z_p] with z = (clean(x) - mu) / sd."""
-    return [F.lit(1.0)] + [(clean(f) - F.lit(float(m))) / F.lit(float(s)) for f, m, s in zip(feats, mu, sd)]
-
-
-def gram(train: DataFrame, xs: list[Column], y: Column) -> tuple[np.ndarray, np.ndarray, int]:
-    q = len(xs)
-    aggs = [F.count(F.lit(1)).alias("n")]
-    for a in range(q):
-        aggs.append(F.sum(xs[a] * y).alias(f"b{a}"))
-        for b in range(a, q):
-            aggs.append(F.sum(xs[a] * xs[b]).alias(f"g{a}_{b}"))
-    r = train.agg(*aggs).first()
-    G = np.zeros((q, q))
-    for a in range(q):
-        for b in range(a, q):
-            G[a, b] = G[b, a] = r[f"g{a}_{b}"]
-    bvec = np.array([r[f"b{a}"] for a in range(q)])
-    return G, bvec, int(r["n"])
-
-
-def _penalty(q: int, alpha: float) -> np.ndarray:
-    pen = np.eye(q) * alpha
-    pen[0, 0] = 0.0          # intercept not penalised
-    return pen
-
-
-def _quad(xs: list[Column], m: np.ndarray) -> Column:
-    out = None
-    for a in range(len(xs)):
-        for b in range(len(xs)):
-            if m[a, b] == 0.0:
-                continue
-            t = F.lit(float(m[a, b])) * xs[a] * xs[b]
-            out = t if out is None else out + t
-    return out if out is not None else F.lit(0.0)
-
-
-def _lin(xs: list[Column], beta: np.ndarray) -> Column:
-    out = None
-    for a in range(len(xs)):
-        t = F.lit(float(beta[a])) * xs[a]
-        out = t if out is None else out + t
-    return out
-
-
-def fit_ridge_loocv(train: DataFrame, feats: Sequence[str], target: str, alphas: Sequence[float],
-                    mu=None, sd=None) -> dict:
-    """Ridge per alpha, exact LOOCV RMSE per alpha, NaN-aware argmin (first
-    on ties), refit with the chosen alpha. Fewer than 2 rows: first alpha,
-    RMSE NaN; zero rows: error (D21f)."""
-    if mu is None:
-        mu, sd = scaler(train, feats)
-    xs = design(feats, mu, sd)
-    y = clean(target)
-    G, bvec, n = gram(train, xs, y)
-    if n == 0:
-        raise ValueError("Cannot train ridge model with zero samples.")
-    q = len(xs)
-    per_alpha = []
-    for alpha in alphas:
-        inv = np.linalg.inv(G + _penalty(q, float(alpha)))
-        beta = inv @ bvec
-        per_alpha.append((float(alpha), inv, beta))
-    if n < 2:
-        a0, _, b0 = per_alpha[0]
-        return {"alpha": a0, "beta": b0, "rmse": float("nan"), "mu": mu, "sd": sd, "n": n,
-                "table": [(a, float("nan")) for a, _, _ in per_alpha]}
-    aggs = []
-    for k, (alpha, inv, beta) in enumerate(per_alpha):
-        h = _quad(xs, inv)
-        e = (y - _lin(xs, beta)) / (F.lit(1.0) - h)
-        aggs.append(F.sqrt(F.avg(e * e)).alias(f"r{k}"))
-    r = train.agg(*aggs).first()
-    rmses = [r[f"r{k}"] for k in range(len(per_alpha))]
-    vals = np.array([np.nan if v is None else v for v in rmses], dtype=float)
-    best = int(np.nanargmin(vals))
-    alpha, _, beta = per_alpha[best]
-    return {"alpha": alpha, "beta": beta, "rmse": float(vals[best]), "mu": mu, "sd": sd, "n": n,
-            "table": [(a, float(v)) for (a, _, _), v in zip(per_alpha, vals)]}
-
-
-def predict(df: DataFrame, feats: Sequence[str], model: dict) -> Column:
-    return _lin(design(feats, model["mu"], model["sd"]), model["beta"])
+# ------------------------------------------------- linear algebra on arrays
+def _dot(a: str, b: str) -> str:
+    """Inner product over the length of ``a``; ``b`` may be longer."""
+    return (f"aggregate(zip_with({a}, slice({b}, 1, size({a})), (u_, v_) -> u_ * v_), 0D, (s_, t_) -> s_ + t_)")
+
+
+def cholesky(a: str) -> Column:
+    """Rows of the lower factor of a positive definite matrix."""
+    row = (f"aggregate(sequence(0, i_), cast(array() as array<double>), (r_, j_) -> concat(r_, array(if(j_ < i_, "
+           f"({a}[i_][j_] - {_dot('r_', 'l_[j_]')}) / l_[j_][j_], sqrt({a}[i_][i_] - {_dot('r_', 'r_')})))))")
+    return F.expr(f"aggregate(sequence(0, size({a}) - 1), cast(array() as array<array<double>>), "
+                  f"(l_, i_) -> concat(l_, array({row})))")
+
+
+def forward(l: str, b: str) -> Column:
+    """u with L u = b."""
+    return F.expr(f"aggregate(sequence(0, size({l}) - 1), cast(array() as array<double>), (w_, k_) -> "
+                  f"concat(w_, array(({b}[k_] - {_dot('w_', f'{l}[k_]')}) / {l}[k_][k_])))")
+
+
+def backward(l: str, u: str) -> Column:
+    """x with L' x = u, from the last place to the first."""
+    known = f"aggregate(zip_with(w_, slice({l}, k_ + 2, size(w_)), (b_, r_) -> b_ * r_[k_]), 0D, (s_, t_) -> s_ + t_)"
+    return F.expr(f"aggregate(reverse(sequence(0, size({l}) - 1)), cast(array() as array<double>), (w_, k_) -> "
+                  f"concat(array(({u}[k_] - {known}) / {l}[k_][k_]), w_))")
+
+
+def inner(a: str, b: str) -> Column:
+    return F.expr(_dot(a, b))
+
+
+# ------------------------------------------------------------------- models
+def scalers(rows: DataFrame, keys: Sequence[str], p: int) -> DataFrame:
+    """(keys, mu, sd): mean and population std of each feature; std 0 -> 1 (L2)."""
+    st = rows.groupBy(*keys).agg(*[f(F.col("x")[i]).alias(f"_{n}{i}") for i in range(p)
+                                   for n, f in (("m", F.avg), ("s", F.stddev_pop))])
+    return st.select(*keys, F.array(*[F.col(f"_m{i}") for i in range(p)]).alias("mu"),
+                     F.array(*[F.when(F.col(f"_s{i}") > 0, F.col(f"_s{i}")).otherwise(1.0) for i in range(p)]).alias("sd"))
+
+
+def standardised(rows: DataFrame, scale: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """``rows`` with z = [1, (x - mu) / sd]."""
+    z = "concat(array(1D), zip_with(zip_with(x, mu, (a_, b_) -> a_ - b_), sd, (a_, b_) -> a_ / b_))"
+    return rows.join(scale, list(keys)).withColumn("z", F.expr(z)).drop("mu", "sd")
+
+
+def gram(z: DataFrame, keys: Sequence[str], q: int) -> DataFrame:
+    """(keys, n, xtx array<array<double>>, xty array<double>): X'X and X'y. One row
+    of X'X is one group of the aggregate, which keeps its code small."""
+    rows = z.select(*keys, "z", "y", F.posexplode("z").alias("_i", "_v")).groupBy(*keys, "_i").agg(
+        F.count(F.lit(1)).alias("n"), F.sum(F.col("_v") * F.col("y")).alias("_b"),
+        *[F.sum(F.col("_v") * F.col("z")[j]).alias(f"_g{j}") for j in range(q)])
+    rows = rows.groupBy(*keys).agg(F.max("n").alias("n"), F.array_sort(F.collect_list(F.struct(
+        "_i", F.array(*[F.col(f"_g{j}") for j in range(q)]).alias("g"), F.col("_b").alias("b")))).alias("s"))
+    return rows.select(*keys, "n", F.col("s.g").alias("xtx"), F.col("s.b").alias("xty"))
+
+
+def ridge_models(z: DataFrame, keys: Sequence[str], q: int, alphas: Sequence[float] | Column) -> DataFrame:
+    """(keys, alpha, n, l, beta): the factor and coefficients of every group and
+    penalty; the intercept is not penalised. ``alphas`` are numbers, or an array
+    column over the keys."""
+    penalties = alphas if isinstance(alphas, Column) else F.array(*[F.lit(float(a)) for a in alphas])
+    m = gram(z, keys, q).withColumn("alpha", F.explode(penalties))
+    m = m.withColumn("_a", F.expr("transform(xtx, (r_, i_) -> transform(r_, (v_, j_) -> if(i_ = j_ and i_ > 0, v_ + alpha, v_)))"))
+    m = m.withColumn("l", cholesky("_a")).withColumn("_u", forward("l", "xty")).withColumn("beta", backward("l", "_u"))
+    return cut_lineage(m.select(*keys, "alpha", "n", "l", "beta"))
+
+
+def loocv(z: DataFrame, models: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """(keys, alpha, n, loocv_rmse): exact leave-one-out error of every model;
+    null with fewer than two rows (L11, L12)."""
+    j = z.join(models, list(keys)).withColumn("_w", forward("l", "z"))
+    e = F.try_divide(F.col("y") - inner("beta", "z"), 1 - inner("_w", "_w"))
+    return (j.groupBy(*keys, "alpha", "n").agg(F.sqrt(F.avg(e * e)).alias("_r"))
+            .select(*keys, "alpha", "n", F.when(F.col("n") >= 2, F.col("_r")).alias("loocv_rmse")))
+
+
+def choose_alpha(scores: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """(keys, alpha, loocv_rmse) of the smallest error, smallest alpha on ties;
+    the smallest alpha where no error is known (D21f)."""
+    order = F.struct(F.col("loocv_rmse").isNull(), "loocv_rmse", "alpha")
+    return (scores.groupBy(*keys).agg(F.min_by(F.struct("alpha", "loocv_rmse"), order).alias("s"))
+            .select(*keys, "s.alpha", "s.loocv_rmse"))
+
+
+def fit_ridge_loocv(rows: DataFrame, keys: Sequence[str], p: int, alphas: Sequence[float]):
+    """(scalers, models, scores, chosen) of every group. No rows at all is an
+    error (D21f)."""
+    if not rows.head(1):
+        raise ValueError("ridge: no training rows")
+    scale = cut_lineage(scalers(rows, keys, p))
+    z = standardised(rows, scale, keys)
+    models = ridge_models(z, keys, p + 1, alphas)
+    scores = cut_lineage(loocv(z, models, keys))
+    return scale, models, scores, choose_alpha(scores, keys)
+
+
+def predict(rows: DataFrame, scale: DataFrame, models: DataFrame, keys: Sequence[str], out: str = "predicted") -> DataFrame:
+    """``rows`` (keys, x, ...) with the prediction of each of their group's models."""
+    return standardised(rows, scale, keys).join(models, list(keys)).withColumn(out, inner("beta", "z")).drop("z", "l", "beta")
 
 
 def loo_mean_baseline_rmse(train: DataFrame, target: str) -> Column:
@@ -127,108 +138,3 @@ def loo_mean_baseline_rmse(train: DataFrame, target: str) -> Column:
     total = train.select(F.sum(target)).scalar()
     n = train.select(F.count(F.lit(1))).scalar()
     return F.sqrt(F.avg(F.pow(F.col(target) - (total - F.col(target)) / (n - 1), 2)))
-
-
-def _fold_const(fold: Column, values: dict, default: float = 0.0) -> Column:
-    out = None
-    for f, v in values.items():
-        lit = F.lit(float(v) if v is not None else default)
-        out = F.when(fold == f, lit) if out is None else out.when(fold == f, lit)
-    return out.otherwise(F.lit(default))
-
-
-def kfold_ridge_rmse(train: DataFrame, feats: Sequence[str], target: str, alpha: float, folds: int,
-                     key: str, log_target: bool = False, seed: int = 42) -> float:
-    """K-fold CV RMSE of median-impute + standardise + ridge, the imputer and
-    scaler refitted inside every fold like a scikit-learn pipeline.
-
-    Folds are ``pmod(xxhash64(key), folds)``. Each training row is exploded
-    into the folds it trains (k-1 copies, linear), so every fold's medians,
-    moments and Gram matrix come from three grouped aggregates; the k small
-    systems are solved on the driver and the held-out rows are scored in one
-    more aggregate."""
-    p = len(feats)
-    raw = [finite_or_null(F.col(f"`{c}`")) for c in feats]
-    df = train.select(*[r.alias(f"x{i}") for i, r in enumerate(raw)], F.col(f"`{target}`").alias("y"),
-                      F.pmod(F.xxhash64(F.col(key), F.lit(seed)), F.lit(folds)).cast("int").alias("fold"))
-    others = F.filter(F.array(*[F.lit(f) for f in range(folds)]), lambda f: f != F.col("fold"))
-    rep = df.select("*", F.explode(others).alias("cv"))
-    cv = F.col("cv")
-    med = {r["cv"]: r for r in rep.groupBy("cv").agg(
-        *[F.percentile(f"x{i}", 0.5).alias(f"m{i}") for i in range(p)]).collect()}
-    if not med:
-        return float("nan")
-
-    def filled(fold_col):
-        return [F.coalesce(F.col(f"x{i}"), _fold_const(fold_col, {f: r[f"m{i}"] for f, r in med.items()}))
-                for i in range(p)]
-    t = F.log1p(F.col("y")) if log_target else F.col("y")
-    rf = rep.select("cv", *[x.alias(f"z{i}") for i, x in enumerate(filled(cv))], t.alias("t"))
-    mom = {r["cv"]: r for r in rf.groupBy("cv").agg(
-        *[F.avg(f"z{i}").alias(f"mu{i}") for i in range(p)],
-        *[F.stddev_pop(f"z{i}").alias(f"sd{i}") for i in range(p)], F.count(F.lit(1)).alias("n")).collect()}
-
-    def design_for(fold_col, cols):
-        xs = [F.lit(1.0)]
-        for i in range(p):
-            mu = _fold_const(fold_col, {f: r[f"mu{i}"] for f, r in mom.items()})
-            sd = _fold_const(fold_col, {f: (r[f"sd{i}"] if r[f"sd{i}"] and r[f"sd{i}"] > 0 else 1.0)
-                                        for f, r in mom.items()}, 1.0)
-            xs.append((cols[i] - mu) / sd)
-        return xs
-    xs = design_for(cv, [F.col(f"z{i}") for i in range(p)])
-    q = p + 1
-    aggs = []
-    for a in range(q):
-        aggs.append(F.sum(xs[a] * F.col("t")).alias(f"b{a}"))
-        for b in range(a, q):
-            aggs.append(F.sum(xs[a] * xs[b]).alias(f"g{a}_{b}"))
-    betas = {}
-    for r in rf.groupBy("cv").agg(*aggs).collect():
-        G = np.zeros((q, q))
-        for a in range(q):
-            for b in range(a, q):
-                G[a, b] = G[b, a] = r[f"g{a}_{b}"]
-        bv = np.array([r[f"b{a}"] for a in range(q)])
-        betas[r["cv"]] = np.linalg.solve(G + _penalty(q, alpha), bv)
-    fold = F.col("fold")
-    test_x = design_for(fold, filled(fold))
-    pred = None
-    for a in range(q):
-        t_a = _fold_const(fold, {f: b[a] for f, b in betas.items()}) * test_x[a]
-        pred = t_a if pred is None else pred + t_a
-    if log_target:
-        pred = F.expm1(pred)
-    r = df.filter(fold.isin(list(betas))).agg(F.sqrt(F.avg(F.pow(F.col("y") - pred, 2)))).first()[0]
-    return float(r) if r is not None else float("nan")
-
-
-def kfold_forest_rmse(train: DataFrame, feats: Sequence[str], target: str, folds: int, key: str,
-                      num_trees: int = 500, min_leaf: int = 2, seed: int = 42) -> float:
-    """K-fold CV RMSE of median imputation + random forest (L20): Spark ML
-    ``Imputer(strategy='median')`` and ``RandomForestRegressor`` with
-    ``minInstancesPerNode`` = min_samples_leaf and sqrt feature subsets,
-    refitted per fold. Folds are ``pmod(xxhash64(key), folds)``."""
-    from pyspark.ml import Pipeline
-    from pyspark.ml.feature import Imputer, VectorAssembler
-    from pyspark.ml.regression import RandomForestRegressor
-    cols = [f"x{i}" for i in range(len(feats))]
-    df = train.select(*[finite_or_null(F.col(f"`{c}`")).alias(f"x{i}") for i, c in enumerate(feats)],
-                      F.col(f"`{target}`").cast("double").alias("y"),
-                      F.pmod(F.xxhash64(F.col(key), F.lit(seed)), F.lit(folds)).cast("int").alias("fold")).cache()
-    pipe = Pipeline(stages=[
-        Imputer(inputCols=cols, outputCols=[f"{c}_i" for c in cols], strategy="median"),
-        VectorAssembler(inputCols=[f"{c}_i" for c in cols], outputCol="features", handleInvalid="keep"),
-        RandomForestRegressor(featuresCol="features", labelCol="y", numTrees=num_trees,
-                              minInstancesPerNode=min_leaf, featureSubsetStrategy="sqrt", seed=seed)])
-    sq, n = 0.0, 0
-    for f in range(folds):
-        tr, te = df.filter(F.col("fold") != f), df.filter(F.col("fold") == f)
-        if tr.limit(2).count() < 2 or te.limit(1).count() == 0:
-            continue
-        r = pipe.fit(tr).transform(te).agg(F.sum(F.pow(F.col("y") - F.col("prediction"), 2)).alias("s"),
-                                           F.count(F.lit(1)).alias("n")).first()
-        sq += r["s"]
-        n += r["n"]
-    df.unpersist()
-    return float(np.sqrt(sq / n)) if n else float("nan")

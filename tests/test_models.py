@@ -8,23 +8,38 @@ from branchlens.operators import ridge as rg
 
 
 def test_ridge_loocv_equals_refits(spark):
+    """Two groups and two penalties in one fit against refits without each row."""
     rng = np.random.default_rng(0)
-    X = rng.normal(size=(12, 3))
-    y = X @ np.array([1.0, -2.0, 0.5]) + rng.normal(size=12) * 0.1
-    df = spark.createDataFrame([(float(a), float(b), float(c), float(t)) for (a, b, c), t in zip(X, y)],
-                               "a double, b double, c double, y double")
-    m = rg.fit_ridge_loocv(df, ["a", "b", "c"], "y", [0.1, 1.0])
-    mu, sd = X.mean(0), X.std(0)
-    Z = np.c_[np.ones(12), (X - mu) / sd]
-    for alpha, rmse in m["table"]:
-        P = np.eye(4) * alpha
-        P[0, 0] = 0
-        preds = []
-        for i in range(12):
-            k = np.arange(12) != i
-            beta = np.linalg.solve(Z[k].T @ Z[k] + P, Z[k].T @ y[k])
-            preds.append(Z[i] @ beta)
-        assert abs(np.sqrt(np.mean((np.array(preds) - y) ** 2)) - rmse) < 1e-9
+    data = {}
+    for g, n in (("a", 12), ("b", 9)):
+        x = rng.normal(size=(n, 3)) * [1.0, 50.0, 0.0 if g == "b" else 1.0] + 5
+        data[g] = x, x @ np.array([1.0, -2.0, 0.5]) + rng.normal(size=n) * 0.1
+    rows = [(g, [float(v) for v in r], float(t)) for g, (x, y) in data.items() for r, t in zip(x, y)]
+    df = spark.createDataFrame(rows, "g string, x array<double>, y double")
+    scale, models, scores, chosen = rg.fit_ridge_loocv(df, ["g"], 3, [0.1, 1.0])
+    got = {(r["g"], r["alpha"]): r["loocv_rmse"] for r in scores.collect()}
+    beta = {(r["g"], r["alpha"]): r["beta"] for r in models.collect()}
+    for g, (x, y) in data.items():
+        sd = np.where(x.std(0) > 0, x.std(0), 1)
+        z = np.c_[np.ones(len(x)), (x - x.mean(0)) / sd]
+        for alpha in (0.1, 1.0):
+            p = np.diag([0.0, alpha, alpha, alpha])
+            assert np.allclose(np.linalg.solve(z.T @ z + p, z.T @ y), beta[(g, alpha)])
+            left = [y[i] - z[i] @ np.linalg.solve(z[k].T @ z[k] + p, z[k].T @ y[k])
+                    for i in range(len(y)) for k in [np.arange(len(y)) != i]]
+            assert abs(np.sqrt(np.mean(np.square(left))) - got[(g, alpha)]) < 1e-9
+    assert {r["g"]: r["alpha"] for r in chosen.collect()} == {g: min((got[(g, a)], a) for a in (0.1, 1.0))[1] for g in data}
+    out = rg.predict(df, scale, models.filter("alpha = 1.0"), ["g"])
+    assert out.count() == len(rows) and out.filter("abs(predicted - y) > 100").count() == 0
+
+
+def test_ridge_of_one_row_and_none(spark):
+    import pytest
+    df = spark.createDataFrame([("a", [1.0, 2.0], 3.0)], "g string, x array<double>, y double")
+    _, _, scores, chosen = rg.fit_ridge_loocv(df, ["g"], 2, [0.5, 2.0])
+    assert {r["loocv_rmse"] for r in scores.collect()} == {None} and chosen.first()["alpha"] == 0.5
+    with pytest.raises(ValueError):
+        rg.fit_ridge_loocv(df.where("false"), ["g"], 2, [0.5])
 
 
 def test_kmeans_and_silhouette(spark):
