@@ -103,7 +103,7 @@ class PieceTokens:
         self.strings = [bytes([int(p[3:5], 16)]) if self.library.is_byte(i) else p.replace("▁", " ").encode()
                         for i, p in enumerate(pieces)]
         self.by_word = not any("▁" in p.lstrip("▁") for p in pieces)
-        self.words = Memo(lambda w: pack_ids(self.library.encode(w)), 200_000)
+        self.words = Memo(lambda w: pack_ids(self.library.encode(w)), 150_000)
 
     def ids(self, text: str) -> np.ndarray:
         if (not self.by_word or "  " in text or text[0] == " " or text[-1] == " " or "▁" in text
