@@ -236,31 +236,93 @@ def q_feature_matrix_by_branch(spark: SparkSession, sf_dir: str) -> DataFrame:
                    len(BRANCH_FEATURES))
 
 
-@register("q_silhouette_rule", with_items(
-    _feature_sql("bpt", BRANCH_FEATURES, "branch", "Product", CLIP_QUANTILE).replace(
-        "SELECT r2.grp_key AS branch, Product,", ", zz AS (SELECT r2.grp_key AS branch, Product,") + f""")
+#: Common table expressions (behind ``branch_product_ctes``) ending in ``si``: the
+#: silhouette of every product by brute force over all pairs of a branch.
+SILHOUETTE_SQL = _feature_sql("bpt", BRANCH_FEATURES, "branch", "Product", CLIP_QUANTILE).replace(
+    "SELECT r2.grp_key AS branch, Product,", ", zz AS (SELECT r2.grp_key AS branch, Product,") + f""")
 , lab AS (SELECT zz.*, DENSE_RANK() OVER (ORDER BY split_part(zz.Product, ' ', 2)) - 1 AS cl FROM zz)
 , d AS (SELECT a.branch, a.Product, a.cl, b.cl AS cl2,
                {" + ".join(f"(a.z{i} - b.z{i}) * (a.z{i} - b.z{i})" for i in range(len(BRANCH_FEATURES)))} AS d2
         FROM lab a JOIN lab b ON a.branch = b.branch AND a.Product <> b.Product)
 , pc AS (SELECT branch, Product, cl, cl2, AVG(d2) AS md FROM d GROUP BY ALL)
-, nc AS (SELECT branch, cl, COUNT(*) AS n FROM lab GROUP BY ALL)
-, s AS (SELECT p.branch, p.Product,
+, sab AS (SELECT p.branch, p.Product,
                MAX(CASE WHEN p.cl = p.cl2 THEN p.md END) AS a, MIN(CASE WHEN p.cl <> p.cl2 THEN p.md END) AS b
         FROM pc p GROUP BY ALL)
-, si AS (SELECT s.branch, CASE WHEN s.a IS NULL THEN 0 ELSE (s.b - s.a) / GREATEST(s.a, s.b) END AS v FROM s)
-SELECT branch, {R6("AVG(v)", 9)} AS silhouette FROM si GROUP BY branch""", *branch_product_ctes("family")))
-def q_silhouette_rule(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Mean silhouette (squared Euclidean) per branch of the per-branch
-    feature matrix labelled by product type; the oracle is the brute-force
-    all-pairs SQL, the Spark side the O(n k) cluster-sum form (L6)."""
+, si AS (SELECT sab.branch, CASE WHEN sab.a IS NULL THEN 0 ELSE (sab.b - sab.a) / GREATEST(sab.a, sab.b) END AS v FROM sab)"""
+
+
+def silhouette_by_type(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(branch, silhouette) of the per-branch features labelled by product type."""
     bt = branch_product_table(items(spark, sf_dir), product=PRODUCT_GRAIN)
     pts = km.feature_matrix(bt, ["branch"], "Product", BRANCH_FEATURES, CLIP_QUANTILE)
     pts = pts.withColumn("x", F.transform("x", lambda v: F.round(v * F.lit(1.0 + 1e-12), 6)))
     types = pts.select(F.split("Product", " ")[1].alias("t")).distinct().withColumn(
         "cluster", (F.dense_rank().over(Window.orderBy("t")) - 1).cast("int"))       # bounded: type domain
     lab = pts.withColumn("t", F.split("Product", " ")[1]).join(types, "t").withColumn("k", F.lit(0))
-    return km.silhouette(lab, ["branch"]).select("branch", r6("silhouette", 9).alias("silhouette"))
+    return km.silhouette(lab, ["branch"]).select("branch", "silhouette")
+
+
+@register("q_silhouette_rule", with_items(
+    SILHOUETTE_SQL + f"SELECT branch, {R6('AVG(v)', 9)} AS silhouette FROM si GROUP BY branch", *branch_product_ctes("family")))
+def q_silhouette_rule(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mean silhouette (squared Euclidean) per branch of the per-branch
+    feature matrix labelled by product type; the oracle is the brute-force
+    all-pairs SQL, the Spark side the O(n k) cluster-sum form (L6)."""
+    return silhouette_by_type(spark, sf_dir).select("branch", r6("silhouette", 9).alias("silhouette"))
+
+
+@register("q_kmeans_assign_step", with_items(
+    _feature_sql("bpt", BRANCH_FEATURES, "branch", "Product", CLIP_QUANTILE).replace(
+        "SELECT r2.grp_key AS branch, Product,", ", zz AS (SELECT r2.grp_key AS branch, Product,") + f""")
+, lab AS (SELECT *, split_part(Product, ' ', 2) AS t FROM zz)
+, ce AS (SELECT branch, t, {", ".join(f"AVG(z{i}) AS c{i}" for i in range(len(BRANCH_FEATURES)))}, COUNT(*) AS n,
+                DENSE_RANK() OVER (PARTITION BY branch ORDER BY t) - 1 AS cid FROM lab GROUP BY branch, t)
+, d AS (SELECT lab.branch, Product, cid, {" + ".join(f"(z{i} - c{i}) * (z{i} - c{i})" for i in range(len(BRANCH_FEATURES)))} AS d2
+        FROM lab JOIN ce ON lab.branch = ce.branch)
+, m AS (SELECT branch, Product, MIN(d2) AS dist, arg_min(cid, {{'d': d2, 'c': cid}}) AS cluster FROM d GROUP BY ALL)
+SELECT branch, CAST(cluster AS INTEGER) AS cluster, COUNT(*) AS size, {R6("SUM(dist)", 4)} AS inertia FROM m GROUP BY ALL""",
+    *branch_product_ctes("family")))
+def q_kmeans_assign_step(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One assignment step: products to the nearest of their branch's type
+    centres, size and squared distance of every cluster (L3, L8)."""
+    bt = branch_product_table(items(spark, sf_dir), product=PRODUCT_GRAIN)
+    pts = km.feature_matrix(bt, ["branch"], "Product", BRANCH_FEATURES, CLIP_QUANTILE)
+    pts = cut_lineage(pts.withColumn("x", F.transform("x", lambda v: F.round(v * F.lit(1.0 + 1e-12), 6))))
+    p = len(BRANCH_FEATURES)
+    mean = F.array(*[F.avg(F.col("x")[i]) for i in range(p)])
+    cent = pts.groupBy("branch", F.split("Product", " ")[1].alias("t")).agg(mean.alias("c"))
+    models = cent.groupBy("branch").agg(F.sort_array(F.collect_list(F.struct("t", "c"))).alias("s")).select(
+        "branch", F.size("s").alias("k"), F.lit(0).alias("r"), F.col("s.c").alias("centers"))
+    a = km.assign(pts, models, ["branch"], "Product")
+    return a.groupBy("branch", "cluster").agg(F.count(F.lit(1)).alias("size"), r6(F.sum("dist"), 4).alias("inertia"))
+
+
+def _choose_sql() -> str:
+    ratio = "LEAST(CAST(COUNT(*) FILTER (WHERE Sales < 400 * k) AS DOUBLE), COUNT(*) FILTER (WHERE Sales >= 400 * k)) / COUNT(*)"
+    return with_items(f"""
+, s AS (SELECT branch, CAST(k AS INTEGER) AS k, {ratio} AS ratio,
+               CASE WHEN k % 3 = 0 THEN NULL ELSE ROUND(AVG(MarginPct), 2) END AS silhouette
+        FROM bpt, range({min(K_VALUES)}, {max(K_VALUES) + 1}) x(k) GROUP BY branch, k)
+, c AS (SELECT *, ratio >= {MIN_CLUSTER_RATIO} OR NOT MAX(ratio >= {MIN_CLUSTER_RATIO}) OVER (PARTITION BY branch) AS cand FROM s)
+SELECT branch, k, {R6("ratio")} AS min_cluster_ratio, silhouette,
+       ROW_NUMBER() OVER (PARTITION BY branch ORDER BY cand DESC, silhouette DESC NULLS LAST, k) = 1 AS selected FROM c""",
+                      *branch_product_ctes("family"))
+
+
+@register("q_choose_k", _choose_sql())
+def q_choose_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rule that chooses k (D16f, I14, C14) on scores that need no fit: the
+    smaller share of products below and above a sales cut as size ratio, and the
+    mean margin, missing for every third k and equal for the others, as silhouette."""
+    bt = branch_product_table(items(spark, sf_dir), product=PRODUCT_GRAIN)
+    rows = bt.select("branch", "Sales", "MarginPct", F.explode(F.array(*[F.lit(k) for k in K_VALUES])).alias("k"))
+    low = F.coalesce(F.col("Sales") < 400 * F.col("k"), F.lit(False))
+    s = rows.groupBy("branch", "k").agg(F.count_if(low).alias("lo"), F.count_if(F.col("Sales") >= 400 * F.col("k")).alias("hi"),
+                                        F.count(F.lit(1)).alias("n"), F.round(F.avg("MarginPct"), 2).alias("m"))
+    s = s.select("branch", "k", (F.least("lo", "hi") / F.col("n")).alias("min_cluster_ratio"),
+                 F.when(F.col("k") % 3 != 0, F.col("m")).alias("silhouette"))
+    c = km.choose_k(s, ["branch"], MIN_CLUSTER_RATIO)
+    return c.select("branch", "k", r6("min_cluster_ratio").alias("min_cluster_ratio"), "silhouette", "selected")
 
 
 @register("q_opening_features", with_items(f"""

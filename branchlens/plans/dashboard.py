@@ -20,6 +20,7 @@ from ..operators.products import branch_product_table
 from ..operators.quantiles import group_quantiles
 from ..session import cut_lineage
 from ..sources.tables import items, with_items
+from .clustering import SILHOUETTE_SQL, silhouette_by_type
 from .registry import register
 from .sqlparts import R6, branch_product_ctes
 
@@ -224,21 +225,25 @@ TIER_COLOURS = (("most successful", "#0F8A78"), ("least successful", "#B84A2A"),
 TIER_COLOUR_DEFAULT = "#5A6F57"
 
 
-@register("q_kpis", with_items(f"""
+@register("q_kpis", with_items(f"""{SILHOUETTE_SQL}
+, sil AS (SELECT branch, AVG(v) AS silhouette FROM si GROUP BY branch)
 SELECT a.branch, ROUND(SUM(Sales), 4) AS total_sales, ROUND(SUM(Profit), 4) AS total_profit,
-       COUNT(*) AS n_products, MIN(t.SuccessTier) AS top_tier, {R6("MIN(t.sales_share)")} AS top_tier_share
+       COUNT(*) AS n_products, COUNT(DISTINCT a.Cluster) AS selected_k, {R6("MIN(sil.silhouette)", 9)} AS silhouette,
+       MIN(t.SuccessTier) AS top_tier, {R6("MIN(t.sales_share)")} AS top_tier_share
 FROM asg a JOIN (SELECT branch, SuccessTier, sales_share FROM prof WHERE SuccessRank = 1) t ON a.branch = t.branch
+JOIN sil ON a.branch = sil.branch
 GROUP BY a.branch""", *RULE_CTES))
 def q_kpis(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """KPI cards per branch: sales, profit, product count, top tier and its
-    sales share (M2, G18)."""
+    """KPI cards per branch: sales, profit, product count, number of clusters and
+    their silhouette, top tier and its sales share (M2, G18)."""
     a, prof = rule_tiers(spark, sf_dir)
     top = prof.filter(F.col("SuccessRank") == 1).select("branch", F.col("SuccessTier").alias("top_tier"),
                                                         F.col("sales_share").alias("top_tier_share"))
     s = a.groupBy("branch").agg(rm(F.sum("Sales")).alias("total_sales"), rm(F.sum("Profit")).alias("total_profit"),
-                                F.count(F.lit(1)).alias("n_products"))
-    return s.join(top, "branch").select("branch", "total_sales", "total_profit", "n_products", "top_tier",
-                                        r6("top_tier_share").alias("top_tier_share"))
+                                F.count(F.lit(1)).alias("n_products"), F.countDistinct("Cluster").alias("selected_k"))
+    return s.join(top, "branch").join(silhouette_by_type(spark, sf_dir), "branch").select(
+        "branch", "total_sales", "total_profit", "n_products", "selected_k", r6("silhouette", 9).alias("silhouette"),
+        "top_tier", r6("top_tier_share").alias("top_tier_share"))
 
 
 @register("q_insights", with_items(f"""

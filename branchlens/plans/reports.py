@@ -5,10 +5,14 @@ K1-K3, C7, I18)."""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.exprs import r6, rm
+from ..session import ensure_checkpoint_dir
+from ..sources import files
 from ..sources import reports as rp
 from ..sources.tables import items, with_items
 from .registry import register
@@ -280,3 +284,92 @@ def q_parse_money(spark: SparkSession, sf_dir: str) -> DataFrame:
     it = parsed.filter(~F.col("is_total") & ~F.col("is_open")).withColumn("p", rp.to_num(F.col("profit")))
     return it.groupBy("Branch").agg(F.count(F.lit(1)).alias("n_items"), F.count_if(F.col("p") < 0).alias("n_negative"),
                                     rm(F.sum("p")).alias("profit"))
+
+
+def report_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The group report written as text files into the shared folder and read back
+    as lines and cells (A2, A3, A6, A8, A9)."""
+    lines = rp.write_group_report(items(spark, sf_dir), dense=False)
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/branchlens-reports/{uuid.uuid4().hex}"
+    files.write_lines(lines.withColumn("gap", F.lit(None).cast("string")), path, ["desc", "qty", "gap", "amount", "amount"],
+                      [" Description ", "Qty", "", "Total Amount", "Total Amount"])
+    rows = files.with_header(files.read_lines(spark, path, folders=True), 1)
+    named = {"desc": "Description", "qty": "Qty", "amount": "Total Amount_2"}
+    return rows.select("file", "line_no", *[F.nullif(F.col(f"`{old}`"), F.lit("")).alias(new) for new, old in named.items()])
+
+
+@register("q_report_files", with_items("""
+SELECT branch AS Branch, division AS Division, COUNT(*) AS n_items, ROUND(SUM(qty), 4) AS Qty,
+       ROUND(SUM(amount), 4) AS TotalAmount
+FROM (SELECT branch, year, division, grp, product, SUM(qty) AS qty, ROUND(SUM(price), 4) AS amount FROM items GROUP BY ALL)
+GROUP BY ALL"""))
+def q_report_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Report files, written and read back through the text reader, parsed and
+    summed by branch and division (A2, A3, A6, A8, A9, E2)."""
+    it = rp.parse_group_report(report_files(spark, sf_dir)).filter(~F.col("is_total") & ~F.col("is_open"))
+    return it.groupBy("Branch", "Division").agg(
+        F.count(F.lit(1)).alias("n_items"), rm(F.sum(rp.to_num(F.col("qty")))).alias("Qty"),
+        rm(F.sum(rp.to_num(F.col("amount")))).alias("TotalAmount"))
+
+
+@register("q_scope_totals", with_items("""
+, t AS (
+  SELECT 'Division' AS scope, ROUND(SUM(cost), 4) AS c, round_even(SUM(profit), 0) AS p, SUM(qty) AS q FROM items
+    GROUP BY branch, year, month, department, category, division
+  UNION ALL SELECT 'Category', ROUND(SUM(cost), 4), ROUND(SUM(profit), 4), SUM(qty) FROM items GROUP BY branch, year, month, department, category
+  UNION ALL SELECT 'Department', ROUND(SUM(cost), 4), ROUND(SUM(profit), 4), SUM(qty) FROM items GROUP BY branch, year, month, department
+  UNION ALL SELECT 'Branch', ROUND(SUM(cost), 4), ROUND(SUM(profit), 4), SUM(qty) FROM items WHERE month <> 2 GROUP BY branch, year, month)
+SELECT scope, COUNT(*) + CASE scope WHEN 'Department' THEN (SELECT n_mar FROM gc) ELSE 0 END AS n,
+       ROUND(SUM(c), 4) AS Cost, ROUND(SUM(q), 4) AS Qty FROM t GROUP BY scope""", _GROUP_COUNTS))
+def q_scope_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Printed totals of every scope with their cost and quantity (D5f, D6f)."""
+    t = rp.report_totals(parsed_item_report(spark, sf_dir))
+    return t.groupBy(F.col("total_scope").alias("scope")).agg(F.count(F.lit(1)).alias("n"), rm(F.sum("cost")).alias("Cost"),
+                                                              rm(F.sum("qty")).alias("Qty"))
+
+
+@register("q_price_repair", with_items("""
+SELECT branch AS Branch, year, COUNT(*) AS n_items, COUNT(*) FILTER (WHERE lost) AS n_repaired, ROUND(SUM(p), 4) AS Sales
+FROM (SELECT branch, year, ROUND(SUM(cost), 4) + ROUND(SUM(profit), 4) AS p, SUM(price) >= 100000 AS lost FROM items
+      GROUP BY branch, year, month, department, category, division, product) GROUP BY ALL"""))
+def q_price_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Prices recomputed as cost + profit, and how many printed ones had lost
+    digits (C7, I19)."""
+    parsed = parsed_item_report(spark, sf_dir).filter(~F.col("is_total") & ~F.col("is_open") & F.col("Branch").isNotNull())
+    x = parsed.select("Branch", F.split("file", "/")[2].cast("int").alias("year"), rp.to_num(F.col("price")).alias("printed"),
+                      (rp.to_num(F.col("cost")) + rp.to_num(F.col("profit"))).alias("p"))
+    return x.groupBy("Branch", "year").agg(F.count(F.lit(1)).alias("n_items"),
+                                           F.count_if(F.abs(F.col("p")) > 2 * F.abs(F.col("printed"))).alias("n_repaired"),
+                                           rm(F.sum("p")).alias("Sales"))
+
+
+@register("q_sparse_columns", with_items("""
+, t AS (SELECT 2 * n_files - n_feb + 2 * (n_dep + n_mar + n_cat + n_div) + n_prod + n_apr AS n_lines, n_apr, n_files, n_feb FROM gc)
+SELECT c AS "column" FROM t, (VALUES ('desc'), ('qty'), ('price'), ('cost'), ('profit'), ('Branch')) v(c)""", _GROUP_COUNTS))
+def q_sparse_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Columns of the parsed lines that stay when those at least 90 % empty are
+    dropped; an added column with a value in one line of many goes (C3)."""
+    parsed = parsed_item_report(spark, sf_dir).select("desc", "qty", "price", "cost", "profit", "Branch")
+    parsed = parsed.withColumn("note", F.when(F.col("desc") == "Catering", F.lit("x")))
+    kept = rp.drop_sparse(parsed)
+    return spark.createDataFrame([(c,) for c in kept.columns], "column string")
+
+
+@register("q_parse_money_zero", with_items("""
+SELECT branch AS Branch, COUNT(*) FILTER (WHERE p >= 0) AS n_positive, ROUND(SUM(p) FILTER (WHERE p >= 0), 4) AS profit
+FROM (SELECT branch, ROUND(SUM(profit), 4) AS p FROM items GROUP BY branch, year, month, department, category, division, product)
+GROUP BY branch"""))
+def q_parse_money_zero(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Profit cells under the lenient rule, which reads a bracketed negative as 0
+    (K2)."""
+    it = parsed_item_report(spark, sf_dir).filter(~F.col("is_total") & ~F.col("is_open") & F.col("Branch").isNotNull())
+    p = rp.to_num_zero(F.col("profit"))
+    return it.groupBy("Branch").agg(F.count_if(~F.col("profit").startswith("(")).alias("n_positive"), rm(F.sum(p)).alias("profit"))
+
+
+@register("q_parse_strict", with_items("""
+SELECT branch AS Branch, ROUND(SUM(qty), 4) AS Qty FROM items GROUP BY branch"""))
+def q_parse_strict(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quantity cells under the strict rule, which fails on any bad number (K4)."""
+    it = parsed_item_report(spark, sf_dir).filter(~F.col("is_total") & ~F.col("is_open") & F.col("Branch").isNotNull())
+    return it.groupBy("Branch").agg(rm(F.sum(rp.to_num_strict(F.col("qty")))).alias("Qty"))

@@ -428,6 +428,13 @@ def null_profile(df: DataFrame, columns=None) -> DataFrame:
         "sparse", F.col("pct_null") >= 0.9)
 
 
+def drop_sparse(df: DataFrame, at: float = 0.9) -> DataFrame:
+    """``df`` without columns that are null in the share ``at`` of its rows or
+    more (C3)."""
+    sparse = {r["column"] for r in null_profile(df).collect() if (r["pct_null"] or 0.0) >= at}      # a row per column
+    return df.select(*[F.col(f"`{c}`") for c in df.columns if c not in sparse])
+
+
 def price_overflow(parsed: DataFrame) -> DataFrame:
     """Printed Total Price against cost + profit (X6): the power-of-ten factor
     printed / true rounded to an integer exponent, per line kind (I19)."""

@@ -160,20 +160,41 @@ def test_explicit_rules(spark):
 
 
 def test_file_roundtrip(spark, tmp_path):
-    """Written report files read back with line numbers give the same parse."""
+    """Written report files read back with line numbers give the same parse, also
+    where ranges are a few bytes and the header has blanks and repeats."""
     from pyspark.sql import functions as F
 
     from branchlens.sources import files
     from branchlens.sources.tables import items
+    cols = ["desc", "qty", "price", "cost", "profit"]
     it = items(spark, "/root/testdata/sf0.001").filter((F.col("year") == 2000) & (F.col("month") == 3))
     lines = rp.write_item_report(it)
-    files.write_lines(lines, str(tmp_path / "rep"), ["desc", "qty", "price", "cost", "profit"])
-    back = files.with_header(files.read_lines(spark, str(tmp_path / "rep")), 0,
-                             ["desc", "qty", "price", "cost", "profit"])
-    back = back.select("file", "line_no", *[F.when(F.col(c) == "", None).otherwise(F.col(c)).alias(c)
-                                            for c in ("desc", "qty", "price", "cost", "profit")])
-    a = rp.report_facts(rp.parse_item_report(lines)).groupBy("Branch").agg(F.sum("profit").alias("p"))
-    b = rp.report_facts(rp.parse_item_report(back)).groupBy("Branch").agg(F.sum("profit").alias("p"))
-    da = {r[0]: round(r[1], 4) for r in a.collect()}
-    db = {r[0]: round(r[1], 4) for r in b.collect()}
-    assert da == db and len(da) > 0
+    wide = lines.withColumn("gap", F.lit(None).cast("string"))
+    files.write_lines(wide, str(tmp_path / "rep"), ["desc", "qty", "price", "gap", "cost", "profit", "profit"],
+                      [" Product Desc ", "Qty", "Total Price", "", "Total Cost", "Total Profit", "Total Profit"])
+    size = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "700b")
+    try:
+        back = files.with_header(files.read_lines(spark, str(tmp_path / "rep"), folders=True), 1)
+        assert back.columns == ["file", "line_no", "Product Desc", "Qty", "Total Price", "Total Cost", "Total Profit", "Total Profit_2"]
+        got = {(r[0], r[1] - 1): tuple(v or None for v in r[2:]) for r in back.collect()}
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+    want = {(r["file"], r["line_no"]): tuple(r[c] for c in (*cols, "profit")) for r in lines.collect()}
+    assert got == want
+
+
+def test_headers_and_tables(spark, tmp_path):
+    import pytest
+
+    from branchlens.sources import files
+    (tmp_path / "a.csv").write_text("\ufeffx, y ,,x\n1,\"2,5\",3\n,,\n", encoding="utf-8")
+    (tmp_path / "t.csv").write_text("k,v\na,1\nb,\n", encoding="utf-8")
+    got = files.with_header(files.read_lines(spark, str(tmp_path / "a.csv")), 1)
+    assert got.columns == ["file", "line_no", "x", "y", "x_2"]
+    assert [tuple(r)[1:] for r in got.orderBy("line_no").collect()] == [(2, "1", "2,5", None), (3, "", None, None)]
+    with pytest.raises(ValueError):
+        files.with_header(files.read_lines(spark, str(tmp_path)), 1)
+    from pyspark.sql.types import StructType
+    table = files.read_table(spark, str(tmp_path / "t.csv"), StructType.fromDDL("k string, v int"))
+    assert sorted(map(tuple, table.collect()), key=str) == [("a", 1), ("b", None)]
