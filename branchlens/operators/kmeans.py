@@ -49,7 +49,7 @@ from .quantiles import group_quantiles
 BLOCK_POINTS = 2048               # points of a group that are held against its models together
 SALTS = 8                         # join keys over which the blocks of a group are dealt
 ROUNDS, OVERSAMPLE = 3, 2
-TRIES = 8                         # k-means++ runs over the candidates of a start, the best one counts
+TRIES = 2                         # k-means++ runs over the candidates of a start, the best one counts
 CHAIN = 4                         # Lloyd passes in one job
 ABSENT, MOVING, SETTLED = 0, 1, 2
 
@@ -162,7 +162,7 @@ def _plus_plus(x: np.ndarray, w: np.ndarray, k: int, rng) -> np.ndarray:
         left = [(w * np.minimum(d, ((x - x[t]) ** 2).sum(axis=1))).sum() for t in tries]
         c.append(x[tries[int(np.argmin(left))]])
     c = np.array(c)
-    for _ in range(10):
+    for _ in range(3):
         at = _distances(x, c).argmin(axis=1)
         c = np.array([np.average(x[at == j], axis=0, weights=w[at == j]) if w[at == j].sum() > 0 else c[j] for j in range(k)])
     return c

@@ -32,7 +32,7 @@ K_VALUES = tuple(range(3, 9))
 MIN_PRODUCTS = 30
 MIN_CLUSTER_RATIO = 0.05
 CLIP_QUANTILE = 0.01
-STARTS = 32        # weighted seeding: within 1 % of 80 plain starts or better (tests/test_models.py)
+STARTS = 16        # weighted seeding: within 1 % of 80 plain starts or better (tests/test_models.py)
 MAX_ITER = 300     # the reference's limit; fits end when no model moves
 PRODUCT_GRAIN = "family"
 
@@ -160,8 +160,8 @@ SERIES = ["product", "year"]
 def _opening(spark: SparkSession, sf_dir: str):
     monthly = cut_lineage(ts.monthly_sales(items(spark, sf_dir), "product"))
     feats = ts.opening_features(monthly, SERIES).withColumn("grp", F.lit(ALL_BRANCHES_LABEL))
-    pts = km.feature_matrix(feats.withColumn("Product", F.concat_ws("/", *SERIES)).drop(*SERIES), ["grp"], "Product",
-                            OPENING_FEATURES, clip_quantile=0.0)
+    named = feats.select("grp", F.concat_ws("/", *SERIES).alias("Product"), *OPENING_FEATURES)
+    pts = km.feature_matrix(named, ["grp"], "Product", OPENING_FEATURES, clip_quantile=0.0)
     models, pts = km.fit_kmeans(pts, ["grp"], "Product", [OPENING_K], starts=STARTS, max_iter=MAX_ITER)
     a = km.assign(pts, km.best_restart(models, ["grp"]), ["grp"], "Product")
     parts = F.split("Product", "/")

@@ -90,13 +90,14 @@ def q_lag_corr(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.select("month", "n", r6("corr").alias("corr"), r6("t_stat").alias("t_stat"))
 
 
-# the series coefficients of the oracle are gamma quotients, not a recurrence
+# the oracle's coefficients are sums of logarithms, not a recurrence
 @register("q_lag_corr_pvalue", with_items(f"""
 , a AS (SELECT *, n - 2 AS v, atan(abs(t_stat) / sqrt(n - 2)) AS th FROM tc WHERE t_stat IS NOT NULL)
-, e AS (SELECT month, SUM(CASE WHEN v % 2 = 0
-          THEN exp(lgamma(j + 0.5) - lgamma(j + 1)) / sqrt(pi()) * cos(th) ^ (2 * j)
-          ELSE sqrt(pi()) / 2 * exp(lgamma(j + 1) - lgamma(j + 1.5)) * cos(th) ^ (2 * j + 1) END) AS s
-        FROM a, range(0, 100000) x(j) WHERE j <= (v - CASE WHEN v % 2 = 0 THEN 2 ELSE 3 END) // 2 AND v > 1 GROUP BY month)
+, x AS (SELECT j::DOUBLE AS j FROM range(0, 100000) t(j))
+, co AS (SELECT j, exp(SUM(CASE WHEN j > 0 THEN ln((2 * j - 1) / (2 * j)) ELSE 0 END) OVER (ORDER BY j)) AS ev,
+               exp(SUM(CASE WHEN j > 0 THEN ln(2 * j / (2 * j + 1)) ELSE 0 END) OVER (ORDER BY j)) AS od FROM x)
+, e AS (SELECT month, SUM(CASE WHEN v % 2 = 0 THEN ev * cos(th) ** (2 * j) ELSE od * cos(th) ** (2 * j + 1) END) AS s
+        FROM a, co WHERE j <= (v - CASE WHEN v % 2 = 0 THEN 2 ELSE 3 END) // 2 AND v > 1 GROUP BY month)
 , i AS (SELECT a.month, CASE WHEN v % 2 = 0 THEN sin(th) * s ELSE 2 / pi() * (th + sin(th) * COALESCE(s, 0)) END AS inside
         FROM a LEFT JOIN e ON a.month = e.month)
 SELECT tc.month, n, {R6("corr")} AS corr, {R6("t_stat")} AS t_stat, {R6("greatest(1 - inside, 0)")} AS p_value
