@@ -100,13 +100,13 @@ def q_lag_corr(spark: SparkSession, sf_dir: str) -> DataFrame:
         FROM a, co WHERE j <= (v - CASE WHEN v % 2 = 0 THEN 2 ELSE 3 END) // 2 AND v > 1 GROUP BY month)
 , i AS (SELECT a.month, CASE WHEN v % 2 = 0 THEN sin(th) * s ELSE 2 / pi() * (th + sin(th) * COALESCE(s, 0)) END AS inside
         FROM a LEFT JOIN e ON a.month = e.month)
-SELECT tc.month, n, {R6("corr")} AS corr, {R6("t_stat")} AS t_stat, {R6("greatest(1 - inside, 0)")} AS p_value
+SELECT tc.month, n, {R6("corr")} AS corr, {R6("t_stat")} AS t_stat, {R6("greatest(1 - inside, 0)", 5)} AS p_value
 FROM tc LEFT JOIN i ON tc.month = i.month""", *LAG_CORR_CTES))
 def q_lag_corr_pvalue(spark: SparkSession, sf_dir: str) -> DataFrame:
     """L17 with the two-sided p-value (Student t with n-2 degrees of freedom)."""
     c = ts.lag_corr(ts.norm_zero_as_null(branch_monthly(spark, sf_dir), KEYS), KEYS)
     return c.select("month", "n", r6("corr").alias("corr"), r6("t_stat").alias("t_stat"),
-                    r6(ts.student_t_two_sided_p(F.col("t_stat"), F.col("n") - 2)).alias("p_value"))
+                    r6(ts.student_t_two_sided_p(F.col("t_stat"), F.col("n") - 2), 5).alias("p_value"))
 
 
 def _corr_sql() -> str:
