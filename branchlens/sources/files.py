@@ -33,21 +33,22 @@ def read_lines(spark: SparkSession, path: str, folders: bool = False) -> DataFra
     key = ["file", "_part", "_start"]
     ranges = raw.groupBy(*key).agg(F.min("_at").alias("_first"), F.count(F.lit(1)).alias("_n"))
     before = Window.partitionBy("file").orderBy("_part", "_start").rowsBetween(Window.unboundedPreceding, -1)
-    ranges = ranges.select(*key, (F.coalesce(F.sum("_n").over(before), F.lit(0)) + 1 - F.col("_first")).alias("_add"))
+    # a table of known size, so that a small one is broadcast and the lines stay where they are
+    ranges = cut_lineage(ranges.select(*key, (F.coalesce(F.sum("_n").over(before), F.lit(0)) + 1 - F.col("_first")).alias("_add")))
     return raw.join(ranges, key).select("file", (F.col("_at") + F.col("_add")).alias("line_no"),
                                         F.regexp_replace("value", f"^{BOM}", "").alias("value"))
 
 
 def csv_cells(lines: DataFrame) -> DataFrame:
     """Each line's unquoted, trimmed cells (A3: all strings); lines differ in
-    length, so missing cells of short lines are left out."""
-    lines = cut_lineage(lines)
+    length, so missing cells of short lines are left out. A table in the shared
+    folder: a line is parsed once, however often its cells are named later."""
     most = lines.select(F.max(F.length("value") - F.length(F.replace("value", F.lit(","), F.lit(""))))).first()[0] or 0
     names = [f"c{i}" for i in range(int(most) + 1)]
     row = F.from_csv("value", ", ".join(f"{n} string" for n in names), {"ignoreLeadingWhiteSpace": "true", "ignoreTrailingWhiteSpace": "true"})
     cells = F.array(*[F.coalesce(F.col(f"_r.{n}"), F.lit("")) for n in names])
     last = F.array_max(F.array(*[F.when(F.col(f"_r.{n}").isNotNull(), F.lit(i + 1)).otherwise(0) for i, n in enumerate(names)]))
-    return lines.withColumn("_r", row).withColumn("cells", F.slice(cells, 1, F.greatest(last, F.lit(1)))).drop("_r")
+    return cut_lineage(lines.withColumn("_r", row).withColumn("cells", F.slice(cells, 1, F.greatest(last, F.lit(1)))).drop("_r"))
 
 
 def header_names(raw: Sequence[str]) -> list[tuple[int, str]]:

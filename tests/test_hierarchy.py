@@ -198,3 +198,24 @@ def test_headers_and_tables(spark, tmp_path):
     from pyspark.sql.types import StructType
     table = files.read_table(spark, str(tmp_path / "t.csv"), StructType.fromDDL("k string, v int"))
     assert sorted(map(tuple, table.collect()), key=str) == [("a", 1), ("b", None)]
+
+
+def _plan(df) -> str:
+    import contextlib
+    import io
+    with contextlib.redirect_stdout(io.StringIO()) as out:
+        df.explain("extended")
+    return out.getvalue()
+
+
+def test_cells_parsed_once(spark, tmp_path):
+    """Columns of a read file come from stored cells: a line is not parsed again
+    wherever one of them is named."""
+    from pyspark.sql import functions as F
+
+    from branchlens.sources import files
+    (tmp_path / "a.csv").write_text("x,y\n1,2\n\"3,5\",4\n", encoding="utf-8")
+    rows = files.with_header(files.read_lines(spark, str(tmp_path / "a.csv")), 1)
+    twice = rows.select((F.length("x") + F.length(F.trim("x"))).alias("n"), "y").filter("n > 1")
+    assert "from_csv" not in _plan(twice)
+    assert sorted(tuple(r)[2:] for r in rows.collect()) == [("1", "2"), ("3,5", "4")]
