@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.exprs import r6, rm
-from ..session import ensure_checkpoint_dir
+from ..session import cut_lineage, ensure_checkpoint_dir
 from ..sources import files
 from ..sources import reports as rp
 from ..sources.tables import items, with_items
@@ -214,7 +214,8 @@ def q_context_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows around the first NULL Division of every report file: up to three
     before and five after (D17f)."""
     parsed = parsed_item_report(spark, sf_dir, dense=True)
-    first = parsed.filter(F.col("Division").isNull()).groupBy("file").agg(F.min("line_no").alias("f"))
+    # a row a file, kept so that the lines are joined to it without a shuffle
+    first = cut_lineage(parsed.filter(F.col("Division").isNull()).groupBy("file").agg(F.min("line_no").alias("f")))
     ctx = parsed.join(first, "file").filter(F.col("line_no").between(F.col("f") - 3, F.col("f") + 5))
     return ctx.select(F.regexp_replace("file", "^rep14/", "").alias("file"), "line_no", F.col("desc").alias("description"))
 

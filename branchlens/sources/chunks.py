@@ -61,12 +61,17 @@ def carry_depth(lines: DataFrame, shift: str, cap: str) -> DataFrame:
     return s.select(*KEY, (F.col("_before") + F.least(F.lit(0), low)).alias("_d0"))
 
 
-def in_file_order(rows: DataFrame, order: list) -> DataFrame:
+def in_file_order(rows: DataFrame, order: list, columns: list | None = None) -> DataFrame:
     """``rows`` with ``line_no`` growing in ``order`` within each ``file``: rows
     are range partitioned by file and order, so a large file is many tasks. A
-    table in the shared folder, as the numbers belong to one run of the sort."""
-    placed = rows.repartitionByRange("file", *order).sortWithinPartitions("file", *order)
-    return cut_lineage(placed.withColumn("line_no", F.monotonically_increasing_id()))
+    table in the shared folder, as the numbers belong to one run of the sort.
+    ``columns`` are derived behind the sort, as sampling for the ranges computes
+    the rows once more. Files lie in the order of a hash, which compares faster
+    than their names; names come next, so equal hashes do no harm."""
+    keys = [F.xxhash64("file"), "file", *order]
+    placed = rows.repartitionByRange(*keys).sortWithinPartitions(*keys)
+    placed = placed.withColumn("line_no", F.monotonically_increasing_id())
+    return cut_lineage(placed.select("file", "line_no", *columns) if columns else placed)
 
 
 def numbered(placed: DataFrame) -> DataFrame:
@@ -75,12 +80,25 @@ def numbered(placed: DataFrame) -> DataFrame:
     part = F.shiftright("line_no", 33)
     starts = placed.groupBy("file", part.alias("_part")).agg(F.min("line_no").alias("_first"), F.count("*").alias("_n"))
     before = Window.partitionBy("file").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    starts = starts.select("file", "_part", (F.coalesce(F.sum("_n").over(before), F.lit(0)) + 1 - F.col("_first")).alias("_add"))
+    # a table of known size, so that a small one is broadcast and the lines stay where they are
+    starts = cut_lineage(starts.select("file", "_part", (F.coalesce(F.sum("_n").over(before), F.lit(0)) + 1 - F.col("_first")).alias("_add")))
     return (placed.withColumn("_part", part).join(starts, ["file", "_part"])
             .withColumn("line_no", F.col("line_no") + F.col("_add")).drop("_part", "_add"))
 
 
-def without_last(lines: DataFrame) -> DataFrame:
-    """Every file without its last line."""
-    last = lines.groupBy("file").agg(F.max("line_no").alias("_last"))
-    return lines.join(last, "file").where("line_no < _last").drop("_last")
+def heads(rows: DataFrame, state: str) -> DataFrame:
+    """(file, _chunk, ``_in``, ``_last``) of every chunk: the last non-null
+    ``state`` before it, with its line, and the last line of its file. A table of
+    known size, so that a small one is broadcast and the lines stay where they are."""
+    at = F.max(F.when(F.col(state).isNotNull(), F.struct(F.col("line_no").alias("at"), F.col(state).alias("v"))))
+    s = rows.groupBy(*KEY).agg(at.alias("_in"), F.max("line_no").alias("_end"))
+    return cut_lineage(s.select(*KEY, F.max("_in").over(earlier_chunks()).alias("_in"),
+                                F.max("_end").over(Window.partitionBy("file")).alias("_last")))
+
+
+def spread(rows: DataFrame, state: str, at: DataFrame) -> DataFrame:
+    """``rows`` with ``state`` (null on most) filled from the last one at or before
+    the row in its file, and with the columns of the chunk's ``heads`` ``at``. The
+    rows are dealt and sorted once."""
+    filled = rows.withColumn(state, F.last(state, ignorenulls=True).over(running())).join(at, KEY)
+    return filled.withColumn(state, F.coalesce(state, "_in.v"))

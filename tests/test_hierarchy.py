@@ -219,3 +219,35 @@ def test_cells_parsed_once(spark, tmp_path):
     twice = rows.select((F.length("x") + F.length(F.trim("x"))).alias("n"), "y").filter("n > 1")
     assert "from_csv" not in _plan(twice)
     assert sorted(tuple(r)[2:] for r in rows.collect()) == [("1", "2"), ("3,5", "4")]
+
+
+ITEM_LINES = "file string, line_no int, desc string, qty string, price string, cost string, profit string"
+
+
+def test_lines_dealt_once(spark):
+    """Item lines are shuffled once, by chunk; totals need no scan over the lines."""
+    import re
+    df = spark.createDataFrame([("f", 1, "Store - a", None, None, None, None), ("f", 2, "x", "1", "2", "3", "4"),
+                                ("f", 3, "Total By Branch:", "1", "2", "3", "4"), ("f", 4, "end", None, None, None, None)], ITEM_LINES)
+    parsed = rp.parse_item_report(df)
+    items, totals = (_plan(f).split("== Physical Plan ==")[1] for f in (rp.report_facts(parsed), rp.report_totals(parsed)))
+    assert len(re.findall(r"Exchange hashpartitioning", items)) == 1
+    assert "Window" not in totals and "Exchange hashpartitioning" not in totals
+    assert [r["Branch"] for r in rp.report_facts(parsed).collect()] == ["a"]
+    assert [r["Branch"] for r in rp.report_totals(parsed).collect()] == ["a"]
+
+
+def test_texts_behind_the_sort(spark):
+    """Ranges of the written lines are sampled without printing their numbers."""
+    from pyspark.sql import functions as F
+
+    from branchlens.sources import chunks
+    seen = spark.sparkContext.accumulator(0)
+
+    def printed(x):
+        seen.add(1)
+        return str(x)
+    rows = spark.range(300).select(F.lit("f").alias("file"), "id")
+    got = chunks.in_file_order(rows, ["id"], [F.udf(printed)("id").alias("text")])
+    assert [r["text"] for r in got.orderBy("line_no").collect()] == [str(i) for i in range(300)]
+    assert seen.value == 300
