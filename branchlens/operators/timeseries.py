@@ -17,13 +17,23 @@ MONTHS = ["January", "February", "March", "April", "May", "June", "July", "Augus
           "October", "November", "December"]
 
 
+def _year_sums(items: DataFrame, key: str) -> DataFrame:
+    month = F.col("month")
+    return items.select(key, "year", "month", "price").groupBy(key, "year").agg(
+        *[F.sum(F.when(month == m, F.col("price"))).alias(f"m{m}") for m in range(1, 13)])
+
+
+def yearly_sales(items: DataFrame, key: str) -> DataFrame:
+    """(key, year, months): the sales of months 1..12 as one array, 0 when absent."""
+    return _year_sums(items, key).select(
+        key, "year", F.array(*[F.coalesce(f"m{m}", F.lit(0.0)) for m in range(1, 13)]).alias("months"))
+
+
 def monthly_sales(items: DataFrame, key: str) -> DataFrame:
     """(key, year, month, sales) for months 1..12 of every year of the key and
     month 13 = January of the next year. Every series has 13 months: 0 when
     absent, but a next January without any sale is null, as it is not known."""
-    month = F.col("month")
-    year = items.select(key, "year", "month", "price").groupBy(key, "year").agg(
-        *[F.sum(F.when(month == m, F.col("price"))).alias(f"m{m}") for m in range(1, 13)])
+    year = _year_sums(items, key)
     w = Window.partitionBy(key).orderBy("year")
     after = F.when(F.lead("year").over(w) == F.col("year") + 1, F.lead("m1").over(w))
     months = [F.coalesce(f"m{m}", F.lit(0.0)) for m in range(1, 13)]
@@ -195,34 +205,37 @@ def student_t_two_sided_p(t: Column, dof: Column) -> Column:
     return F.when((dof >= 1) & t.isNotNull(), F.greatest(1 - inside, F.lit(0.0)))
 
 
-def opening_features(monthly: DataFrame, keys: list[str]) -> DataFrame:
+def _opened(series: DataFrame, keys: list[str], n: int) -> DataFrame:
+    """(keys, open_month, first): the first ``n`` months from the opening of the
+    series whose months there all exist and are not 0. ``series`` has an array
+    ``months`` or is long; arrays need no shuffle, and few series are left."""
+    if "months" not in series.columns:
+        series = series.groupBy(*keys).agg(F.array(*[
+            F.max(F.when(F.col("month") == m, F.col("sales"))) for m in range(1, 13)]).alias("months"))
+    active = F.transform("months", lambda v: F.coalesce(v != 0, F.lit(False)))
+    s = series.dropna(subset=keys).select(*keys, "months", F.array_position(active, F.lit(True)).cast("int").alias("open_month"))
+    s = s.select(*keys, "open_month", F.slice("months", F.greatest("open_month", F.lit(1)), n).alias("first"))
+    return s.filter((F.col("open_month") > 0) & (F.size("first") == n)
+                    & F.forall("first", lambda v: F.coalesce(v != 0, F.lit(False))))
+
+
+def opening_features(series: DataFrame, keys: list[str]) -> DataFrame:
     """Opening dynamics over months 1..12 (H8, H9): initial_zeros = months
     before the first non-zero; the first three months from the opening must
-    all exist and be non-zero; avg, population std and last-first of them."""
-    m = monthly.filter(F.col("month") <= 12)
-    first = (m.filter(F.col("sales") != 0).groupBy(*keys).agg(F.min("month").alias("open_month")))
-    j = m.join(first, keys).filter(F.col("month").between(F.col("open_month"), F.col("open_month") + 2))
+    all exist and be non-zero; avg, population std and last-first of them.
+    ``series``: long months or ``yearly_sales``."""
+    j = _opened(series, keys, 3).select(*keys, "open_month", F.posexplode("first").alias("pos", "sales"))
     return (j.groupBy(*keys, "open_month")
-            .agg(F.count(F.lit(1)).alias("n3"),
-                 F.sum(F.when(F.col("sales") == 0, 1).otherwise(0)).alias("z3"),
-                 F.avg("sales").alias("avg_first3"),
+            .agg(F.avg("sales").alias("avg_first3"),
                  F.stddev_pop("sales").alias("vol_first3"),
-                 (F.max_by("sales", "month") - F.min_by("sales", "month")).alias("growth_first3"))
-            .filter((F.col("n3") == 3) & (F.col("z3") == 0))
+                 (F.max_by("sales", "pos") - F.min_by("sales", "pos")).alias("growth_first3"))
             .select(*keys, (F.col("open_month") - 1).alias("initial_zeros"), "avg_first3", "vol_first3",
                     "growth_first3"))
 
 
-def opening_trajectory(monthly: DataFrame, keys: list[str]) -> DataFrame:
+def opening_trajectory(series: DataFrame, keys: list[str]) -> DataFrame:
     """First six months from the opening indexed to the first one (H10), only
-    for keys with six non-zero months inside the year; keyed by the series."""
-    m = monthly.filter(F.col("month") <= 12)
-    first = m.filter(F.col("sales") != 0).groupBy(*keys).agg(F.min("month").alias("open_month"))
-    j = (m.join(first, keys).filter(F.col("month").between(F.col("open_month"), F.col("open_month") + 5))
-         .withColumn("pos", F.col("month") - F.col("open_month") + 1))
-    base = j.filter(F.col("pos") == 1).select(*keys, F.col("sales").alias("first_sales"))
-    ok = (j.groupBy(*keys).agg(F.count(F.lit(1)).alias("n6"),
-                             F.sum(F.when(F.col("sales") == 0, 1).otherwise(0)).alias("z6"))
-          .filter((F.col("n6") == 6) & (F.col("z6") == 0)).select(*keys))
-    return (j.join(ok, keys).join(base, keys)
-            .select(*keys, "pos", (F.col("sales") / F.col("first_sales")).alias("relative_sales")))
+    for keys with six non-zero months inside the year; keyed by the series.
+    ``series``: long months or ``yearly_sales``."""
+    j = _opened(series, keys, 6).select(*keys, F.col("first")[0].alias("_base"), F.posexplode("first").alias("_at", "sales"))
+    return j.select(*keys, (F.col("_at") + 1).alias("pos"), (F.col("sales") / F.col("_base")).alias("relative_sales"))

@@ -158,15 +158,15 @@ SERIES = ["product", "year"]
 
 
 def _opening(spark: SparkSession, sf_dir: str):
-    monthly = cut_lineage(ts.monthly_sales(items(spark, sf_dir), "product"))
-    feats = ts.opening_features(monthly, SERIES).withColumn("grp", F.lit(ALL_BRANCHES_LABEL))
+    yearly = cut_lineage(ts.yearly_sales(items(spark, sf_dir), "product"))
+    feats = cut_lineage(ts.opening_features(yearly, SERIES)).withColumn("grp", F.lit(ALL_BRANCHES_LABEL))
     named = feats.select("grp", F.concat_ws("/", *SERIES).alias("Product"), *OPENING_FEATURES)
     pts = km.feature_matrix(named, ["grp"], "Product", OPENING_FEATURES, clip_quantile=0.0)
     models, pts = km.fit_kmeans(pts, ["grp"], "Product", [OPENING_K], starts=STARTS, max_iter=MAX_ITER)
     a = km.assign(pts, km.best_restart(models, ["grp"]), ["grp"], "Product")
     parts = F.split("Product", "/")
     clusters = a.select(parts[0].alias("product"), parts[1].cast("int").alias("year"), F.col("cluster"))
-    return monthly, feats, clusters
+    return yearly, feats, clusters
 
 
 @register("q_opening_clusters")
@@ -183,8 +183,8 @@ def q_opening_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
 def q_opening_trajectory(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mean first-six-month trajectory per opening cluster, keyed by product
     (H10, G17)."""
-    monthly, _, clusters = _opening(spark, sf_dir)
-    tr = ts.opening_trajectory(monthly, SERIES).join(clusters, SERIES)
+    yearly, _, clusters = _opening(spark, sf_dir)
+    tr = ts.opening_trajectory(yearly, SERIES).join(clusters, SERIES)
     return tr.groupBy("cluster", "pos").agg(F.avg("relative_sales").alias("relative_sales"),
                                             F.count(F.lit(1)).alias("n"))
 
@@ -336,7 +336,7 @@ SELECT product, year, open_month - 1 AS initial_zeros, {R6("a", 4)} AS avg_first
 def q_opening_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Months before opening, mean / population std / growth of the first three
     active months per product and year (H8, H9)."""
-    f = ts.opening_features(ts.monthly_sales(items(spark, sf_dir), "product"), SERIES)
+    f = ts.opening_features(ts.yearly_sales(items(spark, sf_dir), "product"), SERIES)
     return f.select(*SERIES, F.col("initial_zeros").cast("int").alias("initial_zeros"),
                     r6("avg_first3", 4).alias("avg_first3"), r6("vol_first3", 4).alias("vol_first3"),
                     r6("growth_first3", 4).alias("growth_first3"))
@@ -404,5 +404,5 @@ JOIN b ON j.product = b.product AND j.year = b.year""", *_monthly_ctes("product"
 def q_product_trajectories(spark: SparkSession, sf_dir: str) -> DataFrame:
     """First six months from the opening indexed to the first month, for series
     with six non-zero months in the year, keyed by product and year (H10, X4)."""
-    t = ts.opening_trajectory(ts.monthly_sales(items(spark, sf_dir), "product"), SERIES)
+    t = ts.opening_trajectory(ts.yearly_sales(items(spark, sf_dir), "product"), SERIES)
     return t.select(*SERIES, F.col("pos").cast("int").alias("pos"), r6("relative_sales").alias("relative_sales"))

@@ -87,3 +87,46 @@ def test_series_of_every_year(spark):
     assert len(got) == 4 * 13
     assert got[("a", 2000, 13)] == 7.0 and got[("a", 2001, 13)] is None and got[("b", 2001, 12)] == 1.0
     assert sum(v for (_, _, k), v in got.items() if k <= 12) == 15.0
+
+
+def test_opening_series_without_joins(spark):
+    """Openings of yearly arrays: one shuffle of the kept months, no join, the same
+    rows as from long months."""
+    import contextlib
+    import io
+
+    from pyspark.sql import functions as F
+    rows = [(k, 2000, [float(v) for v in s]) for k, s in {
+        "a": [0, 5, 6, 7, 8, 9, 10, 0, 0, 0, 0, 0], "b": [0] * 12, "c": [0] * 10 + [3, 4], "d": [1, 0, 2] + [1] * 9,
+        "e": [-1, 2, 3] + [0] * 9}.items()] + [(None, 2000, [1.0] * 12)]
+    yearly = spark.createDataFrame(rows, "k string, year int, months array<double>")
+    long = yearly.select("k", "year", F.posexplode("months").alias("m", "sales")).select("k", "year", (F.col("m") + 1).alias("month"), "sales")
+    keys = ["k", "year"]
+    feats, tr = ts.opening_features(yearly, keys), ts.opening_trajectory(yearly, keys)
+    with contextlib.redirect_stdout(io.StringIO()) as out:
+        feats.explain()
+        tr.explain()
+    assert "Join" not in out.getvalue() and out.getvalue().count("Exchange") == 1
+    assert {tuple(r)[:4] for r in feats.collect()} == {("a", 2000, 1, 6.0), ("e", 2000, 0, 4 / 3)}
+    assert sorted(feats.collect()) == sorted(ts.opening_features(long, keys).collect())
+    assert sorted(map(tuple, tr.collect())) == [("a", 2000, i + 1, (5 + i) / 5) for i in range(6)]
+    assert sorted(tr.collect()) == sorted(ts.opening_trajectory(long, keys).collect())
+
+
+def test_product_rollup_dealt_once(spark):
+    """Sums and modes per (branch, product): one shuffle behind the base aggregate,
+    no join; ties go to the smallest value, nulls do not count."""
+    import contextlib
+    import io
+
+    from branchlens.operators import products as pr
+    base = spark.createDataFrame(
+        [("b", "p", "x", "d1", 2), ("b", "p", "y", "d2", 1), ("b", "p", "y", "d1", 1), ("b", "p", None, None, 9), (None, "p", None, "d", 1)],
+        "branch string, Product string, category string, division string, _n long")
+    for c in ("Sales", "Cost", "Profit", "Qty", "TABLE", "TAKE AWAY", "Toters"):
+        base = base.selectExpr("*", f"CAST(1 AS DOUBLE) AS `{c}`")
+    t = pr._rollup(base, ["branch", "Product"])
+    with contextlib.redirect_stdout(io.StringIO()) as out:
+        t.explain()
+    assert "Join" not in out.getvalue() and out.getvalue().count("Exchange") == 1
+    assert {(r["branch"], r["Category"], r["Division"], r["Sales"]) for r in t.collect()} == {("b", "x", "d1", 4.0), (None, None, "d", 1.0)}
