@@ -86,12 +86,16 @@ def numbered(placed: DataFrame) -> DataFrame:
             .withColumn("line_no", F.col("line_no") + F.col("_add")).drop("_part", "_add"))
 
 
-def heads(rows: DataFrame, state: str) -> DataFrame:
-    """(file, _chunk, ``_in``, ``_last``) of every chunk: the last non-null
-    ``state`` before it, with its line, and the last line of its file. A table of
+def heads(rest: DataFrame, marks: DataFrame, state: str) -> DataFrame:
+    """(file, _chunk, ``_in``, ``_last``) of every chunk of ``rest`` and ``marks``: the
+    last non-null ``state`` of the marks before it, with its line, and the last line of
+    its file. The rest has no state, so only the marks are sorted for it. A table of
     known size, so that a small one is broadcast and the lines stay where they are."""
     at = F.max(F.when(F.col(state).isNotNull(), F.struct(F.col("line_no").alias("at"), F.col(state).alias("v"))))
-    s = rows.groupBy(*KEY).agg(at.alias("_in"), F.max("line_no").alias("_end"))
+    end = F.max("line_no").alias("_end")
+    seen = marks.groupBy(*KEY).agg(at.alias("_in"), end)
+    s = seen.unionByName(rest.groupBy(*KEY).agg(F.lit(None).cast(seen.schema["_in"].dataType).alias("_in"), end))
+    s = s.groupBy(*KEY).agg(F.max("_in").alias("_in"), F.max("_end").alias("_end"))
     return cut_lineage(s.select(*KEY, F.max("_in").over(earlier_chunks()).alias("_in"),
                                 F.max("_end").over(Window.partitionBy("file")).alias("_last")))
 

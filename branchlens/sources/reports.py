@@ -44,8 +44,10 @@ def to_num(c: Column) -> Column:
     anything else that is not a plain decimal -> NULL (a regex guard, so
     strings like ``1d`` or ``nan`` that a cast would accept stay NULL)."""
     s = F.replace(F.replace(F.trim(c), F.lit(","), F.lit("")), F.lit('"'), F.lit(""))
-    s = F.when(s.startswith("(") & s.rlike(r"^\(.*\)$"), F.concat(F.lit("-"), F.regexp_extract(s, r"^\((.*)\)$", 1))).otherwise(s)
-    return F.when(s.rlike(NUMERIC_RE), s.try_cast("double"))
+    # a filter computes a column anew wherever it is named, so cells without a bracket name ``s`` once
+    bracket = F.contains(c, F.lit("(")) & s.startswith("(") & s.rlike(r"^\(.*\)$")
+    s = F.when(bracket, F.concat(F.lit("-"), F.regexp_extract(s, r"^\((.*)\)$", 1))).otherwise(s)
+    return F.regexp_extract(s, NUMERIC_RE, 0).try_cast("double")
 
 
 def to_num_zero(c: Column) -> Column:
@@ -69,22 +71,29 @@ def fmt(c: Column, decimals: int) -> Column:
 
 
 # --------------------------------------------------------- writer (report 14)
+def _place(rank: tuple) -> Column:
+    """Numbers of one digit and names as one text that sorts as they do one after the
+    other, nulls first: one comparison a pair of lines. A name ends with two NULs, a
+    NUL within it is followed by ``\\x01``, so no name reaches into the next."""
+    def name(c):
+        return F.coalesce(F.concat(F.lit("\x01"), F.replace(c, F.lit("\x00"), F.lit("\x00\x01")), F.lit("\x00\x00")), F.lit("\x00"))
+    return F.concat(*[F.lit(str(r)) if isinstance(r, int) else name(r) for r in rank])
+
+
 def _line(rank: tuple, desc: Column, numbers: dict | None = None) -> Column:
     """One printed line: where it sorts (``rank``: numbers and names from the
     file level down), its text and its ``numbers``."""
-    ranks = [F.lit(r) if isinstance(r, (int, str)) else r for r in rank]
-    return F.struct(*[r.alias(f"r{i}") for i, r in enumerate(ranks)], desc.alias("desc"),
-                    *[c.alias(n) for n, c in (numbers or {}).items()])
+    return F.struct(_place(rank).alias("place"), desc.alias("desc"), *[c.alias(n) for n, c in (numbers or {}).items()])
 
 
-def _printed(lines: list[DataFrame], order: int, cells: dict[str, Column], dense: bool) -> DataFrame:
+def _printed(lines: list[DataFrame], cells: dict[str, Column], dense: bool) -> DataFrame:
     """Rows (file, struct ``l``) as numbered report lines; ``cells`` are the texts
     of their numbers, written behind the sort."""
     rows = lines[0].select("file", "l.*")
     for more in lines[1:]:
         rows = rows.unionByName(more.select("file", "l.*"))
     texts = ["desc", *[c.alias(n) for n, c in cells.items()]]
-    placed = chunks.in_file_order(rows, [f"r{i}" for i in range(order)], texts)
+    placed = chunks.in_file_order(rows, ["place"], texts)
     return (chunks.numbered(placed) if dense else placed).select("file", "line_no", "desc", *cells)
 
 
@@ -154,7 +163,7 @@ def write_item_report(items: DataFrame, faults: bool = False, dense: bool = True
         price = F.when(price == 0, price).otherwise(price / F.pow(F.lit(10.0), lost))
     cells = {"qty": fmt(F.col("qty"), 0), "price": fmt(price, 4), "cost": fmt(F.col("cost"), 4),
              "profit": F.when(F.col("whole"), fmt(profit, 0)).otherwise(fmt(profit, 4))}
-    return _printed(lines, 8, cells, dense)
+    return _printed(lines, cells, dense)
 
 
 # ------------------------------------------------------ parser (E1, report 14)
@@ -185,7 +194,7 @@ def _spread_states(rest: DataFrame, marks: DataFrame, names: list[str], more: di
     of every file, goes (D3f)."""
     both = rest.withColumns({"_state": F.lit(None).cast(marks.schema["_state"].dataType), "_mark": F.lit(False)}).unionByName(
         marks.withColumn("_mark", F.lit(True)).select(*rest.columns, "_state", "_mark"))
-    heads = chunks.heads(both, "_state")
+    heads = chunks.heads(rest, marks, "_state")
     under = chunks.spread(both, "_state", heads).filter(~F.col("_mark"))
     marks = marks.join(heads, chunks.KEY)
     if footer:
@@ -313,7 +322,7 @@ def write_group_report(items: DataFrame, dense: bool = True) -> DataFrame:
     file = F.concat_ws("/", F.lit("rep191"), "branch", F.col("year").cast("string"))
     lines = [p.select(file.alias("file"), _line(at(1, dv, 1, gp, 1, it), it, numbers).alias("l")),
              g.select(file.alias("file"), F.explode(sections).alias("l"))]
-    return _printed(lines, 6, {"qty": fmt(F.col("qty"), 0), "amount": fmt(F.col("amount"), 4)}, dense)
+    return _printed(lines, {"qty": fmt(F.col("qty"), 0), "amount": fmt(F.col("amount"), 4)}, dense)
 
 
 def _level_and_name(desc: Column) -> tuple[Column, Column, Column]:
