@@ -16,6 +16,8 @@ from ..session import cut_lineage
 
 #: Span of ``line_no`` in one chunk.
 CHUNK = 1 << 16
+#: Lines of a file that one task sorts.
+PART = 1 << 18
 KEY = ["file", "_chunk"]
 
 
@@ -74,9 +76,36 @@ def in_file_order(rows: DataFrame, order: list, columns: list | None = None) ->
     return cut_lineage(placed.select("file", "line_no", *columns) if columns else placed)
 
 
+def cuts(groups: DataFrame, place: str, n: str, most: int = PART) -> DataFrame:
+    """(file, ``_cuts``) of the files of more than ``most`` lines: the places where they
+    are cut into parts of about ``most`` lines. ``groups`` holds the place and the lines
+    ``n`` of every group of lines that stays together. A table of known size, so that a
+    small one is broadcast and the lines stay where they are."""
+    long = groups.groupBy("file").agg(F.sum(n).alias("_all")).filter(F.col("_all") > most)
+    before = Window.partitionBy("file").orderBy(place).rowsBetween(Window.unboundedPreceding, -1)
+    at = groups.join(long, "file").withColumn("_before", F.sum(n).over(before))
+    at = at.filter(F.floor(F.col("_before") / most) < F.floor((F.col("_before") + F.col(n)) / most))
+    return cut_lineage(at.groupBy("file").agg(F.sort_array(F.collect_list(place)).alias("_cuts")))
+
+
+def in_cut_files(rows: DataFrame, place: str, at: DataFrame, columns: list) -> DataFrame:
+    """``rows`` with ``line_no`` growing with ``place`` within each ``file``, like
+    ``in_file_order``: the parts of files between their ``cuts`` ``at`` are dealt by
+    hash and sorted in their tasks, so no row is computed once more for samples.
+    ``line_no`` is the part of the file, then the place in the task."""
+    if at.isEmpty():        # no long file
+        parts = rows.withColumn("_part", F.lit(0))
+    else:
+        part = F.size(F.filter("_cuts", lambda c: c <= F.col(place)))
+        parts = rows.join(at, "file", "left").withColumn("_part", F.when(F.col("_cuts").isNull(), 0).otherwise(part)).drop("_cuts")
+    placed = parts.repartition("file", "_part").sortWithinPartitions(F.xxhash64("file"), "file", place)
+    number = F.shiftleft(F.col("_part").cast("bigint"), 33) + F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    return cut_lineage(placed.withColumn("line_no", number).select("file", "line_no", *columns))
+
+
 def numbered(placed: DataFrame) -> DataFrame:
-    """Lines of ``in_file_order`` numbered from 1 in each file: the first number
-    and the count of every (file, task), a prefix sum over the tasks of a file."""
+    """Lines of ``in_file_order`` or ``in_cut_files`` numbered from 1 in each file: the
+    first number and the count of every (file, task), a prefix sum over those of a file."""
     part = F.shiftright("line_no", 33)
     starts = placed.groupBy("file", part.alias("_part")).agg(F.min("line_no").alias("_first"), F.count("*").alias("_n"))
     before = Window.partitionBy("file").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)

@@ -86,23 +86,25 @@ def _line(rank: tuple, desc: Column, numbers: dict | None = None) -> Column:
     return F.struct(_place(rank).alias("place"), desc.alias("desc"), *[c.alias(n) for n, c in (numbers or {}).items()])
 
 
-def _printed(lines: list[DataFrame], cells: dict[str, Column], dense: bool) -> DataFrame:
+def _printed(lines: list[DataFrame], cells: dict[str, Column], dense: bool, sections: DataFrame) -> DataFrame:
     """Rows (file, struct ``l``) as numbered report lines; ``cells`` are the texts
-    of their numbers, written behind the sort."""
+    of their numbers, written behind the sort. Long files are cut where their deepest
+    ``sections`` (file, place, n) begin, n being the item rows of one."""
     rows = lines[0].select("file", "l.*")
     for more in lines[1:]:
         rows = rows.unionByName(more.select("file", "l.*"))
     texts = ["desc", *[c.alias(n) for n, c in cells.items()]]
-    placed = chunks.in_file_order(rows, ["place"], texts)
+    placed = chunks.in_cut_files(rows, "place", chunks.cuts(sections, "place", "n"), texts)
     return (chunks.numbered(placed) if dense else placed).select("file", "line_no", "desc", *cells)
 
 
 def _sections(p: DataFrame, keys: list[str], top: int, sums: list[Column]) -> DataFrame:
     """Sums of every section of the files (the first ``top`` of ``keys``), deepest
-    sections first summed from the rows, then rolled up; ``depth`` 0 is the file."""
-    g = p.groupBy(*keys).agg(*sums)
+    sections first summed from the rows, then rolled up; ``depth`` 0 is the file,
+    ``n`` the rows of ``p``. A table, read for the cuts of the files and for the lines."""
+    g = p.groupBy(*keys).agg(*sums, F.count(F.lit(1)).alias("n"))
     sets = [[F.col(c) for c in keys[:k]] for k in range(len(keys), top - 1, -1)]
-    g = g.groupingSets(sets, *keys).agg(*sums, F.grouping_id().alias("gid"))
+    g = cut_lineage(g.groupingSets(sets, *keys).agg(*sums, F.sum("n").alias("n"), F.grouping_id().alias("gid")))
     return g.withColumn("depth", len(keys) - top - F.bit_count("gid"))
 
 
@@ -163,7 +165,8 @@ def write_item_report(items: DataFrame, faults: bool = False, dense: bool = True
         price = F.when(price == 0, price).otherwise(price / F.pow(F.lit(10.0), lost))
     cells = {"qty": fmt(F.col("qty"), 0), "price": fmt(price, 4), "cost": fmt(F.col("cost"), 4),
              "profit": F.when(F.col("whole"), fmt(profit, 0)).otherwise(fmt(profit, 4))}
-    return _printed(lines, cells, dense)
+    begin = g.filter(depth == 3).select(file.alias("file"), _place(at(1, d, 1, c, 1, v, 0)).alias("place"), "n")
+    return _printed(lines, cells, dense, begin)
 
 
 # ------------------------------------------------------ parser (E1, report 14)
@@ -186,15 +189,17 @@ def without_noise(lines: DataFrame) -> DataFrame:
     return lines.filter(~F.coalesce(desc.isin(*PAGE_NOISE) | date, F.lit(False)))
 
 
-def _spread_states(rest: DataFrame, marks: DataFrame, names: list[str], more: dict[str, Column], footer: bool = True) -> DataFrame:
-    """The parsed lines: ``marks``, the openings and totals with their hierarchy
+def _spread_states(lines: DataFrame, rest: DataFrame, marks: DataFrame, names: list[str], more: dict[str, Column],
+                   footer: bool = True) -> DataFrame:
+    """The parsed ``lines``: ``marks``, the openings and totals with their hierarchy
     and the state ``_state`` behind them, and the ``rest`` under the state of the
     last mark before each; ``more`` are the constant columns of the rest, so a
     filter on is_total or is_open leaves one part out. The ``footer``, the last line
     of every file, goes (D3f)."""
     both = rest.withColumns({"_state": F.lit(None).cast(marks.schema["_state"].dataType), "_mark": F.lit(False)}).unionByName(
         marks.withColumn("_mark", F.lit(True)).select(*rest.columns, "_state", "_mark"))
-    heads = chunks.heads(rest, marks, "_state")
+    # ends of chunks are those of all lines, so no line is looked at for what it is
+    heads = chunks.heads(lines, marks, "_state")
     under = chunks.spread(both, "_state", heads).filter(~F.col("_mark"))
     marks = marks.join(heads, chunks.KEY)
     if footer:
@@ -223,7 +228,7 @@ def parse_item_report(lines: DataFrame, chunk: int = chunks.CHUNK) -> DataFrame:
     lvl = F.when(is_total, F.trim(F.split(F.substring(text, len(TOTAL_PREFIX) + 1, 1 << 20), ":", 2)[0]))
     is_open = ~is_total & _blank(F.col("qty")) & ~_blank(F.col("desc"))
     close = F.array_position(F.array(*[F.lit(n.lower()) for n in LEVELS]), lvl)
-    rest = x.filter(~is_total & ~is_open)
+    every, rest = x, x.filter(~is_total & ~is_open)
     x = cut_lineage(x.filter(is_total | is_open).select(
         "*", is_total.alias("is_total"), is_open.alias("is_open"),
         F.when(close > 0, (close - 1).cast("int")).alias("close_level"), F.initcap(lvl).alias("total_scope")))
@@ -248,7 +253,7 @@ def parse_item_report(lines: DataFrame, chunk: int = chunks.CHUNK) -> DataFrame:
     marks = cut_lineage(y.withColumn("_state", state).select(
         *rest.columns, "is_total", "is_open", "close_level", "total_scope", "depth", *LEVELS, "_state"))
     no = F.lit(False)
-    return _spread_states(rest, marks, ["depth", *LEVELS], {
+    return _spread_states(every, rest, marks, ["depth", *LEVELS], {
         "is_total": no, "is_open": no, "close_level": F.lit(None).cast("int"), "total_scope": F.lit(None).cast("string")})
 
 
@@ -322,7 +327,8 @@ def write_group_report(items: DataFrame, dense: bool = True) -> DataFrame:
     file = F.concat_ws("/", F.lit("rep191"), "branch", F.col("year").cast("string"))
     lines = [p.select(file.alias("file"), _line(at(1, dv, 1, gp, 1, it), it, numbers).alias("l")),
              g.select(file.alias("file"), F.explode(sections).alias("l"))]
-    return _printed(lines, {"qty": fmt(F.col("qty"), 0), "amount": fmt(F.col("amount"), 4)}, dense)
+    begin = g.filter(depth == 2).select(file.alias("file"), _place(at(1, dv, 1, gp, 0)).alias("place"), "n")
+    return _printed(lines, {"qty": fmt(F.col("qty"), 0), "amount": fmt(F.col("amount"), 4)}, dense, begin)
 
 
 def _level_and_name(desc: Column) -> tuple[Column, Column, Column]:
@@ -346,7 +352,7 @@ def parse_group_report(lines: DataFrame, chunk: int = chunks.CHUNK, noise: bool
     maxima, so a chunk is summarised by them."""
     x = chunks.in_chunks(without_noise(lines) if noise else lines, chunk)
     total, level, name = _level_and_name(F.col("desc"))
-    rest = x.filter(level.isNull())
+    every, rest = x, x.filter(level.isNull())
     x = cut_lineage(x.filter(level.isNotNull()).select(
         "*", total.alias("is_total"), (~total).alias("is_open"), level.alias("_l"), name.alias("_n")))
     names = [n.lower() for n in EXPLICIT_LEVELS]
@@ -370,7 +376,7 @@ def parse_group_report(lines: DataFrame, chunk: int = chunks.CHUNK, noise: bool
     state = F.struct(*[F.when(closes.isNull() | (closes > i + 1), F.col(n)).alias(n) for i, n in enumerate(EXPLICIT_LEVELS)])
     marks = cut_lineage(y.withColumn("_state", state).select(*rest.columns, "is_total", "is_open", *EXPLICIT_LEVELS, "_state"))
     no = F.lit(False)
-    return _spread_states(rest, marks, list(EXPLICIT_LEVELS), {"is_total": no, "is_open": no}, footer=noise)
+    return _spread_states(every, rest, marks, list(EXPLICIT_LEVELS), {"is_total": no, "is_open": no}, footer=noise)
 
 
 # ------------------------------------------- paged monthly report (A4-A10)

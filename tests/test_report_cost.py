@@ -52,3 +52,58 @@ def test_number_cells_are_cleaned_once(spark):
     got = [r[0] for r in df.select(rp.to_num(F.col("c"))).collect()]
     assert got == [1234.5, -12.5, None, None, 7.0, None, None, 1000.0, None, -12.0, None, None, None, 1.0, None, None,
                    0.5, 5.0, None, -100.0, None, None, None, None]
+
+
+def test_lines_dealt_without_samples(spark, monkeypatch):
+    """No written report is range partitioned, which computes every line once more."""
+    plans = []
+    for m in (chunks, rp):
+        monkeypatch.setattr(m, "cut_lineage", lambda df, real=m.cut_lineage: plans.append(_plan(df)) or real(df))
+    it = spark.createDataFrame([("b", 2000, m, "d", "c", "v", "g", f"p{i}", 1.0, 5.0, 2.0, 3.0) for m in (1, 2) for i in range(3)],
+                               "branch string, year int, month int, department string, category string, division string, grp string, "
+                               "product string, qty double, price double, cost double, profit double")
+    item = rp.write_item_report(it, faults=True).orderBy("file", "line_no").collect()
+    group = rp.write_group_report(it).orderBy("line_no").collect()
+    assert not any("rangepartitioning" in p for p in plans)
+    assert [r["line_no"] for r in item] == [*range(1, 15), *range(1, 14)]
+    assert [r["desc"] for r in item[:9]] == [rp.PRINT_DATE, rp.PAGE_NOISE[0], "Store - b", "d", "c", "v", "p0", "p1", "p2"]
+    assert [r["desc"] for r in group[:6]] == [rp.PRINT_DATE, rp.PAGE_NOISE[1], "Branch: b", "Division: v", "Group: g", "p0"]
+
+
+def test_long_files_are_cut(spark):
+    """Files longer than a part are sorted by several tasks, also where one group is
+    longer than a part; a file whose name is null is a file too. Numbers are the same."""
+    rng = random.Random(5)
+    rows = [(f, f"{g:02d}", i) for f, groups in (("a", 30), ("b", 2), (None, 9), ("c", 1)) for g in range(groups)
+            for i in range(rng.choice([1, 3, 40]))]
+    rng.shuffle(rows)
+    df = spark.createDataFrame(rows, "file string, g string, i int").withColumn("place", F.format_string("%s%05d", "g", "i"))
+    groups = df.groupBy("file", "g").agg(F.min("place").alias("place"), F.count("*").alias("n"))
+    got = {}
+    for most in (10, 1 << 18):
+        at = chunks.cuts(groups, "place", "n", most)
+        assert at.filter("file = 'a'").count() == (most == 10)
+        placed = chunks.in_cut_files(df, "place", at, ["place"])
+        named = chunks.numbered(placed.fillna({"file": "-"})).collect()
+        got[most] = sorted((r["file"], r["line_no"], r["place"]) for r in named)
+        if most == 10:
+            assert placed.filter("file = 'a'").select(F.shiftright("line_no", 33)).distinct().count() > 5
+    want = sorted((f or "-", f"{g}{i:05d}") for f, g, i in rows)
+    assert got[10] == got[1 << 18]
+    assert [(f, p) for f, _, p in got[10]] == want
+    for f in {x[0] for x in want}:
+        assert [n for g, n, _ in got[10] if g == f] == list(range(1, 1 + sum(x[0] == f for x in want)))
+
+
+def test_chunk_ends_look_at_no_cell(spark, tmp_path, monkeypatch):
+    """Ends of chunks and files need the places of the lines, not what they are."""
+    cols = "file string, line_no int, desc string, qty string, price string, cost string, profit string"
+    spark.createDataFrame([("f", 1, "Store - a", None, None, None, None), ("f", 2, "x", "1", "2", "3", "4"),
+                           ("f", 3, "end", None, None, None, None)], cols).write.parquet(str(tmp_path / "lines"))
+    plans = []
+    monkeypatch.setattr(chunks, "cut_lineage", lambda df, real=chunks.cut_lineage: plans.append((df.columns, _plan(df))) or real(df))
+    parsed = rp.parse_item_report(spark.read.parquet(str(tmp_path / "lines")))
+    plan = next(p for c, p in plans if "_last" in c)
+    reads = [ln for ln in plan.splitlines() if str(tmp_path) in ln and "FileScan" in ln]
+    assert reads and not any("qty" in ln for ln in reads)
+    assert [r["desc"] for r in parsed.orderBy("line_no").collect()] == ["Store - a", "x"]
