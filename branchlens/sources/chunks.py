@@ -98,7 +98,8 @@ def in_cut_files(rows: DataFrame, place: str, at: DataFrame, columns: list) -> D
     else:
         part = F.size(F.filter("_cuts", lambda c: c <= F.col(place)))
         parts = rows.join(at, "file", "left").withColumn("_part", F.when(F.col("_cuts").isNull(), 0).otherwise(part)).drop("_cuts")
-    placed = parts.repartition("file", "_part").sortWithinPartitions(F.xxhash64("file"), "file", place)
+    # a column, as a sort computes its expressions for every pair of rows that it compares
+    placed = parts.repartition("file", "_part").withColumn("_hash", F.xxhash64("file")).sortWithinPartitions("_hash", "file", place)
     number = F.shiftleft(F.col("_part").cast("bigint"), 33) + F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
     return cut_lineage(placed.withColumn("line_no", number).select("file", "line_no", *columns))
 

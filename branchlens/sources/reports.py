@@ -70,6 +70,21 @@ def fmt(c: Column, decimals: int) -> Column:
         F.format_number(c, decimals))
 
 
+def fmt_column(c: Column, decimals: int) -> Column:
+    """``fmt`` of a plain column, at less cost: a number below a million that lies so near
+    to one of ``decimals`` decimals that no rounding is in doubt is cast to that decimal
+    and gets its one separator; all others are formatted. ``c`` is named many times, so
+    it must not be computed."""
+    one = float(10 ** decimals)
+    exact = F.abs(c) * one
+    units = F.rint(exact)
+    sure = (F.abs(exact - units) < 0.25) & (units > 0) & (units < 1e6 * one)
+    digits = F.abs(c).cast(f"decimal(18,{decimals})").cast("string")
+    at = F.when(units < 1e4 * one, 2).when(units < 1e5 * one, 3).otherwise(4)
+    text = F.when(units < 1e3 * one, digits).otherwise(F.overlay(digits, F.lit(","), at, F.lit(0)))
+    return F.when(sure, F.concat(F.when(c < 0, "(").otherwise(""), text, F.when(c < 0, ")").otherwise(""))).otherwise(fmt(c, decimals))
+
+
 # --------------------------------------------------------- writer (report 14)
 def _place(rank: tuple) -> Column:
     """Numbers of one digit and names as one text that sorts as they do one after the
@@ -159,12 +174,13 @@ def write_item_report(items: DataFrame, faults: bool = False, dense: bool = True
                 .otherwise(whole))
     lines = [p.select(file.alias("file"), _line(at(1, d, 1, c, 1, v, 1, i), i, numbers()).alias("l")),
              g.select(file.alias("file"), F.explode(sections).alias("l"))]
-    price, profit = F.col("price"), F.col("profit")
-    if faults:
+    if faults:              # ahead of the sort, so that the price printed behind it is a plain column
+        price = F.col("l.price")
         lost = F.greatest(F.floor(F.log10(F.abs(price))) + 1 - PRICE_DIGITS, F.lit(0))
         price = F.when(price == 0, price).otherwise(price / F.pow(F.lit(10.0), lost))
-    cells = {"qty": fmt(F.col("qty"), 0), "price": fmt(price, 4), "cost": fmt(F.col("cost"), 4),
-             "profit": F.when(F.col("whole"), fmt(profit, 0)).otherwise(fmt(profit, 4))}
+        lines = [x.withColumn("l", F.col("l").withField("price", price)) for x in lines]
+    cells = {"qty": fmt_column(F.col("qty"), 0), "price": fmt_column(F.col("price"), 4), "cost": fmt_column(F.col("cost"), 4),
+             "profit": F.when(F.col("whole"), fmt(F.col("profit"), 0)).otherwise(fmt_column(F.col("profit"), 4))}
     begin = g.filter(depth == 3).select(file.alias("file"), _place(at(1, d, 1, c, 1, v, 0)).alias("place"), "n")
     return _printed(lines, cells, dense, begin)
 
@@ -328,7 +344,7 @@ def write_group_report(items: DataFrame, dense: bool = True) -> DataFrame:
     lines = [p.select(file.alias("file"), _line(at(1, dv, 1, gp, 1, it), it, numbers).alias("l")),
              g.select(file.alias("file"), F.explode(sections).alias("l"))]
     begin = g.filter(depth == 2).select(file.alias("file"), _place(at(1, dv, 1, gp, 0)).alias("place"), "n")
-    return _printed(lines, {"qty": fmt(F.col("qty"), 0), "amount": fmt(F.col("amount"), 4)}, dense, begin)
+    return _printed(lines, {"qty": fmt_column(F.col("qty"), 0), "amount": fmt_column(F.col("amount"), 4)}, dense, begin)
 
 
 def _level_and_name(desc: Column) -> tuple[Column, Column, Column]:

@@ -107,3 +107,33 @@ def test_chunk_ends_look_at_no_cell(spark, tmp_path, monkeypatch):
     reads = [ln for ln in plan.splitlines() if str(tmp_path) in ln and "FileScan" in ln]
     assert reads and not any("qty" in ln for ln in reads)
     assert [r["desc"] for r in parsed.orderBy("line_no").collect()] == ["Store - a", "x"]
+
+
+def test_column_printed_like_fmt(spark):
+    """The cheaper print of a column gives the texts of ``fmt``, also where it rounds, at
+    thousands, beyond a million and on numbers that are none."""
+    rng = random.Random(7)
+    odd = [None, 0.0, float("nan"), float("inf"), 5e-5, 1.5e-4, 0.5, 1.5, 2.5, 999.5, 999.99994, 999.99996, 1000.0, 9999.99996,
+           99999.5, 99999.99996, 999999.4, 999999.99994, 999999.99996, 1e6, 123456789.12345, 1e15, 1e300, 1e-320, 0.1 + 0.2, 1234.5]
+    odd += [rng.random() * 10 ** rng.randint(-6, 9) for _ in range(2000)] + [rng.randint(0, 10 ** 9) / 20000 for _ in range(2000)]
+    df = spark.createDataFrame([(x,) for x in odd] + [(-x,) for x in odd if x is not None], "c double")
+    for decimals in (0, 4):
+        got, want = rp.fmt_column(F.col("c"), decimals), rp.fmt(F.col("c"), decimals)
+        assert df.filter(~got.eqNullSafe(want)).count() == 0
+        assert df.filter("c is null").select(got).head()[0] is None
+    assert [r[0] for r in df.filter("abs(c) = 1234.5").select(rp.fmt_column(F.col("c"), 4)).collect()] == ["1,234.5000", "(1,234.5000)"]
+
+
+def test_lines_are_compared_by_columns(spark, monkeypatch):
+    """The sort of the lines names columns: an expression is computed for both lines of
+    every pair that is compared. The price is printed from a column as well."""
+    plans = []
+    monkeypatch.setattr(chunks, "cut_lineage", lambda df, real=chunks.cut_lineage: plans.append((df.columns, _plan(df))) or real(df))
+    it = spark.createDataFrame([("b", 2000, 1, "d", "c", "v", "p", 1.0, 123456.5, 2.0, 3.0)],
+                               "branch string, year int, month int, department string, category string, division string, "
+                               "product string, qty double, price double, cost double, profit double")
+    lines = rp.write_item_report(it, faults=True)
+    plan = next(p for c, p in plans if "line_no" in c).splitlines()
+    top, sort = plan[:next(i for i, ln in enumerate(plan) if "Exchange" in ln)], next(ln for ln in plan if " Sort [" in ln)
+    assert "xxhash64" not in sort and not any("LOG10" in ln.upper() for ln in top)
+    assert [r["price"] for r in lines.filter("desc = 'p'").collect()] == ["12,345.6500"]
