@@ -278,10 +278,12 @@ def report_facts(parsed: DataFrame) -> DataFrame:
     Total Price = cost + profit (C7); zero-price rows dropped, NULL kept (D4f)."""
     it = parsed.filter(~F.col("is_total") & ~F.col("is_open"))
     it = it.filter(F.coalesce(*[F.col(c) for c in ("qty", "price", "cost", "profit")]).isNotNull())   # D2f
-    cost, profit = to_num(F.col("cost")), to_num(F.col("profit"))
-    price = F.coalesce(cost, F.lit(0.0)) + F.coalesce(profit, F.lit(0.0))
+    # a row of its own, as the filter on the price would else parse both cells once more
+    both = F.struct(to_num(F.col("cost")).alias("_cost"), to_num(F.col("profit")).alias("_profit"))
+    it = it.select("file", "line_no", "desc", "qty", *LEVELS, F.inline(F.array(both)))
+    price = F.coalesce("_cost", F.lit(0.0)) + F.coalesce("_profit", F.lit(0.0))
     return (it.select("file", "line_no", *LEVELS, F.trim("desc").alias("product"), to_num(F.col("qty")).alias("qty"),
-                      price.alias("price"), cost.alias("cost"), profit.alias("profit"))
+                      price.alias("price"), F.col("_cost").alias("cost"), F.col("_profit").alias("profit"))
             .filter(~(F.col("price") == 0) | F.col("price").isNull()))
 
 

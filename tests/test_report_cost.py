@@ -137,3 +137,17 @@ def test_lines_are_compared_by_columns(spark, monkeypatch):
     top, sort = plan[:next(i for i, ln in enumerate(plan) if "Exchange" in ln)], next(ln for ln in plan if " Sort [" in ln)
     assert "xxhash64" not in sort and not any("LOG10" in ln.upper() for ln in top)
     assert [r["price"] for r in lines.filter("desc = 'p'").collect()] == ["12,345.6500"]
+
+
+def test_fact_cells_are_parsed_once(spark):
+    """The filter on the price takes the parsed cells instead of parsing them once more."""
+    cols = "file string, line_no int, desc string, qty string, price string, cost string, profit string, is_total boolean, is_open boolean"
+    rows = [("f", 1, " a ", "1", "9", "1,000.5", "(0.5)", False, False), ("f", 2, "zero", "1", "9", "2", "(2)", False, False),
+            ("f", 3, "no cost", "1", "9", None, "4", False, False), ("f", 4, "none", None, None, None, None, False, False),
+            ("f", 5, "bad", "1", "9", "x", "3", False, False), ("f", 6, "t", "1", "9", "2", "2", True, False)]
+    df = spark.createDataFrame(rows, cols).select("*", *[F.lit("x").alias(n) for n in rp.LEVELS])
+    facts = rp.report_facts(df)
+    assert _plan(facts.groupBy("file").agg(F.sum("profit"))).count("regexp_extract(CASE WHEN") <= 2
+    assert facts.columns == ["file", "line_no", *rp.LEVELS, "product", "qty", "price", "cost", "profit"]
+    got = [(r["product"], r["qty"], r["price"], r["cost"], r["profit"]) for r in facts.orderBy("line_no").collect()]
+    assert got == [("a", 1.0, 1000.0, 1000.5, -0.5), ("no cost", 1.0, 4.0, None, 4.0), ("bad", 1.0, 3.0, None, 3.0)]
