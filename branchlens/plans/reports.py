@@ -163,11 +163,11 @@ def q_totals_items_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     parsed = parsed_item_report(spark, sf_dir)
     rows = parsed.filter(~F.col("is_open"))
     scope = F.when(F.col("is_total"), F.col("total_scope")).otherwise(F.lit("items"))
-    counts = rows.groupBy(scope.alias("scope")).agg(F.count(F.lit(1)).alias("n"))
-    leak = (rows.filter(~F.col("is_total"))
-            .agg(F.lit("leaked_totals").alias("scope"),
-                 F.count_if(F.lower(F.col("desc")).contains("total by")).alias("n")))
-    return counts.unionByName(leak)
+    leaked = ~F.col("is_total") & F.lower(F.col("desc")).contains("total by")
+    # a row a scope, kept so that both parts of the result come from the one pass
+    counts = cut_lineage(rows.groupBy(scope.alias("scope")).agg(F.count(F.lit(1)).alias("n"), F.count_if(leaked).alias("leaked")))
+    leak = counts.agg(F.lit("leaked_totals").alias("scope"), F.coalesce(F.sum("leaked"), F.lit(0)).alias("n"))
+    return counts.select("scope", "n").unionByName(leak)
 
 
 @register("q_price_overflow", with_items(f"""

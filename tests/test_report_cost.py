@@ -6,6 +6,7 @@ import random
 
 from pyspark.sql import functions as F
 
+from branchlens.plans import reports as plans_reports
 from branchlens.sources import chunks
 from branchlens.sources import reports as rp
 
@@ -151,3 +152,16 @@ def test_fact_cells_are_parsed_once(spark):
     assert facts.columns == ["file", "line_no", *rp.LEVELS, "product", "qty", "price", "cost", "profit"]
     got = [(r["product"], r["qty"], r["price"], r["cost"], r["profit"]) for r in facts.orderBy("line_no").collect()]
     assert got == [("a", 1.0, 1000.0, 1000.5, -0.5), ("no cost", 1.0, 4.0, None, 4.0), ("bad", 1.0, 3.0, None, 3.0)]
+
+
+def test_totals_and_items_split_in_one_pass(spark, monkeypatch):
+    """Scopes and leaked totals come from one pass over the parsed lines, also without lines."""
+    cols = "desc string, is_total boolean, is_open boolean, total_scope string"
+    rows = [("Total By Branch:", True, False, "Branch"), ("p", False, False, None), ("Grand Total By Month:", False, False, None),
+            (None, False, False, None), ("open", False, True, None), ("Total by x", True, False, None)]
+    for given, want in ((rows, {("Branch", 1), ("items", 3), (None, 1), ("leaked_totals", 1)}), ([], {("leaked_totals", 0)})):
+        parsed = spark.createDataFrame(given, cols)
+        monkeypatch.setattr(plans_reports, "parsed_item_report", lambda *_: parsed)
+        got = plans_reports.q_totals_items_split(spark, "")
+        assert "Scan ExistingRDD" not in _plan(got) and "LocalTableScan" not in _plan(got)
+        assert {(r["scope"], r["n"]) for r in got.collect()} == want
